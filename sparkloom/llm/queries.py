@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import bpe, linededup, mixing, quality
+from . import bpe, linededup, mixing, neardup, quality
 from .common import table
 
 
@@ -16,6 +16,11 @@ def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), form="digest")
 
 
+def op7_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = neardup.groups(table(spark, sf_dir, "documents"), n=3, num=85, den=100)
+    return found.withColumn("kept", F.col("doc_id") == F.col("component_id"))
+
+
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     kept = linededup.rebuild(docs.withColumn("n_lines", F.size(linededup.lines_of(F.col("text"))).cast("long")), keep_bitmap=True)
@@ -32,6 +37,7 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_bpe": op4_bpe,
+    "op7_minhash": op7_minhash,
     "op8_line_dedup": op8_line_dedup,
     "op9_quality_rules": op9_quality_rules,
     "op10_mixing": op10_mixing,
