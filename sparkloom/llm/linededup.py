@@ -17,7 +17,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from .common import WHITE, partitions
+from .common import WHITE, partitions, scratch
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 BLOCKS = 1024
@@ -32,12 +32,12 @@ def keys(docs: DataFrame, min_chars: int) -> DataFrame:
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.posexplode(lines_of(F.col("text"))).alias("pos", "line"))
     rows = rows.where(F.length("line") >= min_chars)
     rows = rows.withColumn("key", F.translate(F.btrim(F.col("line"), F.lit(WHITE)), UPPER, LOWER)).where(F.length("key") >= min_chars)
-    return rows.select("doc_id", "pos", F.xxhash64("key").alias("h1"), F.xxhash64(F.lit(1), F.reverse("key")).alias("h2"))
+    return rows.select("doc_id", "pos", F.xxhash64("key").alias("h1"), F.xxhash64(F.lit(1), "key").alias("h2"))
 
 
 def dropped(docs: DataFrame, min_chars: int = 10) -> DataFrame:
     """doc_id, pos of every line that goes: one row each."""
-    lines = keys(docs, min_chars)
+    lines = scratch(keys(docs, min_chars), "lines")  # read three times: for the ranges, the late and the leaders
     low, high = docs.agg(F.min("doc_id"), F.max("doc_id")).first()
     low, high = int(low or 0), int(high or 0)
     width = max(1, -(-(high - low + 1) // BLOCKS))
