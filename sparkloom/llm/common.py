@@ -38,11 +38,17 @@ def scratch(df: DataFrame, tag: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def release(spark: SparkSession) -> None:
-    """Deletes all scratch tables written so far. Call it only when every result based on them has been written."""
+def written() -> tuple[str, ...]:
+    """Paths of the scratch tables that have not been released."""
+    return tuple(_written)
+
+
+def release(spark: SparkSession, since: int = 0) -> None:
+    """Deletes the scratch tables written since len(written()) was since. Call it only when every result based on them has
+    been written."""
     jvm = spark.sparkContext._jvm
     conf = spark.sparkContext._jsc.hadoopConfiguration()
-    while _written:
+    while len(_written) > since:
         path = jvm.org.apache.hadoop.fs.Path(_written.pop())
         path.getFileSystem(conf).delete(path, True)
 

@@ -19,7 +19,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from .common import WHITE, scratch
+from .common import WHITE, partitions, scratch
 
 BLOCK = 256
 RANGES = 1024
@@ -27,7 +27,7 @@ WEIGHTS = (5.0, 2.0, 1.0)
 BUDGET = 1.5
 CAP = 2.0
 ROUNDS = 24
-SLOTS_A_ROW = 4096
+SLOTS_A_ROW = 1024
 
 
 def n_words(text: Column) -> Column:
@@ -91,7 +91,7 @@ def layout(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
 def slots(sources: DataFrame, shards: int = 64, seed: int = 0) -> DataFrame:
     """src, shard, slot, pass, block: what every slot of the mixture holds."""
     wide = sources.where("slots > 0").withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.expr(f"(slots - 1) div {SLOTS_A_ROW}L"))))
-    wide = wide.repartition("src", "part")
+    wide = wide.repartition(partitions(sources.sparkSession), "src", "part")
     first = F.col("part") * SLOTS_A_ROW
     each = wide.withColumn("slot", F.explode(F.sequence(first, F.least(first + SLOTS_A_ROW, F.col("slots")) - 1)))
     each = each.withColumn("pass", F.expr("slot div n_blocks")).withColumn("place", F.expr("slot % n_blocks"))
@@ -108,9 +108,10 @@ def assign(docs: DataFrame, seed: int = 0) -> DataFrame:
     parts = placed.where("size > 0").withColumn("block", F.explode(F.sequence(F.expr(f"start div {BLOCK}L"), F.expr(f"(start + size - 1) div {BLOCK}L"))))
     overlap = F.least(end, (F.col("block") + 1) * BLOCK) - F.greatest(F.col("start"), F.col("block") * BLOCK)
     parts = parts.select("doc_id", "tie", "src", "start", "block", overlap.alias("overlap"))
-    taken = parts.join(drawn, ["src", "block"]).groupBy("src", "start", "doc_id", "tie").agg(F.sum(F.col("overlap") * F.col("times")).alias("taken"))
+    # the estimate of a side made by explode() is far too small, so it must not be broadcast on its word
+    taken = parts.join(drawn.hint("merge"), ["src", "block"]).groupBy("src", "start", "doc_id", "tie").agg(F.sum(F.col("overlap") * F.col("times")).alias("taken"))
     per = sources.select("src", "source_size", "target")
-    out = placed.join(taken, ["src", "start", "doc_id", "tie"], "left").join(per, "src", "left")
+    out = placed.join(taken.hint("merge"), ["src", "start", "doc_id", "tie"], "left").join(per, "src", "left")
     out = out.withColumn("taken", F.when(F.col("size") > 0, F.coalesce("taken", F.lit(0))).otherwise(F.lit(0)).cast("long"))
     return out.select("doc_id", "tie", "src", "size", "source_size", "target", "taken")
 

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import ann, bpe, linededup, mixing, neardup, quality, substrings, toxicity
+from . import ann, bpe, linededup, mixing, neardup, pii, quality, substrings, toxicity
 from .common import table
 
 
@@ -24,6 +24,10 @@ def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), form="digest")
 
 
+def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.summary(table(spark, sf_dir, "documents"))
+
+
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -51,6 +55,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_ann": op1_ann,
     "op3_suffix_dedup": op3_suffix_dedup,
     "op4_bpe": op4_bpe,
+    "op5_pii": op5_pii,
     "op6_toxicity": op6_toxicity,
     "op7_minhash": op7_minhash,
     "op8_line_dedup": op8_line_dedup,
