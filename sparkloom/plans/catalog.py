@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from sparkloom.plans import retrieval
+from sparkloom.plans import analytics, ledger, retrieval
 
-QUERIES = {**retrieval.QUERIES}
-ORACLES = {**retrieval.ORACLES}
+MODULES = (retrieval, analytics, ledger)
+QUERIES = {name: query for m in MODULES for name, query in m.QUERIES.items()}
+ORACLES = {name: sql for m in MODULES for name, sql in m.ORACLES.items()}

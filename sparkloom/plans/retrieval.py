@@ -4,14 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
+from sparkloom.sources.tables import table
+
 TOP_K = 50
 #: The queries are a stated set of five vectors, so their side is small whatever the table holds.
 QUERY_VECTORS = 5
 
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
 
 def squared_l2(a: Column, b: Column) -> Column:
     """Squared Euclidean distance, summed in double precision."""
