@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from sparkloom.plans import analytics, ledger, retrieval
+from sparkloom.plans import analytics, ledger, retrieval, texts
 
-MODULES = (retrieval, analytics, ledger)
+MODULES = (retrieval, analytics, ledger, texts)
 QUERIES = {name: query for m in MODULES for name, query in m.QUERIES.items()}
 ORACLES = {name: sql for m in MODULES for name, sql in m.ORACLES.items()}
