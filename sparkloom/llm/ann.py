@@ -117,7 +117,8 @@ def search(vectors: DataFrame, every: int = 100, k: int = 10) -> DataFrame:
             for own, v in zip(frame.vec_id, frame.v, strict=True):
                 v = np.array(v)
                 d = ((sample[ids != own] - v) ** 2).sum(1)
-                bound = float(np.partition(d, k - 1)[k - 1]) * (1 + 1e-9) if len(d) >= k else float("inf")
+                # rotated components are rounded: without the slack, copies of the query would be a hair beyond a bound of 0
+                bound = float(np.partition(d, k - 1)[k - 1]) * (1 + 1e-9) + 1e-9 * float(v @ v) if len(d) >= k else float("inf")
                 order = np.argsort(squared((v @ turn)[None], centroids)[0], kind="stable")[:n_probes]
                 out += [(own, v, bound, int(x)) for x in order]
             yield pd.DataFrame(out, columns=["query_id", "q", "bound", "list"])
