@@ -59,14 +59,14 @@ class _Places(dict):
 def _features(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     known = _Places()
     for frame in frames:
-        yield pd.DataFrame({"positive": frame.positive, "places": [sorted(set().union(*map(known.__getitem__, words_of(t)))) for t in frame.text]})
+        yield pd.DataFrame({"positive": frame.positive, "places": [np.array(sorted(set().union(*map(known.__getitem__, words_of(t)))), "<i4").tobytes() for t in frame.text]})
         if len(known) > REMEMBERED:
             known.clear()
 
 
 def select(positive: list[np.ndarray], unlabelled: list[np.ndarray], features: int = FEATURES) -> np.ndarray:
     """Places whose share of positive texts stands out most, in standard errors, either way; rare ones don't count."""
-    p, u = (np.bincount(np.concatenate([*x, np.zeros(0, int)]).astype(int), minlength=SPACE) / max(1, len(x)) for x in (positive, unlabelled))
+    p, u = (np.bincount(np.concatenate([*x, np.zeros(0, np.int32)]), minlength=SPACE) / max(1, len(x)) for x in (positive, unlabelled))
     both = (p * len(positive) + u * len(unlabelled)) / (len(positive) + len(unlabelled))
     error = np.sqrt(both * (1 - both) * (1 / max(1, len(positive)) + 1 / max(1, len(unlabelled)))) + 1e-3
     z = np.abs(p - u) / error
@@ -123,9 +123,9 @@ def fit(docs: DataFrame, labels: DataFrame) -> tuple[dict[int, float], float] |
     # the unlabelled texts stand for all texts, toxic ones with a label among them: the prior is about that mixture
     no = rows.select("doc_id").distinct().orderBy(*order).limit(UNLABELLED).withColumn("positive", F.lit(False))
     picked = F.broadcast(yes.union(no))  # POSITIVES + UNLABELLED ids at most
-    sample = rows.join(picked, "doc_id").select("text", "positive").mapInPandas(_features, "positive boolean, places array<int>")
+    sample = rows.join(picked, "doc_id").select("text", "positive").mapInPandas(_features, "positive boolean, places binary")
     got = sample.collect()
-    split = [[np.array(r["places"], int) for r in got if r["positive"] is x] for x in (True, False)]
+    split = [[np.frombuffer(r["places"], "<i4") for r in got if r["positive"] is x] for x in (True, False)]
     if not split[0]:
         return None
     return train(*split, prior=min(0.9, max(1e-4, toxic / n)))
