@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from .common import text_of
 
-POSITIVES, UNLABELLED, FEATURES, SPACE = 8_192, 16_384, 1_024, 1 << 20
+POSITIVES, UNLABELLED, FEATURES, SPACE = 4_096, 8_192, 1_024, 1 << 20
 FOLDS = 5
 EDGES = ".,;:!?|#*$%&<>()[]{}\"'`~_-=+/\\"
 REMEMBERED = 300_000
@@ -66,7 +66,10 @@ def _features(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 def select(positive: list[np.ndarray], unlabelled: list[np.ndarray], features: int = FEATURES) -> np.ndarray:
     """Places whose share of positive texts stands out most, in standard errors, either way; rare ones don't count."""
-    p, u = (np.bincount(np.concatenate([*x, np.zeros(0, np.int32)]), minlength=SPACE) / max(1, len(x)) for x in (positive, unlabelled))
+    p, u = np.zeros(SPACE), np.zeros(SPACE)
+    for share, texts in ((p, positive), (u, unlabelled)):
+        for places in texts:
+            share[places] += 1 / len(texts)
     both = (p * len(positive) + u * len(unlabelled)) / (len(positive) + len(unlabelled))
     error = np.sqrt(both * (1 - both) * (1 / max(1, len(positive)) + 1 / max(1, len(unlabelled)))) + 1e-3
     z = np.abs(p - u) / error
