@@ -51,7 +51,8 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for k, (name, stage) in enumerate(STAGES):
         path = f"{folder}/{k}-{name}"
+        mark = len(common.written())
         stage(spark, docs, sf_dir).write.parquet(path)
-        common.release(spark)
+        common.release(spark, mark)
         docs = spark.read.parquet(path)
     return docs
