@@ -1,9 +1,9 @@
 """Near-duplicates by HyperMinHash.
 
-Every text's set of word shingles is sketched in one pass: the top bits of a shingle's hash choose one of 128 registers, and
-a register keeps the largest leading-zero count together with mantissa bits, 16 bits in all. Four registers make a band of
-64 bits, so a sketch is 32 longs and a band's value is its own bucket key. Two sets of Jaccard similarity s share no band with
-probability (1 - s ** 4) ** 32 at most: 5e-11 at 0.85, 5e-8 at 0.8.
+Every text's set of word shingles is sketched in one pass: the top bits of a shingle's hash choose one of 512 registers, and
+a register keeps the largest leading-zero count together with mantissa bits, 16 bits in all. Registers are compressed to a byte each
+for estimates. For bands they are folded in pairs, and six folded registers make a band, whose hash is the bucket key. Two sets of Jaccard similarity s share no band with probability (1 - s ** 6) ** 42 at most: 2e-9 at
+0.85, 3e-6 at 0.8; at 0.3, one pair in thirty meets, which keeps passages that many documents share from making candidates.
 
 Equal sets are merged first, by a 128-bit digest. In each bucket, every member is paired with one leader, which is linear in the
 bucket. Pairs whose collision-corrected estimate is not far below the threshold are verified on the full sets of shingles,
@@ -27,9 +27,10 @@ from pyspark.sql import DataFrame, functions as F, types as T
 
 from .common import scratch, text_of
 
-REGISTERS, MANTISSA, BANDS = 128, 10, 32
-#: A candidate is verified unless its estimate is this much below the threshold: more than six standard deviations of 128 registers.
-MARGIN = 0.2
+REGISTERS, MANTISSA, BANDS, ROWS = 512, 10, 42, 6
+#: A candidate is verified unless its estimate is this much below the threshold: 4.2 standard deviations of 512 registers at 0.8
+#: and 4.7 at 0.85, a chance of about 1e-5 or less for a pair at the threshold.
+MARGIN = 0.075
 BLOCK = 1024
 #: Up to this size, the members of a bucket are compared row by row; larger buckets go by blocks.
 SMALL = 16
@@ -76,12 +77,12 @@ def hashes(words: list[bytes], n: int, known: dict) -> np.ndarray:
 
 
 def sketch(h: np.ndarray) -> np.ndarray:
-    """128 registers of 16 bits from sorted hashes: 0 if empty, else leading zeros + 1 above the complement of the mantissa."""
+    """512 registers of 16 bits from sorted hashes: 0 if empty, else leading zeros + 1 above the complement of the mantissa."""
     out = np.zeros(REGISTERS, np.uint16)
     if len(h):
-        register = (h >> np.uint64(57)).astype(np.int64)
-        rest = ((h >> np.uint64(MANTISSA)) & np.uint64((1 << 47) - 1)).astype(np.float64)
-        zeros = 47 - np.frexp(rest)[1]
+        register = (h >> np.uint64(55)).astype(np.int64)
+        rest = ((h >> np.uint64(MANTISSA)) & np.uint64((1 << 45) - 1)).astype(np.float64)
+        zeros = 45 - np.frexp(rest)[1]
         low = (h & np.uint64((1 << MANTISSA) - 1)).astype(np.int64)
         value = ((zeros + 1) << MANTISSA) | ((1 << MANTISSA) - 1 - low)
         at = np.flatnonzero(np.diff(register, prepend=-1))
@@ -89,17 +90,29 @@ def sketch(h: np.ndarray) -> np.ndarray:
     return out
 
 
-def estimate(a: np.ndarray, b: np.ndarray, na: np.ndarray, nb: np.ndarray) -> np.ndarray:
-    """Jaccard estimates of sketches (last axis: registers) with set sizes, less the expected chance collisions."""
+def band_keys(registers: np.ndarray) -> np.ndarray:
+    """Bucket keys of a sketch, a long for each band; 0 for a band without a shingle."""
+    rows = registers.reshape(-1, 2).max(1)[: BANDS * ROWS].reshape(BANDS, ROWS).astype(np.uint64)
+    key = np.zeros(BANDS, np.uint64)
+    for i in range(ROWS):
+        key = _mix(key * np.uint64(65_537) + rows[:, i] + np.uint64(1))
+    return np.where(rows.any(1), key | np.uint64(1), np.uint64(0)).view("<i8")
+
+
+def compressed(registers: np.ndarray) -> np.ndarray:
+    """A byte for each register: 0 if empty, else one of 255 by hash."""
+    return np.where(registers > 0, _mix(registers.astype(np.uint64)) % np.uint64(255) + np.uint64(1), np.uint64(0)).astype("u1")
+
+
+def estimate(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Jaccard estimates of compressed sketches (last axis: registers), corrected for chance collisions."""
     used = ((a > 0) | (b > 0)).sum(-1)
     equal = ((a == b) & (a > 0)).sum(-1)
-    ratio = np.minimum(na, nb) / np.maximum(np.maximum(na, nb), 1)
-    chance = 0.169919487159739 * 2.0 ** -MANTISSA * 4 * ratio / (1 + ratio) ** 2  # of a register, for large sets
-    return (equal / np.maximum(used, 1) - chance) / (1 - chance)
+    return (equal / np.maximum(used, 1) - 1 / 255) / (1 - 1 / 255)
 
 
 def sketches(docs: DataFrame, n: int) -> DataFrame:
-    """doc_id, n, d1, d2 (digest of the set), bands array<long>."""
+    """doc_id, n, d1, d2 (digest of the set), bands array<long>, sig (the compressed registers, then the low halves of the bands)."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         import xxhash
@@ -110,16 +123,19 @@ def sketches(docs: DataFrame, n: int) -> DataFrame:
             for doc_id, text in zip(frame.doc_id, frame.text, strict=True):
                 h = hashes(words_of(text), n, known)
                 d = np.frombuffer(xxhash.xxh3_128_digest(h.tobytes()), "<i8").tolist()
-                out.append((doc_id, len(h), *d, sketch(h).view("<i8").tolist()))
+                registers = sketch(h)
+                keys = band_keys(registers)
+                out.append((doc_id, len(h), *d, keys.tolist(), compressed(registers).tobytes() + keys.astype("<u4").tobytes()))
                 if len(known) > REMEMBERED:
                     known.clear()
-            yield pd.DataFrame(out, columns=["doc_id", "n", "d1", "d2", "bands"])
+            yield pd.DataFrame(out, columns=["doc_id", "n", "d1", "d2", "bands", "sig"])
 
-    return text_of(docs).mapInPandas(run, "doc_id long, n long, d1 long, d2 long, bands array<long>")
+    return text_of(docs).mapInPandas(run, "doc_id long, n long, d1 long, d2 long, bands array<long>, sig binary")
 
 
-def _registers(bands: pd.Series) -> np.ndarray:
-    return np.array([np.asarray(x, "<i8") for x in bands]).reshape(-1, BANDS).view("<u2")
+def _registers(sig: pd.Series) -> tuple[np.ndarray, np.ndarray]:
+    both = np.frombuffer(b"".join(sig), "u1").reshape(-1, REGISTERS + 4 * BANDS)
+    return both[:, :REGISTERS], np.ascontiguousarray(both[:, REGISTERS:]).view("<u4")
 
 
 def components(edges: DataFrame, labels: DataFrame | None = None) -> DataFrame:
@@ -150,7 +166,7 @@ def verify(pairs: DataFrame, texts: DataFrame, n: int, num: int, den: int) -> Da
 
         def get(key: int, text: str) -> set:
             if key not in sets:
-                if len(sets) >= 64:
+                if len(sets) >= 256:
                     sets.clear()
                 sets[key] = shingles(text, n)
             return sets[key]
@@ -158,7 +174,7 @@ def verify(pairs: DataFrame, texts: DataFrame, n: int, num: int, den: int) -> Da
         for frame in frames:
             out = []
             for a, b, ta, tb in zip(frame.a, frame.b, frame.ta, frame.tb, strict=True):
-                sa, sb = shingles(ta, n), get(b, tb)
+                sa, sb = get(a, ta), get(b, tb)
                 inter = len(sa & sb)
                 if inter and den * inter >= num * (len(sa) + len(sb) - inter):
                     out.append((a, b))
@@ -170,40 +186,53 @@ def verify(pairs: DataFrame, texts: DataFrame, n: int, num: int, den: int) -> Da
 
 
 def _estimated(pairs: DataFrame, classes: DataFrame) -> DataFrame:
-    one = classes.select(F.col("rep").alias("a"), F.col("n").alias("na"), F.col("bands").alias("ba"))
-    two = classes.select(F.col("rep").alias("b"), F.col("n").alias("nb"), F.col("bands").alias("bb"))
+    one, two = classes.select(F.col("rep").alias("a"), F.col("sig").alias("sa")), classes.select(F.col("rep").alias("b"), F.col("sig").alias("sb"))
 
     @F.pandas_udf(T.DoubleType())
-    def est(ba: pd.Series, bb: pd.Series, na: pd.Series, nb: pd.Series) -> pd.Series:
-        return pd.Series(estimate(_registers(ba), _registers(bb), na.to_numpy(), nb.to_numpy()))
+    def est(sa: pd.Series, sb: pd.Series) -> pd.Series:
+        return pd.Series(estimate(_registers(sa)[0], _registers(sb)[0]))
 
     joined = pairs.join(one, "a").join(two, "b")
-    return joined.select("a", "b", est("ba", "bb", "na", "nb").alias("est"))
+    return joined.select("a", "b", est("sa", "sb").alias("est"))
 
 
 def _blocks(members: DataFrame, floor: float, top: int) -> DataFrame:
-    """members: band, v, doc, comp, n, bands, main (the bucket's largest component), size. a, b, est: in each block of a bucket, each
-    outsider's top candidates in each other component."""
+    """members: band, v, doc, comp, sig, main (the bucket's largest component), size. a, b: in each block of a bucket, each
+    outsider's candidates in each other component, all of them or, where top is given, only the likeliest. A pair comes from
+    the first band that it shares."""
     parts = F.ceil(F.col("size") / BLOCK).cast("int")
-    # the bucket's number takes part in the key, so that a hot bucket is many groups
-    own = members.select("band", "v", F.pmod(F.xxhash64("doc"), parts).cast("int").alias("block"), "doc", "comp", "n", "bands", F.lit(False).alias("asks"))
+    own = members.select("band", "v", F.pmod(F.xxhash64("doc"), parts).cast("int").alias("block"), "doc", "comp", "sig", F.lit(False).alias("asks"))
     out = members.where("comp <> main").withColumn("block", F.explode(F.sequence(F.lit(0), parts - 1)))
-    out = out.select("band", "v", "block", "doc", "comp", "n", "bands", F.lit(True).alias("asks"))
+    out = out.select("band", "v", "block", "doc", "comp", "sig", F.lit(True).alias("asks"))
 
     def run(frame: pd.DataFrame) -> pd.DataFrame:
-        ask, own_ = frame[frame.asks], frame[~frame.asks]
-        got: list[pd.DataFrame] = []
-        if len(ask) and len(own_):
-            reg, n, doc, comp = _registers(own_.bands), own_.n.to_numpy(), own_.doc.to_numpy(), own_.comp.to_numpy()
-            for d, c, m, r in zip(ask.doc, ask.comp, ask.n, _registers(ask.bands), strict=True):
-                e = estimate(reg, r[None], n, np.full(len(n), m))
-                at = np.flatnonzero((e >= floor) & (comp != c))
-                if len(at):
-                    x = pd.DataFrame({"a": d, "b": doc[at], "est": e[at], "comp": comp[at]}).sort_values(["est", "b"], ascending=[False, True])
-                    got.append(x.groupby("comp").head(top)[["a", "b", "est"]])
-        return pd.concat(got) if got else pd.DataFrame({"a": [], "b": [], "est": []}).astype({"a": "int64", "b": "int64"})
-
-    return own.unionByName(out).groupBy("band", "v", "block").applyInPandas(run, "a long, b long, est double")
+        asks = frame.asks.to_numpy()
+        got_a, got_b = [], []
+        if asks.any() and not asks.all():
+            (reg, keys), doc, comp = _registers(frame.sig), frame.doc.to_numpy(), frame.comp.to_numpy()
+            own_reg, own_keys, own_doc, own_comp = reg[~asks], keys[~asks], doc[~asks], comp[~asks]
+            band = int(frame.band.iloc[0])
+            for i in np.flatnonzero(asks):
+                at = np.flatnonzero(own_comp != comp[i])
+                e = estimate(own_reg[at], reg[i][None])
+                at, e = at[e >= floor], e[e >= floor]
+                same = (own_keys[at] == keys[i]) & (keys[i] != 0)
+                first = same.argmax(1) == band
+                at, e = at[first], e[first]
+                if top and len(at):
+                    order = np.lexsort((own_doc[at], -e, own_comp[at]))
+                    at = at[order]
+                    c = own_comp[at]
+                    starts = np.flatnonzero(np.append(True, c[1:] != c[:-1]))
+                    rank = np.arange(len(at)) - np.repeat(starts, np.diff(np.append(starts, len(at))))
+                    at = at[rank < top]
+                got_a.append(np.full(len(at), doc[i]))
+                got_b.append(own_doc[at])
+        none = np.zeros(0, "int64")
+        return pd.DataFrame({"a": np.concatenate([none, *got_a]), "b": np.concatenate([none, *got_b])})
+
+    pairs = own.unionByName(out).groupBy("band", "v", "block").applyInPandas(run, "a long, b long")
+    return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
 
 
 def _few(members: DataFrame, classes: DataFrame, floor: float) -> DataFrame:
@@ -211,7 +240,7 @@ def _few(members: DataFrame, classes: DataFrame, floor: float) -> DataFrame:
     small = members.where(F.col("size") <= SMALL)
     own = small.select("band", "v", F.col("doc").alias("b"), F.col("comp").alias("cb"))
     out = small.where("comp <> main").select("band", "v", F.col("doc").alias("a"), "comp")
-    pairs = out.join(own, ["band", "v"]).where("comp <> cb").select("a", "b").distinct()
+    pairs = out.join(own, ["band", "v"]).where("comp <> cb").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     return _estimated(pairs, classes).where(F.col("est") >= floor).select("a", "b")
 
 
@@ -219,27 +248,30 @@ def groups(docs: DataFrame, n: int, num: int, den: int) -> DataFrame:
     """doc_id, n_shingles, component_id: one row for each row of docs."""
     floor = num / den - MARGIN
     sketched = scratch(sketches(docs, n), "sketches")
-    classes = sketched.where("n > 0").groupBy("d1", "d2").agg(F.min(F.struct("doc_id", "n", "bands")).alias("m"))
-    classes = scratch(classes.select("d1", "d2", F.col("m.doc_id").alias("rep"), "m.n", "m.bands"), "classes")
+    classes = sketched.where("n > 0").groupBy("d1", "d2").agg(F.min(F.struct("doc_id", "n", "bands", "sig")).alias("m"))
+    classes = scratch(classes.select("d1", "d2", F.col("m.doc_id").alias("rep"), "m.n", "m.bands", "m.sig"), "classes")
     banded = classes.select(F.col("rep").alias("doc"), F.posexplode("bands").alias("band", "v")).where("v <> 0")
     buckets = banded.groupBy("band", "v").agg(F.min(F.struct(F.xxhash64("doc").alias("h"), "doc")).alias("m"), F.count("*").alias("size"))
     buckets = scratch(buckets.where("size > 1").select("band", "v", F.col("m.doc").alias("lead"), "size"), "buckets")
     rows = scratch(banded.join(buckets, ["band", "v"]), "members")  # only those that meet anyone
-    pairs = rows.where("doc <> lead").select(F.col("doc").alias("a"), F.col("lead").alias("b")).distinct()
+    pairs = rows.where("doc <> lead").select(F.least("doc", "lead").alias("a"), F.greatest("doc", "lead").alias("b")).distinct()
     tested = scratch(_estimated(pairs, classes).where(F.col("est") >= floor).select("a", "b"), "tested")
     met = rows.select(F.col("doc").alias("doc_id")).distinct()
     texts = scratch(text_of(docs).join(met, "doc_id", "left_semi"), "texts")
     links = scratch(verify(tested, texts, n, num, den), "verified")
     labels = components(links)
-    top = 2
-    while True:
+    # first the likeliest few, which merge most of what belongs together, then all that is left
+    for top in (2, 0):
         inside = rows.select("band", "v", "doc", "size").join(labels.withColumnRenamed("node", "doc"), "doc", "left")
         inside = inside.withColumn("comp", F.coalesce("comp", "doc"))
         counts = inside.groupBy("band", "v", "comp").agg(F.count("*").alias("c"))
         mixed = counts.groupBy("band", "v").agg(F.max(F.struct("c", "comp")).alias("m"), F.count("*").alias("comps")).where("comps > 1")
         mixed = scratch(mixed.select("band", "v", F.col("m.comp").alias("main")), "mixed")
-        members = inside.join(mixed, ["band", "v"]).join(classes.select(F.col("rep").alias("doc"), "n", "bands"), "doc")
-        asked = _blocks(members.where(F.col("size") > SMALL), floor, top).select("a", "b").union(_few(members, classes, floor)).distinct()
+        members = inside.join(mixed, ["band", "v"]).join(classes.select(F.col("rep").alias("doc"), "sig"), "doc")
+        asked = _blocks(members.where(F.col("size") > SMALL), floor, top)
+        if top:  # small buckets give all their pairs at once
+            asked = asked.union(_few(members, classes, floor))
+        asked = asked.distinct()
         fresh = scratch(asked.join(tested, ["a", "b"], "left_anti"), "fresh")
         if fresh.isEmpty():
             break
@@ -248,7 +280,6 @@ def groups(docs: DataFrame, n: int, num: int, den: int) -> DataFrame:
         if not found.isEmpty():
             links = links.union(found)
             labels = components(links, labels)
-        top *= 8
     per_class = classes.join(labels.select(F.col("node").alias("rep"), "comp"), "rep", "left").select("d1", "d2", F.coalesce("comp", "rep").alias("comp"))
     out = sketched.join(per_class, ["d1", "d2"], "left")
     comp = F.when(F.col("n") > 0, F.col("comp")).otherwise(F.col("doc_id"))

@@ -193,8 +193,8 @@ def test_estimates():
     rng = np.random.default_rng(1)
     a = np.unique(rng.integers(0, 2**63, 3000).astype(np.uint64))
     b = np.unique(np.concatenate([a[:2700], rng.integers(0, 2**63, 300).astype(np.uint64)]))
-    got = neardup.estimate(neardup.sketch(a)[None], neardup.sketch(b), np.array([3000]), np.array([3000]))[0]
-    assert abs(got - 2700 / 3300) < 0.15
+    got = neardup.estimate(neardup.compressed(neardup.sketch(a))[None], neardup.compressed(neardup.sketch(b)))[0]
+    assert abs(got - 2700 / 3300) < neardup.MARGIN
 
 
 # 8: line dedup
