@@ -8,10 +8,11 @@ every suffix would move many times the corpus, so the passes from the most signi
 2. Within a digit, a run's whole bytes are the next digits. A run that an earlier document has as a whole is decided: all
    its windows repeat. Only its first document goes on, so copies, few or many, leave one run. Runs whose digit leads to no
    other run drop out, too: their windows are unique.
+   A byte of hash for either side of the anchor tells most of the runs that merely share the digit.
 3. The remaining runs (borders of repeated passages, mostly) are sorted to full depth, window by window: groups of equal windows
    find their smallest document, and all later documents lose the window's bytes.
 
-Hashes stand for digits and windows: 64 bits for the digit and 64 for a run within it, 128 bits for a window. Passes group with
+Hashes stand for digits and windows: 64 bits for the digit and 64 for a run within it, 80 bits for a window. Passes group with
 partial sums before each exchange, so a passage that a third of all documents share meets as one row a task.
 
 Defined results: matches never cross rows; null and empty texts keep 0 bytes; a text shorter than the window stays whole; rows
@@ -32,7 +33,7 @@ from .common import scratch, text_of
 
 WINDOW, GRAM = 50, 20
 #: Bytes of text that numpy handles at once.
-PART = 2_000_000
+PART, PLACE_BITS = 2_000_000, 21
 _rng = np.random.default_rng(20240607)
 TABLES = _rng.integers(1, 2**63, size=(2, 256), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 BASES = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93))
@@ -44,20 +45,29 @@ def _mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(32))
 
 
+_known_powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+
+
+def _powers(which: int, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The first n powers, or more, of a base and of its inverse; kept by the worker, up to about PART of them."""
+    if which not in _known_powers or len(_known_powers[which][0]) < n:
+        size = max(n, 2 * len(_known_powers[which][0]) if which in _known_powers else 1 << 16)
+        both = []
+        for base in (int(BASES[which]), pow(int(BASES[which]), -1, 1 << 64)):
+            x = np.full(size, base, np.uint64)
+            x[0] = 1
+            both.append(np.cumprod(x, out=x))
+        _known_powers[which] = both[0], both[1]
+    return _known_powers[which]
+
+
 class Rolling:
     """Polynomial hashes of any range of bytes, modulo 2 ** 64, from running sums. Ranges stay far below the lengths at which
     such hashes of contrived strings collide."""
 
     def __init__(self, data: np.ndarray, which: int):
         n = len(data)
-        base = BASES[which]
-        inverse = np.uint64(pow(int(base), -1, 1 << 64))
-        power = np.full(n + 1, base, np.uint64)
-        power[0] = 1
-        self.back = np.full(n + 1, inverse, np.uint64)
-        self.back[0] = 1
-        np.cumprod(power, out=power)
-        np.cumprod(self.back, out=self.back)
+        power, self.back = _powers(which, n + 1)
         self.sums = np.zeros(n + 1, np.uint64)
         np.cumsum(TABLES[which][data] * power[:n], out=self.sums[1:])
 
@@ -66,25 +76,26 @@ class Rolling:
 
 
 def leftmost_minima(values: np.ndarray, width: int) -> np.ndarray:
-    """For each window of width values, the place of its least one, the leftmost on ties."""
+    """For each window of width values, the place of its least one by the high bits, the leftmost on ties. The low bits hold the
+    place, so one minimum finds both."""
     n = len(values) - width + 1
-    best, at, reach = values, np.arange(len(values)), 1
+    low = np.uint64((1 << PLACE_BITS) - 1)
+    best, reach = (values & ~low) | np.arange(len(values), dtype=np.uint64), 1
     while reach < width:
         step = min(reach, width - reach)
-        size = len(best) - step
-        right = best[step:] < best[:size]
-        at = np.where(right, at[step:], at[:size])
-        best = np.where(right, best[step:], best[:size])
+        best = np.minimum(best[: len(best) - step], best[step:])
         reach += step
-    return at[:n]
+    return (best[:n] & low).astype(np.int64)
 
 
-def runs(data: bytes, window: int, gram: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(digit, whole, first, last): hash of the anchor, hash of the run's bytes, its first and last window's start."""
+def runs(data: bytes, window: int, gram: int) -> tuple[np.ndarray, ...]:
+    """(digit, whole, first, last, anchor, left, right): hash of the anchor, hash of the run's bytes, its first and last window's
+    start, the anchor's place, and a byte of hash of the `side` bytes on either side of the anchor, 0 where no window of the run has
+    that many there."""
     n = len(data) - window + 1
     if n <= 0:
-        e = np.zeros(0, np.uint64)
-        return e, e, np.zeros(0, np.int64), np.zeros(0, np.int64)
+        none = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, "u1")
+        return none[0], none[0], none[1], none[1], none[1], none[2], none[2]
     raw = np.frombuffer(data, np.uint8)
     got = []
     for start in range(0, n, PART):  # parts overlap, and a run that crosses a border is found from both and merged below
@@ -97,14 +108,21 @@ def runs(data: bytes, window: int, gram: int) -> tuple[np.ndarray, np.ndarray, n
         got.append((digits[at[first]], at[first] + start, first + start))
     digit, anchor, first = (np.concatenate(x) for x in zip(*got, strict=True))
     keep = np.diff(anchor, prepend=-1) != 0
-    digit, first = digit[keep], first[keep]
+    digit, first, anchor = digit[keep], first[keep], anchor[keep]
     last = np.append(first[1:], n) - 1
-    whole = np.empty(len(first), np.uint64)
+    side = (window - gram) // 2
+    whole, left, right = np.empty(len(first), np.uint64), np.zeros(len(first), "u1"), np.zeros(len(first), "u1")
+    has_left, has_right = anchor - first >= side, anchor - last <= window - gram - side
+    byte = lambda h: (h % np.uint64(255)).astype("u1") + np.uint8(1)
     for start in range(0, n, PART):
         here = (first >= start) & (first < start + PART)
-        part = raw[start : min(len(raw), start + PART + 2 * window)]
-        whole[here] = Rolling(part, 1).of(first[here] - start, last[here] + window - start)
-    return digit, whole, first, last
+        roll = Rolling(raw[start : min(len(raw), start + PART + 2 * window)], 1)
+        whole[here] = roll.of(first[here] - start, last[here] + window - start)
+        at = anchor[here & has_left] - start
+        left[here & has_left] = byte(roll.of(at - side, at))
+        at = anchor[here & has_right] - start + gram
+        right[here & has_right] = byte(roll.of(at, at + side))
+    return digit, whole, first, last, anchor, left, right
 
 
 def pack(bucket: np.ndarray, docs: np.ndarray, columns: list[np.ndarray]) -> Iterator[tuple[int, bytes]]:
@@ -153,8 +171,8 @@ def covered(spans: np.ndarray, n: int) -> np.ndarray:
     return np.stack([spans[at, 0], np.append(reach[at[1:] - 1], reach[-1])], 1)
 
 
-#: Columns of a run: low digit bits, hash of the whole run in two parts; of a window: two hashes; of an answer: id of the run or window.
-RUN, SPOT, ANSWER = ("<u4", "<u4", "<u1"), ("<u8", "<u4"), ("<u8",)
+#: Columns of a run: low digit bits, hash of the whole run in two parts, bytes for its sides; of a window: two hashes; of an answer: id of the run or window.
+RUN, SPOT, ANSWER = ("<u4", "<u4", "u1", "u1", "u1"), ("<u8", "<u2"), ("<u8",)
 #: Bytes of text for each bucket, and those that a task gathers before it deals out.
 BUCKET, GATHER = 4_000_000, 24_000_000
 LOW32 = np.uint64(0xFFFFFFFF)
@@ -190,7 +208,7 @@ def plan(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, spans (binary, pairs of little-endian longs: start, end of every removed run), kept_sha256."""
     rows = text_of(docs)
     total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    parts = max(64, -(-int(total) // BUCKET))
+    parts, side = max(64, -(-int(total) // BUCKET)), (window - gram) // 2
 
     def gathered(frames: Iterator[pd.DataFrame]) -> Iterator[tuple[list[int], list[bytes]]]:
         ids, texts, size = [], [], 0
@@ -208,39 +226,40 @@ def plan(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
     def first_pass(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         """Kind 0: one row for each run that differs, with its smallest document here; kind 1: answers that this part knows already."""
         for ids, texts in gathered(frames):
-            found = [runs(t, window, gram)[:2] for t in texts]
+            found = [[x for i, x in enumerate(runs(t, window, gram)) if i in (0, 1, 5, 6)] for t in texts]
             doc = np.repeat(np.array(ids, "<i8"), [len(x[0]) for x in found])
-            digit, whole = (np.concatenate([x[i] for x in found]) for i in (0, 1))
+            digit, whole, left, right = (np.concatenate([x[i] for x in found]) for i in range(4))
             del found
             order, start = _owners(doc, digit, whole)
-            doc, digit, whole = doc[order], digit[order], whole[order]
+            doc, digit, whole, left, right = doc[order], digit[order], whole[order], left[order], right[order]
             late = doc > doc[start]
             own = start == np.arange(len(doc))
             bucket = ((digit >> S32) % np.uint64(parts)).astype(np.int64)
             high = (whole >> S32).astype("<u1")
-            for key, blob in pack(bucket[own], doc[own], [digit[own].astype("<u4"), whole[own].astype("<u4"), high[own]]):
+            for key, blob in pack(bucket[own], doc[own], [digit[own].astype("<u4"), whole[own].astype("<u4"), high[own], left[own], right[own]]):
                 yield _frame([(0, key, blob)], ["kind", "key", "blob"])
             for key, blob in pack(_home(doc[late], parts), doc[late], [_run_id(digit[late], whole[late])]):
                 yield _frame([(1, key, blob)], ["kind", "key", "blob"])
 
     def second_pass(frame: pd.DataFrame) -> pd.DataFrame:
-        """Answers, kind 1: runs that an earlier document has as a whole; kind 2: runs to be sorted on, window by window."""
+        """Answers, kind 1: runs that an earlier document has as a whole; kinds 2 and 3: runs to be sorted on, window by window, because
+        another document's run agrees on the left or on the right of the anchor. Of the bytes of a window beside the anchor, half at
+        least lie on one side, so runs that agree on neither side share no window."""
         if frame.kind.iloc[0] == 1:
             return frame
-        doc, digit, whole, high = unpack(frame.blob, RUN)
+        doc, digit, whole, high, left, right = unpack(frame.blob, RUN)
         order, start = _owners(doc, digit, whole, high)
-        doc, digit, whole = doc[order], digit[order], whole[order]
+        doc, digit, whole, left, right = doc[order], digit[order], whole[order], left[order], right[order]
         late = doc > doc[start]
         out = [(1, k, b) for k, b in pack(_home(doc[late], parts), doc[late], [_run_id(digit[late].astype(np.uint64), whole[late].astype(np.uint64))])]
         own = start == np.arange(len(doc))  # one run of a kind goes on
-        doc, digit, whole = doc[own], digit[own], whole[own]
-        order, start = _owners(doc, digit)
-        doc, digit, whole = doc[order], digit[order], whole[order]
-        again = np.zeros(len(doc) + 1, bool)
-        differs = doc != doc[start]
-        again[start[differs]] = True
-        on = again[start]
-        out += [(2, k, b) for k, b in pack(_home(doc[on], parts), doc[on], [_run_id(digit[on].astype(np.uint64), whole[on].astype(np.uint64))])]
+        doc, digit, whole, left, right = doc[own], digit[own], whole[own], left[own], right[own]
+        for kind, side in ((2, left), (3, right)):
+            order, start = _owners(doc, digit, side)
+            several = np.zeros(len(doc), bool)
+            several[start[doc[order] != doc[order][start]]] = True
+            on = order[several[start] & (side[order] > 0)]
+            out += [(kind, k, b) for k, b in pack(_home(doc[on], parts), doc[on], [_run_id(digit[on].astype(np.uint64), whole[on].astype(np.uint64))])]
         return _frame(out, ["kind", "key", "blob"]).astype({"kind": "int32", "key": "int64"})
 
     def texts_home(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -286,39 +305,69 @@ def plan(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
     out_columns = ["doc_id", "n_bytes", "n_removed", "n_spans", "spans", "kept_sha256"]
 
     def third_pass(texts: pd.DataFrame, answers: pd.DataFrame) -> pd.DataFrame:
-        """Documents with nothing pending are done. The others wait, with their spans and text, for the windows that they send off."""
-        import zstandard
-
-        home = int(texts.key.iloc[0]) if len(texts) else 0
-        whole_runs, pending = by_doc(answers.blob[answers.kind == 1]), by_doc(answers.blob[answers.kind == 2])
-        none, out = np.zeros(0, np.uint64), []
-        spots: list[list[np.ndarray]] = []
-        squeeze = zstandard.ZstdCompressor(level=3).compress
+        """Documents with nothing pending are done. The others wait in one blob, with their spans so far and the runs of windows in
+        question. Each window that differs goes off once from here, for its smallest document; the later ones here know already."""
+        whole_runs, on_left, on_right = (by_doc(answers.blob[answers.kind == k]) for k in (1, 2, 3))
+        none, out, waiting = np.zeros(0, np.uint64), [], []
+        spots: list[tuple[np.ndarray, ...]] = []
         for doc, text in unfold(texts.blob):
-            known, open_ = whole_runs.get(doc, none), pending.get(doc, none)
+            known, by_left, by_right = whole_runs.get(doc, none), on_left.get(doc, none), on_right.get(doc, none)
             spans = np.zeros((0, 2), np.int64)
-            if len(known) or len(open_):
-                digit, whole, first, last = runs(text, window, gram)
+            if len(known) or len(by_left) or len(by_right):
+                digit, whole, first, last, anchor, *_ = runs(text, window, gram)
                 ids = _run_id(digit, whole)
                 at = np.isin(ids, known)
                 spans = covered(np.stack([first[at], last[at] + window], 1), len(text))
-            if len(open_):
-                at = np.isin(ids, open_) & ~at
-                starts = _starts(first[at], last[at])
-                h1, h2 = _spots(text, starts, window)
-                spots.append([np.full(len(starts), doc, "<i8"), h1, h2])
-                out.append((1, doc, len(text), 0, 0, spans.astype("<i8").tobytes() + starts.astype("<i8").tobytes(), "", len(spans), squeeze(text), home))
+            begin = end = np.zeros(0, np.int64)
+            if len(by_left) or len(by_right):
+                from_left, from_right = np.isin(ids, by_left), np.isin(ids, by_right)
+                # windows with more than `side` bytes on the left of the anchor need agreement there, all others on the right
+                begin = np.where(from_left, first, np.maximum(first, anchor - side + 1))
+                end = np.where(from_right, last, np.minimum(last, anchor - (window - gram - side) - 1))
+                at = (from_left | from_right) & ~at & (begin <= end)
+                begin, end = begin[at], end[at]
+            if len(begin):
+                starts = _starts(begin, end)
+                spots.append((np.full(len(starts), doc, "<i8"), np.full(len(starts), len(waiting)), starts, *_spots(text, starts, window)))
+                waiting.append([doc, text, spans, covered(np.stack([begin, end + 1], 1), len(text))])
             else:
-                out.append((0, *done(doc, text, spans), 0, b"", home))
-        if spots:
-            doc, h1, h2 = (np.concatenate(x) for x in zip(*spots, strict=True))
+                out.append((0, *done(doc, text, spans)))
+        home = int(texts.key.iloc[0]) if len(texts) else 0
+        if waiting:
+            doc, place, begin, h1, h2 = (np.concatenate(x) for x in zip(*spots, strict=True))
             order, start = _owners(doc, h1, h2)
-            doc, h1, h2 = doc[order], h1[order], h2[order]
-            new = np.append(True, (doc[1:] != doc[:-1]) | (start[1:] != start[:-1]))  # one row for each document and window
-            doc, h1, h2 = doc[new], h1[new], h2[new]
-            for key, blob in pack((h1 % np.uint64(parts)).astype(np.int64), doc, [h1, h2]):
-                out.append((2, key, 0, 0, 0, blob, "", 0, b"", home))
-        return _frame(out, ["kind", *out_columns, "n_whole", "text", "home"]).astype({"kind": "int32", "n_whole": "int64"})
+            doc, place, begin, h1, h2 = doc[order], place[order], begin[order], h1[order], h2[order]
+            late = doc > doc[start]
+            by_place = np.argsort(place[late], kind="stable")
+            hits = np.split(begin[late][by_place], np.cumsum(np.bincount(place[late], minlength=len(waiting)))[:-1])
+            for w, hit in zip(waiting, hits, strict=True):
+                w[2] = covered(np.concatenate([w[2], np.stack([hit, hit + window], 1)]), len(w[1]))
+            own = start == np.arange(len(doc))
+            doc, h1, h2 = doc[own], h1[own], h2[own]
+            out.append((1, home, 0, 0, 0, fold(waiting), ""))
+            out += [(2, key, 0, 0, 0, blob, "") for key, blob in pack((h1 % np.uint64(parts)).astype(np.int64), doc, [h1, h2])]
+        return _frame(out, ["kind", *out_columns]).astype({"kind": "int32"})
+
+    def fold(waiting: list[list]) -> bytes:
+        import zstandard
+
+        numbers = [np.array([w[0] for w in waiting]), *(np.array([len(w[i]) for w in waiting]) for i in (1, 2, 3)), *(np.diff(w[i].ravel(), prepend=0) for w in waiting for i in (2, 3))]
+        squeeze = zstandard.ZstdCompressor(level=3).compress
+        packed = squeeze(np.concatenate(numbers).astype("<i8").tobytes())
+        return struct.pack("<II", len(waiting), len(packed)) + packed + squeeze(b"".join(w[1] for w in waiting))
+
+    def unfolded(blob: bytes) -> Iterator[tuple[int, bytes, np.ndarray, np.ndarray]]:
+        import zstandard
+
+        n, size = struct.unpack_from("<II", blob)
+        expand = zstandard.ZstdDecompressor().decompress
+        numbers, texts = np.frombuffer(expand(blob[8 : 8 + size]), "<i8"), expand(blob[8 + size :])
+        ids, lengths, n_spans, n_open = numbers[: 4 * n].reshape(4, n).tolist()
+        at, place = 4 * n, 0
+        for doc, length, a, b in zip(ids, lengths, n_spans, n_open, strict=True):
+            spans, open_ = np.cumsum(numbers[at : at + 2 * a]).reshape(-1, 2), np.cumsum(numbers[at + 2 * a : at + 2 * (a + b)]).reshape(-1, 2)
+            yield doc, texts[place : place + length], spans, open_
+            at, place = at + 2 * (a + b), place + length
 
     def fourth_pass(frame: pd.DataFrame) -> pd.DataFrame:
         """Groups of equal windows: all but the smallest document lose them."""
@@ -329,27 +378,26 @@ def plan(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
         return _frame(list(pack(_home(doc[rows_], parts), doc[rows_], [h1[rows_]])), ["key", "blob"]).astype({"key": "int64"})
 
     def last_pass(waiting: pd.DataFrame, answers: pd.DataFrame) -> pd.DataFrame:
-        import zstandard
-
         found, none, out = by_doc(answers.blob), np.zeros(0, np.uint64), []
-        for row in waiting.itertuples(index=False):
-            text = zstandard.ZstdDecompressor().decompress(row.text)
-            numbers = np.frombuffer(row.spans, "<i8")
-            spans, starts = numbers[: 2 * row.n_whole].reshape(-1, 2), numbers[2 * row.n_whole :]
-            h1, _ = _spots(text, starts, window)
-            hit = starts[np.isin(h1, found.get(row.doc_id, none))]
-            out.append(done(row.doc_id, text, np.concatenate([spans, np.stack([hit, hit + window], 1)])))
+        for blob in waiting.spans:
+            for doc, text, spans, open_ in unfolded(blob):
+                known = found.get(doc, none)
+                if len(known):
+                    starts = _starts(open_[:, 0], open_[:, 1] - 1)
+                    hit = starts[np.isin(_spots(text, starts, window)[0], known)]
+                    spans = np.concatenate([spans, np.stack([hit, hit + window], 1)])
+                out.append(done(doc, text, spans))
         return _frame(out, out_columns)
 
     blobs, out_schema = "key long, blob binary", "doc_id long, n_bytes long, n_removed long, n_spans long, spans binary, kept_sha256 string"
     dealt = rows.mapInPandas(first_pass, "kind int, " + blobs)
     answers = scratch(dealt.groupBy("kind", "key").applyInPandas(second_pass, "kind int, " + blobs), "answers")
     homes = rows.mapInPandas(texts_home, blobs)
-    half = homes.groupBy("key").cogroup(answers.groupBy("key")).applyInPandas(third_pass, f"kind int, {out_schema}, n_whole long, text binary, home long")
+    half = homes.groupBy("key").cogroup(answers.groupBy("key")).applyInPandas(third_pass, f"kind int, {out_schema}")
     half = scratch(half, "halfway")
     sent = half.where("kind = 2").select(F.col("doc_id").alias("key"), F.col("spans").alias("blob"))
     replies = sent.groupBy("key").applyInPandas(fourth_pass, blobs)
-    waiting = half.where("kind = 1").select(*out_columns, "n_whole", "text", "home")
+    waiting = half.where("kind = 1").select(F.col("doc_id").alias("home"), "spans")
     last = waiting.groupBy("home").cogroup(replies.groupBy("key")).applyInPandas(last_pass, out_schema)
     return half.where("kind = 0").select(*out_columns).unionByName(last)
 
@@ -361,11 +409,11 @@ def _starts(first: np.ndarray, last: np.ndarray) -> np.ndarray:
 
 def _spots(text: bytes, starts: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]:
     """Two hashes of the windows that start there."""
-    h1, h2 = np.empty(len(starts), np.uint64), np.empty(len(starts), "<u4")
+    h1, h2 = np.empty(len(starts), np.uint64), np.empty(len(starts), "<u2")
     raw = np.frombuffer(text, np.uint8)
     for begin in range(0, max(1, len(raw)), PART):
         here = (starts >= begin) & (starts < begin + PART)
         if here.any():
             part, at = raw[begin : begin + PART + window], starts[here] - begin
-            h1[here], h2[here] = Rolling(part, 0).of(at, at + window), Rolling(part, 1).of(at, at + window) & LOW32
+            h1[here], h2[here] = Rolling(part, 0).of(at, at + window), (Rolling(part, 1).of(at, at + window) & np.uint64(0xFFFF)).astype("<u2")
     return h1, h2
