@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from sparkloom.operators import cases, matching as M
-from sparkloom.plans.retrieval import dot, knn, query_side
+from sparkloom.plans.retrieval import QUERY_EVERY, clamped_cosines, knn, pairwise, query_side
 from sparkloom.sources.tables import table
 
 #: Stated queries.
@@ -90,27 +90,34 @@ def _hits(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def primary_supporting_split(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _hits(spark, sf_dir).withColumn("intent", F.element_at(F.array(*[F.lit(x) for x in ("judgment", "definition", "general", "council", "procedure")]), (F.col("query_id") + 1).cast("int")))
+    rows = _hits(spark, sf_dir).withColumn("intent", F.element_at(F.array(*[F.lit(x) for x in ("judgment", "definition", "general", "council", "procedure")]), (F.floor(F.col("query_id") / QUERY_EVERY) % 5 + 1).cast("int")))
     out = M.split_primary(rows.select("query_id", "rank", "intent", F.col("kind").alias("chunk_type"), (F.col("vec_id") % 17 == 0).alias("complete"), "vec_id"))
     return out.select("query_id", "rank", "vec_id", "primary")
 
 
 def cosine_clamp(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = table(spark, sf_dir, "embeddings")
-    rows = vectors.join(F.broadcast(query_side(vectors)))
-    cosine = dot(F.col("q"), F.col("embedding")) / F.sqrt(dot(F.col("q"), F.col("q")) * dot(F.col("embedding"), F.col("embedding")))
-    return rows.select("query_id", "vec_id", F.round(F.greatest(F.lit(0.3), F.least(F.lit(1.0), cosine)), 6).alias("score"))
+    return pairwise(vectors, query_side(vectors), clamped_cosines, "score").withColumn("score", F.round("score", 6))
+
+
+def fused(vectors: DataFrame, most: int = 25) -> DataFrame:
+    """All exact hits of a query have one score and stage and are ranked by vec_id, so no more than the first `most` of a label can be among its best."""
+    vectors = vectors.select("vec_id", "embedding", "label")
+    want = query_side(vectors).join(vectors.select(F.col("vec_id").alias("query_id"), F.col("label").alias("want")), "query_id").select("query_id", "want")
+    labels = vectors.select("label", "vec_id").distinct()
+    heads = labels.withColumn("n", F.row_number().over(Window.partitionBy("label").orderBy("vec_id"))).where(F.col("n") <= most)
+    first = heads.join(want, F.col("label") == F.col("want")).select("query_id", "vec_id", F.lit(0.95).alias("score"), F.lit(0).alias("stage"))
+    near = knn(vectors, query_side(vectors)).join(want, "query_id").join(labels, "vec_id")
+    same = F.coalesce(F.col("label") == F.col("want"), F.lit(False))
+    near = near.select("query_id", "vec_id", F.when(same, 0.95).otherwise(F.col("score")).alias("score"), F.when(same, 0).otherwise(1).alias("stage"))
+    one = first.unionByName(near).groupBy("query_id", "vec_id").agg(F.min(F.struct("stage", "score")).alias("m"))
+    ranked = one.select("query_id", "vec_id", F.round("m.score", 6).alias("score"), "m.stage").withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "stage", "vec_id")))
+    return ranked.where(F.col("rank") <= most)
 
 
 def score_fusion_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Stages in order: exact hits (0.95), then neighbours by similarity; the first stage of a vector counts; the best 25 of each query."""
-    vectors = table(spark, sf_dir, "embeddings").select("vec_id", "embedding", "label")
-    exact = F.broadcast(query_side(vectors).join(F.broadcast(vectors.where("vec_id < 5").select(F.col("vec_id").alias("query_id"), F.col("label").alias("want"))), "query_id").select("query_id", "want"))
-    first = vectors.where(F.col("vec_id") % 10 == 3).join(exact, F.col("label") == F.col("want")).select("query_id", "vec_id", F.lit(0.95).alias("score"), F.lit(0).alias("stage"))
-    near = knn(vectors, query_side(vectors)).select("query_id", "vec_id", "score", F.lit(1).alias("stage"))
-    one = first.unionByName(near).groupBy("query_id", "vec_id").agg(F.min(F.struct("stage", "score")).alias("m"))
-    ranked = one.select("query_id", "vec_id", F.round("m.score", 6).alias("score"), "m.stage").withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "stage", "vec_id")))
-    return ranked.where(F.col("rank") <= 25)
+    return fused(table(spark, sf_dir, "embeddings"))
 
 
 def hierarchy_banding(spark: SparkSession, sf_dir: str) -> DataFrame:
