@@ -37,8 +37,11 @@ def pack_sections_1100(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def pack_overlap_2000(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "documents").where(F.length("text") > 2000)
-    chunks = T.packed_overlapping(T.sentences(F.col("text")), F.lit(2000) - F.length("source") - 10)
+    """Sources stand for questions. A text that fits beside its question and the signs between them is one chunk, as it is."""
+    rows = table(spark, sf_dir, "documents")
+    question = F.length(F.coalesce("source", F.lit("")))
+    chunks = T.packed_overlapping(T.sentences(F.col("text")), F.lit(2000) - question - 10)
+    chunks = F.when(question + F.length("text") + F.length(F.lit("Q: \n\nA: ")) <= 2000, F.array("text")).otherwise(chunks)
     return rows.select("doc_id", F.posexplode(chunks).alias("chunk_no", "chunk"))
 
 

@@ -1,5 +1,7 @@
 """Queries over the whole job, where the catalogue's SQL takes less of it."""
 
+import re
+
 import duckdb
 import pytest
 
@@ -28,3 +30,30 @@ def test_every_twentieth_vector_is_a_query(spark, monkeypatch, name):
     for i in (0, 1, 4):
         sql = sql.replace(f"(query_id = {i} AND", f"(query_id // 20 % 5 = {i} AND")
     same(spark, name, sql)
+
+
+def chunked(question, answer, most=2000, overlap=200):
+    if len(f"Q: {question}\n\nA: {answer}") <= most:
+        return [answer]
+    out, current = [], ""
+    for sentence in (s for s in re.split(r"(?<=[.!?])\s+", answer.strip()) if s):
+        test = current + " " + sentence if current else sentence
+        if len(test) + len(question) + 10 <= most:
+            current = test
+        elif current:
+            out.append(current.strip())
+            current = current[-overlap:] + " " + sentence
+        else:
+            out.append(sentence.strip())
+    return [*out, current.strip()] if current else out
+
+
+def test_short_documents_are_chunks(spark, tmp_path):
+    """pack_overlap_2000 against brute force, over the table and at the lengths where a text just fits."""
+    made = [(1, "", "s"), (2, " a short one. ", None), *((i, "x" * 600 + ". " + "y" * (i - 602), "four") for i in range(1985, 2003))]
+    spark.createDataFrame(made, "doc_id long, text string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    for d in (DATA, str(tmp_path)):
+        rows = spark.read.parquet(f"{d}/documents.parquet").select("doc_id", "source", "text").where("text is not null").collect()
+        got = sorted(tuple(r) for r in catalog.QUERIES["pack_overlap_2000"](spark, d).select("doc_id", "chunk_no", "chunk").collect())
+        assert got == sorted((r["doc_id"], i, c) for r in rows for i, c in enumerate(chunked(r["source"] or "", r["text"])))
+        assert {g[0] for g in got} == {r["doc_id"] for r in rows}
