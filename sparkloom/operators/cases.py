@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, functions as F
 
 ISSUE = "struct<id:int,text:string,reply:string,status:string>"
@@ -54,3 +55,33 @@ def without_doubles(texts: Column, least: float = 0.85) -> Column:
         return F.contains(a, b) | F.contains(b, a) | ((short > 0) & (equal / F.greatest(short, F.lit(1)) > least))
 
     return F.aggregate(texts, F.array().cast("array<string>"), lambda acc, t: F.when(F.exists(acc, lambda k: alike(F.lower(k), F.lower(t))), acc).otherwise(F.concat(acc, F.array(t))))
+
+
+def first_of_alike(texts: list[str], least: float = 0.85, width: int = 64) -> list[str]:
+    """Like without_doubles for long lists, with blanks squeezed; a blank text is like no other. The first `width` characters of all that
+    were kept are compared at once, and only texts whose differences there leave it open are compared to their ends."""
+    out, seen, joined = [], [], ""
+    heads, sizes = np.full((16, width), -1, np.int32), np.zeros(16, np.int64)
+    codes = lambda t: np.frombuffer(t.encode("utf-32-le", "surrogatepass"), np.int32)
+    for text in texts:
+        t = " ".join(text.lower().split())
+        n = len(seen)
+        if t and n:
+            if t in joined or any(s in t for s in seen):
+                continue
+            own = codes(t)
+            shared = np.minimum(sizes[:n], len(own))
+            first = own[:width]
+            equal = (heads[:n, : len(first)] == first).sum(1)
+            near = np.flatnonzero(np.minimum(shared, width) - equal <= (1 - least) * shared + 1e-6)
+            if any((codes(seen[i])[: shared[i]] == own[: shared[i]]).sum() / shared[i] > least for i in near):
+                continue
+        out.append(text)
+        if t:
+            if n == len(sizes):
+                heads, sizes = np.vstack([heads, np.full_like(heads, -1)]), np.concatenate([sizes, np.zeros_like(sizes)])
+            own = codes(t)
+            heads[n, : min(len(own), width)], sizes[n] = own[:width], len(own)
+            seen.append(t)
+            joined += t + "\n"
+    return out

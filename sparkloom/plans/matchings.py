@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from sparkloom.operators import cases, matching as M
@@ -154,8 +157,14 @@ def unseen_only(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def issue_dedupe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    texts = F.slice(F.filter(F.split("text", "\n"), lambda x: x != ""), 1, 12)
-    return table(spark, sf_dir, "benchmark").select("item_id", F.size(cases.without_doubles(F.concat(texts, texts))).alias("kept"))
+    """How many of a document's lines stay, each compared with all that stay before it."""
+
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            kept = [len(cases.first_of_alike([x for x in (t or "").split("\n") if x])) for t in batch["text"].to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch["doc_id"], pa.array(kept, pa.int32())], ["doc_id", "kept"])
+
+    return table(spark, sf_dir, "documents").select("doc_id", "text").mapInArrow(counted, "doc_id long, kept int")
 
 
 def _issues(rows: DataFrame) -> DataFrame:

@@ -118,10 +118,10 @@ def cross_refs(spark: SparkSession, sf_dir: str) -> DataFrame:
 def keywords_topn(spark: SparkSession, sf_dir: str, n: int = TOP_WORDS) -> DataFrame:
     """Most frequent words and pairs of words, stop words out before pairing; ties by term."""
     words = F.filter(F.regexp_extract_all(F.lower("text"), F.lit(r"(?U)\b\w\w+\b"), F.lit(0)), lambda w: ~w.isin(*STOP))
-    rows = table(spark, sf_dir, "benchmark").select("item_id", words.alias("w"))
+    rows = table(spark, sf_dir, "documents").select("doc_id", words.alias("w"))
     pairs = F.zip_with(F.slice("w", 1, F.greatest(F.size("w") - 1, F.lit(0))), F.slice("w", 2, F.greatest(F.size("w") - 1, F.lit(0))), lambda a, b: F.concat(a, F.lit(" "), b))
-    counted = rows.select("item_id", F.explode(F.concat("w", pairs)).alias("term")).groupBy("item_id", "term").agg(F.count("*").alias("times"))
-    ranked = counted.withColumn("rank", F.row_number().over(Window.partitionBy("item_id").orderBy(F.desc("times"), "term")))
+    counted = rows.select("doc_id", F.explode(F.concat("w", pairs)).alias("term")).groupBy("doc_id", "term").agg(F.count("*").alias("times"))
+    ranked = counted.withColumn("rank", F.row_number().over(Window.partitionBy("doc_id").orderBy(F.desc("times"), "term")))
     return ranked.where(F.col("rank") <= n)
 
 
@@ -152,7 +152,7 @@ def html_to_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def fixed_slices(spark: SparkSession, sf_dir: str, n: int = 200) -> DataFrame:
-    return table(spark, sf_dir, "benchmark").select("item_id", F.posexplode(T.slices(F.col("text"), n)).alias("slice_no", "slice"))
+    return table(spark, sf_dir, "documents").select("doc_id", F.posexplode(T.slices(F.col("text"), n)).alias("slice_no", "slice"))
 
 
 def two_halves(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,11 +1,14 @@
 """Queries over the whole job, where the catalogue's SQL takes less of it."""
 
+import random
 import re
+from collections import Counter
 
 import duckdb
 import pytest
 
-from sparkloom.plans import catalog, retrieval
+from sparkloom.operators import cases
+from sparkloom.plans import catalog, retrieval, texts
 from tests.test_oracles import DATA, TABLES, plain
 
 
@@ -57,3 +60,40 @@ def test_short_documents_are_chunks(spark, tmp_path):
         got = sorted(tuple(r) for r in catalog.QUERIES["pack_overlap_2000"](spark, d).select("doc_id", "chunk_no", "chunk").collect())
         assert got == sorted((r["doc_id"], i, c) for r in rows for i, c in enumerate(chunked(r["source"] or "", r["text"])))
         assert {g[0] for g in got} == {r["doc_id"] for r in rows}
+
+
+def unlike(issues):
+    """The reference's rule, place by place."""
+    seen, unique = [], []
+    for issue in issues:
+        x = re.sub(r"\s+", " ", issue.lower().strip())
+        if not any(min(len(x), len(s)) and (x in s or s in x or sum(a == b for a, b in zip(x, s)) / min(len(x), len(s)) > 0.85) for s in seen):
+            seen.append(x)
+            unique.append(issue)
+    return unique
+
+
+def documents(spark):
+    return spark.read.parquet(f"{DATA}/documents.parquet").select("doc_id", "text").collect()
+
+
+def test_issue_dedupe_compares_all_lines(spark):
+    rng = random.Random(4)
+    base = ["".join(rng.choice("ab ") for _ in range(rng.choice((5, 20, 64, 65, 200)))) for _ in range(40)]
+    made = [*base, *("".join(c if rng.random() > share else "z" for c in b) for b in base for share in (0.1, 0.15, 0.2)), "  ", " ", "É x", "é  X", "\U0001f600 smile and some", "\U0001f600 smile and same"]
+    rng.shuffle(made)
+    assert cases.first_of_alike(made) == unlike(made) and 12 < len(unlike(made)) < len(made)
+    rows = documents(spark)
+    want = {r["doc_id"]: len(unlike([x for x in r["text"].split("\n") if x])) for r in rows}
+    assert {r["doc_id"]: r["kept"] for r in catalog.QUERIES["issue_dedupe"](spark, DATA).collect()} == want and max(want.values()) > 12
+
+
+def test_keywords_and_slices_of_documents(spark):
+    words, slices = [], []
+    for r in documents(spark):
+        w = [x for x in re.findall(r"\b\w\w+\b", r["text"].lower()) if x not in texts.STOP]
+        terms = Counter([*w, *(f"{a} {b}" for a, b in zip(w, w[1:]))])
+        words += [(r["doc_id"], t, n, i + 1) for i, (t, n) in enumerate(sorted(terms.items(), key=lambda x: (-x[1], x[0].encode()))[:6])]
+        slices += [(r["doc_id"], i // 200, r["text"][i : i + 200]) for i in range(0, len(r["text"]), 200)]
+    assert sorted(tuple(r) for r in catalog.QUERIES["keywords_topn"](spark, DATA).select("doc_id", "term", "times", "rank").collect()) == sorted(words)
+    assert sorted(tuple(r) for r in catalog.QUERIES["fixed_slices"](spark, DATA).select("doc_id", "slice_no", "slice").collect()) == sorted(slices)
