@@ -62,7 +62,7 @@ def fold_balance(rows: DataFrame, start: int = START_BALANCE) -> DataFrame:
 
 def usage_ledger_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
     logs = credit_logs(table(spark, sf_dir, "events")).where("credit_type <> 'simple'")
-    return fold_balance(logs.select("user_id", F.col("created_at").alias("at"), F.col("log_id").alias("id"), F.least("amount", F.lit(2)).alias("amount")))
+    return fold_balance(logs.select("user_id", F.col("created_at").alias("at"), F.col("log_id").alias("id"), "amount"))
 
 
 def running_balance(spark: SparkSession, sf_dir: str) -> DataFrame:

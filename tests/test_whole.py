@@ -8,7 +8,7 @@ import duckdb
 import pytest
 
 from sparkloom.operators import cases
-from sparkloom.plans import catalog, retrieval, texts
+from sparkloom.plans import catalog, ledger, retrieval, texts
 from tests.test_oracles import DATA, TABLES, plain
 
 
@@ -97,3 +97,11 @@ def test_keywords_and_slices_of_documents(spark):
         slices += [(r["doc_id"], i // 200, r["text"][i : i + 200]) for i in range(0, len(r["text"]), 200)]
     assert sorted(tuple(r) for r in catalog.QUERIES["keywords_topn"](spark, DATA).select("doc_id", "term", "times", "rank").collect()) == sorted(words)
     assert sorted(tuple(r) for r in catalog.QUERIES["fixed_slices"](spark, DATA).select("doc_id", "slice_no", "slice").collect()) == sorted(slices)
+
+
+def test_usage_ledger_fold_adds_full_amounts(spark):
+    """Against the SQL without its cap of 2; floor and alerts by a small fixture."""
+    same(spark, "usage_ledger_fold", catalog.ORACLES["usage_ledger_fold"].replace("least(amount, 2) AS amount", "amount"))
+    amounts = {1: [-1] * 5, 2: [-1, -1, -1, 10, -1], 3: [7]}
+    rows = spark.createDataFrame([(u, i, i, x) for u, xs in amounts.items() for i, x in enumerate(xs)], "user_id int, at int, id int, amount int")
+    assert sorted(tuple(r) for r in ledger.fold_balance(rows).collect()) == [(1, 0, 5, 2, 1), (2, 9, 4, 0, 1), (3, 10, 0, 0, 0)]
