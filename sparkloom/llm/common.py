@@ -1,9 +1,15 @@
-"""What the corpus operators share: scratch tables, ASCII word rules, row identities."""
+"""What the corpus operators share: scratch tables, batch limits, ASCII word rules, row identities."""
 
 from __future__ import annotations
 
+import atexit
+import contextlib
+import ctypes
+import functools
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
@@ -11,12 +17,16 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 WHITE = " \t\n\x0b\x0c\r"
 #: Python's bytes.split() splits at exactly these bytes.
 WORD = r"[^\x20\x09-\x0D]+"
+#: Bytes of rows that Python workers get at once.
+BATCH_BYTES = "4m"
 
-_written: list[str] = []
+_outside: list[str] = []
+_scope: ContextVar[list[str] | None] = ContextVar("sparkloom_scratch", default=None)
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir, which driver and executors share; one of our own only where none is set."""
+    """The folder of spark.checkpoint.dir, which driver and executors share; one of our own only where none is set and the
+    master is local."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not found:
         own = spark.sparkContext._jsc.sc().getCheckpointDir()
@@ -29,28 +39,78 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+def delete(spark: SparkSession, path: str) -> None:
+    """Deletes a folder in whatever store it lies."""
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
+
+
 def scratch(df: DataFrame, tag: str) -> DataFrame:
-    """Writes df as a table in the shared folder and reads it again: cuts the lineage and survives lost executors."""
+    """Writes df as a table in the shared folder and reads it again: cuts the lineage and survives lost executors. The table
+    goes with the scope() that it was written in; outside of any, with release() or when the driver's Python ends."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/sparkloom-{tag}-{uuid.uuid4().hex}"
-    _written.append(path)
+    mine = _scope.get()
+    (_outside if mine is None else mine).append(path)
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
-def written() -> tuple[str, ...]:
-    """Paths of the scratch tables that have not been released."""
-    return tuple(_written)
+@contextlib.contextmanager
+def scope(spark: SparkSession) -> Iterator[None]:
+    """Scratch tables written inside are deleted at the end, those of other threads and scopes are not. What is based on them must
+    have been written by then."""
+    mine: list[str] = []
+    token = _scope.set(mine)
+    try:
+        yield
+    finally:
+        _scope.reset(token)
+        for path in mine:
+            delete(spark, path)
+
+
+def release(spark: SparkSession) -> None:
+    """Deletes the scratch tables written outside of any scope. Call it only when every result based on them has been written."""
+    while _outside:
+        delete(spark, _outside.pop())
+
+
+@atexit.register
+def _at_exit() -> None:
+    spark = SparkSession.getActiveSession() if _outside else None
+    if spark is not None:
+        with contextlib.suppress(Exception):  # the JVM may have gone first
+            release(spark)
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Python workers get rows by bytes, not by number, so a batch of long texts stays small. A value that the session has stays."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if not spark._jsparkSession.sessionState().conf().contains(key):
+        spark.conf.set(key, BATCH_BYTES)
+
+
+def tidy() -> None:
+    """Gives freed memory back to the system: a worker that waits for its next task must not keep what the last one needed."""
+    import pyarrow
+
+    pyarrow.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
+def tidied(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """run(frames), with tidy() when its task ends."""
 
+    @functools.wraps(run)
+    def wrapped(frames: Iterator) -> Iterator:
+        try:
+            yield from run(frames)
+        finally:
+            tidy()
 
-def release(spark: SparkSession, since: int = 0) -> None:
-    """Deletes the scratch tables written since len(written()) was since. Call it only when every result based on them has
-    been written."""
-    jvm = spark.sparkContext._jvm
-    conf = spark.sparkContext._jsc.hadoopConfiguration()
-    while len(_written) > since:
-        path = jvm.org.apache.hadoop.fs.Path(_written.pop())
-        path.getFileSystem(conf).delete(path, True)
+    return wrapped
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

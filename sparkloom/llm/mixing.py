@@ -1,18 +1,20 @@
 """Mixing sources to target weights, with built-in functions only.
 
 Each source's words, documents in order of doc_id, are packed into blocks of BLOCK words. A source's target in words, divided
-by its mean block, is its number of slots. Every slot is dealt to an output shard at random, so the sources' counts in the
-shards are multinomial, given totals that meet the targets. Slot j of a source holds block perm(j mod blocks) of pass
-j div blocks, where perm is a swap-or-not shuffle of the source's block numbers, keyed by source and pass: a permutation of any
-length that needs no table and no sort. Slots and blocks meet in a join by (source, block). A pass takes each block once and
-there are at most two passes where the target is at most twice the size, so no document is taken more than that.
+by its mean block, is the number of blocks that it should give. The mixture is made of output shards of about SHARD slots, and
+for each shard the sources' counts are drawn: every source has the whole part of its expected count, and the slots that are
+left are drawn one by one from a multinomial over the fractions that are left. So counts follow the weights in each shard, and the
+totals stay as near the targets as a draw over the remainders alone allows. The slots of a source, shard after shard, are numbered, and slot j holds
+block perm(j mod blocks) of pass j div blocks, where perm is a swap-or-not shuffle of the source's block numbers, keyed by
+source and pass: a permutation of any length that needs no table and no sort. Slots and blocks meet in a join by (source,
+block). A pass takes each block once, and slots beyond CAP passes are void, so no document is taken more than that.
 
-Where a document starts among its source's words comes from sums by (source, range of doc_id) and a running sum inside
-each, so a source that holds a third of all rows is not summed in one task.
+Running sums (where a document starts among its source's words, a source's rank, a slot's number) come in two steps: sums of
+range partitions, then sums inside each, so no key and no global order is one task.
 
 Defined results: a null or empty text has size 0 and is never taken; null sources form a source of their own, which comes last;
-rows that share a doc_id are told apart by the hash of their text; a source without words has target 0; an empty table
-gives an empty result; further columns are ignored by plan() and assign(); passed on by mixture().
+rows that share a doc_id are told apart by the hash of their text, and equal ones by their places; any long is a doc_id; a source without words has target 0; an empty table gives an empty result; further columns are
+ignored by plan() and assign(); passed on by mixture().
 """
 
 from __future__ import annotations
@@ -21,13 +23,17 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from .common import WHITE, partitions, scratch
 
-BLOCK = 256
-RANGES = 1024
+BLOCK = 128
+#: Slots of an output shard.
+SHARD = 4096
 WEIGHTS = (5.0, 2.0, 1.0)
 BUDGET = 1.5
 CAP = 2.0
 ROUNDS = 24
-SLOTS_A_ROW = 1024
+#: Numbers that one row makes in an explode().
+A_ROW = 1024
+#: Expected counts are multiples of 1 / UNIT, so that their sums are exact in any order.
+UNIT = 1 << 16
 
 
 def n_words(text: Column) -> Column:
@@ -41,22 +47,47 @@ def source_key(source: Column) -> Column:
     return F.when(source.isNull(), F.lit("b")).otherwise(F.concat(F.lit("a"), source.cast("string")))
 
 
+def running(df: DataFrame, by: list[str], order: list[str], sums: dict[str, str], tag: str) -> DataFrame:
+    """df with, for each entry name: column of sums, the column's sum over the rows before this one of the same `by`, in order. Rows
+    are dealt by range, so neither a group nor the whole is sorted in one task; what is added up in one is a row a partition."""
+    spark = df.sparkSession
+    dealt = df.repartitionByRange(partitions(spark), *by, *order).withColumn("__part", F.spark_partition_id())
+    dealt = scratch(dealt, tag)
+    inside = Window.partitionBy(*by, "__part").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    before = Window.partitionBy(*by).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+    per = dealt.groupBy(*by, "__part").agg(*[F.sum(c).alias(f"__{n}") for n, c in sums.items()])
+    per = per.select(*by, "__part", *[F.coalesce(F.sum(f"__{n}").over(before), F.lit(0)).alias(f"__{n}") for n in sums])
+    rows = dealt.select("*", *[F.coalesce(F.sum(c).over(inside), F.lit(0)).alias(n) for n, c in sums.items()])
+    rows = rows.join(per, [*by, "__part"])
+    return rows.select(*df.columns, *[(F.col(n) + F.col(f"__{n}")).alias(n) for n in sums])
+
+
 def targets(sizes: DataFrame, weights: tuple = WEIGHTS, budget: float = BUDGET, cap: float = CAP) -> DataFrame:
-    """sizes: src, source_size. Adds target: the budget shared by weight, each at most cap times its size, the excess shared anew.
+    """sizes: src, source_size. Adds weight and target: the budget shared by weight, each at most cap times its size, the excess shared
+    anew.
 
     Sources fill up in order of cap / weight; once one is not full at the level that the rest of the budget gives, none after it is.
-    The windows below run over one row a source."""
+    Only that level, the number of words and the sum of the weights come to the driver."""
     cycle = F.array(*[F.lit(float(w)) for w in weights])
-    rank = F.row_number().over(Window.orderBy("src"))
-    rows = sizes.withColumn("weight", F.element_at(cycle, ((rank - 1) % len(weights) + 1).cast("int"))).withColumn("most", F.lit(cap) * F.col("source_size"))
-    order = Window.orderBy(F.col("most") / F.col("weight"), "src")
-    rows = rows.withColumn("full", F.coalesce(F.sum("most").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0)))
-    rows = rows.withColumn("left_weight", F.sum("weight").over(order.rowsBetween(0, Window.unboundedFollowing)))
-    rows = rows.withColumn("all", F.sum("source_size").over(Window.partitionBy()))
-    rows = rows.withColumn("level", (F.lit(budget) * F.col("all") - F.col("full")) / F.col("left_weight"))
-    open_ = F.col("most") / F.col("weight") > F.col("level")
-    level = F.first(F.when(open_, F.col("level")), ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
-    return rows.withColumn("target", F.least(F.col("most"), F.coalesce(level * F.col("weight"), F.col("most")))).select("src", "source_size", "weight", "target")
+    rows = running(sizes.withColumn("one", F.lit(1)), [], ["src"], {"rank": "one"}, "mix-ranks")
+    rows = rows.withColumn("weight", F.element_at(cycle, (F.col("rank") % len(weights) + 1).cast("int"))).withColumn("most", F.lit(cap) * F.col("source_size"))
+    rows = rows.select("src", "source_size", "weight", "most", (F.col("most") / F.col("weight")).alias("fills"))
+    rows = scratch(running(rows, [], ["fills", "src"], {"full": "most", "filled": "weight"}, "mix-fills"), "mix-weights")
+    words, weight = rows.agg(F.sum("source_size"), F.sum("weight")).first()
+    if not words:
+        return rows.select("src", "source_size", "weight", F.lit(0.0).alias("target"))
+    level = (F.lit(budget * words) - F.col("full")) / (F.lit(weight) - F.col("filled"))
+    first = rows.withColumn("level", level).where("fills > level").agg(F.min_by("level", F.struct("fills", "src"))).first()[0]
+    target = F.col("most") if first is None else F.least(F.col("most"), F.lit(first) * F.col("weight"))
+    return rows.select("src", "source_size", "weight", target.alias("target"))
+
+
+def counted(df: DataFrame, many: Column, name: str) -> DataFrame:
+    """A row for each number from 0 to many - 1, dealt out, A_ROW numbers a row at a time."""
+    wide = df.withColumn("__many", many.cast("long")).where("__many > 0").withColumn("__part", F.explode(F.sequence(F.lit(0).cast("long"), F.expr(f"(__many - 1) div {A_ROW}L"))))
+    wide = wide.repartition(partitions(df.sparkSession), *df.columns[:1], "__part")
+    first = F.col("__part") * A_ROW
+    return wide.withColumn(name, F.explode(F.sequence(first, F.least(first + A_ROW, F.col("__many")) - 1))).drop("__many", "__part")
 
 
 def shuffled(x: Column, n: Column, *key: Column) -> Column:
@@ -70,40 +101,57 @@ def shuffled(x: Column, n: Column, *key: Column) -> Column:
 
 
 def layout(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(documents: doc_id, src, size, start; sources: src, source_size, n_blocks, target, slots)."""
+    """(documents: doc_id, tie, src, size, start; sources: src, source_size, n_blocks, target, want: expected blocks in 1 / UNIT)."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), source_key(F.col("source")).alias("src"), n_words(F.col("text")).alias("size"), F.xxhash64("text").alias("tie"))
-    rows = scratch(rows, "mix-sizes")
-    low, high = rows.agg(F.min("doc_id"), F.max("doc_id")).first()
-    width = max(1, -(-(int(high or 0) - int(low or 0) + 1) // RANGES))
-    rows = rows.withColumn("range", F.expr(f"cast((doc_id - ({int(low or 0)}L)) div {width}L as int)"))
-    sums = scratch(rows.groupBy("src", "range").agg(F.sum("size").alias("words")), "mix-ranges")
-    before = F.coalesce(F.sum("words").over(Window.partitionBy("src").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    inside = F.coalesce(F.sum("size").over(Window.partitionBy("src", "range").orderBy("doc_id", "tie").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    starts = sums.select("src", "range", before.alias("before"))
-    placed = rows.withColumn("inside", inside).join(starts, ["src", "range"]).select("doc_id", "tie", "src", "size", (F.col("before") + F.col("inside")).alias("start"))
-    sources = targets(sums.groupBy("src").agg(F.sum("words").alias("source_size")))
+    placed = scratch(running(rows, ["src"], ["doc_id", "tie"], {"start": "size"}, "mix-sizes"), "mix-places")
+    sources = targets(placed.groupBy("src").agg(F.sum("size").alias("source_size")))
     sources = sources.withColumn("n_blocks", F.ceil(F.col("source_size") / BLOCK).cast("long"))
-    want = F.when(F.col("source_size") > 0, F.floor(F.col("target") * F.col("n_blocks") / F.col("source_size") + 0.5)).otherwise(F.lit(0)).cast("long")
-    sources = sources.withColumn("slots", F.least(want, (F.lit(CAP) * F.col("n_blocks")).cast("long")))
-    return placed, scratch(sources, "mix-sources")
-
-
-def slots(sources: DataFrame, shards: int = 64, seed: int = 0) -> DataFrame:
-    """src, shard, slot, pass, block: what every slot of the mixture holds."""
-    wide = sources.where("slots > 0").withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.expr(f"(slots - 1) div {SLOTS_A_ROW}L"))))
-    wide = wide.repartition(partitions(sources.sparkSession), "src", "part")
-    first = F.col("part") * SLOTS_A_ROW
-    each = wide.withColumn("slot", F.explode(F.sequence(first, F.least(first + SLOTS_A_ROW, F.col("slots")) - 1)))
+    want = F.when(F.col("source_size") > 0, F.round(F.col("target") * F.col("n_blocks") / F.col("source_size") * UNIT)).otherwise(F.lit(0.0))
+    return placed, scratch(sources.withColumn("want", want.cast("long")), "mix-sources")
+
+
+def shard_counts(sources: DataFrame, shards: int, seed: int) -> DataFrame:
+    """src, shard, count: how many blocks each source gives to each shard. The whole part of the expectation is given; what is left
+    of a shard is drawn from a multinomial over the fractions, a hash for each draw."""
+    spark, whole = sources.sparkSession, shards * UNIT
+    rows = sources.select("src", F.expr(f"want div {whole}L").alias("sure"), F.expr(f"want % {whole}L").alias("share"))
+    sure = counted(rows.where("sure > 0").select("src", "sure"), F.lit(shards), "shard").select("src", "shard", F.col("sure").alias("count"))
+    open_ = scratch(running(rows.where("share > 0").select("src", "share"), [], ["src"], {"low": "share"}, "mix-shares"), "mix-open")
+    n, left = open_.agg(F.count("*"), F.coalesce(F.sum("share"), F.lit(0))).first()
+    if not left:
+        return sure
+    # shard k draws the floor of what all shards up to it are due, less what those before it have drawn
+    due = lambda k: F.floor(k * F.lit(left / whole)).cast("long")
+    drawing = counted(spark.range(1).select(F.lit(0).alias("zero")), F.lit(shards), "shard").withColumn("draws", due(F.col("shard") + 1) - due(F.col("shard")))
+    draws = counted(drawing.select("shard", "draws"), F.col("draws"), "draw").withColumn("at", F.pmod(F.xxhash64("shard", "draw", F.lit(seed), F.lit("draw")), F.lit(left)))
+    # a draw looks for its source among those that reach into its bin
+    width = max(1, left // (4 * n + A_ROW))
+    bins = open_.withColumn("high", F.col("low") + F.col("share")).withColumn("bin", F.explode(F.sequence(F.expr(f"low div {width}L"), F.expr(f"(high - 1) div {width}L"))))
+    drawn = draws.withColumn("bin", F.expr(f"at div {width}L")).hint("merge").join(bins, "bin").where("low <= at and at < high")
+    return sure.unionByName(drawn.groupBy("src", "shard").agg(F.count("*").alias("count")))
+
+
+def slots(sources: DataFrame, seed: int = 0) -> DataFrame:
+    """src, shard, slot, pass, block: what every slot of the mixture holds. slot counts the source's slots, shard after shard."""
+    want = sources.agg(F.coalesce(F.sum("want"), F.lit(0))).first()[0] / UNIT
+    counts = shard_counts(sources.where("want > 0"), max(1, round(want / SHARD)), seed).groupBy("src", "shard").agg(F.sum("count").alias("count"))
+    each = counted(running(counts, ["src"], ["shard"], {"first": "count"}, "mix-counts"), F.col("count"), "nth")
+    each = each.join(sources.select("src", "n_blocks"), "src").withColumn("slot", F.col("first") + F.col("nth")).where(F.col("slot") < F.lit(CAP) * F.col("n_blocks"))
     each = each.withColumn("pass", F.expr("slot div n_blocks")).withColumn("place", F.expr("slot % n_blocks"))
-    shard = F.pmod(F.xxhash64("src", "slot", F.lit(seed), F.lit("shard")), F.lit(shards)).cast("int")
     block = shuffled(F.col("place"), F.col("n_blocks"), F.col("src"), F.col("pass"), F.lit(seed))
-    return each.select("src", shard.alias("shard"), "slot", "pass", block.alias("block"))
+    return each.select("src", "shard", "slot", "pass", block.alias("block"))
+
+
+def plan(docs: DataFrame, seed: int = 0) -> DataFrame:
+    """src, shard, slot, pass, block: the whole mixture, slot by slot. Words BLOCK * block and on of the source's words, documents in order of
+    doc_id, stand in that slot of the shard."""
+    return slots(layout(docs)[1], seed)
 
 
 def assign(docs: DataFrame, seed: int = 0) -> DataFrame:
     """doc_id, tie, src, size, source_size, target, taken: words that the mixture takes of each document, repeats counted."""
     placed, sources = layout(docs)
-    drawn = slots(sources, seed=seed).groupBy("src", "block").agg(F.count("*").alias("times"))
+    drawn = slots(sources, seed).groupBy("src", "block").agg(F.count("*").alias("times"))
     end = F.col("start") + F.col("size")
     parts = placed.where("size > 0").withColumn("block", F.explode(F.sequence(F.expr(f"start div {BLOCK}L"), F.expr(f"(start + size - 1) div {BLOCK}L"))))
     overlap = F.least(end, (F.col("block") + 1) * BLOCK) - F.greatest(F.col("start"), F.col("block") * BLOCK)

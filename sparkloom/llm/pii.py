@@ -1,12 +1,16 @@
 """Personal data by boosted trees over candidate spans, with built-in functions only.
 
 High-recall generators propose spans, which may overlap: e-mail addresses, dotted quads, digit chains, international and local
-phone numbers, account and identity numbers. The base rules decide on their own kinds and always stand. For all other spans,
-boosted trees judge format and context from small codes (kind, length, digits, separators, capitals, neighbours, nearby words). They are
-trained on this corpus: spans whose rule can be checked (parts of an address, check digits, numbers of digits) are the labelled
-ones, and the trees never see the check itself. Only counts of code patterns reach the driver, CODES of them at most. A
-threshold is set so that spans at or above it are right with a share of PRECISION among the labelled; where that can't be
-had, nothing is added.
+phone numbers, account and identity numbers, loosely written addresses. The base rules decide on their own kinds and always stand.
+All other spans, of every kind, are judged by boosted trees over small codes of format (kind, length, digits, separators, capitals,
+check digits or number ranges of the kind) and context (neighbours, a word that announces data before the span, one that
+announces something else).
+
+No table labels spans, so the trees learn from FINDINGS labelled findings made here by rule, for every kind: personal data in
+sentences that announce it and in sentences that don't, and look-alikes (part, order and serial numbers, versions, dates, handles,
+keys). They run through the same generators and codes as the corpus. Half of them grow the trees; the other half calibrates a
+threshold for each kind, at which a share of PRECISION of what it lets through is right; a kind for which that can't be had
+adds nothing. Only counts of code patterns reach the driver, CODES of them at most.
 
 Patterns never repeat a group, so no text is too long for the matcher's stack, and each starts only where a run starts, so no run
 is searched from all its characters.
@@ -18,14 +22,15 @@ result; further columns are ignored. Places are code points of the text as it is
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from . import trees
-from .common import text_of
+from .common import partitions, text_of
 from .spans import DOT, MARK, matches, neutral
 
 KINDS = ("email", "ip", "card", "phone", "account", "national_id", "local_phone", "loose_email")
 PRECISION = 0.98
+FINDINGS = 12_000
 LOCAL, DOMAIN = f"A-Za-z0-9._%+{DOT}-", "A-Za-z0-9-"
 EMAIL = rf"(?:\G|(?<![{LOCAL}]))[{LOCAL}]++@[{DOMAIN}]++{DOT}[{DOMAIN}{DOT}]++"
 IP = r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++"
@@ -34,11 +39,13 @@ PHONE = r"\+[0-9][ ().0-9-]+[0-9]"
 ACCOUNT = r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}[A-Z0-9]{11,30}(?![A-Za-z0-9])"
 NATIONAL = r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])"
 LOCAL_PHONE = r"(?<![0-9+(-])\(?[0-9]{3}\)?[ .-][0-9]{3}[ .-][0-9]{4}(?![0-9-])"
-LOOSE = r"(?<![^\s])[^\s@]++@[^\s@]++"
+LOOSE = r"(?<![^\s])[^\s@]++@[^\s@]*[^\s@,.;:!?)>\]\"']"
 #: Words that announce personal data.
 CUES = r"(?i)\b(e-?mail|mail|phone|tel|fon|call|fax|card|visa|ip|host|iban|konto|account|ssn|contact)\b"
+#: Words that announce a number or a name of another sort.
+OTHERS = r"(?i)\b(order|part|serial|invoice|item|model|version|batch|sku|ticket|tracking|ref|page|isbn|docket|handle|user|git|build|lot|key)\b"
 #: Sizes of the codes; their product bounds the patterns.
-SIZES = {"kind": 8, "len": 6, "digits": 5, "seps": 4, "caps": 3, "left": 4, "right": 4, "cue": 2}
+SIZES = {"kind": 8, "len": 6, "digits": 5, "seps": 4, "caps": 3, "left": 4, "right": 4, "cue": 2, "other": 2, "check": 2}
 CODES = int(np.prod(list(SIZES.values())))
 NAMES = list(SIZES)
 
@@ -86,6 +93,32 @@ def _fine(kind: str, hit: Column) -> Column:
     return F.lit(kind == "email")
 
 
+def _remainder(digits: Column, by: int) -> Column:
+    """A long number's remainder, nine digits at a time."""
+    parts = F.transform(F.sequence(F.lit(0), F.floor((F.length(digits) - 1) / 9).cast("int")), lambda k: F.substring(digits, k * 9 + 1, F.lit(9)))
+    return F.aggregate(parts, F.lit(0).cast("long"), lambda acc, p: F.pmod(acc * F.pow(F.lit(10), F.length(p)).cast("long") + p.cast("long"), F.lit(by)))
+
+
+def _account_fine(hit: Column) -> Column:
+    """Remainder 1 by 97, country code and check digits last, letters as 10 to 35."""
+    turned = F.concat(F.substring(hit, 5, 64), F.left(hit, F.lit(4)))
+    digits = F.array_join(F.transform(F.split(turned, ""), lambda c: F.when(c.rlike("[A-Z]"), (F.ascii(c) - 55).cast("string")).otherwise(c)), "")
+    return _remainder(digits, 97) == 1
+
+
+def _check(kind: str, hit: Column) -> Column:
+    """Check digits or number ranges of a kind."""
+    if kind == "account":
+        return _account_fine(hit)
+    if kind == "national_id":
+        return ~hit.rlike("^(000|666|9)") & ~hit.rlike("^...-00") & ~hit.rlike("0000$")
+    if kind == "local_phone":
+        return F.regexp_replace(hit, "[^0-9]", "").rlike("^[2-9][0-9]{2}[2-9]")
+    if kind == "loose_email":
+        return hit.rlike(r"^[^@]+@[\p{L}\p{N}][\p{L}\p{N}.-]*[.]\p{L}{2,}$") & ~F.contains(hit, F.lit(".."))
+    return _fine(kind, hit)
+
+
 def _step(value: Column, *edges: int) -> Column:
     """How many edges the value reaches."""
     return sum((F.when(value >= e, 1).otherwise(0) for e in edges), F.lit(0))
@@ -103,6 +136,7 @@ def _coded(text: Column, k: int, kind: str, found: Column) -> Column:
             "kind": F.lit(k), "len": _step(n, 8, 12, 16, 20, 28), "digits": _step(F.length(_digits(hit)) * 8 / n, 2, 4, 6, 8),
             "seps": F.least(F.length(F.regexp_replace(hit, rf"[^ ().{MARK}{DOT}-]", "")), F.lit(3)), "caps": _step(F.length(F.regexp_replace(hit, "[^A-Z]", "")), 1, 8),
             "left": _edge(F.right(before, F.lit(1))), "right": _edge(F.substring(text, x["end"] + 1, F.lit(1))), "cue": F.when(before.rlike(CUES), 1).otherwise(0),
+            "other": F.when(before.rlike(OTHERS), 1).otherwise(0), "check": F.when(F.coalesce(_check(kind, hit), F.lit(False)), 1).otherwise(0),
         }
         fine = F.coalesce(_fine(kind, hit), F.lit(False))
         return F.struct(F.lit(kind).alias("kind_name"), x["start"].alias("start"), x["end"].alias("end"), fine.alias("fine"), *[codes[c].cast("int").alias(c) for c in NAMES])
@@ -123,28 +157,78 @@ def candidates(docs: DataFrame) -> DataFrame:
     return rows.select("doc_id", F.concat(*lists).alias("cands"))
 
 
-def fit(cands: DataFrame) -> tuple[float, list[trees.Node], float]:
-    """(base score, trees, threshold) from counts of code patterns of the spans whose kind has a check."""
-    checked = F.col("x.kind_name").isin("email", "ip", "card", "phone")
-    rows = cands.select(F.explode("cands").alias("x")).where(checked).groupBy(*[F.col(f"x.{n}").alias(n) for n in NAMES]).agg(F.count("*").alias("n"), F.sum(F.col("x.fine").cast("long")).alias("yes")).orderBy(*NAMES).collect()
-    if not rows:
-        return 0.0, [], 1.1
-    x = np.array([[r[n] for n in NAMES] for r in rows])
+def labelled(spark: SparkSession) -> DataFrame:
+    """doc_id, text, kind, start, end: the labelled findings, a span in a sentence each; kind null where it is a look-alike."""
+    h = lambda salt, n: F.pmod(F.xxhash64("id", F.lit(salt)), F.lit(n))
+    pick = lambda words, salt: F.element_at(F.array(*[F.lit(w) if isinstance(w, str) else w for w in words]), (h(salt, len(words)) + 1).cast("int"))
+    digits = lambda salt, n, least=0: F.lpad((h(salt, 10**n - least) + least).cast("string"), n, "0")
+    name = pick(["ann.lee", "j_weber", "mara", "tom.b", "li-na", "o.diaz", "kim7", "jörg"], 1)
+    host = pick(["mail", "example", "post", "web-de", "uni.bonn", "münchen"], 2)
+    country = pick(["DE", "GB", "FR", "NL", "ES"], 3)
+    body = F.concat(digits(4, 9), digits(5, 9))
+    checked = F.concat(body, (F.ascii(country) - 55).cast("string"), (F.ascii(F.substring(country, 2, 1)) - 55).cast("string"), F.lit("00"))
+    account = F.concat(country, F.lpad((98 - _remainder(checked, 97)).cast("string"), 2, "0"), body)
+    sep = pick([" ", "-", "."], 6)
+    area = F.concat((h(7, 8) + 2).cast("string"), digits(8, 2))
+    local = F.concat(F.when(h(9, 3) == 0, F.concat(F.lit("("), area, F.lit(")"))).otherwise(area), sep, (h(10, 8) + 2).cast("string"), digits(11, 2), sep, digits(12, 4))
+    national = F.concat(F.lpad((h(13, 665) + 1).cast("string"), 3, "0"), F.lit("-"), F.lpad((h(14, 99) + 1).cast("string"), 2, "0"), F.lit("-"), F.lpad((h(15, 9999) + 1).cast("string"), 4, "0"))
+    loose = F.concat(name, F.lit("@"), host, F.lit("."), pick(["org", "com", "de", "info", "рф"], 16))
+    odd = lambda salt: F.concat(digits(salt, 3), F.lit("-"), digits(salt + 1, 2), F.lit("-"), digits(salt + 2, 4))
+    letters = F.upper(F.translate(F.substring(F.sha1(F.col("id").cast("string")), 1, 16), "abcdef", "KTZQXW"))
+    right = {  # kind: value, words that announce it
+        "account": (account, ["IBAN", "account", "my Konto is", "pay to iban:", "acct"]), "national_id": (national, ["SSN", "ssn:", "my SSN is", "social security", "contact SSN"]),
+        "local_phone": (local, ["call", "tel", "phone:", "my number is", "fax"]), "loose_email": (loose, ["mail", "e-mail:", "contact", "write to", "email"]),
+        "card": (F.concat(F.lit("4"), digits(20, 9), digits(21, 6)), ["card", "visa"]), "ip": (F.concat_ws(".", *[(h(30 + k, 400)).cast("string") for k in range(4)]), ["host", "ip"]), "phone": (F.concat(F.lit("+"), digits(22, 3), F.lit(" "), digits(23, 6), F.lit(" "), digits(24, 9)), ["call", "tel"]),
+    }
+    wrong = {  # what looks like it, words that announce that
+        "account": (F.concat(country, digits(40, 2), letters), ["part", "serial", "key", "batch", "item no"]), "national_id": (odd(41), ["order", "part", "docket", "item", "build"]),
+        "local_phone": (F.concat(digits(44, 3), sep, digits(45, 3), sep, digits(46, 4)), ["order", "serial", "ref", "version", "tracking"]), "loose_email": (F.concat(pick(["user", "git", "a", "@", "x=", "{var}"], 47), F.lit("@"), pick(["host", "refs/heads", "12", "home:path", "{0}", "v1"], 48)), ["handle", "git", "version", "ref", "see"]),
+        "card": (F.concat(digits(49, 9), digits(50, 6)), ["order", "serial"]), "ip": (F.concat_ws(".", *[(h(51 + k, 900)).cast("string") for k in range(4)]), ["version", "build"]), "phone": (F.concat(F.lit("+"), digits(55, 4)), ["page", "item"]),
+    }
+    # what breaks the kind's own rule, beside words that announce the kind all the same
+    broken = right | {k: (v, right[k][1]) for k, (v, _) in wrong.items()} | {"national_id": (F.concat(F.lit("9"), F.substring(odd(41), 2, 10)), right["national_id"][1]), "local_phone": (F.concat(F.lit("0"), F.substring(wrong["local_phone"][0], 2, 11)), right["local_phone"][1])}
+    kinds = list(right)
+    rows = spark.range(FINDINGS).select("id", pick(kinds, 60).alias("kind"), h(61, 2).alias("real"), h(63, 4).alias("spoilt"))
+    kind, real = F.col("kind"), F.col("real") == 0
+    of = lambda table: F.coalesce(*[F.when(kind == k, F.struct(v.alias("value"), pick([*cues, "", ""], 62).alias("cue"))) for k, (v, cues) in table.items()])
+    found = F.when(real, of(right)).when(F.col("spoilt") == 0, of(broken)).otherwise(of(wrong))
+    rows = rows.select("id", "kind", "real", found.alias("found")).repartition(partitions(spark), "id")  # made once, not for each use
+    before = F.concat(pick(["so ", "please ", "see the ", "", "and then "], 64), F.col("found.cue"), F.when(F.col("found.cue") == "", "").otherwise(" "))
+    rows = rows.select("id", "kind", "real", before.alias("before"), F.col("found.value").alias("value"), pick(["", " today", ", thanks", ".", " or later"], 65).alias("after"))
+    truly = F.when((F.col("real") == 0) & ~F.col("kind").isin("card", "ip", "phone"), F.col("kind"))
+    rows = rows.select(F.col("id").alias("doc_id"), F.concat("before", "value", "after").alias("text"), truly.alias("kind"), F.length("before").alias("start"))
+    return rows.repartition(partitions(spark), "doc_id", "start")
+
+
+def fit(spark: SparkSession) -> tuple[float, list[trees.Node], dict[str, float]]:
+    """(base score, trees, threshold of each kind) from counts of code patterns of the labelled findings."""
+    made = labelled(spark)
+    # explode() would put a filter on the size of cands below, which computes them all once more
+    rows = candidates(made).select("doc_id", F.explode_outer("cands").alias("x")).where("x is not null").join(made.select("doc_id", "kind", F.col("start").alias("at")), "doc_id")
+    right = F.coalesce((F.col("x.kind_name") == F.col("kind")) & (F.col("x.start") == F.col("at")), F.lit(False))
+    # spans that a base rule accepts stand anyway and are no question to the trees
+    rows = rows.where(~F.col("x.fine")).select((F.col("doc_id") % 2).alias("half"), *[F.col(f"x.{n}").alias(n) for n in NAMES], right.cast("long").alias("yes"))
+    rows = rows.groupBy("half", *NAMES).agg(F.count("*").alias("n"), F.sum("yes").alias("yes")).orderBy("half", *NAMES).collect()
+    half, x = np.array([r["half"] for r in rows]), np.array([[r[n] for n in NAMES] for r in rows])
     yes, n = np.array([r["yes"] for r in rows], float), np.array([r["n"] for r in rows], float)
-    base, grown = trees.boosted(x, yes, n)
-    score = base + sum((trees.predict(t, x) for t in grown), np.zeros(len(x)))
-    return base, grown, trees.threshold(1 / (1 + np.exp(-score)), yes, n, PRECISION)
+    base, grown = trees.boosted(x[half == 0], yes[half == 0], n[half == 0])
+    score = 1 / (1 + np.exp(-(base + sum(trees.predict(t, x) for t in grown))))
+    least = {}
+    for k, kind in enumerate(KINDS):
+        at = (half == 1) & (x[:, 0] == k)
+        least[kind] = max(0.5, trees.threshold(score[at], yes[at], n[at], PRECISION)) if at.any() else 1.1
+    return base, grown, least
 
 
 def detect(docs: DataFrame) -> DataFrame:
     """doc_id, spans: array<struct<kind, start, end, base, score>>, by kind as listed and start: all base spans, and those that
     the trees add, which cross no base span."""
-    cands = candidates(docs)
-    base, grown, least = fit(cands)
+    base, grown, least = fit(docs.sparkSession)
     score = f"1 / (1 + exp(-({base!r}D" + "".join(f" + {trees.expression(t, [f'x.{n}' for n in NAMES])}" for t in grown) + ")))"
-    scored = cands.select("doc_id", F.expr(f"transform(cands, x -> named_struct('kind', x.kind, 'start', x.start, 'end', x.end, 'name', x.kind_name, 'base', x.fine, 'checked', x.kind < 4, 'score', {score}))").alias("c"))
+    bar = "case x.kind " + " ".join(f"when {k} then {least[kind]!r}D" for k, kind in enumerate(KINDS)) + " end"
+    scored = candidates(docs).select("doc_id", F.expr(f"transform(cands, x -> named_struct('kind', x.kind, 'start', x.start, 'end', x.end, 'name', x.kind_name, 'base', x.fine, 'bar', {bar}, 'score', {score}))").alias("c"))
     certain = F.filter("c", lambda x: x["base"])
-    more = F.filter("c", lambda x: ~x["base"] & (x["score"] >= least))
+    more = F.filter("c", lambda x: ~x["base"] & (x["score"] >= x["bar"]))
     crosses = lambda x: F.exists("certain", lambda b: (b["start"] < x["end"]) & (x["start"] < b["end"]))
     rows = scored.select("doc_id", certain.alias("certain"), more.alias("more"))
     rows = rows.select("doc_id", F.array_sort(F.concat("certain", F.filter("more", lambda x: ~crosses(x)))).alias("all"))

@@ -1,22 +1,25 @@
-"""Removing long substrings that an earlier document has: a depth-limited radix sort of suffixes.
+"""Long substrings that an earlier document has: a depth-limited radix sort of suffixes.
 
-Only the first `window` bytes of a suffix count, so two suffixes are equal at full depth exactly if a window repeats. Sorting
-every suffix would move many times the corpus, so the passes from the most significant digit on run over fewer and fewer:
+Only the first `window` bytes of a suffix count, so two suffixes are equal at full depth exactly if a window repeats. They are
+ordered by most-significant-digit passes, and after each pass groups from a single document are dropped:
 
-1. First digit: each window is put down to its least-hashed GRAM-byte digit (the leftmost, on ties). Consecutive windows that share
-   this anchor form a run; equal windows have the same anchor at the same place. About one suffix in twenty is an anchor.
-2. Within a digit, a run's whole bytes are the next digits. A run that an earlier document has as a whole is decided: all
-   its windows repeat. Only its first document goes on, so copies, few or many, leave one run. Runs whose digit leads to no
-   other run drop out, too: their windows are unique.
-   A byte of hash for either side of the anchor tells most of the runs that merely share the digit.
-3. The remaining runs (borders of repeated passages, mostly) are sorted to full depth, window by window: groups of equal windows
-   find their smallest document, and all later documents lose the window's bytes.
+1. First digit: GRAM bytes, those of the window's anchor, its least-hashed place (the leftmost, on ties). Equal windows have the same
+   anchor at the same place. Consecutive suffixes that share an anchor form a run and have this digit in common, so this pass
+   moves a digit a run (about one byte in sixteen starts one), not a suffix. Three runs in ten are left in prose.
+2. Second digit: the bytes beside the anchor, on the left for suffixes that have `side` bytes there, else on the right. Only now do
+   bytes of texts move, as fragments that hold the run's suffixes of one kind, dealt by both digits. So a phrase that stands in
+   many surroundings is split by what surrounds it.
+3. Then the suffixes themselves, byte by byte from the first on, eight bytes a pass, down to the full depth. What is left are groups of
+   equal windows; all but the smallest document lose them.
 
-Hashes stand for digits and windows: 64 bits for the digit and 64 for a run within it, 80 bits for a window. Passes group with
-partial sums before each exchange, so a passage that a third of all documents share meets as one row a task.
+Hashes only drop suffixes (unequal hashes are unequal bytes) and deal them to tasks; whatever is removed has been compared byte by
+byte. Documents live in homes of about HOME bytes. A home sends each different fragment once, for its smallest document (copies
+are answered at home after a comparison of their bytes), and a task's part of the corpus sends each digit once: a passage that a
+third of all documents share meets as one row a home.
 
 Defined results: matches never cross rows; null and empty texts keep 0 bytes; a text shorter than the window stays whole; rows
-that share a doc_id never match each other; an empty table gives an empty result; further columns are ignored.
+that share a doc_id never match each other, and each loses what smaller ids have; an empty table gives an empty result; further
+columns are ignored.
 """
 
 from __future__ import annotations
@@ -29,50 +32,53 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
-from .common import scratch, text_of
+from .common import small_batches, text_of, tidied, tidy
 
 WINDOW, GRAM = 50, 20
-#: Bytes of text that numpy handles at once.
-PART, PLACE_BITS = 2_000_000, 21
-_rng = np.random.default_rng(20240607)
-TABLES = _rng.integers(1, 2**63, size=(2, 256), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-BASES = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93))
-S29 = np.uint64(29)
+#: Bytes of text of a home, and as many for each bucket of digits; bytes that a task gathers before it deals out; bytes that numpy
+#: handles at once; suffixes sorted at once.
+HOME, GATHER, PART, SORTED = 12_000_000, 6_000_000, 1 << 18, 400_000
+PLACE_BITS = 20
+NOWHERE = 0xFFFFFFFF
+#: Odd multipliers of the hashes.
+ODD = np.uint64(0x9E3779B97F4A7C15)
+ODD2 = np.uint64(0xD6E8FEB86659FD93)
+S29, S32 = np.uint64(29), np.uint64(32)
 
 
 def _mix(h: np.ndarray) -> np.ndarray:
     h = (h ^ (h >> S29)) * np.uint64(0xBF58476D1CE4E5B9)
-    return h ^ (h >> np.uint64(32))
+    return h ^ (h >> S32)
 
 
-_known_powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+def _eights(raw: np.ndarray, order: str = "<") -> np.ndarray:
+    """The eight bytes from each place on, as numbers."""
+    return np.ndarray((max(0, len(raw) - 7),), order + "u8", raw, 0, (1,))
 
 
-def _powers(which: int, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """The first n powers, or more, of a base and of its inverse; kept by the worker, up to about PART of them."""
-    if which not in _known_powers or len(_known_powers[which][0]) < n:
-        size = max(n, 2 * len(_known_powers[which][0]) if which in _known_powers else 1 << 16)
-        both = []
-        for base in (int(BASES[which]), pow(int(BASES[which]), -1, 1 << 64)):
-            x = np.full(size, base, np.uint64)
-            x[0] = 1
-            both.append(np.cumprod(x, out=x))
-        _known_powers[which] = both[0], both[1]
-    return _known_powers[which]
+def _parts(width: int) -> list[int]:
+    """Where to read eight bytes each so that all of width are read."""
+    return [*range(0, width - 8, 8), width - 8]
 
 
-class Rolling:
-    """Polynomial hashes of any range of bytes, modulo 2 ** 64, from running sums. Ranges stay far below the lengths at which
-    such hashes of contrived strings collide."""
+def hashes(raw: np.ndarray, width: int) -> np.ndarray:
+    """Hash of the width (8 at least) bytes from each place on."""
+    wide, n = _eights(raw), len(raw) - width + 1
+    h = np.full(n, width, np.uint64)
+    for at in _parts(width):
+        h = (h + wide[at : at + n]) * ODD
+        h ^= h >> S32
+    return _mix(h)
 
-    def __init__(self, data: np.ndarray, which: int):
-        n = len(data)
-        power, self.back = _powers(which, n + 1)
-        self.sums = np.zeros(n + 1, np.uint64)
-        np.cumsum(TABLES[which][data] * power[:n], out=self.sums[1:])
 
-    def of(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-        return _mix((self.sums[end] - self.sums[start]) * self.back[start] + (end - start).astype(np.uint64))
+def hashes_at(raw: np.ndarray, places: np.ndarray, width: int) -> np.ndarray:
+    """The same for some places only."""
+    wide = _eights(raw)
+    h = np.full(len(places), width, np.uint64)
+    for at in _parts(width):
+        h = (h + wide[places + at]) * ODD
+        h ^= h >> S32
+    return _mix(h)
 
 
 def leftmost_minima(values: np.ndarray, width: int) -> np.ndarray:
@@ -88,21 +94,17 @@ def leftmost_minima(values: np.ndarray, width: int) -> np.ndarray:
     return (best[:n] & low).astype(np.int64)
 
 
-def runs(data: bytes, window: int, gram: int) -> tuple[np.ndarray, ...]:
-    """(digit, whole, first, last, anchor, left, right): hash of the anchor, hash of the run's bytes, its first and last window's
-    start, the anchor's place, and a byte of hash of the `side` bytes on either side of the anchor, 0 where no window of the run has
-    that many there."""
-    n = len(data) - window + 1
+def runs(raw: np.ndarray, bounds: np.ndarray, window: int, gram: int) -> tuple[np.ndarray, ...]:
+    """(text, first, last, anchor, digit) of the runs in texts that lie one after the other in raw, text i in bounds[i] to
+    bounds[i + 1]: starts of the first and the last window, the anchor's place, its hash. Windows never cross bounds."""
+    n = len(raw) - window + 1
+    none = np.zeros(0, np.int64)
     if n <= 0:
-        none = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, "u1")
-        return none[0], none[0], none[1], none[1], none[1], none[2], none[2]
-    raw = np.frombuffer(data, np.uint8)
+        return none, none, none, none, np.zeros(0, np.uint64)
     got = []
     for start in range(0, n, PART):  # parts overlap, and a run that crosses a border is found from both and merged below
         part = raw[start : min(len(raw), start + PART + window - 1)]
-        roll = Rolling(part, 0)
-        ends = np.arange(gram, len(part) + 1)
-        digits = roll.of(ends - gram, ends)
+        digits = hashes(part, gram)
         at = leftmost_minima(digits, window - gram + 1)
         first = np.flatnonzero(np.diff(at, prepend=-1))
         got.append((digits[at[first]], at[first] + start, first + start))
@@ -110,54 +112,38 @@ def runs(data: bytes, window: int, gram: int) -> tuple[np.ndarray, ...]:
     keep = np.diff(anchor, prepend=-1) != 0
     digit, first, anchor = digit[keep], first[keep], anchor[keep]
     last = np.append(first[1:], n) - 1
-    side = (window - gram) // 2
-    whole, left, right = np.empty(len(first), np.uint64), np.zeros(len(first), "u1"), np.zeros(len(first), "u1")
-    has_left, has_right = anchor - first >= side, anchor - last <= window - gram - side
-    byte = lambda h: (h % np.uint64(255)).astype("u1") + np.uint8(1)
-    for start in range(0, n, PART):
-        here = (first >= start) & (first < start + PART)
-        roll = Rolling(raw[start : min(len(raw), start + PART + 2 * window)], 1)
-        whole[here] = roll.of(first[here] - start, last[here] + window - start)
-        at = anchor[here & has_left] - start
-        left[here & has_left] = byte(roll.of(at - side, at))
-        at = anchor[here & has_right] - start + gram
-        right[here & has_right] = byte(roll.of(at, at + side))
-    return digit, whole, first, last, anchor, left, right
-
-
-def pack(bucket: np.ndarray, docs: np.ndarray, columns: list[np.ndarray]) -> Iterator[tuple[int, bytes]]:
-    """(bucket, blob) for the rows docs, columns of each bucket: documents as a compressed table and 2- or 4-byte references."""
-    import zstandard
-
-    if not len(bucket):
-        return
-    order = np.argsort(bucket, kind="stable")
-    bucket, docs, columns = bucket[order], docs[order], [c[order] for c in columns]
-    at = np.append(np.flatnonzero(np.diff(bucket, prepend=bucket[0] - 1)), len(bucket))
-    squeeze = zstandard.ZstdCompressor(level=1).compress
-    for x, y in zip(at, at[1:], strict=False):
-        ids, ref = np.unique(docs[x:y], return_inverse=True)
-        table = squeeze(np.diff(ids, prepend=0).astype("<i8").tobytes())
-        ref = ref.astype("<u2" if len(ids) <= 65536 else "<u4")
-        yield int(bucket[x]), struct.pack("<III", y - x, len(ids), len(table)) + table + ref.tobytes() + b"".join(c[x:y].tobytes() for c in columns)
-
-
-def unpack(blobs, kinds: tuple[str, ...]) -> list[np.ndarray]:
-    """[docs, *columns] of all blobs together."""
-    import zstandard
-
-    expand, got = zstandard.ZstdDecompressor().decompress, []
-    for blob in blobs:
-        n, n_ids, size = struct.unpack_from("<III", blob)
-        ids = np.cumsum(np.frombuffer(expand(blob[12 : 12 + size]), "<i8"))
-        at, row = 12 + size, []
-        for kind in ("<u2" if n_ids <= 65536 else "<u4", *kinds):
-            row.append(np.frombuffer(blob, kind, n, at))
-            at += row[-1].nbytes
-        got.append([ids[row[0]], *row[1:]])
-    if not got:
-        return [np.zeros(0, "<i8"), *(np.zeros(0, k) for k in kinds)]
-    return [np.concatenate(x) for x in zip(*got, strict=True)]
+    # of a run, only windows inside the anchor's own text are windows at all
+    text = np.searchsorted(bounds, anchor, "right") - 1
+    first, last = np.maximum(first, bounds[text]), np.minimum(last, bounds[text + 1] - window)
+    keep = first <= last
+    return text[keep], first[keep], last[keep], anchor[keep], digit[keep]
+
+
+def repeated(raw: np.ndarray, starts: np.ndarray, docs: np.ndarray, window: int) -> np.ndarray:
+    """Places in starts of the windows that a smaller document among docs has, too: radix passes over eight bytes each, from the
+    most significant on. raw ends with seven spare bytes at least."""
+    wide = _eights(raw, ">")
+    alive, group = np.arange(len(starts)), None
+    for depth in _parts(window):
+        digit = wide[starts[alive] + depth].astype(np.uint64)
+        order = np.argsort(digit) if group is None else np.lexsort((digit, group))
+        alive, digit = alive[order], digit[order]
+        new = np.append(True, digit[1:] != digit[:-1])
+        if group is not None:
+            group = group[order]
+            new[1:] |= group[1:] != group[:-1]
+        at = np.flatnonzero(new)
+        mine = docs[alive]
+        several = np.minimum.reduceat(mine, at) != np.maximum.reduceat(mine, at)
+        group = np.repeat(np.arange(len(at)), np.diff(np.append(at, len(alive))))
+        keep = several[group]
+        alive, group = alive[keep], group[keep]
+        if not len(alive):
+            return alive
+    at = np.flatnonzero(np.append(True, group[1:] != group[:-1]))
+    mine = docs[alive]
+    least = np.repeat(np.minimum.reduceat(mine, at), np.diff(np.append(at, len(alive))))
+    return alive[mine > least]
 
 
 def covered(spans: np.ndarray, n: int) -> np.ndarray:
@@ -166,254 +152,335 @@ def covered(spans: np.ndarray, n: int) -> np.ndarray:
         return np.zeros((0, 2), np.int64)
     spans = spans[np.argsort(spans[:, 0], kind="stable")]
     reach = np.maximum.accumulate(spans[:, 1])
-    new = np.append(True, spans[1:, 0] > reach[:-1])
-    at = np.flatnonzero(new)
+    at = np.flatnonzero(np.append(True, spans[1:, 0] > reach[:-1]))
     return np.stack([spans[at, 0], np.append(reach[at[1:] - 1], reach[-1])], 1)
 
 
-#: Columns of a run: low digit bits, hash of the whole run in two parts, bytes for its sides; of a window: two hashes; of an answer: id of the run or window.
-RUN, SPOT, ANSWER = ("<u4", "<u4", "u1", "u1", "u1"), ("<u8", "<u2"), ("<u8",)
-#: Bytes of text for each bucket, and those that a task gathers before it deals out.
-BUCKET, GATHER = 4_000_000, 24_000_000
-LOW32 = np.uint64(0xFFFFFFFF)
-S32 = np.uint64(32)
+# Packed rows: one blob for each receiver
+
+
+def _squeeze(data: bytes) -> bytes:
+    import zstandard
+
+    return zstandard.ZstdCompressor(level=3).compress(data)
+
+
+def _expand(blob: bytes) -> bytes:
+    import zstandard
+
+    return zstandard.ZstdDecompressor().decompress(blob)
+
+
+def _cuts(keys: np.ndarray) -> Iterator[tuple[int, int, int]]:
+    """(key, start, end) of the stretches of equal keys."""
+    at = np.append(np.flatnonzero(np.diff(keys, prepend=keys[:1] - 1)), len(keys)) if len(keys) else np.zeros(1, int)
+    for x, y in zip(at[:-1].tolist(), at[1:].tolist(), strict=True):
+        yield int(keys[x]), x, y
+
+
+def pack_digits(digit: np.ndarray, home: np.ndarray | None) -> bytes:
+    order = np.argsort(digit)
+    parts = [struct.pack("<I", len(digit)), np.diff(digit[order], prepend=np.uint64(0)).tobytes()]
+    return _squeeze(b"".join([*parts, *([] if home is None else [home[order].astype("<u4").tobytes()])]))
+
+
+def unpack_digits(blobs, homes: bool) -> tuple[np.ndarray, np.ndarray]:
+    digit, home = [np.zeros(0, np.uint64)], [np.zeros(0, "<u4")]
+    for blob in blobs:
+        data = _expand(blob)
+        n = struct.unpack_from("<I", data)[0]
+        digit.append(np.cumsum(np.frombuffer(data, "<u8", n, 4), dtype=np.uint64))
+        if homes:
+            home.append(np.frombuffer(data, "<u4", n, 4 + 8 * n))
+    return np.concatenate(digit), np.concatenate(home)
+
+
+def pack(docs: np.ndarray, turns: np.ndarray, columns: list[np.ndarray], tail: bytes = b"") -> bytes:
+    """Rows of documents (doc_id, and the row's turn among those of that id) with columns and bytes."""
+    both, ref = np.unique(np.stack([docs, turns]), axis=1, return_inverse=True)
+    parts = [struct.pack("<II", len(docs), both.shape[1]), np.diff(both[0], prepend=0).astype("<i8").tobytes(), both[1].astype("<u4").tobytes(), ref.ravel().astype("<u4").tobytes()]
+    return _squeeze(b"".join([*parts, *(c.tobytes() for c in columns), tail]))
+
+
+def unpack(blobs, kinds: tuple[str, ...]) -> tuple[list[np.ndarray], bytes]:
+    """([docs, turns, *columns], bytes) of all blobs together."""
+    got, tails = [], []
+    for blob in blobs:
+        data = _expand(blob)
+        n, n_docs = struct.unpack_from("<II", data)
+        ids, turns = np.cumsum(np.frombuffer(data, "<i8", n_docs, 8)), np.frombuffer(data, "<u4", n_docs, 8 + 8 * n_docs)
+        at = 8 + 12 * n_docs
+        ref = np.frombuffer(data, "<u4", n, at)
+        at, row = at + 4 * n, [ids[ref], turns[ref].astype(np.int64)]
+        for kind in kinds:
+            row.append(np.frombuffer(data, kind, n, at))
+            at += row[-1].nbytes
+        got.append(row)
+        tails.append(data[at:])
+    if not got:
+        return [np.zeros(0, np.int64), np.zeros(0, np.int64), *(np.zeros(0, k) for k in kinds)], b""
+    return [np.concatenate(x) for x in zip(*got, strict=True)], b"".join(tails)
 
 
-def _run_id(digit: np.ndarray, whole: np.ndarray) -> np.ndarray:
-    """What documents and answers call a run: it need only be told from the runs of its own document."""
-    return ((digit & LOW32) << S32) | (whole & LOW32)
+#: Columns of a fragment: place in its text, bytes, both digits' hash; of an answer: place and bytes.
+FRAGMENT, ANSWER = ("<u4", "u1", "<u4"), ("<u4", "<u4")
 
 
-def _owners(docs: np.ndarray, *keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(order, first): rows sorted by keys and document, and for each sorted row the place where its group of equal keys starts."""
-    order = np.lexsort((docs, *keys[::-1]))
-    new = np.zeros(len(order), bool)
-    new[:1] = True
-    for k in keys:
-        k = k[order]
-        new[1:] |= k[1:] != k[:-1]
-    starts = np.flatnonzero(new)
-    return order, np.repeat(starts, np.diff(np.append(starts, len(order))))
+def _rows(rows: list[tuple[int, int, bytes]]) -> pd.DataFrame:
+    return pd.DataFrame(rows, columns=["kind", "key", "blob"]).astype({"kind": "int32", "key": "int64"})
 
 
 def _home(docs: np.ndarray, n: int) -> np.ndarray:
-    return (_mix(docs.view(np.uint64)) % np.uint64(n)).astype(np.int64)
+    return (_mix(docs.astype("<i8").view(np.uint64)) % np.uint64(n)).astype(np.int64)
+
 
+def _answers(docs: np.ndarray, turns: np.ndarray, start: np.ndarray, size: np.ndarray, homes: int) -> list[tuple[int, int, bytes]]:
+    home = _home(docs, homes)
+    order = np.lexsort((start, turns, docs, home))
+    out = []
+    for key, x, y in _cuts(home[order]):
+        at = order[x:y]
+        out.append((1, key, pack(docs[at], turns[at], [start[at].astype("<u4"), size[at].astype("<u4")])))
+    return out
+
+
+def _joined(first: np.ndarray, last: np.ndarray, *same: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(places where a stretch starts, places where it ends) of intervals sorted by same and first, joined where they touch or overlap."""
+    new = np.append(True, first[1:] > last[:-1])
+    for x in same:
+        new[1:] |= x[1:] != x[:-1]
+    at = np.flatnonzero(new)
+    return at, np.append(at[1:], len(first)) - 1
 
-def _frame(rows: list[tuple], columns: list[str]) -> pd.DataFrame:
-    return pd.DataFrame(rows, columns=columns)
+
+class Texts:
+    """A home's texts, one after the other, ordered by doc_id and bytes; a text's turn counts the texts of its id before it."""
+
+    def __init__(self, rows: list[tuple[int, bytes]]):
+        rows = sorted(rows)
+        self.docs = np.array([d for d, _ in rows], np.int64)
+        self.bounds = np.append(0, np.cumsum([len(t) for _, t in rows])).astype(np.int64)
+        self.raw = np.frombuffer(b"".join([*(t for _, t in rows), bytes(128)]), np.uint8)
+        new = np.flatnonzero(np.append(True, self.docs[1:] != self.docs[:-1])) if rows else np.zeros(0, int)
+        self.turns = np.arange(len(rows)) - np.repeat(new, np.diff(np.append(new, len(rows))))
+
+    def of(self, i: int) -> bytes:
+        return self.raw[self.bounds[i] : self.bounds[i + 1]].tobytes()
+
+
+def fold_texts(rows: list[tuple[int, bytes]]) -> bytes:
+    head = np.array([[d, len(t)] for d, t in rows], "<i8").reshape(-1, 2)
+    return _squeeze(struct.pack("<I", len(rows)) + head.tobytes() + b"".join(t for _, t in rows))
+
+
+def unfold_texts(blobs) -> list[tuple[int, bytes]]:
+    out = []
+    for blob in blobs:
+        data = _expand(blob)
+        n = struct.unpack_from("<I", data)[0]
+        at = 4 + 16 * n
+        for doc, size in np.frombuffer(data, "<i8", 2 * n, 4).reshape(-1, 2).tolist():
+            out.append((doc, data[at : at + size]))
+            at += size
+    return out
+
+
+def _gathered(frames: Iterator[pd.DataFrame]) -> Iterator[list[tuple[int, bytes]]]:
+    rows, size = [], 0
+    for frame in frames:
+        for doc, text in zip(frame.doc_id, frame.text, strict=True):
+            rows.append((doc, text.encode("utf-8", "replace")))
+            size += len(rows[-1][1])
+            if size >= GATHER:
+                yield rows
+                rows, size = [], 0
+    if rows:
+        yield rows
+
+
+def fragments(texts: Texts, alive: np.ndarray, window: int, gram: int) -> tuple[np.ndarray, ...]:
+    """(text, first, last, digits): windows whose anchor's digit is among the alive (sorted), by kind, with the hash of both digits."""
+    side = (window - gram) // 2
+    text, first, last, anchor, digit = runs(texts.raw[: texts.bounds[-1]], texts.bounds, window, gram)
+    at = np.minimum(np.searchsorted(alive, digit), max(len(alive) - 1, 0))
+    keep = alive[at] == digit if len(alive) else np.zeros(len(digit), bool)
+    text, first, last, anchor, digit = text[keep], first[keep], last[keep], anchor[keep], digit[keep]
+    out = []
+    for kind, x, y, beside in ((1, first, np.minimum(last, anchor - side), anchor - side), (2, np.maximum(first, anchor - side + 1), last, anchor + gram)):
+        on = x <= y
+        both = _mix(digit[on] * ODD2 + hashes_at(texts.raw, beside[on], side) + np.uint64(kind))
+        out.append((text[on], x[on], y[on], both))
+    return tuple(np.concatenate(x) for x in zip(*out, strict=True))
 
 
 def plan(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, spans (binary, pairs of little-endian longs: start, end of every removed run), kept_sha256."""
+    if (window - gram) // 2 < 8 or gram < 8:
+        raise ValueError("digits of fewer than 8 bytes are not supported")
+    small_batches(docs.sparkSession)
     rows = text_of(docs)
     total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    parts, side = max(64, -(-int(total) // BUCKET)), (window - gram) // 2
-
-    def gathered(frames: Iterator[pd.DataFrame]) -> Iterator[tuple[list[int], list[bytes]]]:
-        ids, texts, size = [], [], 0
-        for frame in frames:
-            for doc, text in zip(frame.doc_id, frame.text, strict=True):
-                ids.append(doc)
-                texts.append(text.encode("utf-8", "replace"))
-                size += len(texts[-1])
-                if size >= GATHER:
-                    yield ids, texts
-                    ids, texts, size = [], [], 0
-        if ids:
-            yield ids, texts
+    homes = max(24, -(-int(total) // HOME))
+    width = -(-(window + (window - gram + 2) // 2) // 8) * 8  # bytes of the longest fragment, and more
 
+    @tidied
     def first_pass(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        """Kind 0: one row for each run that differs, with its smallest document here; kind 1: answers that this part knows already."""
-        for ids, texts in gathered(frames):
-            found = [[x for i, x in enumerate(runs(t, window, gram)) if i in (0, 1, 5, 6)] for t in texts]
-            doc = np.repeat(np.array(ids, "<i8"), [len(x[0]) for x in found])
-            digit, whole, left, right = (np.concatenate([x[i] for x in found]) for i in range(4))
-            del found
-            order, start = _owners(doc, digit, whole)
-            doc, digit, whole, left, right = doc[order], digit[order], whole[order], left[order], right[order]
-            late = doc > doc[start]
-            own = start == np.arange(len(doc))
-            bucket = ((digit >> S32) % np.uint64(parts)).astype(np.int64)
-            high = (whole >> S32).astype("<u1")
-            for key, blob in pack(bucket[own], doc[own], [digit[own].astype("<u4"), whole[own].astype("<u4"), high[own], left[own], right[own]]):
-                yield _frame([(0, key, blob)], ["kind", "key", "blob"])
-            for key, blob in pack(_home(doc[late], parts), doc[late], [_run_id(digit[late], whole[late])]):
-                yield _frame([(1, key, blob)], ["kind", "key", "blob"])
-
-    def second_pass(frame: pd.DataFrame) -> pd.DataFrame:
-        """Answers, kind 1: runs that an earlier document has as a whole; kinds 2 and 3: runs to be sorted on, window by window, because
-        another document's run agrees on the left or on the right of the anchor. Of the bytes of a window beside the anchor, half at
-        least lie on one side, so runs that agree on neither side share no window."""
+        """Kind 0, by bucket: digits that one document here has, with its home, and once each, without a home, those that several
+        have; the homes of these hear of it at once, as kind 1."""
+        for gathered in _gathered(frames):
+            ids = np.array([d for d, _ in gathered], np.int64)
+            bounds = np.append(0, np.cumsum([len(t) for _, t in gathered])).astype(np.int64)
+            raw = np.frombuffer(b"".join([*(t for _, t in gathered), bytes(8)]), np.uint8)
+            text, _, _, _, digit = runs(raw[: bounds[-1]], bounds, window, gram)
+            order = np.lexsort((ids[text], digit))
+            digit, doc = digit[order], ids[text][order]
+            at = np.flatnonzero(np.append(True, digit[1:] != digit[:-1])) if len(digit) else np.zeros(0, int)
+            size = np.diff(np.append(at, len(digit)))
+            several = doc[at] != doc[at + size - 1]
+            homes_of = _home(doc, homes)
+            sent, to = digit[at], np.where(several, NOWHERE, homes_of[at])
+            bucket = ((sent >> S32) % np.uint64(homes)).astype(np.int64)
+            order = np.argsort(bucket, kind="stable")
+            out = [(0, key, pack_digits(sent[order[x:y]], to[order[x:y]])) for key, x, y in _cuts(bucket[order])]
+            known = np.repeat(several, size)
+            digit, home = digit[known], homes_of[known]
+            order = np.lexsort((digit, home))
+            digit, home = digit[order], home[order]
+            fresh = np.append(True, (digit[1:] != digit[:-1]) | (home[1:] != home[:-1]))[: len(digit)]
+            digit, home = digit[fresh], home[fresh]
+            out += [(1, key, pack_digits(digit[x:y], None)) for key, x, y in _cuts(home)]
+            yield _rows(out)
+
+    def first_sorted(frame: pd.DataFrame) -> pd.DataFrame:
+        """Digits that more than one document may have, by home."""
+        if frame.kind.iloc[0] == 1:
+            return frame
+        digit, home = unpack_digits(frame.blob, True)
+        order = np.argsort(digit)
+        digit, home = digit[order], home[order]
+        at = np.flatnonzero(np.append(True, digit[1:] != digit[:-1])) if len(digit) else np.zeros(0, int)
+        size = np.diff(np.append(at, len(digit)))
+        alive = np.repeat((size > 1) | (home[at] == NOWHERE), size) & (home != NOWHERE)
+        digit, home = digit[alive], home[alive].astype(np.int64)
+        order = np.argsort(home, kind="stable")
+        return _rows([(1, key, pack_digits(digit[order[x:y]], None)) for key, x, y in _cuts(home[order])])
+
+    @tidied
+    def to_homes(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for gathered in _gathered(frames):
+            home = _home(np.array([d for d, _ in gathered], np.int64), homes)
+            order = np.argsort(home, kind="stable")
+            yield pd.DataFrame([(key, fold_texts([gathered[i] for i in order[x:y]])) for key, x, y in _cuts(home[order])], columns=["key", "blob"])
+
+    def second_pass(blobs: pd.DataFrame, digits: pd.DataFrame) -> pd.DataFrame:
+        """Kind 0, by bucket: fragments, each once, for its smallest document; kind 1, by home: answers known here already."""
+        alive = np.unique(unpack_digits(digits.blob, False)[0])
+        if not len(blobs) or not len(alive):
+            return _rows([])
+        texts = Texts(unfold_texts(blobs.blob))
+        text, first, last, both = fragments(texts, alive, window, gram)
+        # groups of equal fragments: sorted by hash and compared as bytes
+        size = (last - first + window).astype(np.int64)
+        whole = np.zeros(len(text), np.uint64)
+        wide = _eights(texts.raw)
+        for at in range(0, width, 8):
+            left = np.clip(size - at, 0, 8).astype(np.uint64)
+            whole = (whole + (wide[first + at] & np.where(left == 8, ~np.uint64(0), (np.uint64(1) << (left * np.uint64(8))) - np.uint64(1)))) * ODD
+            whole ^= whole >> S32
+        doc, turn, begin = texts.docs[text], texts.turns[text], first - texts.bounds[text]
+        order = np.lexsort((turn, doc, size, whole, both))
+        head = np.ones(len(order), bool)
+        head[1:] = (both[order][1:] != both[order][:-1]) | (whole[order][1:] != whole[order][:-1]) | (size[order][1:] != size[order][:-1])
+        at = np.flatnonzero(head)
+        lead = np.repeat(order[at], np.diff(np.append(at, len(order)))) if len(order) else order
+        late = doc[order] > doc[lead]
+        mine, theirs = order[late], lead[late]
+        same = np.ones(len(mine), bool)
+        for at in range(0, width, 8):
+            left = np.clip(size[mine] - at, 0, 8).astype(np.uint64)
+            mask = np.where(left == 8, ~np.uint64(0), (np.uint64(1) << (left * np.uint64(8))) - np.uint64(1))
+            same &= (wide[first[mine] + at] & mask) == (wide[first[theirs] + at] & mask)
+        mine = mine[same]
+        by_place = mine[np.lexsort((begin[mine], turn[mine], doc[mine]))]
+        out = []
+        if len(by_place):
+            end = begin[by_place] + size[by_place]
+            at, _ = _joined(begin[by_place], end, doc[by_place], turn[by_place])
+            end = np.maximum.reduceat(end, at)
+            out = _answers(doc[by_place][at], turn[by_place][at], begin[by_place][at], end - begin[by_place][at], homes)
+        gone = np.zeros(len(text), bool)
+        gone[mine] = True
+        bucket = ((both >> S32) % np.uint64(homes)).astype(np.int64)
+        order = np.lexsort((both, bucket))
+        order = order[~gone[order]]
+        for key, x, y in _cuts(bucket[order]):
+            at = order[x:y]
+            tail = b"".join(texts.raw[a:b].tobytes() for a, b in zip(first[at].tolist(), (first[at] + size[at]).tolist(), strict=True))
+            out.append((0, key, pack(doc[at], turn[at], [begin[at].astype("<u4"), size[at].astype("u1"), both[at].astype("<u4")], tail)))
+        tidy()
+        return _rows(out)
+
+    def third_pass(frame: pd.DataFrame) -> pd.DataFrame:
+        """Answers, by home: windows that a smaller document has."""
         if frame.kind.iloc[0] == 1:
             return frame
-        doc, digit, whole, high, left, right = unpack(frame.blob, RUN)
-        order, start = _owners(doc, digit, whole, high)
-        doc, digit, whole, left, right = doc[order], digit[order], whole[order], left[order], right[order]
-        late = doc > doc[start]
-        out = [(1, k, b) for k, b in pack(_home(doc[late], parts), doc[late], [_run_id(digit[late].astype(np.uint64), whole[late].astype(np.uint64))])]
-        own = start == np.arange(len(doc))  # one run of a kind goes on
-        doc, digit, whole, left, right = doc[own], digit[own], whole[own], left[own], right[own]
-        for kind, side in ((2, left), (3, right)):
-            order, start = _owners(doc, digit, side)
-            several = np.zeros(len(doc), bool)
-            several[start[doc[order] != doc[order][start]]] = True
-            on = order[several[start] & (side[order] > 0)]
-            out += [(kind, k, b) for k, b in pack(_home(doc[on], parts), doc[on], [_run_id(digit[on].astype(np.uint64), whole[on].astype(np.uint64))])]
-        return _frame(out, ["kind", "key", "blob"]).astype({"kind": "int32", "key": "int64"})
-
-    def texts_home(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        """Compressed texts, one row for each part's documents of a home."""
-        import zstandard
-
-        squeeze = zstandard.ZstdCompressor(level=3).compress
-        for ids, texts in gathered(frames):
-            ids_ = np.array(ids, "<i8")
-            home = _home(ids_, parts)
-            for key in np.unique(home):
-                at = np.flatnonzero(home == key)
-                lengths = np.array([len(texts[i]) for i in at], "<i8")
-                blob = struct.pack("<I", len(at)) + ids_[at].tobytes() + lengths.tobytes() + squeeze(b"".join(texts[i] for i in at))
-                yield _frame([(int(key), blob)], ["key", "blob"])
-
-    def unfold(blobs) -> Iterator[tuple[int, bytes]]:
-        import zstandard
-
-        for blob in blobs:
-            n = struct.unpack_from("<I", blob)[0]
-            ids, lengths = np.frombuffer(blob, "<i8", n, 4).tolist(), np.frombuffer(blob, "<i8", n, 4 + 8 * n).tolist()
-            texts, at = zstandard.ZstdDecompressor().decompress(blob[4 + 16 * n :]), 0
-            for doc, size in zip(ids, lengths, strict=True):
-                yield doc, texts[at : at + size]
-                at += size
-
-    def by_doc(blobs) -> dict[int, np.ndarray]:
-        doc, ids = unpack(blobs, ANSWER)
-        order = np.argsort(doc, kind="stable")
-        doc, ids = doc[order], ids[order]
-        at = np.flatnonzero(np.diff(doc, prepend=doc[:1] - 1))
-        return dict(zip(doc[at].tolist(), np.split(ids, at[1:]), strict=True)) if len(at) else {}
-
-    def done(doc: int, text: bytes, spans: np.ndarray) -> tuple:
-        spans, at, digest = covered(spans, len(text)), 0, hashlib.sha256()
-        for start, end in spans.tolist():
-            digest.update(text[at:start])
-            at = end
-        digest.update(text[at:])
-        return doc, len(text), int((spans[:, 1] - spans[:, 0]).sum()), len(spans), spans.astype("<i8").tobytes(), digest.hexdigest()
+        (doc, turn, begin, size, both), tail = unpack(frame.blob, FRAGMENT)
+        at = np.append(0, np.cumsum(size.astype(np.int64)))[:-1]
+        order = np.lexsort((doc, both))
+        head = np.flatnonzero(np.append(True, both[order][1:] != both[order][:-1])) if len(order) else np.zeros(0, int)
+        count = np.diff(np.append(head, len(order)))
+        several = np.repeat(doc[order[head]] != doc[order[head + count - 1]], count)
+        order = order[several]  # digits that one document has go
+        raw = np.frombuffer(tail + bytes(8), np.uint8)
+        windows = size[order].astype(np.int64) - window + 1
+        # slices end where the digits change
+        place, limit, cut = np.cumsum(windows), SORTED, [0]
+        changes = np.flatnonzero(np.append(both[order][1:] != both[order][:-1], True)) + 1 if len(order) else np.zeros(0, int)
+        for c in changes.tolist():
+            if place[c - 1] >= limit or c == len(order):
+                cut.append(c)
+                limit = place[c - 1] + SORTED
+        found = []
+        for x, y in zip(cut, cut[1:], strict=False):
+            part, n = order[x:y], windows[x:y]
+            owner = np.repeat(np.arange(x, y), n)
+            inside = np.arange(n.sum()) - np.repeat(np.append(0, np.cumsum(n)[:-1]), n)
+            late = repeated(raw, at[order[owner]] + inside, doc[order[owner]], window)
+            if len(late):
+                late = np.sort(late)
+                owner, inside = owner[late], inside[late]
+                a, b = _joined(inside, inside + 1, owner)
+                frag = order[owner[a]]
+                found.append((doc[frag], turn[frag], begin[frag] + inside[a], inside[b] - inside[a] + window))
+        tidy()
+        return _rows(_answers(*(np.concatenate(c) for c in zip(*found, strict=True)), homes) if found else [])
 
     out_columns = ["doc_id", "n_bytes", "n_removed", "n_spans", "spans", "kept_sha256"]
 
-    def third_pass(texts: pd.DataFrame, answers: pd.DataFrame) -> pd.DataFrame:
-        """Documents with nothing pending are done. The others wait in one blob, with their spans so far and the runs of windows in
-        question. Each window that differs goes off once from here, for its smallest document; the later ones here know already."""
-        whole_runs, on_left, on_right = (by_doc(answers.blob[answers.kind == k]) for k in (1, 2, 3))
-        none, out, waiting = np.zeros(0, np.uint64), [], []
-        spots: list[tuple[np.ndarray, ...]] = []
-        for doc, text in unfold(texts.blob):
-            known, by_left, by_right = whole_runs.get(doc, none), on_left.get(doc, none), on_right.get(doc, none)
-            spans = np.zeros((0, 2), np.int64)
-            if len(known) or len(by_left) or len(by_right):
-                digit, whole, first, last, anchor, *_ = runs(text, window, gram)
-                ids = _run_id(digit, whole)
-                at = np.isin(ids, known)
-                spans = covered(np.stack([first[at], last[at] + window], 1), len(text))
-            begin = end = np.zeros(0, np.int64)
-            if len(by_left) or len(by_right):
-                from_left, from_right = np.isin(ids, by_left), np.isin(ids, by_right)
-                # windows with more than `side` bytes on the left of the anchor need agreement there, all others on the right
-                begin = np.where(from_left, first, np.maximum(first, anchor - side + 1))
-                end = np.where(from_right, last, np.minimum(last, anchor - (window - gram - side) - 1))
-                at = (from_left | from_right) & ~at & (begin <= end)
-                begin, end = begin[at], end[at]
-            if len(begin):
-                starts = _starts(begin, end)
-                spots.append((np.full(len(starts), doc, "<i8"), np.full(len(starts), len(waiting)), starts, *_spots(text, starts, window)))
-                waiting.append([doc, text, spans, covered(np.stack([begin, end + 1], 1), len(text))])
-            else:
-                out.append((0, *done(doc, text, spans)))
-        home = int(texts.key.iloc[0]) if len(texts) else 0
-        if waiting:
-            doc, place, begin, h1, h2 = (np.concatenate(x) for x in zip(*spots, strict=True))
-            order, start = _owners(doc, h1, h2)
-            doc, place, begin, h1, h2 = doc[order], place[order], begin[order], h1[order], h2[order]
-            late = doc > doc[start]
-            by_place = np.argsort(place[late], kind="stable")
-            hits = np.split(begin[late][by_place], np.cumsum(np.bincount(place[late], minlength=len(waiting)))[:-1])
-            for w, hit in zip(waiting, hits, strict=True):
-                w[2] = covered(np.concatenate([w[2], np.stack([hit, hit + window], 1)]), len(w[1]))
-            own = start == np.arange(len(doc))
-            doc, h1, h2 = doc[own], h1[own], h2[own]
-            out.append((1, home, 0, 0, 0, fold(waiting), ""))
-            out += [(2, key, 0, 0, 0, blob, "") for key, blob in pack((h1 % np.uint64(parts)).astype(np.int64), doc, [h1, h2])]
-        return _frame(out, ["kind", *out_columns]).astype({"kind": "int32"})
-
-    def fold(waiting: list[list]) -> bytes:
-        import zstandard
-
-        numbers = [np.array([w[0] for w in waiting]), *(np.array([len(w[i]) for w in waiting]) for i in (1, 2, 3)), *(np.diff(w[i].ravel(), prepend=0) for w in waiting for i in (2, 3))]
-        squeeze = zstandard.ZstdCompressor(level=3).compress
-        packed = squeeze(np.concatenate(numbers).astype("<i8").tobytes())
-        return struct.pack("<II", len(waiting), len(packed)) + packed + squeeze(b"".join(w[1] for w in waiting))
-
-    def unfolded(blob: bytes) -> Iterator[tuple[int, bytes, np.ndarray, np.ndarray]]:
-        import zstandard
-
-        n, size = struct.unpack_from("<II", blob)
-        expand = zstandard.ZstdDecompressor().decompress
-        numbers, texts = np.frombuffer(expand(blob[8 : 8 + size]), "<i8"), expand(blob[8 + size :])
-        ids, lengths, n_spans, n_open = numbers[: 4 * n].reshape(4, n).tolist()
-        at, place = 4 * n, 0
-        for doc, length, a, b in zip(ids, lengths, n_spans, n_open, strict=True):
-            spans, open_ = np.cumsum(numbers[at : at + 2 * a]).reshape(-1, 2), np.cumsum(numbers[at + 2 * a : at + 2 * (a + b)]).reshape(-1, 2)
-            yield doc, texts[place : place + length], spans, open_
-            at, place = at + 2 * (a + b), place + length
-
-    def fourth_pass(frame: pd.DataFrame) -> pd.DataFrame:
-        """Groups of equal windows: all but the smallest document lose them."""
-        doc, h1, h2 = unpack(frame.blob, SPOT)
-        order, start = _owners(doc, h1, h2)
-        late = doc[order] > doc[order][start]
-        rows_ = order[late]
-        return _frame(list(pack(_home(doc[rows_], parts), doc[rows_], [h1[rows_]])), ["key", "blob"]).astype({"key": "int64"})
-
-    def last_pass(waiting: pd.DataFrame, answers: pd.DataFrame) -> pd.DataFrame:
-        found, none, out = by_doc(answers.blob), np.zeros(0, np.uint64), []
-        for blob in waiting.spans:
-            for doc, text, spans, open_ in unfolded(blob):
-                known = found.get(doc, none)
-                if len(known):
-                    starts = _starts(open_[:, 0], open_[:, 1] - 1)
-                    hit = starts[np.isin(_spots(text, starts, window)[0], known)]
-                    spans = np.concatenate([spans, np.stack([hit, hit + window], 1)])
-                out.append(done(doc, text, spans))
-        return _frame(out, out_columns)
-
-    blobs, out_schema = "key long, blob binary", "doc_id long, n_bytes long, n_removed long, n_spans long, spans binary, kept_sha256 string"
-    dealt = rows.mapInPandas(first_pass, "kind int, " + blobs)
-    answers = scratch(dealt.groupBy("kind", "key").applyInPandas(second_pass, "kind int, " + blobs), "answers")
-    homes = rows.mapInPandas(texts_home, blobs)
-    half = homes.groupBy("key").cogroup(answers.groupBy("key")).applyInPandas(third_pass, f"kind int, {out_schema}")
-    half = scratch(half, "halfway")
-    sent = half.where("kind = 2").select(F.col("doc_id").alias("key"), F.col("spans").alias("blob"))
-    replies = sent.groupBy("key").applyInPandas(fourth_pass, blobs)
-    waiting = half.where("kind = 1").select(F.col("doc_id").alias("home"), "spans")
-    last = waiting.groupBy("home").cogroup(replies.groupBy("key")).applyInPandas(last_pass, out_schema)
-    return half.where("kind = 0").select(*out_columns).unionByName(last)
-
-
-def _starts(first: np.ndarray, last: np.ndarray) -> np.ndarray:
-    n = last - first + 1
-    return np.repeat(first - np.append(0, np.cumsum(n)[:-1]), n) + np.arange(n.sum())
-
-
-def _spots(text: bytes, starts: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]:
-    """Two hashes of the windows that start there."""
-    h1, h2 = np.empty(len(starts), np.uint64), np.empty(len(starts), "<u2")
-    raw = np.frombuffer(text, np.uint8)
-    for begin in range(0, max(1, len(raw)), PART):
-        here = (starts >= begin) & (starts < begin + PART)
-        if here.any():
-            part, at = raw[begin : begin + PART + window], starts[here] - begin
-            h1[here], h2[here] = Rolling(part, 0).of(at, at + window), (Rolling(part, 1).of(at, at + window) & np.uint64(0xFFFF)).astype("<u2")
-    return h1, h2
+    def last_pass(blobs: pd.DataFrame, answers: pd.DataFrame) -> pd.DataFrame:
+        if not len(blobs):
+            return pd.DataFrame([], columns=out_columns)
+        texts = Texts(unfold_texts(blobs.blob))
+        (doc, turn, start, size), _ = unpack(answers.blob, ANSWER)
+        order = np.lexsort((turn, doc))
+        doc, turn, spans = doc[order], turn[order], np.stack([start[order], start[order].astype(np.int64) + size[order]], 1).astype(np.int64)
+        new = np.flatnonzero(np.append(True, (doc[1:] != doc[:-1]) | (turn[1:] != turn[:-1]))[: len(doc)])
+        lost = dict(zip(zip(doc[new].tolist(), turn[new].tolist(), strict=True), np.split(spans, new[1:]), strict=True)) if len(new) else {}
+        none, out = np.zeros((0, 2), np.int64), []
+        for i, (d, t) in enumerate(zip(texts.docs.tolist(), texts.turns.tolist(), strict=True)):
+            text = texts.of(i)
+            gone, at, digest = covered(lost.get((d, t), none), len(text)), 0, hashlib.sha256()
+            for a, b in gone.tolist():
+                digest.update(text[at:a])
+                at = b
+            digest.update(text[at:])
+            out.append((d, len(text), int((gone[:, 1] - gone[:, 0]).sum()), len(gone), gone.astype("<i8").tobytes(), digest.hexdigest()))
+        tidy()
+        return pd.DataFrame(out, columns=out_columns)
+
+    dealt = "kind int, key long, blob binary"
+    alive = rows.mapInPandas(first_pass, dealt).groupBy("kind", "key").applyInPandas(first_sorted, dealt)
+    texts = rows.mapInPandas(to_homes, "key long, blob binary").groupBy("key")
+    sent = texts.cogroup(alive.groupBy("key")).applyInPandas(second_pass, dealt)
+    answers = sent.groupBy("kind", "key").applyInPandas(third_pass, dealt)
+    return texts.cogroup(answers.groupBy("key")).applyInPandas(last_pass, "doc_id long, n_bytes long, n_removed long, n_spans long, spans binary, kept_sha256 string")

@@ -72,15 +72,42 @@ def test_substrings(docs, rows, empty):
     assert substrings.plan(empty).count() == 0
 
 
-def test_substrings_in_parts(spark, monkeypatch):
-    monkeypatch.setattr(substrings, "PART", 64)
+def test_windows_are_all_in_runs(monkeypatch):
     rng = random.Random(2)
-    for _ in range(20):
-        data = bytes(rng.choice(b"ab") for _ in range(rng.randint(0, 400)))
-        whole = substrings.runs(data, 50, 20)
-        monkeypatch.setattr(substrings, "PART", 10_000)
-        assert all((a == b).all() for a, b in zip(whole, substrings.runs(data, 50, 20), strict=True))
-        monkeypatch.setattr(substrings, "PART", 64)
+    for _ in range(60):
+        texts = [bytes(rng.choice(b"ab") for _ in range(rng.choice([0, 10, 49, 50, 51, 120, 400]))) for _ in range(rng.randint(1, 5))]
+        raw, bounds = np.frombuffer(b"".join(texts) + bytes(8), np.uint8), np.append(0, np.cumsum([len(t) for t in texts])).astype(np.int64)
+        monkeypatch.setattr(substrings, "PART", rng.choice([64, 10_000]))
+        text, first, last, anchor, _ = substrings.runs(raw[: bounds[-1]], bounds, 50, 20)
+        got = sorted((i, w) for i, a, b in zip(text.tolist(), first.tolist(), last.tolist(), strict=True) for w in range(a, b + 1))
+        assert got == [(i, int(bounds[i]) + k) for i, t in enumerate(texts) for k in range(len(t) - 49)]
+        assert (first <= anchor).all() and (anchor + 20 <= first + 50).all()
+
+
+def test_repeated_windows(spark, monkeypatch):
+    """Rows that share an id, phrases in many surroundings, sorted in small slices."""
+    monkeypatch.setattr(substrings, "SORTED", 100)
+    rng, rows = random.Random(3), [(0, None), (1, ""), (2, "x" * 49), (70, "long " * 900), (71, "long " * 200), (71, "long " * 200), (5, "q" * 60), (9, "q" * 51)]
+    base = ["".join(rng.choice("abc de") for _ in range(400)) for _ in range(3)]
+    for _ in range(60):
+        b, a = rng.choice(base), rng.randrange(300)
+        rows.append((rng.randrange(3, 50), "".join(rng.choice("xyz ") for _ in range(rng.randrange(60))) + b[a : a + rng.randrange(40, 200)] + "é" * rng.randrange(40)))
+    got = substrings.plan(spark.createDataFrame(rows, "doc_id long, text string").repartition(5)).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+    assert sorted(map(tuple, got.collect())) == sorted(removed(rows))
+
+
+def test_equal_hashes_are_not_enough(spark, monkeypatch):
+    """With hashes that all collide, results stay the same: bytes decide."""
+    monkeypatch.setattr(substrings, "_mix", lambda h: h * np.uint64(0))
+    rng = random.Random(4)
+    raw = bytes(rng.choice(b"ab") for _ in range(3000))
+    starts = np.arange(len(raw) - 49)
+    docs = starts // 1000
+    first = {}
+    for k in starts.tolist():
+        first.setdefault(raw[k : k + 50], int(docs[k]))
+    late = substrings.repeated(np.frombuffer(raw + bytes(8), np.uint8), starts, docs, 50)
+    assert sorted(late.tolist()) == [k for k in starts.tolist() if first[raw[k : k + 50]] < docs[k]]
 
 
 # 4: byte-level BPE
@@ -200,24 +227,32 @@ def test_estimates():
 # 8: line dedup
 
 
-def test_lines(docs, rows, empty):
+def lines_kept(rows):
     white = " \t\n\x0b\x0c\r"
     key = lambda line: re.sub("[A-Z]", lambda m: m.group().lower(), line.strip(white))
     holders = {}
     for i, t, *_ in rows:
         for line in (t or "").split("\n"):
             holders.setdefault(key(line), set()).add(i)
-    want = []
     for i, t, *_ in rows:
         lines = (t or "").split("\n")
         kept = [x for x in lines if not (len(key(x)) >= 10 and len(holders[key(x)]) > 1 and min(holders[key(x)]) != i)]
-        want.append((i, len(lines) - len(kept), "\n".join(kept)))
+        yield i, len(lines) - len(kept), "\n".join(kept)
+
+
+def test_lines(docs, rows, empty):
     got = linededup.rebuild(docs, keep_bitmap=True)
     assert got.columns[: len(docs.columns)] == docs.columns
-    assert sorted((r["doc_id"], r["n_dropped"], r["text"] or "") for r in got.collect()) == sorted(want)
+    assert sorted((r["doc_id"], r["n_dropped"], r["text"] or "") for r in got.collect()) == sorted(lines_kept(rows))
     assert linededup.rebuild(empty).count() == 0
 
 
+def test_lines_of_shared_and_extreme_ids(spark):
+    rows = [(1, "a" * 14), (2, "a" * 14 + "\nxx"), (2, "unique line of row b\nyy"), (-(2**63), "the first of all"), (2**63 - 1, " THE first of all\nk"), (3, "é" * 9), (4, "é" * 9), (5, "é" * 10), (6, "\té" + "é" * 9), (2, "a" * 14 + "\nxx")]
+    got = linededup.rebuild(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), keep_bitmap=True)
+    assert sorted((r["doc_id"], r["n_dropped"], r["text"]) for r in got.collect()) == sorted(lines_kept(rows))
+
+
 # 9: quality rules
 
 
@@ -277,6 +312,66 @@ def test_mixing(docs, rows, empty):
     assert mixing.assign(empty).count() == 0
 
 
+def test_mixture_by_replaying_blocks(docs, rows):
+    """The plan's slots, block by block over the sources' words, give what assign() says; shards hold what was drawn for them."""
+    plan = mixing.plan(docs).collect()
+    words = {}  # of each source: doc of each word, in order of doc_id (and of the text's hash, which equal ids leave open)
+    for r in sorted(mixing.layout(docs)[0].where("size > 0").collect(), key=lambda r: (r["src"], r["start"])):
+        assert len(words.setdefault(r["src"], [])) == r["start"]
+        words[r["src"]] += [(r["doc_id"], r["tie"], r["start"])] * r["size"]
+    taken, slots = Counter(), Counter()
+    for s in plan:
+        assert s["pass"] < mixing.CAP and 0 <= s["block"] * mixing.BLOCK < len(words[s["src"]])
+        slots[s["src"], s["pass"], s["block"]] += 1
+        taken.update(words[s["src"]][s["block"] * mixing.BLOCK : (s["block"] + 1) * mixing.BLOCK])
+    assert max(slots.values()) == 1  # a pass takes each block once
+    got = Counter()
+    for r in mixing.assign(docs).collect():
+        got[r["doc_id"], r["tie"]] += r["taken"]
+    want = Counter()
+    for (doc, tie, _), n in taken.items():
+        want[doc, tie] += n
+    assert +got == want
+
+
+def test_draws_decide(docs, monkeypatch):
+    """Without the draw of counts a shard, nothing is taken beyond the whole parts; another seed draws other counts."""
+    monkeypatch.setattr(mixing, "SHARD", 16)
+    counts = lambda seed: {(r["src"], r["shard"]): r["n"] for r in mixing.plan(docs, seed).groupBy("src", "shard").agg(F.count("*").alias("n")).collect()}
+    one, other = counts(0), counts(1)
+    assert one == counts(0) != other
+    shards = {k for _, k in one}
+    assert len(shards) > 3 and all(abs(sum(n for (_, k), n in one.items() if k == shard) - 16) <= 4 for shard in shards)
+    sources = mixing.layout(docs)[1]
+    whole = mixing.shard_counts(sources, len(shards), 0)
+    sure = {r["src"]: r["want"] // (len(shards) * mixing.UNIT) for r in sources.collect()}
+    drawn = {(r["src"], r["shard"]): 0 for r in whole.collect()}
+    for r in whole.collect():
+        drawn[r["src"], r["shard"]] += r["count"]
+    assert any(n > sure[src] for (src, _), n in drawn.items())
+
+
+def test_mixture_copies(docs, rows):
+    """mixture() holds each row as often as its words are taken on average, rounded either way."""
+    share = {(r["doc_id"], r["tie"]): 0.0 for r in mixing.assign(docs).collect()}
+    for r in mixing.assign(docs).where("taken > 0").collect():
+        share[r["doc_id"], r["tie"]] = max(share[r["doc_id"], r["tie"]], r["taken"] / r["size"])
+    copies = Counter((r["doc_id"], r["tie"]) for r in mixing.mixture(docs).select("doc_id", F.xxhash64("text").alias("tie")).collect())
+    rows_ = Counter((r["doc_id"], r["tie"]) for r in docs.select("doc_id", F.xxhash64("text").alias("tie")).collect())
+    assert copies and all(int(share[k]) <= copies[k] / rows_[k] <= -(-share[k] // 1) for k in share)
+
+
+def test_many_sources(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "SHARD", 64)
+    rng = random.Random(8)
+    made = [(i, " ".join(["w"] * rng.randint(1, 400)), f"host{rng.randrange(300)}") for i in range(1500)]
+    got = mixing.assign(spark.createDataFrame(made, "doc_id long, text string, source string").repartition(4)).toPandas()
+    per = got.groupby("src").agg(taken=("taken", "sum"), target=("target", "first"), size=("source_size", "first"))
+    assert (got.taken <= 2 * got["size"]).all() and (per.target <= 2 * per["size"] + 1e-9).all()
+    assert per.target.sum() == pytest.approx(1.5 * per["size"].sum())
+    assert abs(per.taken.sum() / per.target.sum() - 1) < 0.1  # sources of a dozen blocks: draws beyond two passes are void
+
+
 @pytest.mark.parametrize("n", [1, 2, 3, 64, 101])
 def test_shuffles_are_permutations(spark, n):
     got = spark.range(n).select(mixing.shuffled(F.col("id"), F.lit(n).cast("long"), F.lit("s")).alias("x")).collect()
