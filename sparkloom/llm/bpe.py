@@ -1,11 +1,14 @@
 """Byte-level BPE encoding and decoding with overlapping chunks.
 
-A text of more than CHUNK code points is cut into chunks that overlap by OVERLAP. Chunks are rows of their own, so one long
-document keeps many tasks busy. Each chunk is pre-tokenised from its first character on, which may be in the middle of a
-piece; the pattern looks at nothing before a piece, so from the first boundary that two neighbours share (both see what
-follows it) they agree. Stitching cuts there. Where an overlap holds no shared boundary, as within one endless run of letters,
-the text from the last sure boundary on is pre-tokenised anew across both chunks, which is exact. Pieces are encoded on their
-own, and decoding concatenates the bytes of the ids.
+Every text, long or short, goes the same way in three steps. It is cut into chunks of CHUNK code points that overlap by OVERLAP, and
+each chunk is pre-tokenised on its own, from its first character on, which may be in the middle of a piece. Then neighbours are
+stitched: the pattern looks at nothing before a piece, so from the first boundary that two neighbours share (both see what follows
+it) they agree, and the earlier one's pieces count up to there. Where an overlap holds no shared boundary, as within one endless run of
+letters, the text from the last sure boundary on is pre-tokenised anew across the chunks, once whenever it has doubled, which is
+exact and takes time in proportion. Only then are the pieces encoded. Decoding concatenates the bytes of the ids.
+
+Texts of more than SPREAD code points take these steps in several tasks (chunks as rows, stitched stretches as rows), others in the
+task that reads them; the functions are the same, and so are the results.
 
 Defined results: a null or empty text has no ids; rows that share doc_id, or are equal altogether, are encoded each; an empty
 table gives an empty result; further columns are ignored. No text is cut short.
@@ -21,30 +24,34 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
-from .common import text_of
+from .common import small_batches, text_of, tidied
 
-CHUNK, OVERLAP = 32_768, 1_024
-#: Pieces that a worker remembers; beyond that it starts anew.
-REMEMBERED = 200_000
+CHUNK, OVERLAP = 4_096, 256
+#: Code points from which a text's steps are dealt to several tasks, and chunks or stretches that one row holds then.
+SPREAD, A_ROW = 1 << 18, 16
+#: Bytes of pieces that a worker remembers, about; beyond that it starts anew.
+REMEMBERED = 8_000_000
 
 _coders: dict[str, Coder] = {}
 
 
 class Known(dict):
-    """Piece -> ids; encodes a piece that it doesn't know."""
+    """Piece -> ids; encodes a piece that it doesn't know. Long pieces are not kept."""
 
     def __init__(self, encode: Callable):
-        self._encode = encode
+        self._encode, self._size = encode, 0
 
     def __missing__(self, piece: str) -> list[int]:
         got = self._encode(piece)
         if len(piece) < 32:
             self[piece] = got
+            self._size += 200 + 4 * len(piece)
         return got
 
     def trim(self) -> None:
-        if len(self) > REMEMBERED:
+        if self._size > REMEMBERED:
             self.clear()
+            self._size = 0
 
 
 class Coder:
@@ -61,12 +68,19 @@ class Coder:
         self.bpe = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
         self.known = Known(self.bpe._encode_single_piece)
 
-    def encode_piece(self, piece: str) -> list[int]:
-        return self.known[piece]
+    def pretokenised(self, text: str) -> list[str]:
+        """Pieces of a whole text, chunk by chunk."""
+        return [p for pieces in stitched(((start, chunk, self.find(chunk)) for start, chunk in cut(text)), self.find) for p in pieces]
+
+    def encode_pieces(self, pieces: list[str]) -> list[int]:
+        ids: list[int] = []
+        for got in map(self.known.__getitem__, pieces):
+            ids += got
+        self.known.trim()
+        return ids
 
     def encode(self, text: str) -> list[int]:
-        """A text of one chunk: the library finds and encodes the pieces in one go."""
-        return self.bpe.encode_ordinary(text)
+        return self.encode_pieces(self.pretokenised(text))
 
     def decode(self, ids: list[int]) -> bytes:
         return self.bpe.decode_bytes(ids)
@@ -78,43 +92,60 @@ def coder(ranks_path: str) -> Coder:
     return _coders[ranks_path]
 
 
-def cut(text: str, size: int = CHUNK, overlap: int = OVERLAP) -> Iterator[tuple[int, str]]:
+def cut(text: str, size: int | None = None, overlap: int | None = None) -> Iterator[tuple[int, str]]:
     """(start, chunk text) of every chunk."""
+    size, overlap = size or CHUNK, overlap or OVERLAP
     for start in range(0, max(1, len(text)), size):
         yield start, text[start : start + size + overlap]
         if start + size + overlap >= len(text):
             return
 
 
-def stitch(chunks: list[tuple[int, np.ndarray, list[list[int]], str]], find: Callable, encode_piece: Callable) -> list[int]:
-    """Ids of a text from its chunks (start, ends of pieces, ids of pieces, text), by start."""
-    start, ends, pieces, text = chunks[0]
-    begin, out = start, []  # what is pending starts at begin
-    for nxt in chunks[1:]:
-        n_start, n_ends, n_pieces, n_text = nxt
-        stop = start + len(text)
-        sure = ends[ends < stop]
-        common = np.intersect1d(sure[sure >= n_start], np.concatenate([[n_start], n_ends]))
-        if len(common):
-            at = common[0]
-            for p in pieces[: np.searchsorted(ends, at, "right")]:
-                out += p
-            first = 0 if at == n_start else int(np.searchsorted(n_ends, at)) + 1
-            start, ends, pieces, text, begin = n_start, n_ends[first:], n_pieces[first:], n_text, at
-        else:
-            last = int(sure[-1]) if len(sure) else begin
-            for p in pieces[: len(sure)]:
-                out += p
-            text = text[last - start :] + n_text[stop - n_start :]
-            start = begin = last
-            found = find(text)
-            ends = start + np.cumsum([len(p) for p in found])
-            pieces = [encode_piece(p) for p in found]
+def _ends(start: int, pieces: list[str]) -> list[int]:
+    out = []
     for p in pieces:
-        out += p
+        start += len(p)
+        out.append(start)
     return out
 
 
+def stitched(chunks: Iterator[tuple[int, str, list[str]]], find: Callable[[str], list[str]]) -> Iterator[list[str]]:
+    """The text's pieces, stretch by stretch, from its chunks in order: start, text, pieces when pre-tokenised alone."""
+    chunks = iter(chunks)
+    start, text, pieces = next(chunks, (0, "", []))
+    # the text from start on is open; pieces are its pieces as far as they are sure, unless more has been added since
+    waiting, tried = [text], len(text)
+    for n_start, n_text, n_pieces in chunks:
+        stop = start + sum(map(len, waiting))
+        if len(waiting) > 1:
+            if stop - start < 2 * tried:  # too little has come since the last try
+                waiting.append(n_text[stop - n_start :])
+                continue
+            text = "".join(waiting)
+            waiting, tried, pieces = [text], len(text), find(text)
+        ends = _ends(start, pieces)
+        while ends and ends[-1] >= stop:  # a piece that touches the end may go on
+            ends.pop()
+        theirs = {n_start, *_ends(n_start, n_pieces)}
+        shared = next((k for k, at in enumerate(ends) if at >= n_start and at in theirs), None)
+        if shared is not None:
+            yield pieces[: shared + 1]
+            at = ends[shared]
+            skip, first = n_start, 0
+            while skip < at:
+                skip += len(n_pieces[first])
+                first += 1
+            start, text, pieces = at, n_text[at - n_start :], n_pieces[first:]
+            waiting, tried = [text], len(text)
+        else:
+            if ends:
+                yield pieces[: len(ends)]
+                text = text[ends[-1] - start :]
+                start = ends[-1]
+            waiting, tried = [text, n_text[stop - n_start :]], len(text)
+    yield pieces if len(waiting) == 1 else find("".join(waiting))
+
+
 def _digest(code: Coder, ids: list[int]) -> tuple:
     return len(ids), hashlib.sha256(str(ids)[1:-1].replace(", ", " ").encode()).hexdigest(), hashlib.sha256(code.decode(ids)).hexdigest()
 
@@ -126,55 +157,67 @@ def _as_is(code: Coder, ids: list[int]) -> tuple:
 FORMS = {"ids": ("ids array<int>", _as_is), "digest": ("n_tokens long, ids_sha256 string, decoded_sha256 string", _digest)}
 
 
-def _split(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for frame in frames:
-        for doc_id, tie, text in zip(frame.doc_id, frame.tie, frame.text, strict=True):
-            rows = [(doc_id, tie, k, start, chunk) for k, (start, chunk) in enumerate(cut(text))]
-            for k in range(0, len(rows), 64):
-                yield pd.DataFrame(rows[k : k + 64], columns=["doc_id", "tie", "chunk", "start", "text"])
-
-
 def encode(docs: DataFrame, ranks_path: str, form: str = "ids") -> DataFrame:
     """doc_id and the ids, or what FORMS derives from them, of every row of docs."""
     columns, finish = FORMS[form]
     names = ["doc_id", *[c.split()[0] for c in columns.split(", ")]]
+    small_batches(docs.sparkSession)
     rows = text_of(docs)
 
-    def whole(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    @tidied
+    def here(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         code = coder(ranks_path)
         for frame in frames:
             yield pd.DataFrame([(d, *finish(code, code.encode(t))) for d, t in zip(frame.doc_id, frame.text, strict=True)], columns=names)
 
-    def pieces(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    @tidied
+    def chunks(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            for doc_id, tie, text in zip(frame.doc_id, frame.tie, frame.text, strict=True):
+                for k, first in enumerate(range(0, max(1, len(text) - OVERLAP), CHUNK * A_ROW)):
+                    yield pd.DataFrame([(doc_id, tie, k, first, text[first : first + CHUNK * A_ROW + OVERLAP])], columns=["doc_id", "tie", "nth", "start", "text"])
+
+    @tidied
+    def pretokenised(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """Pieces of each row's chunks, as their lengths. A row's own chunks are stitched at once."""
         code = coder(ranks_path)
         for frame in frames:
-            out = []
-            for row in frame.itertuples(index=False):
-                found = code.find(row.text)
-                ids = [code.encode_piece(p) for p in found]
-                code.known.trim()
-                ends = row.start + np.cumsum([len(p) for p in found])
-                out.append((row.doc_id, row.tie, row.chunk, row.start, ends.astype("<i8").tobytes(), np.array([len(x) for x in ids], "<i4").tobytes(), np.array([y for x in ids for y in x], "<i4").tobytes(), row.text))
-            yield pd.DataFrame(out, columns=["doc_id", "tie", "chunk", "start", "ends", "counts", "ids", "text"])
-
-    def join(frame: pd.DataFrame) -> pd.DataFrame:
+            yield frame.assign(sizes=[np.array([len(p) for p in code.pretokenised(t)], "<i4").tobytes() for t in frame.text])
+
+    def joined(frame: pd.DataFrame) -> pd.DataFrame:
+        """Stretches of sure pieces, A_ROW chunks long at least, for one text; equal rows stand for themselves."""
+        code, frame = coder(ranks_path), frame.sort_values("nth", kind="stable")
+        copies = int((frame.nth == 0).sum())
+
+        def parts() -> Iterator[tuple[int, str, list[str]]]:
+            for start, text, sizes in frame.drop_duplicates("nth")[["start", "text", "sizes"]].itertuples(index=False):
+                ends = np.cumsum(np.frombuffer(sizes, "<i4")).tolist()
+                yield start, text, [text[a:b] for a, b in zip([0, *ends], ends, strict=False)]
+
+        out = [(int(frame.doc_id.iloc[0]), int(frame.tie.iloc[0]), copies, k, "".join(pieces), np.array([len(p) for p in pieces], "<i4").tobytes()) for k, pieces in enumerate(stitched(parts(), code.find))]
+        return pd.DataFrame(out, columns=["doc_id", "tie", "copies", "nth", "text", "sizes"])
+
+    @tidied
+    def coded(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         code = coder(ranks_path)
-        frame = frame.sort_values("chunk")
-        copies = int((frame.chunk == 0).sum())
-        chunks = []
-        for row in frame.drop_duplicates("chunk").itertuples(index=False):
-            ids, at = np.frombuffer(row.ids, "<i4").tolist(), np.concatenate([[0], np.cumsum(np.frombuffer(row.counts, "<i4"))]).tolist()
-            chunks.append((row.start, np.frombuffer(row.ends, "<i8"), [ids[a:b] for a, b in zip(at, at[1:], strict=False)], row.text))
-        got = finish(code, stitch(chunks, code.find, code.encode_piece))
-        return pd.DataFrame([(int(frame.doc_id.iloc[0]), *got)] * copies, columns=names)
+        for frame in frames:
+            ids = []
+            for text, sizes in zip(frame.text, frame.sizes, strict=True):
+                ends = np.cumsum(np.frombuffer(sizes, "<i4")).tolist()
+                ids.append(np.array(code.encode_pieces([text[a:b] for a, b in zip([0, *ends], ends, strict=False)]), "<i4").tobytes())
+            yield frame[["doc_id", "tie", "copies", "nth"]].assign(ids=ids)
+
+    def finished(frame: pd.DataFrame) -> pd.DataFrame:
+        ids = np.frombuffer(b"".join(frame.sort_values("nth").ids), "<i4").tolist()
+        return pd.DataFrame([(int(frame.doc_id.iloc[0]), *finish(coder(ranks_path), ids))] * int(frame.copies.iloc[0]), columns=names)
 
     schema = f"doc_id long, {columns}"
-    short = rows.where(F.length("text") <= CHUNK).mapInPandas(whole, schema)
-    long = rows.where(F.length("text") > CHUNK).withColumn("tie", F.xxhash64("text"))
-    long = long.mapInPandas(_split, "doc_id long, tie long, chunk long, start long, text string")
-    spread = long.repartition("doc_id", "tie", "chunk")
-    coded = spread.mapInPandas(pieces, "doc_id long, tie long, chunk long, start long, ends binary, counts binary, ids binary, text string")
-    return short.unionByName(coded.groupBy("doc_id", "tie").applyInPandas(join, schema))
+    short = rows.where(F.length("text") <= SPREAD).mapInPandas(here, schema)
+    long = rows.where(F.length("text") > SPREAD).withColumn("tie", F.xxhash64("text")).mapInPandas(chunks, "doc_id long, tie long, nth long, start long, text string")
+    found = long.repartition("doc_id", "tie", "nth").mapInPandas(pretokenised, "doc_id long, tie long, nth long, start long, text string, sizes binary")
+    stretches = found.groupBy("doc_id", "tie").applyInPandas(joined, "doc_id long, tie long, copies int, nth long, text string, sizes binary")
+    ids = stretches.repartition("doc_id", "tie", "nth").mapInPandas(coded, "doc_id long, tie long, copies int, nth long, ids binary")
+    return short.unionByName(ids.groupBy("doc_id", "tie").applyInPandas(finished, schema))
 
 
 def decode(coded: DataFrame, ranks_path: str) -> DataFrame:

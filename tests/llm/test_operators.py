@@ -132,14 +132,36 @@ def test_bpe(docs, rows, empty, ranks):
 
 def test_stitching(ranks):
     code, rng = bpe.coder(ranks), random.Random(3)
-    for i in range(400):
-        text = "".join(rng.choice("ab  \n\n\t1é!'s日") for _ in range(rng.randint(1, 200))) if i % 3 else rng.choice("a 1") * rng.randint(1, 200) + "b"
-        chunks = []
-        for start, part in bpe.cut(text, rng.randint(3, 30), rng.randint(1, 20)):
-            found = code.find(part)
-            chunks.append((start, start + np.cumsum([len(p) for p in found]), [code.encode_piece(p) for p in found], part))
-        size_changes = [c for c in chunks if c[3]]
-        assert bpe.stitch(size_changes, code.find, code.encode_piece) == code.bpe.encode_ordinary(text)
+    for i in range(600):
+        text = "".join(rng.choice("ab  \n\n\t1é!'s日") for _ in range(rng.randint(0, 200))) if i % 3 else rng.choice("a 1") * rng.randint(1, 300) + rng.choice(["b", "", " b1"]) * rng.randint(0, 30)
+        size, overlap = rng.randint(3, 30), rng.randint(1, 20)
+        pieces = [p for part in bpe.stitched(((at, part, code.find(part)) for at, part in bpe.cut(text, size, overlap)), code.find) for p in part]
+        assert pieces == code.find(text)
+        assert code.encode_pieces(pieces) == code.bpe.encode_ordinary(text)
+
+
+def test_endless_runs_take_linear_time(ranks):
+    """Megabytes without a boundary are tried again only when what waits has doubled."""
+    code, seen = bpe.coder(ranks), []
+    find = lambda text: seen.append(len(text)) or code.find(text)
+    for text in ("a" * 3_000_000, "1" * 3_000_000, " " * 3_000_000, "é1" * 100_000):
+        seen.clear()
+        pieces = [p for part in bpe.stitched(((at, part, code.find(part)) for at, part in bpe.cut(text)), find) for p in part]
+        assert pieces == code.find(text) and sum(seen) <= 4 * len(text)
+
+
+def test_long_texts_in_several_tasks(spark, ranks, monkeypatch):
+    """The same ids, whether a text's steps are dealt out or not."""
+    monkeypatch.setattr(bpe, "CHUNK", 64)
+    monkeypatch.setattr(bpe, "OVERLAP", 16)
+    rng = random.Random(9)
+    texts = ["".join(rng.choice(["word", " ", "\n", "é", "12", "a" * 90, "  "]) for _ in range(rng.randint(0, 900))) for _ in range(30)]
+    rows = [*enumerate(texts), (3, texts[3]), (3, "another text of this id " * 90), (40, None)]
+    df, code = spark.createDataFrame(rows, "doc_id long, text string"), bpe.coder(ranks)
+    want = sorted((i, code.bpe.encode_ordinary(t or "")) for i, t in rows)
+    for spread in (100, 1 << 18):
+        monkeypatch.setattr(bpe, "SPREAD", spread)
+        assert sorted((r["doc_id"], list(r["ids"])) for r in bpe.encode(df, ranks).collect()) == want
 
 
 # 5: personal data
