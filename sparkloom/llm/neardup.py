@@ -2,19 +2,25 @@
 
 Every text's set of word shingles is sketched in one pass: the top bits of a shingle's hash choose one of 512 registers, and
 a register keeps the largest leading-zero count together with mantissa bits, 16 bits in all. Registers are compressed to a byte each
-for estimates. For bands they are folded in pairs, and six folded registers make a band, whose hash is the bucket key. Two sets of Jaccard similarity s share no band with probability (1 - s ** 6) ** 42 at most: 2e-9 at
-0.85, 3e-6 at 0.8; at 0.3, one pair in thirty meets, which keeps passages that many documents share from making candidates.
+for estimates. For bands they are folded in pairs, and six folded registers make a band, whose hash is the bucket key. Two sets
+of Jaccard similarity s share no band with probability (1 - s ** 6) ** 42 at most: 2e-9 at 0.85, 3e-6 at 0.8; at 0.3, one pair
+in thirty meets, which keeps passages that many documents share from making candidates.
 
 Equal sets are merged first, by a 128-bit digest. In each bucket, every member is paired with one leader, which is linear in the
-bucket. Pairs whose collision-corrected estimate is not far below the threshold are verified on the full sets of shingles,
-from the texts, and links are merged into components. Buckets that still hold several components are then searched in blocks:
-all members outside the largest component against all members, sketch by sketch, until every pair whose estimate passes lies in
-one component or has been verified. So groups of copies are never expanded into pairs, and no link is left untested because
-a group is large.
+bucket. Pairs whose sizes allow the threshold, and whose collision-corrected estimate is not MARGIN below it, are verified on the
+full sets of shingles, from the texts, and links are merged into components. Buckets that still hold several components are then
+searched in blocks, all members outside the largest component against all members, sketch by sketch: first for the two likeliest
+partners in each other component, which merges most of what belongs together, then, whether that found anything or not, until every
+pair whose estimate passes lies in one component or has been verified. So groups of copies are never expanded into pairs, and no
+link is left untested because a group is large.
+
+A pair's text meets its partner's once: the partner with many pairs is the hub, whose members are dealt in stretches of about STRETCH
+shingles, each with one copy of the hub's text, and streamed past it.
 
 Defined results: texts without words (null, empty or white) have an empty set, are linked with nothing and are kept; equal rows
-are linked; rows that share a doc_id count as one document; an empty table gives an empty result; further columns pass through
-keep_one() and are ignored elsewhere. A text of fewer words than a shingle is one shingle.
+are linked; rows that share a doc_id count as one document, which has the links of all its rows; rows without a doc_id are linked
+with nothing, have no component and are kept; an empty table gives an empty result; further columns pass through keep_one() and
+are ignored elsewhere. A text of fewer words than a shingle is one shingle.
 """
 
 from __future__ import annotations
@@ -25,16 +31,20 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from .common import scratch, text_of
+from .common import scratch, small_batches, text_of, tidied
 
 REGISTERS, MANTISSA, BANDS, ROWS = 512, 10, 42, 6
-#: A candidate is verified unless its estimate is this much below the threshold: 4.2 standard deviations of 512 registers at 0.8
-#: and 4.7 at 0.85, a chance of about 1e-5 or less for a pair at the threshold.
-MARGIN = 0.075
+#: A candidate is verified unless its estimate is this much below the threshold: more than 6 standard deviations of 512 registers at
+#: 0.8 and at 0.85, a chance of under 1e-9 for a pair at the threshold.
+MARGIN = 0.11
+#: Members of a bucket that are compared with as many others in one go.
 BLOCK = 1024
-#: Up to this size, the members of a bucket are compared row by row; larger buckets go by blocks.
+#: Up to this size, the members of a bucket are compared row by row; larger buckets go by blocks. Both compare all that is left.
 SMALL = 16
-REMEMBERED = 300_000
+#: Shingles of members that one copy of a hub's text serves, about.
+STRETCH = 200_000
+#: Words that a worker remembers; beyond that it starts anew.
+REMEMBERED = 60_000
 LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 M1, M2 = np.uint64(0xFF51AFD7ED558CCD), np.uint64(0xC4CEB9FE1A85EC53)  # fixed values: the finaliser of MurmurHash3
 S33 = np.uint64(33)
@@ -112,25 +122,29 @@ def estimate(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 def sketches(docs: DataFrame, n: int) -> DataFrame:
-    """doc_id, n, d1, d2 (digest of the set), bands array<long>, sig (the compressed registers, then the low halves of the bands)."""
+    """doc_id, tie (hash of the text), n, d1, d2 (digest of the set), bands array<long>, sig (the compressed registers, then the low
+    halves of the bands)."""
 
+    @tidied
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         import xxhash
 
         known = _Words()
         for frame in frames:
             out = []
-            for doc_id, text in zip(frame.doc_id, frame.text, strict=True):
+            for doc_id, tie, text in zip(frame.doc_id, frame.tie, frame.text, strict=True):
                 h = hashes(words_of(text), n, known)
                 d = np.frombuffer(xxhash.xxh3_128_digest(h.tobytes()), "<i8").tolist()
                 registers = sketch(h)
                 keys = band_keys(registers)
-                out.append((doc_id, len(h), *d, keys.tolist(), compressed(registers).tobytes() + keys.astype("<u4").tobytes()))
+                out.append((doc_id, tie, len(h), *d, keys.tolist(), compressed(registers).tobytes() + keys.astype("<u4").tobytes()))
                 if len(known) > REMEMBERED:
                     known.clear()
-            yield pd.DataFrame(out, columns=["doc_id", "n", "d1", "d2", "bands", "sig"])
+            got = pd.DataFrame(out, columns=["doc_id", "tie", "n", "d1", "d2", "bands", "sig"])
+            yield got.assign(doc_id=frame.doc_id.to_numpy())
 
-    return text_of(docs).mapInPandas(run, "doc_id long, n long, d1 long, d2 long, bands array<long>, sig binary")
+    rows = text_of(docs).withColumn("tie", F.xxhash64("text"))
+    return rows.mapInPandas(run, "doc_id long, tie long, n long, d1 long, d2 long, bands array<long>, sig binary")
 
 
 def _registers(sig: pd.Series) -> tuple[np.ndarray, np.ndarray]:
@@ -158,135 +172,159 @@ def components(edges: DataFrame, labels: DataFrame | None = None) -> DataFrame:
             return labels
 
 
-def verify(pairs: DataFrame, texts: DataFrame, n: int, num: int, den: int) -> DataFrame:
-    """The pairs a, b whose full sets have den * intersection >= num * union."""
-
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        sets: dict[int, set] = {}
+PAIR = ["a", "ta", "b", "tb"]
 
-        def get(key: int, text: str) -> set:
-            if key not in sets:
-                if len(sets) >= 256:
-                    sets.clear()
-                sets[key] = shingles(text, n)
-            return sets[key]
 
-        for frame in frames:
-            out = []
-            for a, b, ta, tb in zip(frame.a, frame.b, frame.ta, frame.tb, strict=True):
-                sa, sb = get(a, ta), get(b, tb)
-                inter = len(sa & sb)
-                if inter and den * inter >= num * (len(sa) + len(sb) - inter):
-                    out.append((a, b))
-            yield pd.DataFrame(out, columns=["a", "b"])
+def _pairs(rows: DataFrame, one: tuple[str, str], two: tuple[str, str]) -> DataFrame:
+    """a, ta, b, tb: each pair once. The partner with the smaller hash is a, as it is the leader of a bucket, so hubs are on that side."""
+    first = F.struct(F.xxhash64(*one).alias("h"), F.col(one[0]).alias("doc"), F.col(one[1]).alias("tie"))
+    second = F.struct(F.xxhash64(*two).alias("h"), F.col(two[0]).alias("doc"), F.col(two[1]).alias("tie"))
+    both = rows.select(F.least(first, second).alias("x"), F.greatest(first, second).alias("y"))
+    return both.where("x <> y").select(F.col("x.doc").alias("a"), F.col("x.tie").alias("ta"), F.col("y.doc").alias("b"), F.col("y.tie").alias("tb")).distinct()
 
-    left = pairs.join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("ta")), "a")
-    both = left.join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("tb")), "b")
-    return both.select("a", "b", "ta", "tb").mapInPandas(run, "a long, b long")
 
+def verify(pairs: DataFrame, texts: DataFrame, n: int, num: int, den: int) -> DataFrame:
+    """a, b of the pairs a, ta, b, tb, na (shingles of a) whose full sets have den * intersection >= num * union."""
 
-def _estimated(pairs: DataFrame, classes: DataFrame) -> DataFrame:
-    one, two = classes.select(F.col("rep").alias("a"), F.col("sig").alias("sa")), classes.select(F.col("rep").alias("b"), F.col("sig").alias("sb"))
+    @tidied
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        key, hub = None, set()
+        for frame in frames:
+            out = []
+            for a, ta, b, text in zip(frame.a, frame.ta, frame.b, frame.text, strict=True):
+                if pd.isna(b):  # a hub comes before its members
+                    if key != (a, ta):
+                        key, hub = (a, ta), shingles(text, n)
+                    continue
+                mine = shingles(text, n)
+                inter = len(hub & mine)
+                if inter and den * inter >= num * (len(hub) + len(mine) - inter):
+                    out.append((a, int(b)))
+            yield pd.DataFrame(out, columns=["a", "b"], dtype="int64")
+
+    # what a hub's members need in all says into how many stretches they go
+    many = pairs.groupBy("a", "ta").agg(F.ceil(F.sum("na") / STRETCH).cast("int").alias("many")).where("many > 1")
+    dealt = pairs.join(many, ["a", "ta"], "left").withColumn("salt", F.pmod(F.xxhash64("b", "tb"), F.coalesce("many", F.lit(1))).cast("int"))
+    dealt = scratch(dealt.select(*PAIR, "salt"), "dealt")
+    members = dealt.join(texts.select(F.col("doc_id").alias("b"), F.col("tie").alias("tb"), "text"), ["b", "tb"]).select("a", "ta", "salt", "b", "text")
+    hubs = dealt.select("a", "ta", "salt").distinct().join(texts.select(F.col("doc_id").alias("a"), F.col("tie").alias("ta"), "text"), ["a", "ta"])
+    rows = hubs.select("a", "ta", "salt", F.lit(None).cast("long").alias("b"), "text").unionByName(members)
+    return rows.repartition("a", "ta", "salt").sortWithinPartitions("a", "ta", "salt", F.col("b").asc_nulls_first()).select("a", "ta", "b", "text").mapInPandas(run, "a long, b long")
+
+
+def _estimated(pairs: DataFrame, classes: DataFrame, num: int, den: int) -> DataFrame:
+    """The pairs that may reach the threshold, with na: their sizes allow it, and their estimate is not MARGIN below."""
+    side = lambda x: classes.select(F.col("rep").alias(x), F.col("tie").alias(f"t{x}"), F.col("n").alias(f"n{x}"), F.col("sig").alias(f"s{x}"))
 
     @F.pandas_udf(T.DoubleType())
     def est(sa: pd.Series, sb: pd.Series) -> pd.Series:
         return pd.Series(estimate(_registers(sa)[0], _registers(sb)[0]))
 
-    joined = pairs.join(one, "a").join(two, "b")
-    return joined.select("a", "b", est("sa", "sb").alias("est"))
+    joined = pairs.join(side("a"), ["a", "ta"]).join(side("b"), ["b", "tb"]).where(F.least("na", "nb") * den >= F.greatest("na", "nb") * num)
+    return joined.select(*PAIR, "na", est("sa", "sb").alias("est")).where(F.col("est") >= num / den - MARGIN).drop("est")
 
 
-def _blocks(members: DataFrame, floor: float, top: int) -> DataFrame:
-    """members: band, v, doc, comp, sig, main (the bucket's largest component), size. a, b: in each block of a bucket, each
-    outsider's candidates in each other component, all of them or, where top is given, only the likeliest. A pair comes from
-    the first band that it shares."""
-    parts = F.ceil(F.col("size") / BLOCK).cast("int")
-    own = members.select("band", "v", F.pmod(F.xxhash64("doc"), parts).cast("int").alias("block"), "doc", "comp", "sig", F.lit(False).alias("asks"))
-    out = members.where("comp <> main").withColumn("block", F.explode(F.sequence(F.lit(0), parts - 1)))
-    out = out.select("band", "v", "block", "doc", "comp", "sig", F.lit(True).alias("asks"))
+def _blocks(members: DataFrame, num: int, den: int, top: int) -> DataFrame:
+    """members: band, v, doc, tie, n, comp, sig, main (the bucket's largest component), size, outs (members outside it). In each
+    block of a bucket with each block of its outsiders, an outsider's candidates in each other component, all of them or, where
+    top is given, only the likeliest. A pair comes from the first band that it shares."""
+    floor = num / den - MARGIN
+    columns = ["band", "v", "block", "ask", "doc", "tie", "n", "comp", "sig"]
+    blocks, asks = F.ceil(F.col("size") / BLOCK).cast("int"), F.ceil(F.col("outs") / BLOCK).cast("int")
+    # blocks by hash of the whole row's identity: even, and the same for a member wherever it is sent
+    home = lambda many, salt: F.pmod(F.xxhash64("doc", "tie", F.lit(salt)), many).cast("int")
+    own = members.withColumn("block", home(blocks, 1)).withColumn("ask", F.explode(F.sequence(F.lit(0), asks - 1))).select(*columns, F.lit(False).alias("asks"))
+    out = members.where("comp <> main").withColumn("ask", home(asks, 2)).withColumn("block", F.explode(F.sequence(F.lit(0), blocks - 1))).select(*columns, F.lit(True).alias("asks"))
 
     def run(frame: pd.DataFrame) -> pd.DataFrame:
         asks = frame.asks.to_numpy()
-        got_a, got_b = [], []
+        got: list[tuple[np.ndarray, np.ndarray]] = []
         if asks.any() and not asks.all():
-            (reg, keys), doc, comp = _registers(frame.sig), frame.doc.to_numpy(), frame.comp.to_numpy()
-            own_reg, own_keys, own_doc, own_comp = reg[~asks], keys[~asks], doc[~asks], comp[~asks]
+            (reg, keys), doc, tie, comp, size = _registers(frame.sig), frame.doc.to_numpy(), frame.tie.to_numpy(), frame.comp.to_numpy(), frame.n.to_numpy()
+            mine = np.flatnonzero(~asks)
+            own_reg, own_keys, own_comp, own_size = reg[mine], keys[mine], comp[mine], size[mine]
             band = int(frame.band.iloc[0])
             for i in np.flatnonzero(asks):
-                at = np.flatnonzero(own_comp != comp[i])
+                fits = np.minimum(own_size, size[i]) * den >= np.maximum(own_size, size[i]) * num
+                at = np.flatnonzero((own_comp != comp[i]) & fits)
                 e = estimate(own_reg[at], reg[i][None])
                 at, e = at[e >= floor], e[e >= floor]
                 same = (own_keys[at] == keys[i]) & (keys[i] != 0)
                 first = same.argmax(1) == band
                 at, e = at[first], e[first]
                 if top and len(at):
-                    order = np.lexsort((own_doc[at], -e, own_comp[at]))
+                    order = np.lexsort((doc[mine[at]], -e, own_comp[at]))
                     at = at[order]
                     c = own_comp[at]
                     starts = np.flatnonzero(np.append(True, c[1:] != c[:-1]))
                     rank = np.arange(len(at)) - np.repeat(starts, np.diff(np.append(starts, len(at))))
                     at = at[rank < top]
-                got_a.append(np.full(len(at), doc[i]))
-                got_b.append(own_doc[at])
-        none = np.zeros(0, "int64")
-        return pd.DataFrame({"a": np.concatenate([none, *got_a]), "b": np.concatenate([none, *got_b])})
+                got.append((np.full(len(at), i), mine[at]))
+        x, y = (np.concatenate([np.zeros(0, np.int64), *side]) for side in (zip(*got, strict=True) if got else ((), ())))
+        if not len(x):
+            return pd.DataFrame({c: np.zeros(0, "int64") for c in ("a", "ta", "b", "tb", "na", "nb")})
+        return pd.DataFrame({"a": doc[x], "ta": tie[x], "b": doc[y], "tb": tie[y], "na": size[x], "nb": size[y]})
 
-    pairs = own.unionByName(out).groupBy("band", "v", "block").applyInPandas(run, "a long, b long")
-    return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    return own.unionByName(out).groupBy("band", "v", "block", "ask").applyInPandas(run, "a long, ta long, b long, tb long, na long, nb long")
 
 
-def _few(members: DataFrame, classes: DataFrame, floor: float) -> DataFrame:
-    """The same for small buckets: a, b of each outsider with each member of other components; SMALL rows a member at most."""
+def _few(members: DataFrame) -> DataFrame:
+    """The same for small buckets: each outsider with each member of other components; SMALL rows a member at most."""
     small = members.where(F.col("size") <= SMALL)
-    own = small.select("band", "v", F.col("doc").alias("b"), F.col("comp").alias("cb"))
-    out = small.where("comp <> main").select("band", "v", F.col("doc").alias("a"), "comp")
-    pairs = out.join(own, ["band", "v"]).where("comp <> cb").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    return _estimated(pairs, classes).where(F.col("est") >= floor).select("a", "b")
+    own = small.select("band", "v", F.col("doc").alias("b"), F.col("tie").alias("tb"), F.col("comp").alias("cb"))
+    out = small.where("comp <> main").select("band", "v", F.col("doc").alias("a"), F.col("tie").alias("ta"), "comp")
+    return _pairs(out.join(own, ["band", "v"]).where("comp <> cb"), ("a", "ta"), ("b", "tb"))
 
 
 def groups(docs: DataFrame, n: int, num: int, den: int) -> DataFrame:
     """doc_id, n_shingles, component_id: one row for each row of docs."""
-    floor = num / den - MARGIN
+    small_batches(docs.sparkSession)
     sketched = scratch(sketches(docs, n), "sketches")
-    classes = sketched.where("n > 0").groupBy("d1", "d2").agg(F.min(F.struct("doc_id", "n", "bands", "sig")).alias("m"))
-    classes = scratch(classes.select("d1", "d2", F.col("m.doc_id").alias("rep"), "m.n", "m.bands", "m.sig"), "classes")
-    banded = classes.select(F.col("rep").alias("doc"), F.posexplode("bands").alias("band", "v")).where("v <> 0")
-    buckets = banded.groupBy("band", "v").agg(F.min(F.struct(F.xxhash64("doc").alias("h"), "doc")).alias("m"), F.count("*").alias("size"))
-    buckets = scratch(buckets.where("size > 1").select("band", "v", F.col("m.doc").alias("lead"), "size"), "buckets")
+    named = sketched.where("n > 0 and doc_id is not null")
+    classes = named.groupBy("d1", "d2").agg(F.min(F.struct("doc_id", "tie", "n", "bands", "sig")).alias("m"))
+    classes = scratch(classes.select("d1", "d2", F.col("m.doc_id").alias("rep"), "m.tie", "m.n", "m.bands", "m.sig"), "classes")
+    banded = classes.select(F.col("rep").alias("doc"), "tie", F.posexplode("bands").alias("band", "v")).where("v <> 0")
+    buckets = banded.groupBy("band", "v").agg(F.min(F.struct(F.xxhash64("doc", "tie").alias("h"), "doc", "tie")).alias("m"), F.count("*").alias("size"))
+    buckets = scratch(buckets.where("size > 1").select("band", "v", F.col("m.doc").alias("lead"), F.col("m.tie").alias("lead_tie"), "size"), "buckets")
     rows = scratch(banded.join(buckets, ["band", "v"]), "members")  # only those that meet anyone
-    pairs = rows.where("doc <> lead").select(F.least("doc", "lead").alias("a"), F.greatest("doc", "lead").alias("b")).distinct()
-    tested = scratch(_estimated(pairs, classes).where(F.col("est") >= floor).select("a", "b"), "tested")
-    met = rows.select(F.col("doc").alias("doc_id")).distinct()
-    texts = scratch(text_of(docs).join(met, "doc_id", "left_semi"), "texts")
+    tested = scratch(_estimated(_pairs(rows, ("doc", "tie"), ("lead", "lead_tie")), classes, num, den), "tested")
+    met = rows.select(F.col("doc").alias("doc_id"), "tie").distinct()
+    texts = scratch(text_of(docs).withColumn("tie", F.xxhash64("text")).join(met, ["doc_id", "tie"], "left_semi"), "texts")
     links = scratch(verify(tested, texts, n, num, den), "verified")
+    # rows of one doc_id are one document: their classes belong together
+    belongs = scratch(named.select("doc_id", "tie", "d1", "d2").join(classes.select("d1", "d2", "rep"), ["d1", "d2"]).select("doc_id", "tie", "rep"), "belongs")
+    several = belongs.groupBy("doc_id").agg(F.min("rep").alias("a"), F.max("rep").alias("most")).where("a < most")
+    links = links.union(belongs.join(several, "doc_id").where("rep <> a").select("a", F.col("rep").alias("b")).distinct())
     labels = components(links)
     # first the likeliest few, which merge most of what belongs together, then all that is left
     for top in (2, 0):
-        inside = rows.select("band", "v", "doc", "size").join(labels.withColumnRenamed("node", "doc"), "doc", "left")
+        inside = rows.select("band", "v", "doc", "tie", "size").join(labels.withColumnRenamed("node", "doc"), "doc", "left")
         inside = inside.withColumn("comp", F.coalesce("comp", "doc"))
         counts = inside.groupBy("band", "v", "comp").agg(F.count("*").alias("c"))
-        mixed = counts.groupBy("band", "v").agg(F.max(F.struct("c", "comp")).alias("m"), F.count("*").alias("comps")).where("comps > 1")
-        mixed = scratch(mixed.select("band", "v", F.col("m.comp").alias("main")), "mixed")
-        members = inside.join(mixed, ["band", "v"]).join(classes.select(F.col("rep").alias("doc"), "sig"), "doc")
-        asked = _blocks(members.where(F.col("size") > SMALL), floor, top)
+        mixed = counts.groupBy("band", "v").agg(F.max(F.struct("c", "comp")).alias("m"), F.count("*").alias("comps"), F.sum("c").alias("all")).where("comps > 1")
+        mixed = scratch(mixed.select("band", "v", F.col("m.comp").alias("main"), (F.col("all") - F.col("m.c")).alias("outs")), "mixed")
+        members = inside.join(mixed, ["band", "v"])
+        large = members.where(F.col("size") > SMALL).join(classes.select(F.col("rep").alias("doc"), "tie", "n", "sig"), ["doc", "tie"])
+        asked = _blocks(large, num, den, top).select(F.col("a"), "ta", "b", "tb", "na", "nb")
+        # the partner with the smaller hash is a here, too
+        flip = F.xxhash64("b", "tb") < F.xxhash64("a", "ta")
+        asked = asked.select(*[F.when(flip, F.col(y)).otherwise(F.col(x)).alias(x) for x, y in (("a", "b"), ("ta", "tb"), ("b", "a"), ("tb", "ta"), ("na", "nb"))])
         if top:  # small buckets give all their pairs at once
-            asked = asked.union(_few(members, classes, floor))
-        asked = asked.distinct()
-        fresh = scratch(asked.join(tested, ["a", "b"], "left_anti"), "fresh")
+            asked = asked.unionByName(_estimated(_few(members), classes, num, den))
+        fresh = scratch(asked.dropDuplicates(PAIR).join(tested, PAIR, "left_anti").select(*PAIR, "na"), "fresh")
         if fresh.isEmpty():
-            break
+            continue
         found = scratch(verify(fresh, texts, n, num, den), "verified")
         tested = tested.union(fresh)
         if not found.isEmpty():
             links = links.union(found)
             labels = components(links, labels)
-    per_class = classes.join(labels.select(F.col("node").alias("rep"), "comp"), "rep", "left").select("d1", "d2", F.coalesce("comp", "rep").alias("comp"))
-    out = sketched.join(per_class, ["d1", "d2"], "left")
-    comp = F.when(F.col("n") > 0, F.col("comp")).otherwise(F.col("doc_id"))
-    return out.select("doc_id", F.col("n").alias("n_shingles"), comp.alias("component_id"))
+    comps = belongs.join(labels, belongs["rep"] == labels["node"], "left").select("doc_id", "tie", F.coalesce("comp", "rep").alias("comp")).groupBy("doc_id", "tie").agg(F.min("comp").alias("comp"))
+    out = sketched.select("doc_id", "tie", "n").join(comps, ["doc_id", "tie"], "left")
+    return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("comp", "doc_id").alias("component_id"))
 
 
 def keep_one(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100) -> DataFrame:
-    """The rows of docs with the smallest doc_id of each group; of equal rows with one doc_id, all stay."""
+    """The rows of docs with the smallest doc_id of each group; of rows with one doc_id, all stay, as do those without any."""
     kept = groups(docs, n, num, den).where("doc_id = component_id").select(F.col("doc_id").alias("__doc")).distinct()
-    return docs.join(kept, docs["doc_id"] == F.col("__doc"), "left_semi")
+    return docs.where("doc_id is not null").join(kept, docs["doc_id"] == F.col("__doc"), "left_semi").unionByName(docs.where("doc_id is null"))

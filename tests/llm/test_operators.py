@@ -201,36 +201,86 @@ def test_redaction(spark):
 
 
 def linked(rows, n, num, den):
-    sets = {i: neardup.shingles(t or "", n) for i, t, *_ in rows}
-    root = {i: i for i in sets}
+    """n_shingles of each row and component of each doc_id, by comparing all rows."""
+    sets = [(i, neardup.shingles(t or "", n)) for i, t, *_ in rows]
+    root = {i: i for i, _ in sets}
 
     def find(x):
         while root[x] != x:
             x = root[x]
         return x
 
-    for a in sets:
-        for b in sets:
-            inter = len(sets[a] & sets[b])
-            if a < b and inter and den * inter >= num * (len(sets[a]) + len(sets[b]) - inter):
+    for k, (a, one) in enumerate(sets):
+        for b, two in sets[:k]:
+            inter = len(one & two)
+            if inter and den * inter >= num * (len(one) + len(two) - inter):
                 lo, hi = sorted((find(a), find(b)))
                 root[hi] = lo
-    return {i: (len(sets[i]), find(i)) for i in sets}
+    return sorted((i, len(s), find(i)) for i, s in sets)
+
+
+def grouped(df, n, num, den):
+    return sorted((r["doc_id"], r["n_shingles"], r["component_id"]) for r in neardup.groups(df, n, num, den).collect())
 
 
 @pytest.mark.parametrize(("n", "num", "den"), [(3, 85, 100), (5, 80, 100)])
 def test_near_duplicates(docs, rows, n, num, den):
-    want = linked(rows, n, num, den)
-    got = neardup.groups(docs, n, num, den).collect()
-    assert len(got) == len(rows)
-    assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in got} == want
+    assert grouped(docs, n, num, den) == linked(rows, n, num, den)
 
 
 def test_near_duplicates_by_blocks(docs, rows, monkeypatch):
     monkeypatch.setattr(neardup, "SMALL", 2)
     monkeypatch.setattr(neardup, "BLOCK", 8)
-    want = linked(rows, 3, 85, 100)
-    assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in neardup.groups(docs, 3, 85, 100).collect()} == want
+    monkeypatch.setattr(neardup, "STRETCH", 200)
+    assert grouped(docs, 3, 85, 100) == linked(rows, 3, 85, 100)
+
+
+def changed(rng, words, many):
+    words = list(words)
+    for at in rng.sample(range(len(words)), many):
+        words[at] = f"new{rng.randrange(10**6)}"
+    return words
+
+
+def test_rows_that_share_an_id(spark):
+    """Such rows count as one document, which has the links of all its rows."""
+    rng = random.Random(12)
+    one, two, three = ([f"{x}{rng.randrange(10**6)}" for _ in range(200)] for x in "abc")
+    near = lambda w: " ".join(changed(rng, w, 1))
+    rows = [(1, near(one)), (2, near(one)), (2, near(two)), (3, near(two)), (5, near(two)), (7, near(three)), (8, " ".join(three)), (8, " ".join(three)), (9, near(three)), (10, "x"), (10, None), (11, "x")]
+    df = spark.createDataFrame([*rows, (None, "x"), (None, None)], "doc_id long, text string").repartition(3)
+    got = neardup.groups(df, 3, 85, 100).collect()
+    assert sorted((r["doc_id"], r["n_shingles"], r["component_id"]) for r in got if r["doc_id"] is not None) == linked(rows, 3, 85, 100)
+    assert sorted((r["n_shingles"], r["component_id"]) for r in got if r["doc_id"] is None) == [(0, None), (1, None)]
+    kept = [r["doc_id"] for r in neardup.keep_one(df, 3, 85, 100).collect()]
+    assert sorted(kept, key=str) == [1, 10, 10, 7, None, None]
+
+
+def test_large_buckets_of_several_components(spark):
+    """Chains of near copies within one bucket of more than SMALL members: links that are not to the leader, and not the likeliest."""
+    rng = random.Random(13)
+    base = [f"w{rng.randrange(10**6)}" for _ in range(400)]
+    rows = []
+    for k in range(6):
+        words = changed(rng, base, 26)
+        for _ in range(12):
+            rows.append((len(rows), " ".join(words)))
+            words = changed(rng, words, rng.randint(1, 9))
+    assert grouped(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), 3, 85, 100) == linked(rows, 3, 85, 100)
+
+
+@pytest.mark.parametrize("size", [8, 12, 20, 60, 300])
+def test_recall_at_the_threshold(spark, size):
+    """Pairs at the threshold or just above it, small sets among them: all are found, pairs just below are not linked."""
+    rng, rows, n = random.Random(size), [], 3
+    for k in range(0, 600, 2):
+        words = [f"w{rng.randrange(10**9)}" for _ in range(size + n - 1)]
+        tail = next((t for t in range(size, -1, -1) if 100 * (size - t) >= 85 * (size + t)), 0)  # words replaced at the end
+        tail += k % 4 // 2  # every second pair is below
+        rows += [(k, " ".join(words)), (k + 1, " ".join([*words[: len(words) - tail], *(f"v{rng.randrange(10**9)}" for _ in range(tail))]))]
+    want = linked(rows, n, 85, 100)
+    assert sum(i != c for i, _, c in want) == 150
+    assert grouped(spark.createDataFrame(rows, "doc_id long, text string").repartition(4), n, 85, 100) == want
 
 
 def test_near_duplicates_empty(empty):
@@ -485,7 +535,7 @@ def test_pipeline(spark, tmp_path):
     assert set(out) == set(given)
     out, given = seen["near_dedup"]
     want = linked([(i, r["text"]) for i, r in given.items()], 5, 80, 100)
-    assert set(out) == {i for i in given if want[i][1] == i}
+    assert set(out) == {i for i, _, c in want if c == i}
     out, given = seen["mixing"]
     assert set(out) <= set(given)
     out, given = seen["bpe"]
