@@ -18,7 +18,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from .common import WHITE, partitions, scratch
+from .common import WHITE, partitions, scratch, unused
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 BLOCKS = 1024
@@ -80,8 +80,9 @@ def kept_text(text: Column, runs: Column) -> Column:
 
 def rebuild(docs: DataFrame, min_chars: int = 10, keep_bitmap: bool = False) -> DataFrame:
     """docs with only the kept lines in text, all columns as they were; with keep_bitmap also n_dropped and runs."""
-    marks = bitmaps(docs, min_chars).select(F.col("doc_id").alias("__doc"), F.col("tie").alias("__tie"), F.col("n_dropped").alias("__n"), F.col("runs").alias("__runs"))
-    joined = docs.join(marks, (docs["doc_id"] == marks["__doc"]) & (row_hash(docs["text"]) == marks["__tie"]), "left")
-    columns = [kept_text(docs["text"], F.col("__runs")).alias("text") if c == "text" else docs[c] for c in docs.columns]
-    more = [F.coalesce(F.col("__n"), F.lit(0).cast("long")).alias("n_dropped"), F.col("__runs").alias("runs")] if keep_bitmap else []
+    doc, tie, n, runs = unused(docs, "__doc", "__tie", "__n", "__runs")
+    marks = bitmaps(docs, min_chars).select(F.col("doc_id").alias(doc), F.col("tie").alias(tie), F.col("n_dropped").alias(n), F.col("runs").alias(runs))
+    joined = docs.join(marks, (docs["doc_id"] == F.col(doc)) & (row_hash(docs["text"]) == F.col(tie)), "left")
+    columns = [kept_text(docs["text"], F.col(runs)).alias("text") if c == "text" else docs[c] for c in docs.columns]
+    more = [F.coalesce(F.col(n), F.lit(0).cast("long")).alias("n_dropped"), F.col(runs).alias("runs")] if keep_bitmap else []
     return joined.select(*columns, *more)

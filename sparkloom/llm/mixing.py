@@ -21,7 +21,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from .common import WHITE, partitions, scratch
+from .common import WHITE, partitions, scratch, unused
 
 BLOCK = 128
 #: Slots of an output shard.
@@ -167,9 +167,10 @@ def assign(docs: DataFrame, seed: int = 0) -> DataFrame:
 def mixture(docs: DataFrame, seed: int = 0) -> DataFrame:
     """docs, each row as often as its words are taken on average: taken / size, rounded by a hash of the row, so that rows
     that are barely taken go and rows taken twice stand twice. All columns as they were."""
-    got = assign(docs, seed).where("taken > 0").select(F.col("doc_id").alias("__doc"), F.col("tie").alias("__tie"), (F.col("taken") / F.col("size")).alias("__times"))
-    got = got.groupBy("__doc", "__tie").agg(F.max("__times").alias("__times"))
-    luck = F.pmod(F.xxhash64("__doc", "__tie", F.lit(seed), F.lit("copy")), F.lit(1 << 20)) / float(1 << 20)
-    copies = got.withColumn("__copies", F.floor(F.col("__times") + luck).cast("int")).where("__copies > 0")
-    rows = docs.join(copies, (docs["doc_id"] == F.col("__doc")) & (F.xxhash64(docs["text"]) == F.col("__tie")))
-    return rows.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies")))).select(*[docs[c] for c in docs.columns])
+    doc, tie, times, copies, copy = unused(docs, "__doc", "__tie", "__times", "__copies", "__copy")
+    got = assign(docs, seed).where("taken > 0").select(F.col("doc_id").alias(doc), F.col("tie").alias(tie), (F.col("taken") / F.col("size")).alias(times))
+    got = got.groupBy(doc, tie).agg(F.max(times).alias(times))
+    luck = F.pmod(F.xxhash64(doc, tie, F.lit(seed), F.lit("copy")), F.lit(1 << 20)) / float(1 << 20)
+    stand = got.withColumn(copies, F.floor(F.col(times) + luck).cast("int")).where(F.col(copies) > 0)
+    rows = docs.join(stand, (docs["doc_id"] == F.col(doc)) & (F.xxhash64(docs["text"]) == F.col(tie)))
+    return rows.withColumn(copy, F.explode(F.sequence(F.lit(1), F.col(copies)))).select(*[docs[c] for c in docs.columns])

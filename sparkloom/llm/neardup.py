@@ -31,7 +31,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from .common import scratch, small_batches, text_of, tidied
+from .common import scratch, small_batches, text_of, tidied, unused
 
 REGISTERS, MANTISSA, BANDS, ROWS = 512, 10, 42, 6
 #: A candidate is verified unless its estimate is this much below the threshold: more than 6 standard deviations of 512 registers at
@@ -326,5 +326,6 @@ def groups(docs: DataFrame, n: int, num: int, den: int) -> DataFrame:
 
 def keep_one(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100) -> DataFrame:
     """The rows of docs with the smallest doc_id of each group; of rows with one doc_id, all stay, as do those without any."""
-    kept = groups(docs, n, num, den).where("doc_id = component_id").select(F.col("doc_id").alias("__doc")).distinct()
-    return docs.where("doc_id is not null").join(kept, docs["doc_id"] == F.col("__doc"), "left_semi").unionByName(docs.where("doc_id is null"))
+    (mine,) = unused(docs, "__doc")
+    kept = groups(docs, n, num, den).where("doc_id = component_id").select(F.col("doc_id").alias(mine)).distinct()
+    return docs.where("doc_id is not null").join(kept, docs["doc_id"] == F.col(mine), "left_semi").unionByName(docs.where("doc_id is null"))

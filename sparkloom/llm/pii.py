@@ -25,7 +25,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from . import trees
-from .common import partitions, text_of
+from .common import partitions, text_of, unused
 from .spans import DOT, MARK, matches, neutral
 
 KINDS = ("email", "ip", "card", "phone", "account", "national_id", "local_phone", "loose_email")
@@ -145,8 +145,8 @@ def _coded(text: Column, k: int, kind: str, found: Column) -> Column:
 
 
 def candidates(docs: DataFrame) -> DataFrame:
-    """doc_id, cands: every span that a generator proposes, with its codes, and whether its base rule accepts it."""
-    rows = text_of(docs).select("doc_id", neutral(F.col("text")).alias("text"))
+    """doc_id, tie, cands: every span that a generator proposes, with its codes, and whether its base rule accepts it."""
+    rows = text_of(docs).select("doc_id", F.xxhash64("text").alias("tie"), neutral(F.col("text")).alias("text"))
     # digit chains of other lengths than a card's are too many to be worth judging
     lists = []
     for k, kind in enumerate(KINDS):
@@ -154,7 +154,7 @@ def candidates(docs: DataFrame) -> DataFrame:
         if kind == "card":
             found = F.filter(found, lambda x: (x["end"] - x["start"] >= 13) & F.length(_digits(x["hit"])).between(13, 19))
         lists.append(_coded(F.col("text"), k, kind, found))
-    return rows.select("doc_id", F.concat(*lists).alias("cands"))
+    return rows.select("doc_id", "tie", F.concat(*lists).alias("cands"))
 
 
 def labelled(spark: SparkSession) -> DataFrame:
@@ -220,25 +220,28 @@ def fit(spark: SparkSession) -> tuple[float, list[trees.Node], dict[str, float]]
     return base, grown, least
 
 
-def detect(docs: DataFrame) -> DataFrame:
+def detect(docs: DataFrame, tied: bool = False) -> DataFrame:
     """doc_id, spans: array<struct<kind, start, end, base, score>>, by kind as listed and start: all base spans, and those that
-    the trees add, which cross no base span."""
+    the trees add, which cross no base span. With tied, also tie, the hash of the text."""
     base, grown, least = fit(docs.sparkSession)
     score = f"1 / (1 + exp(-({base!r}D" + "".join(f" + {trees.expression(t, [f'x.{n}' for n in NAMES])}" for t in grown) + ")))"
     bar = "case x.kind " + " ".join(f"when {k} then {least[kind]!r}D" for k, kind in enumerate(KINDS)) + " end"
-    scored = candidates(docs).select("doc_id", F.expr(f"transform(cands, x -> named_struct('kind', x.kind, 'start', x.start, 'end', x.end, 'name', x.kind_name, 'base', x.fine, 'bar', {bar}, 'score', {score}))").alias("c"))
+    scored = candidates(docs).select("doc_id", "tie", F.expr(f"transform(cands, x -> named_struct('kind', x.kind, 'start', x.start, 'end', x.end, 'name', x.kind_name, 'base', x.fine, 'bar', {bar}, 'score', {score}))").alias("c"))
     certain = F.filter("c", lambda x: x["base"])
     more = F.filter("c", lambda x: ~x["base"] & (x["score"] >= x["bar"]))
     crosses = lambda x: F.exists("certain", lambda b: (b["start"] < x["end"]) & (x["start"] < b["end"]))
-    rows = scored.select("doc_id", certain.alias("certain"), more.alias("more"))
-    rows = rows.select("doc_id", F.array_sort(F.concat("certain", F.filter("more", lambda x: ~crosses(x)))).alias("all"))
-    return rows.select("doc_id", F.transform("all", lambda x: F.struct(x["name"].alias("kind"), x["start"].alias("start"), x["end"].alias("end"), x["base"].alias("base"), x["score"].alias("score"))).alias("spans"))
+    rows = scored.select("doc_id", "tie", certain.alias("certain"), more.alias("more"))
+    rows = rows.select("doc_id", "tie", F.array_sort(F.concat("certain", F.filter("more", lambda x: ~crosses(x)))).alias("all"))
+    return rows.select("doc_id", *(["tie"] if tied else []), F.transform("all", lambda x: F.struct(x["name"].alias("kind"), x["start"].alias("start"), x["end"].alias("end"), x["base"].alias("base"), x["score"].alias("score"))).alias("spans"))
 
 
 def redact(docs: DataFrame) -> DataFrame:
     """doc_id, text with each span's characters replaced by its kind in brackets; overlapping spans go together."""
-    found = detect(docs).withColumnRenamed("doc_id", "__doc")
-    rows = docs.join(found, docs["doc_id"] == F.col("__doc"), "left").withColumn("__order", F.array_sort(F.transform(F.coalesce("spans", F.array().cast(found.schema["spans"].dataType)), lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind")))))
+    # rows of one doc_id have texts of their own, so each text's spans go by its hash, too
+    doc, tie, spans, order = unused(docs, "__doc", "__tie", "__spans", "__order")
+    found = detect(docs, tied=True).select(F.col("doc_id").alias(doc), F.col("tie").alias(tie), F.col("spans").alias(spans)).dropDuplicates([doc, tie])
+    rows = docs.join(found, (docs["doc_id"] == F.col(doc)) & (F.xxhash64(F.coalesce(docs["text"], F.lit(""))) == F.col(tie)), "left")
+    rows = rows.withColumn(order, F.array_sort(F.transform(F.coalesce(F.col(spans), F.array().cast(found.schema[spans].dataType)), lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind")))))
     start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
 
     def step(acc: Column, s: Column) -> Column:
@@ -246,7 +249,7 @@ def redact(docs: DataFrame) -> DataFrame:
         gap = F.substring(docs["text"], acc["at"] + 1, F.greatest(s["start"] - acc["at"], F.lit(0)))
         return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), F.when(fresh, F.concat(acc["out"], gap, F.lit("["), s["kind"], F.lit("]"))).otherwise(acc["out"]).alias("out"))
 
-    text = F.aggregate("__order", start, step, lambda acc: F.concat(acc["out"], F.substring(docs["text"], acc["at"] + 1, F.length(docs["text"]))))
+    text = F.aggregate(order, start, step, lambda acc: F.concat(acc["out"], F.substring(docs["text"], acc["at"] + 1, F.length(docs["text"]))))
     return rows.select(*[text.alias("text") if c == "text" else docs[c] for c in docs.columns])
 
 

@@ -15,7 +15,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from .common import WHITE, scratch
+from .common import WHITE, scratch, small_batches, unused
 
 WINDOW = 8
 SYMBOLS = "#*$%&|<>"
@@ -150,6 +150,7 @@ def _failed():
 
 def assess(docs: DataFrame) -> DataFrame:
     """doc_id, the measures, base_failed, kept, posterior and votes of every document."""
+    small_batches(docs.sparkSession)
     seen = scratch(docs.select(F.col("doc_id").cast("long").alias("doc_id"), measured(F.col("text")).alias("m")).select("doc_id", "m.*"), "quality")
     return (
         seen.join(F.broadcast(posteriors(seen)), "votes", "left")
@@ -161,8 +162,10 @@ def assess(docs: DataFrame) -> DataFrame:
 
 def keep(docs: DataFrame) -> DataFrame:
     """The rows of docs that pass, with all their columns. The texts are measured twice instead of being moved."""
+    small_batches(docs.sparkSession)
+    m, votes, posterior = unused(docs, "__m", "__votes", "__posterior")
     seen = docs.select(measured(F.col("text")).alias("m")).select("m.votes")
-    fitted = F.broadcast(posteriors(seen).withColumnRenamed("votes", "__votes").withColumnRenamed("posterior", "__posterior"))
-    measures = docs.withColumn("__m", measured(F.col("text"))).withColumn("__votes", F.col("__m.votes"))
-    base = (F.col("__m.n_words") < 20) | (100 * F.col("__m.n_repeat_words") > 30 * F.col("__m.n_words"))
-    return measures.join(fitted, "__votes").where(~base & (F.col("__posterior") >= 0.5)).select(*[docs[c] for c in docs.columns])
+    fitted = F.broadcast(posteriors(seen).withColumnRenamed("votes", votes).withColumnRenamed("posterior", posterior))
+    measures = docs.withColumn(m, measured(F.col("text"))).withColumn(votes, F.col(f"{m}.votes"))
+    base = (F.col(f"{m}.n_words") < 20) | (100 * F.col(f"{m}.n_repeat_words") > 30 * F.col(f"{m}.n_words"))
+    return measures.join(fitted, votes).where(~base & (F.col(posterior) >= 0.5)).select(*[docs[c] for c in docs.columns])
