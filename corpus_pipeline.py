@@ -1,6 +1,13 @@
 """A corpus in five stages: quality rules, line dedup, near-dedup, mixing, byte-level BPE.
 
-Each stage is a function (spark, docs, sf_dir) -> DataFrame, written as Parquet and read again as the next one's docs."""
+Each stage is a function (spark, docs, sf_dir) -> DataFrame, written as Parquet and read again as the next one's docs. A stage's scratch
+tables go when its output is written, and a stage's output goes when the next one's is; the last one's stays.
+
+Defined results: null and empty texts have no words and fall to the quality rules; rows that share a doc_id are judged each by
+quality rules and line dedup, and stay or go together in near-dedup; equal rows are treated alike and each stays until
+near-dedup, which keeps all rows of the document with the smallest id; null sources mix as a source of their own; an empty
+table gives an empty result at every stage; columns other than doc_id, text, source and n_chars pass through until the last
+stage, whatever their names."""
 
 from __future__ import annotations
 
@@ -40,19 +47,20 @@ def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 STAGES = [("quality_rules", quality_rules), ("line_dedup", line_dedup), ("near_dedup", near_dedup), ("mixing", mix_sources), ("bpe", encode)]
-#: Near-duplicates, hashes and BPE are beyond SQL; tests/llm holds run() against a brute-force version.
 
+#: Near-duplicates, hashes and BPE are beyond SQL; tests/llm/test_pipeline.py holds run() against a brute-force version of all five stages.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Applies the stages to documents."""
     folder = f"{common.shared_dir(spark)}/pipeline-{uuid.uuid4().hex}"
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for k, (name, stage) in enumerate(STAGES):
         path = f"{folder}/{k}-{name}"
-        mark = len(common.written())
-        stage(spark, docs, sf_dir).write.parquet(path)
-        common.release(spark, mark)
-        docs = spark.read.parquet(path)
+        with common.scope(spark):
+            stage(spark, docs, sf_dir).write.parquet(path)
+        if before:
+            common.delete(spark, before)
+        docs, before = spark.read.parquet(path), path
     return docs
