@@ -13,8 +13,8 @@ ordered by most-significant-digit passes, and after each pass groups from a sing
    equal windows; all but the smallest document lose them.
 
 Hashes only drop suffixes (unequal hashes are unequal bytes) and deal them to tasks; whatever is removed has been compared byte by
-byte. Documents live in homes of about HOME bytes. A home sends each different fragment once, for its smallest document (copies
-are answered at home after a comparison of their bytes), and a task's part of the corpus sends each digit once: a passage that a
+byte. Documents live in homes of about HOME bytes. A home sends the bytes of each different fragment once, for its smallest document
+(other documents' copies are answered at home after a comparison of bytes, the document's own further ones go as places), and a task's part of the corpus sends each digit once: a passage that a
 third of all documents share meets as one row a home.
 
 Defined results: matches never cross rows; null and empty texts keep 0 bytes; a text shorter than the window stays whole; rows
@@ -222,7 +222,8 @@ def unpack(blobs, kinds: tuple[str, ...]) -> tuple[list[np.ndarray], bytes]:
     return [np.concatenate(x) for x in zip(*got, strict=True)], b"".join(tails)
 
 
-#: Columns of a fragment: place in its text, bytes, both digits' hash; of an answer: place and bytes.
+#: Columns of a fragment: place in its text, bytes, both digits' hash, or for 0 bytes the row that holds the same ones; of an answer:
+#: place and bytes.
 FRAGMENT, ANSWER = ("<u4", "u1", "<u4"), ("<u4", "<u4")
 
 
@@ -393,14 +394,15 @@ def plan(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
         head[1:] = (both[order][1:] != both[order][:-1]) | (whole[order][1:] != whole[order][:-1]) | (size[order][1:] != size[order][:-1])
         at = np.flatnonzero(head)
         lead = np.repeat(order[at], np.diff(np.append(at, len(order)))) if len(order) else order
-        late = doc[order] > doc[lead]
-        mine, theirs = order[late], lead[late]
+        mine, theirs = order[order != lead], lead[order != lead]
         same = np.ones(len(mine), bool)
         for at in range(0, width, 8):
             left = np.clip(size[mine] - at, 0, 8).astype(np.uint64)
             mask = np.where(left == 8, ~np.uint64(0), (np.uint64(1) << (left * np.uint64(8))) - np.uint64(1))
             same &= (wide[first[mine] + at] & mask) == (wide[first[theirs] + at] & mask)
-        mine = mine[same]
+        again = same & (doc[mine] == doc[theirs]) & (turn[mine] == turn[theirs])
+        extra, extra_of = mine[again], theirs[again]
+        mine = mine[same & (doc[mine] > doc[theirs])]
         by_place = mine[np.lexsort((begin[mine], turn[mine], doc[mine]))]
         out = []
         if len(by_place):
@@ -409,14 +411,22 @@ def plan(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
             end = np.maximum.reduceat(end, at)
             out = _answers(doc[by_place][at], turn[by_place][at], begin[by_place][at], end - begin[by_place][at], homes)
         gone = np.zeros(len(text), bool)
-        gone[mine] = True
+        gone[mine] = gone[extra] = True
         bucket = ((both >> S32) % np.uint64(homes)).astype(np.int64)
         order = np.lexsort((both, bucket))
         order = order[~gone[order]]
+        by_bucket = np.argsort(bucket[extra], kind="stable")
+        extra, extra_of = extra[by_bucket], extra_of[by_bucket]
+        row = np.zeros(len(text), np.int64)
         for key, x, y in _cuts(bucket[order]):
             at = order[x:y]
+            row[at] = np.arange(len(at))
+            u, v = np.searchsorted(bucket[extra], [key, key + 1])
+            more, of = extra[u:v], row[extra_of[u:v]]
             tail = b"".join(texts.raw[a:b].tobytes() for a, b in zip(first[at].tolist(), (first[at] + size[at]).tolist(), strict=True))
-            out.append((0, key, pack(doc[at], turn[at], [begin[at].astype("<u4"), size[at].astype("u1"), both[at].astype("<u4")], tail)))
+            all_ = np.concatenate([at, more])
+            columns = [begin[all_].astype("<u4"), np.append(size[at], np.zeros(len(more), int)).astype("u1"), np.append(both[at].astype("<u4"), of.astype("<u4")).astype("<u4")]
+            out.append((0, key, pack(doc[all_], turn[all_], columns, tail)))
         tidy()
         return _rows(out)
 
@@ -424,8 +434,21 @@ def plan(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
         """Answers, by home: windows that a smaller document has."""
         if frame.kind.iloc[0] == 1:
             return frame
-        (doc, turn, begin, size, both), tail = unpack(frame.blob, FRAGMENT)
+        leads, extras, tails, n = [], [], [], 0
+        for blob in frame.blob:
+            columns, tail = unpack([blob], FRAGMENT)
+            lead = columns[3] > 0
+            leads.append([c[lead] for c in columns])
+            extras.append((columns[4][~lead].astype(np.int64) + n, columns[2][~lead].astype(np.int64)))
+            tails.append(tail)
+            n += int(lead.sum())
+        doc, turn, begin, size, both = (np.concatenate(c) for c in zip(*leads, strict=True))
+        extra_of, extra_at = (np.concatenate(c) for c in zip(*extras, strict=True))
+        by_lead = np.argsort(extra_of, kind="stable")
+        extra_of, extra_at = extra_of[by_lead], extra_at[by_lead]
+        tail = b"".join(tails)
         at = np.append(0, np.cumsum(size.astype(np.int64)))[:-1]
+        del leads, extras, tails
         order = np.lexsort((doc, both))
         head = np.flatnonzero(np.append(True, both[order][1:] != both[order][:-1])) if len(order) else np.zeros(0, int)
         count = np.diff(np.append(head, len(order)))
@@ -434,12 +457,12 @@ def plan(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
         raw = np.frombuffer(tail + bytes(8), np.uint8)
         windows = size[order].astype(np.int64) - window + 1
         # slices end where the digits change
-        place, limit, cut = np.cumsum(windows), SORTED, [0]
+        reach, limit, cut = np.cumsum(windows), SORTED, [0]
         changes = np.flatnonzero(np.append(both[order][1:] != both[order][:-1], True)) + 1 if len(order) else np.zeros(0, int)
         for c in changes.tolist():
-            if place[c - 1] >= limit or c == len(order):
+            if reach[c - 1] >= limit or c == len(order):
                 cut.append(c)
-                limit = place[c - 1] + SORTED
+                limit = reach[c - 1] + SORTED
         found = []
         for x, y in zip(cut, cut[1:], strict=False):
             part, n = order[x:y], windows[x:y]
@@ -451,7 +474,13 @@ def plan(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
                 owner, inside = owner[late], inside[late]
                 a, b = _joined(inside, inside + 1, owner)
                 frag = order[owner[a]]
-                found.append((doc[frag], turn[frag], begin[frag] + inside[a], inside[b] - inside[a] + window))
+                from_, bytes_ = inside[a], inside[b] - inside[a] + window
+                # the document's other places with these bytes lose the same
+                x_, y_ = np.searchsorted(extra_of, frag), np.searchsorted(extra_of, frag, "right")
+                which = np.repeat(np.arange(len(frag)), y_ - x_)
+                place = np.append(begin[frag], extra_at[np.repeat(x_, y_ - x_) + np.arange(len(which)) - np.repeat(np.append(0, np.cumsum(y_ - x_)[:-1]), y_ - x_)])
+                which = np.append(np.arange(len(frag)), which)
+                found.append((doc[frag][which], turn[frag][which], place + from_[which], bytes_[which]))
         tidy()
         return _rows(_answers(*(np.concatenate(c) for c in zip(*found, strict=True)), homes) if found else [])
 
