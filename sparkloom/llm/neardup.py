@@ -14,8 +14,9 @@ partners in each other component, which merges most of what belongs together, th
 pair whose estimate passes lies in one component or has been verified. So groups of copies are never expanded into pairs, and no
 link is left untested because a group is large.
 
-A pair's text meets its partner's once: the partner with many pairs is the hub, whose members are dealt in stretches of about STRETCH
-shingles, each with one copy of the hub's text, and streamed past it.
+Candidates never become rows by the square of a group: a member has one leader a bucket, and blocks hand on the members that have
+candidates, once a block, beside a packed list of the pairs; their sets then meet block by block. A leader's text is copied once for
+about STRETCH shingles of members, which are streamed past it.
 
 Defined results: texts without words (null, empty or white) have an empty set, are linked with nothing and are kept; equal rows
 are linked; rows that share a doc_id count as one document, which has the links of all its rows; rows without a doc_id are linked
@@ -34,14 +35,14 @@ from pyspark.sql import DataFrame, functions as F, types as T
 from .common import scratch, small_batches, text_of, tidied, unused
 
 REGISTERS, MANTISSA, BANDS, ROWS = 512, 10, 42, 6
-#: A candidate is verified unless its estimate is this much below the threshold: more than 6 standard deviations of 512 registers at
-#: 0.8 and at 0.85, a chance of under 1e-9 for a pair at the threshold.
-MARGIN = 0.11
-#: Members of a bucket that are compared with as many others in one go.
+#: A candidate is verified unless its estimate is this many standard deviations of REGISTERS registers below the threshold, a chance of
+#: 1e-9 for a pair at the threshold.
+DEVIATIONS = 6
+#: Members of a bucket that are compared with as many others in one go; of long texts fewer, so that they have no more than STRETCH shingles.
 BLOCK = 1024
 #: Up to this size, the members of a bucket are compared row by row; larger buckets go by blocks. Both compare all that is left.
 SMALL = 16
-#: Shingles of members that one copy of a hub's text serves, about.
+#: Shingles of members that one copy of a leader's text serves, or that a block holds, about.
 STRETCH = 200_000
 #: Words that a worker remembers; beyond that it starts anew.
 REMEMBERED = 60_000
@@ -121,6 +122,12 @@ def estimate(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return (equal / np.maximum(used, 1) - 1 / 255) / (1 - 1 / 255)
 
 
+def floor_of(num: int, den: int) -> float:
+    """The least estimate that is verified."""
+    at = num / den
+    return at - DEVIATIONS * (at * (1 - at) / REGISTERS) ** 0.5
+
+
 def sketches(docs: DataFrame, n: int) -> DataFrame:
     """doc_id, tie (hash of the text), n, d1, d2 (digest of the set), bands array<long>, sig (the compressed registers, then the low
     halves of the bands)."""
@@ -172,79 +179,73 @@ def components(edges: DataFrame, labels: DataFrame | None = None) -> DataFrame:
             return labels
 
 
-PAIR = ["a", "ta", "b", "tb"]
-
-
-def _pairs(rows: DataFrame, one: tuple[str, str], two: tuple[str, str]) -> DataFrame:
-    """a, ta, b, tb: each pair once. The partner with the smaller hash is a, as it is the leader of a bucket, so hubs are on that side."""
-    first = F.struct(F.xxhash64(*one).alias("h"), F.col(one[0]).alias("doc"), F.col(one[1]).alias("tie"))
-    second = F.struct(F.xxhash64(*two).alias("h"), F.col(two[0]).alias("doc"), F.col(two[1]).alias("tie"))
-    both = rows.select(F.least(first, second).alias("x"), F.greatest(first, second).alias("y"))
-    return both.where("x <> y").select(F.col("x.doc").alias("a"), F.col("x.tie").alias("ta"), F.col("y.doc").alias("b"), F.col("y.tie").alias("tb")).distinct()
+def _pairs(rows: DataFrame, one: str, two: str) -> DataFrame:
+    """a, b: each pair once. The partner with the smaller hash is a, as it is the leader of a bucket, so those with many pairs are there."""
+    first, second = (F.struct(F.xxhash64(c).alias("h"), F.col(c).alias("id")) for c in (one, two))
+    return rows.where(F.col(one) != F.col(two)).select(F.least(first, second).alias("x"), F.greatest(first, second).alias("y")).select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct()
 
 
 def verify(pairs: DataFrame, texts: DataFrame, n: int, num: int, den: int) -> DataFrame:
-    """a, b of the pairs a, ta, b, tb, na (shingles of a) whose full sets have den * intersection >= num * union."""
+    """a, b of the pairs a, b, na (shingles of a) whose full sets have den * intersection >= num * union."""
 
     @tidied
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        key, hub = None, set()
+        key, lead = None, set()
         for frame in frames:
             out = []
-            for a, ta, b, text in zip(frame.a, frame.ta, frame.b, frame.text, strict=True):
-                if pd.isna(b):  # a hub comes before its members
-                    if key != (a, ta):
-                        key, hub = (a, ta), shingles(text, n)
+            for a, b, text in zip(frame.a, frame.b, frame.text, strict=True):
+                if b < 0:  # a leader comes before its members
+                    if key != a:
+                        key, lead = a, shingles(text, n)
                     continue
                 mine = shingles(text, n)
-                inter = len(hub & mine)
-                if inter and den * inter >= num * (len(hub) + len(mine) - inter):
-                    out.append((a, int(b)))
+                inter = len(lead & mine)
+                if inter and den * inter >= num * (len(lead) + len(mine) - inter):
+                    out.append((a, b))
             yield pd.DataFrame(out, columns=["a", "b"], dtype="int64")
 
-    # what a hub's members need in all says into how many stretches they go
-    many = pairs.groupBy("a", "ta").agg(F.ceil(F.sum("na") / STRETCH).cast("int").alias("many")).where("many > 1")
-    dealt = pairs.join(many, ["a", "ta"], "left").withColumn("salt", F.pmod(F.xxhash64("b", "tb"), F.coalesce("many", F.lit(1))).cast("int"))
-    dealt = scratch(dealt.select(*PAIR, "salt"), "dealt")
-    members = dealt.join(texts.select(F.col("doc_id").alias("b"), F.col("tie").alias("tb"), "text"), ["b", "tb"]).select("a", "ta", "salt", "b", "text")
-    hubs = dealt.select("a", "ta", "salt").distinct().join(texts.select(F.col("doc_id").alias("a"), F.col("tie").alias("ta"), "text"), ["a", "ta"])
-    rows = hubs.select("a", "ta", "salt", F.lit(None).cast("long").alias("b"), "text").unionByName(members)
-    return rows.repartition("a", "ta", "salt").sortWithinPartitions("a", "ta", "salt", F.col("b").asc_nulls_first()).select("a", "ta", "b", "text").mapInPandas(run, "a long, b long")
+    # what a leader's members need in all says into how many stretches they go
+    many = pairs.groupBy("a").agg(F.ceil(F.sum("na") / STRETCH).cast("int").alias("many")).where("many > 1")
+    dealt = pairs.join(many, "a", "left").withColumn("salt", F.pmod(F.xxhash64("b"), F.coalesce("many", F.lit(1))).cast("int"))
+    dealt = scratch(dealt.select("a", "b", "salt"), "dealt")
+    members = dealt.join(texts.withColumnRenamed("cid", "b"), "b").select("a", "salt", "b", "text")
+    leads = dealt.select("a", "salt").distinct().join(texts.withColumnRenamed("cid", "a"), "a")
+    rows = leads.select("a", "salt", F.lit(-1).cast("long").alias("b"), "text").unionByName(members)
+    return rows.repartition("a", "salt").sortWithinPartitions("a", "salt", "b").select("a", "b", "text").mapInPandas(run, "a long, b long")
 
 
 def _estimated(pairs: DataFrame, classes: DataFrame, num: int, den: int) -> DataFrame:
-    """The pairs that may reach the threshold, with na: their sizes allow it, and their estimate is not MARGIN below."""
-    side = lambda x: classes.select(F.col("rep").alias(x), F.col("tie").alias(f"t{x}"), F.col("n").alias(f"n{x}"), F.col("sig").alias(f"s{x}"))
+    """The pairs that may reach the threshold, with na: their sizes allow it, and their estimate is not below the floor."""
+    side = lambda x: classes.select(F.col("cid").alias(x), F.col("n").alias(f"n{x}"), F.col("sig").alias(f"s{x}"))
 
     @F.pandas_udf(T.DoubleType())
     def est(sa: pd.Series, sb: pd.Series) -> pd.Series:
         return pd.Series(estimate(_registers(sa)[0], _registers(sb)[0]))
 
-    joined = pairs.join(side("a"), ["a", "ta"]).join(side("b"), ["b", "tb"]).where(F.least("na", "nb") * den >= F.greatest("na", "nb") * num)
-    return joined.select(*PAIR, "na", est("sa", "sb").alias("est")).where(F.col("est") >= num / den - MARGIN).drop("est")
+    joined = pairs.join(side("a"), "a").join(side("b"), "b").where(F.least("na", "nb") * den >= F.greatest("na", "nb") * num)
+    return joined.select("a", "b", "na", est("sa", "sb").alias("est")).where(F.col("est") >= floor_of(num, den)).drop("est")
 
 
 def _blocks(members: DataFrame, num: int, den: int, top: int) -> DataFrame:
-    """members: band, v, doc, tie, n, comp, sig, main (the bucket's largest component), size, outs (members outside it). In each
-    block of a bucket with each block of its outsiders, an outsider's candidates in each other component, all of them or, where
-    top is given, only the likeliest. A pair comes from the first band that it shares."""
-    floor = num / den - MARGIN
-    columns = ["band", "v", "block", "ask", "doc", "tie", "n", "comp", "sig"]
-    blocks, asks = F.ceil(F.col("size") / BLOCK).cast("int"), F.ceil(F.col("outs") / BLOCK).cast("int")
-    # blocks by hash of the whole row's identity: even, and the same for a member wherever it is sent
-    home = lambda many, salt: F.pmod(F.xxhash64("doc", "tie", F.lit(salt)), many).cast("int")
-    own = members.withColumn("block", home(blocks, 1)).withColumn("ask", F.explode(F.sequence(F.lit(0), asks - 1))).select(*columns, F.lit(False).alias("asks"))
-    out = members.where("comp <> main").withColumn("ask", home(asks, 2)).withColumn("block", F.explode(F.sequence(F.lit(0), blocks - 1))).select(*columns, F.lit(True).alias("asks"))
+    """members: band, v, cid, n, comp, sig, main (the bucket's largest component), blocks, asks (blocks of the bucket, and of its members
+    outside main). In each block with each block of outsiders, an outsider's candidates in each other component, all of them or,
+    where top is given, only the likeliest; a pair comes from the first band that it shares. block (a hash), cid, pairs: a row for
+    each member that has a candidate, the pairs, as places among these rows by cid, in a row of cid -1."""
+    floor = floor_of(num, den)
+    columns = ["band", "v", "block", "ask", "cid", "n", "comp", "sig"]
+    home = lambda many, salt: F.pmod(F.xxhash64("cid", F.lit(salt)), F.col(many)).cast("int")
+    own = members.withColumn("block", home("blocks", 1)).withColumn("ask", F.explode(F.sequence(F.lit(0), F.col("asks") - 1))).select(*columns, F.lit(False).alias("out"))
+    out = members.where("comp <> main").withColumn("ask", home("asks", 2)).withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(*columns, F.lit(True).alias("out"))
 
     def run(frame: pd.DataFrame) -> pd.DataFrame:
-        asks = frame.asks.to_numpy()
+        out = frame.out.to_numpy()
         got: list[tuple[np.ndarray, np.ndarray]] = []
-        if asks.any() and not asks.all():
-            (reg, keys), doc, tie, comp, size = _registers(frame.sig), frame.doc.to_numpy(), frame.tie.to_numpy(), frame.comp.to_numpy(), frame.n.to_numpy()
-            mine = np.flatnonzero(~asks)
+        if out.any() and not out.all():
+            (reg, keys), cid, comp, size = _registers(frame.sig), frame.cid.to_numpy(), frame.comp.to_numpy(), frame.n.to_numpy()
+            mine = np.flatnonzero(~out)
             own_reg, own_keys, own_comp, own_size = reg[mine], keys[mine], comp[mine], size[mine]
             band = int(frame.band.iloc[0])
-            for i in np.flatnonzero(asks):
+            for i in np.flatnonzero(out):
                 fits = np.minimum(own_size, size[i]) * den >= np.maximum(own_size, size[i]) * num
                 at = np.flatnonzero((own_comp != comp[i]) & fits)
                 e = estimate(own_reg[at], reg[i][None])
@@ -253,27 +254,68 @@ def _blocks(members: DataFrame, num: int, den: int, top: int) -> DataFrame:
                 first = same.argmax(1) == band
                 at, e = at[first], e[first]
                 if top and len(at):
-                    order = np.lexsort((doc[mine[at]], -e, own_comp[at]))
+                    order = np.lexsort((cid[mine[at]], -e, own_comp[at]))
                     at = at[order]
                     c = own_comp[at]
                     starts = np.flatnonzero(np.append(True, c[1:] != c[:-1]))
                     rank = np.arange(len(at)) - np.repeat(starts, np.diff(np.append(starts, len(at))))
                     at = at[rank < top]
-                got.append((np.full(len(at), i), mine[at]))
+                got.append((np.full(len(at), cid[i]), cid[mine[at]]))
         x, y = (np.concatenate([np.zeros(0, np.int64), *side]) for side in (zip(*got, strict=True) if got else ((), ())))
         if not len(x):
-            return pd.DataFrame({c: np.zeros(0, "int64") for c in ("a", "ta", "b", "tb", "na", "nb")})
-        return pd.DataFrame({"a": doc[x], "ta": tie[x], "b": doc[y], "tb": tie[y], "na": size[x], "nb": size[y]})
+            return pd.DataFrame({"block": np.zeros(0, "int64"), "cid": np.zeros(0, "int64"), "pairs": np.zeros(0, object)})
+        met, at = np.unique(np.concatenate([x, y]), return_inverse=True)
+        a, b = np.sort(at.reshape(2, -1), axis=0)
+        packed = np.unique(a * len(met) + b)  # an outsider may stand on both sides
+        key = int(_mix(np.array([band, frame.v.iloc[0], frame.block.iloc[0], frame.ask.iloc[0]], np.int64).view(np.uint64) * M2 + np.arange(4, dtype=np.uint64)).sum().view(np.int64))
+        return pd.DataFrame({"block": key, "cid": [*met.tolist(), -1], "pairs": [None] * len(met) + [packed.astype("<i8").tobytes()]})
+
+    return own.unionByName(out).groupBy("band", "v", "block", "ask").applyInPandas(run, "block long, cid long, pairs binary")
+
+
+def _verified_blocks(blocks: DataFrame, texts: DataFrame, n: int, num: int, den: int) -> DataFrame:
+    """a, b of the packed pairs whose full sets reach the threshold. The sets of a block are held as sorted 64-bit hashes of all shingles."""
+
+    @tidied
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        known, key, packed, ids, sets = _Words(), None, b"", [], []
+
+        def links() -> pd.DataFrame:
+            out, at = [], np.frombuffer(packed, "<i8")
+            for i, j in zip((at // max(1, len(ids))).tolist(), (at % max(1, len(ids))).tolist(), strict=True):
+                one, two = sets[i], sets[j]
+                inter = len(np.intersect1d(one, two, assume_unique=True))
+                if inter and den * inter >= num * (len(one) + len(two) - inter):
+                    out.append((ids[i], ids[j]))
+            return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
+
+        for frame in frames:
+            for block, cid, pairs, text in zip(frame.block, frame.cid, frame.pairs, frame.text, strict=True):
+                if block != key:
+                    if ids:
+                        yield links()
+                    key, packed, ids, sets = block, b"", [], []
+                if cid < 0:
+                    packed = pairs
+                else:
+                    ids.append(cid)
+                    sets.append(hashes(words_of(text), n, known))
+                if len(known) > REMEMBERED:
+                    known.clear()
+        if ids:
+            yield links()
 
-    return own.unionByName(out).groupBy("band", "v", "block", "ask").applyInPandas(run, "a long, ta long, b long, tb long, na long, nb long")
+    rows = blocks.where("cid >= 0").drop("pairs").join(texts, "cid").select("block", "cid", F.lit(None).cast("binary").alias("pairs"), "text")
+    rows = rows.unionByName(blocks.where("cid < 0").withColumn("text", F.lit("")))
+    return rows.repartition("block").sortWithinPartitions("block", "cid").mapInPandas(run, "a long, b long")
 
 
 def _few(members: DataFrame) -> DataFrame:
     """The same for small buckets: each outsider with each member of other components; SMALL rows a member at most."""
     small = members.where(F.col("size") <= SMALL)
-    own = small.select("band", "v", F.col("doc").alias("b"), F.col("tie").alias("tb"), F.col("comp").alias("cb"))
-    out = small.where("comp <> main").select("band", "v", F.col("doc").alias("a"), F.col("tie").alias("ta"), "comp")
-    return _pairs(out.join(own, ["band", "v"]).where("comp <> cb"), ("a", "ta"), ("b", "tb"))
+    own = small.select("band", "v", F.col("cid").alias("b"), F.col("comp").alias("cb"))
+    out = small.where("comp <> main").select("band", "v", F.col("cid").alias("a"), "comp")
+    return _pairs(out.join(own, ["band", "v"]).where("comp <> cb"), "a", "b")
 
 
 def groups(docs: DataFrame, n: int, num: int, den: int) -> DataFrame:
@@ -282,46 +324,44 @@ def groups(docs: DataFrame, n: int, num: int, den: int) -> DataFrame:
     sketched = scratch(sketches(docs, n), "sketches")
     named = sketched.where("n > 0 and doc_id is not null")
     classes = named.groupBy("d1", "d2").agg(F.min(F.struct("doc_id", "tie", "n", "bands", "sig")).alias("m"))
-    classes = scratch(classes.select("d1", "d2", F.col("m.doc_id").alias("rep"), "m.tie", "m.n", "m.bands", "m.sig"), "classes")
-    banded = classes.select(F.col("rep").alias("doc"), "tie", F.posexplode("bands").alias("band", "v")).where("v <> 0")
-    buckets = banded.groupBy("band", "v").agg(F.min(F.struct(F.xxhash64("doc", "tie").alias("h"), "doc", "tie")).alias("m"), F.count("*").alias("size"))
-    buckets = scratch(buckets.where("size > 1").select("band", "v", F.col("m.doc").alias("lead"), F.col("m.tie").alias("lead_tie"), "size"), "buckets")
+    classes = classes.select("d1", "d2", F.col("m.doc_id").alias("rep"), "m.tie", "m.n", "m.bands", "m.sig", F.monotonically_increasing_id().alias("cid"))
+    classes = scratch(classes, "classes")  # from here on, cid stands for a class
+    banded = classes.select("cid", F.posexplode("bands").alias("band", "v")).where("v <> 0")
+    buckets = banded.groupBy("band", "v").agg(F.min(F.struct(F.xxhash64("cid").alias("h"), "cid")).alias("m"), F.count("*").alias("size"))
+    buckets = scratch(buckets.where("size > 1").select("band", "v", F.col("m.cid").alias("lead"), "size"), "buckets")
     rows = scratch(banded.join(buckets, ["band", "v"]), "members")  # only those that meet anyone
-    tested = scratch(_estimated(_pairs(rows, ("doc", "tie"), ("lead", "lead_tie")), classes, num, den), "tested")
-    met = rows.select(F.col("doc").alias("doc_id"), "tie").distinct()
-    texts = scratch(text_of(docs).withColumn("tie", F.xxhash64("text")).join(met, ["doc_id", "tie"], "left_semi"), "texts")
+    tested = scratch(_estimated(_pairs(rows, "cid", "lead"), classes, num, den), "tested")
+    met = rows.select("cid").distinct().join(classes.select("cid", F.col("rep").alias("doc_id"), "tie"), "cid")
+    texts = scratch(text_of(docs).withColumn("tie", F.xxhash64("text")).join(met, ["doc_id", "tie"]).select("cid", "text"), "texts")
     links = scratch(verify(tested, texts, n, num, den), "verified")
     # rows of one doc_id are one document: their classes belong together
-    belongs = scratch(named.select("doc_id", "tie", "d1", "d2").join(classes.select("d1", "d2", "rep"), ["d1", "d2"]).select("doc_id", "tie", "rep"), "belongs")
-    several = belongs.groupBy("doc_id").agg(F.min("rep").alias("a"), F.max("rep").alias("most")).where("a < most")
-    links = links.union(belongs.join(several, "doc_id").where("rep <> a").select("a", F.col("rep").alias("b")).distinct())
+    belongs = scratch(sketched.join(classes.select("d1", "d2", "cid", "rep"), ["d1", "d2"], "left").select("doc_id", "n", "cid", "rep"), "belongs")
+    several = belongs.where("n > 0 and doc_id is not null").groupBy("doc_id").agg(F.min("cid").alias("a"), F.max("cid").alias("most")).where("a < most")
+    links = links.union(belongs.where("n > 0").join(several, "doc_id").where("cid <> a").select("a", F.col("cid").alias("b")).distinct())
     labels = components(links)
     # first the likeliest few, which merge most of what belongs together, then all that is left
     for top in (2, 0):
-        inside = rows.select("band", "v", "doc", "tie", "size").join(labels.withColumnRenamed("node", "doc"), "doc", "left")
-        inside = inside.withColumn("comp", F.coalesce("comp", "doc"))
+        inside = rows.select("band", "v", "cid", "size").join(labels.withColumnRenamed("node", "cid"), "cid", "left").withColumn("comp", F.coalesce("comp", "cid"))
         counts = inside.groupBy("band", "v", "comp").agg(F.count("*").alias("c"))
         mixed = counts.groupBy("band", "v").agg(F.max(F.struct("c", "comp")).alias("m"), F.count("*").alias("comps"), F.sum("c").alias("all")).where("comps > 1")
-        mixed = scratch(mixed.select("band", "v", F.col("m.comp").alias("main"), (F.col("all") - F.col("m.c")).alias("outs")), "mixed")
+        mixed = scratch(mixed.select("band", "v", F.col("m.comp").alias("main"), "all", (F.col("all") - F.col("m.c")).alias("outs")), "mixed")
         members = inside.join(mixed, ["band", "v"])
-        large = members.where(F.col("size") > SMALL).join(classes.select(F.col("rep").alias("doc"), "tie", "n", "sig"), ["doc", "tie"])
-        asked = _blocks(large, num, den, top).select(F.col("a"), "ta", "b", "tb", "na", "nb")
-        # the partner with the smaller hash is a here, too
-        flip = F.xxhash64("b", "tb") < F.xxhash64("a", "ta")
-        asked = asked.select(*[F.when(flip, F.col(y)).otherwise(F.col(x)).alias(x) for x, y in (("a", "b"), ("ta", "tb"), ("b", "a"), ("tb", "ta"), ("na", "nb"))])
+        large = scratch(members.where(F.col("size") > SMALL).join(classes.select("cid", "n", "sig"), "cid"), "large")
+        per = large.groupBy("band", "v").agg(F.sum("n").alias("shingles"), F.sum(F.when(F.col("comp") != F.col("main"), F.col("n")).otherwise(0)).alias("out"))
+        cut = lambda rows, shingles: F.greatest(F.ceil(F.col(rows) / BLOCK), F.ceil(F.col(shingles) / STRETCH)).cast("int")
+        large = large.join(per, ["band", "v"]).withColumn("blocks", cut("all", "shingles")).withColumn("asks", cut("outs", "out"))
+        asked = scratch(_blocks(large, num, den, top), "asked")
+        found = _verified_blocks(asked, texts, n, num, den)
         if top:  # small buckets give all their pairs at once
-            asked = asked.unionByName(_estimated(_few(members), classes, num, den))
-        fresh = scratch(asked.dropDuplicates(PAIR).join(tested, PAIR, "left_anti").select(*PAIR, "na"), "fresh")
-        if fresh.isEmpty():
-            continue
-        found = scratch(verify(fresh, texts, n, num, den), "verified")
-        tested = tested.union(fresh)
+            fresh = _estimated(_few(members).join(tested.select("a", "b"), ["a", "b"], "left_anti"), classes, num, den)
+            found = found.union(verify(fresh, texts, n, num, den))
+        found = scratch(found.distinct(), "found")
         if not found.isEmpty():
             links = links.union(found)
             labels = components(links, labels)
-    comps = belongs.join(labels, belongs["rep"] == labels["node"], "left").select("doc_id", "tie", F.coalesce("comp", "rep").alias("comp")).groupBy("doc_id", "tie").agg(F.min("comp").alias("comp"))
-    out = sketched.select("doc_id", "tie", "n").join(comps, ["doc_id", "tie"], "left")
-    return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("comp", "doc_id").alias("component_id"))
+    least = labels.join(classes.select(F.col("cid").alias("node"), "rep"), "node").groupBy("comp").agg(F.min("rep").alias("least"))
+    out = belongs.join(labels.join(least, "comp").select(F.col("node").alias("cid"), "least"), "cid", "left")
+    return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.coalesce("least", "rep", "doc_id")).alias("component_id"))
 
 
 def keep_one(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100) -> DataFrame:
