@@ -45,14 +45,17 @@ def delete(spark: SparkSession, path: str) -> None:
     place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
 
 
-def scratch(df: DataFrame, tag: str) -> DataFrame:
+def scratch(df: DataFrame, tag: str, narrow: int = 1) -> DataFrame:
     """Writes df as a table in the shared folder and reads it again: cuts the lineage and survives lost executors. The table
-    goes with the scope() that it was written in; outside of any, with release() or when the driver's Python ends."""
+    goes with the scope() that it was written in; outside of any, with release() or when the driver's Python ends.
+
+    Partitions are set for rows with texts; rows that are so many times narrower, as ids are, go to so many times fewer files."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/sparkloom-{tag}-{uuid.uuid4().hex}"
     mine = _scope.get()
     (_outside if mine is None else mine).append(path)
-    df.write.option("compression", "zstd").parquet(path)
+    out = df.coalesce(max(1, partitions(spark) // narrow)) if narrow > 1 else df
+    out.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

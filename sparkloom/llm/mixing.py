@@ -47,12 +47,12 @@ def source_key(source: Column) -> Column:
     return F.when(source.isNull(), F.lit("b")).otherwise(F.concat(F.lit("a"), source.cast("string")))
 
 
-def running(df: DataFrame, by: list[str], order: list[str], sums: dict[str, str], tag: str) -> DataFrame:
+def running(df: DataFrame, by: list[str], order: list[str], sums: dict[str, str], tag: str, narrow: int) -> DataFrame:
     """df with, for each entry name: column of sums, the column's sum over the rows before this one of the same `by`, in order. Rows
     are dealt by range, so neither a group nor the whole is sorted in one task; what is added up in one is a row a partition."""
     spark = df.sparkSession
-    dealt = df.repartitionByRange(partitions(spark), *by, *order).withColumn("__part", F.spark_partition_id())
-    dealt = scratch(dealt, tag)
+    dealt = df.repartitionByRange(max(1, partitions(spark) // narrow), *by, *order).withColumn("__part", F.spark_partition_id())
+    dealt = scratch(dealt, tag, narrow)
     inside = Window.partitionBy(*by, "__part").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
     before = Window.partitionBy(*by).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
     per = dealt.groupBy(*by, "__part").agg(*[F.sum(c).alias(f"__{n}") for n, c in sums.items()])
@@ -69,10 +69,10 @@ def targets(sizes: DataFrame, weights: tuple = WEIGHTS, budget: float = BUDGET,
     Sources fill up in order of cap / weight; once one is not full at the level that the rest of the budget gives, none after it is.
     Only that level, the number of words and the sum of the weights come to the driver."""
     cycle = F.array(*[F.lit(float(w)) for w in weights])
-    rows = running(sizes.withColumn("one", F.lit(1)), [], ["src"], {"rank": "one"}, "mix-ranks")
+    rows = running(sizes.withColumn("one", F.lit(1)), [], ["src"], {"rank": "one"}, "mix-ranks", 16)
     rows = rows.withColumn("weight", F.element_at(cycle, (F.col("rank") % len(weights) + 1).cast("int"))).withColumn("most", F.lit(cap) * F.col("source_size"))
     rows = rows.select("src", "source_size", "weight", "most", (F.col("most") / F.col("weight")).alias("fills"))
-    rows = scratch(running(rows, [], ["fills", "src"], {"full": "most", "filled": "weight"}, "mix-fills"), "mix-weights")
+    rows = scratch(running(rows, [], ["fills", "src"], {"full": "most", "filled": "weight"}, "mix-fills", 16), "mix-weights", 16)
     words, weight = rows.agg(F.sum("source_size"), F.sum("weight")).first()
     if not words:
         return rows.select("src", "source_size", "weight", F.lit(0.0).alias("target"))
@@ -103,11 +103,11 @@ def shuffled(x: Column, n: Column, *key: Column) -> Column:
 def layout(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(documents: doc_id, tie, src, size, start; sources: src, source_size, n_blocks, target, want: expected blocks in 1 / UNIT)."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), source_key(F.col("source")).alias("src"), n_words(F.col("text")).alias("size"), F.xxhash64("text").alias("tie"))
-    placed = scratch(running(rows, ["src"], ["doc_id", "tie"], {"start": "size"}, "mix-sizes"), "mix-places")
+    placed = scratch(running(rows, ["src"], ["doc_id", "tie"], {"start": "size"}, "mix-sizes", 4), "mix-places", 4)
     sources = targets(placed.groupBy("src").agg(F.sum("size").alias("source_size")))
     sources = sources.withColumn("n_blocks", F.ceil(F.col("source_size") / BLOCK).cast("long"))
     want = F.when(F.col("source_size") > 0, F.round(F.col("target") * F.col("n_blocks") / F.col("source_size") * UNIT)).otherwise(F.lit(0.0))
-    return placed, scratch(sources.withColumn("want", want.cast("long")), "mix-sources")
+    return placed, scratch(sources.withColumn("want", want.cast("long")), "mix-sources", 16)
 
 
 def shard_counts(sources: DataFrame, shards: int, seed: int) -> DataFrame:
@@ -116,7 +116,7 @@ def shard_counts(sources: DataFrame, shards: int, seed: int) -> DataFrame:
     spark, whole = sources.sparkSession, shards * UNIT
     rows = sources.select("src", F.expr(f"want div {whole}L").alias("sure"), F.expr(f"want % {whole}L").alias("share"))
     sure = counted(rows.where("sure > 0").select("src", "sure"), F.lit(shards), "shard").select("src", "shard", F.col("sure").alias("count"))
-    open_ = scratch(running(rows.where("share > 0").select("src", "share"), [], ["src"], {"low": "share"}, "mix-shares"), "mix-open")
+    open_ = scratch(running(rows.where("share > 0").select("src", "share"), [], ["src"], {"low": "share"}, "mix-shares", 16), "mix-open", 16)
     n, left = open_.agg(F.count("*"), F.coalesce(F.sum("share"), F.lit(0))).first()
     if not left:
         return sure
@@ -135,7 +135,7 @@ def slots(sources: DataFrame, seed: int = 0) -> DataFrame:
     """src, shard, slot, pass, block: what every slot of the mixture holds. slot counts the source's slots, shard after shard."""
     want = sources.agg(F.coalesce(F.sum("want"), F.lit(0))).first()[0] / UNIT
     counts = shard_counts(sources.where("want > 0"), max(1, round(want / SHARD)), seed).groupBy("src", "shard").agg(F.sum("count").alias("count"))
-    each = counted(running(counts, ["src"], ["shard"], {"first": "count"}, "mix-counts"), F.col("count"), "nth")
+    each = counted(running(counts, ["src"], ["shard"], {"first": "count"}, "mix-counts", 8), F.col("count"), "nth")
     each = each.join(sources.select("src", "n_blocks"), "src").withColumn("slot", F.col("first") + F.col("nth")).where(F.col("slot") < F.lit(CAP) * F.col("n_blocks"))
     each = each.withColumn("pass", F.expr("slot div n_blocks")).withColumn("place", F.expr("slot % n_blocks"))
     block = shuffled(F.col("place"), F.col("n_blocks"), F.col("src"), F.col("pass"), F.lit(seed))

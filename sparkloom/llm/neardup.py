@@ -162,7 +162,7 @@ def _registers(sig: pd.Series) -> tuple[np.ndarray, np.ndarray]:
 def components(edges: DataFrame, labels: DataFrame | None = None) -> DataFrame:
     """node, comp: smallest node reachable by edges a, b. Labels fall to the least neighbouring label and are then followed to
     their own labels, which halves the way left; every round is a written table. labels: those known so far, if any."""
-    both = scratch(edges.select("a", "b").union(edges.select("b", "a")).distinct(), "links")
+    both = scratch(edges.select("a", "b").union(edges.select("b", "a")).distinct(), "links", 8)
     if labels is None:
         labels = both.select(F.col("a").alias("node"), F.col("a").alias("comp")).distinct()
     else:
@@ -173,7 +173,7 @@ def components(edges: DataFrame, labels: DataFrame | None = None) -> DataFrame:
         want = labels.join(near, labels["node"] == near["a"], "left").select("node", "comp", F.least("comp", F.coalesce("near", "comp")).alias("want"))
         then = labels.select(F.col("node").alias("want"), F.col("comp").alias("next"))
         moved = want.join(then, "want", "left").select("node", F.least("want", F.coalesce("next", "want")).alias("to"), "comp")
-        moved = scratch(moved.select("node", F.col("to").alias("comp"), (F.col("to") < F.col("comp")).alias("moved")), "labels")
+        moved = scratch(moved.select("node", F.col("to").alias("comp"), (F.col("to") < F.col("comp")).alias("moved")), "labels", 8)
         labels = moved.select("node", "comp")
         if moved.where("moved").isEmpty():
             return labels
@@ -207,7 +207,7 @@ def verify(pairs: DataFrame, texts: DataFrame, n: int, num: int, den: int) -> Da
     # what a leader's members need in all says into how many stretches they go
     many = pairs.groupBy("a").agg(F.ceil(F.sum("na") / STRETCH).cast("int").alias("many")).where("many > 1")
     dealt = pairs.join(many, "a", "left").withColumn("salt", F.pmod(F.xxhash64("b"), F.coalesce("many", F.lit(1))).cast("int"))
-    dealt = scratch(dealt.select("a", "b", "salt"), "dealt")
+    dealt = scratch(dealt.select("a", "b", "salt"), "dealt", 8)
     members = dealt.join(texts.withColumnRenamed("cid", "b"), "b").select("a", "salt", "b", "text")
     leads = dealt.select("a", "salt").distinct().join(texts.withColumnRenamed("cid", "a"), "a")
     rows = leads.select("a", "salt", F.lit(-1).cast("long").alias("b"), "text").unionByName(members)
@@ -325,17 +325,17 @@ def groups(docs: DataFrame, n: int, num: int, den: int) -> DataFrame:
     named = sketched.where("n > 0 and doc_id is not null")
     classes = named.groupBy("d1", "d2").agg(F.min(F.struct("doc_id", "tie", "n", "bands", "sig")).alias("m"))
     classes = classes.select("d1", "d2", F.col("m.doc_id").alias("rep"), "m.tie", "m.n", "m.bands", "m.sig", F.monotonically_increasing_id().alias("cid"))
-    classes = scratch(classes, "classes")  # from here on, cid stands for a class
+    classes = scratch(classes, "classes", 2)  # from here on, cid stands for a class
     banded = classes.select("cid", F.posexplode("bands").alias("band", "v")).where("v <> 0")
     buckets = banded.groupBy("band", "v").agg(F.min(F.struct(F.xxhash64("cid").alias("h"), "cid")).alias("m"), F.count("*").alias("size"))
-    buckets = scratch(buckets.where("size > 1").select("band", "v", F.col("m.cid").alias("lead"), "size"), "buckets")
-    rows = scratch(banded.join(buckets, ["band", "v"]), "members")  # only those that meet anyone
-    tested = scratch(_estimated(_pairs(rows, "cid", "lead"), classes, num, den), "tested")
+    buckets = scratch(buckets.where("size > 1").select("band", "v", F.col("m.cid").alias("lead"), "size"), "buckets", 4)
+    rows = scratch(banded.join(buckets, ["band", "v"]), "members", 2)  # only those that meet anyone
+    tested = scratch(_estimated(_pairs(rows, "cid", "lead"), classes, num, den), "tested", 8)
     met = rows.select("cid").distinct().join(classes.select("cid", F.col("rep").alias("doc_id"), "tie"), "cid")
     texts = scratch(text_of(docs).withColumn("tie", F.xxhash64("text")).join(met, ["doc_id", "tie"]).select("cid", "text"), "texts")
-    links = scratch(verify(tested, texts, n, num, den), "verified")
+    links = scratch(verify(tested, texts, n, num, den), "verified", 8)
     # rows of one doc_id are one document: their classes belong together
-    belongs = scratch(sketched.join(classes.select("d1", "d2", "cid", "rep"), ["d1", "d2"], "left").select("doc_id", "n", "cid", "rep"), "belongs")
+    belongs = scratch(sketched.join(classes.select("d1", "d2", "cid", "rep"), ["d1", "d2"], "left").select("doc_id", "n", "cid", "rep"), "belongs", 4)
     several = belongs.where("n > 0 and doc_id is not null").groupBy("doc_id").agg(F.min("cid").alias("a"), F.max("cid").alias("most")).where("a < most")
     links = links.union(belongs.where("n > 0").join(several, "doc_id").where("cid <> a").select("a", F.col("cid").alias("b")).distinct())
     labels = components(links)
@@ -344,18 +344,18 @@ def groups(docs: DataFrame, n: int, num: int, den: int) -> DataFrame:
         inside = rows.select("band", "v", "cid", "size").join(labels.withColumnRenamed("node", "cid"), "cid", "left").withColumn("comp", F.coalesce("comp", "cid"))
         counts = inside.groupBy("band", "v", "comp").agg(F.count("*").alias("c"))
         mixed = counts.groupBy("band", "v").agg(F.max(F.struct("c", "comp")).alias("m"), F.count("*").alias("comps"), F.sum("c").alias("all")).where("comps > 1")
-        mixed = scratch(mixed.select("band", "v", F.col("m.comp").alias("main"), "all", (F.col("all") - F.col("m.c")).alias("outs")), "mixed")
+        mixed = scratch(mixed.select("band", "v", F.col("m.comp").alias("main"), "all", (F.col("all") - F.col("m.c")).alias("outs")), "mixed", 8)
         members = inside.join(mixed, ["band", "v"])
-        large = scratch(members.where(F.col("size") > SMALL).join(classes.select("cid", "n", "sig"), "cid"), "large")
+        large = scratch(members.where(F.col("size") > SMALL).join(classes.select("cid", "n", "sig"), "cid"), "large", 2)
         per = large.groupBy("band", "v").agg(F.sum("n").alias("shingles"), F.sum(F.when(F.col("comp") != F.col("main"), F.col("n")).otherwise(0)).alias("out"))
         cut = lambda rows, shingles: F.greatest(F.ceil(F.col(rows) / BLOCK), F.ceil(F.col(shingles) / STRETCH)).cast("int")
         large = large.join(per, ["band", "v"]).withColumn("blocks", cut("all", "shingles")).withColumn("asks", cut("outs", "out"))
-        asked = scratch(_blocks(large, num, den, top), "asked")
+        asked = scratch(_blocks(large, num, den, top), "asked", 2)
         found = _verified_blocks(asked, texts, n, num, den)
         if top:  # small buckets give all their pairs at once
-            fresh = _estimated(_few(members).join(tested.select("a", "b"), ["a", "b"], "left_anti"), classes, num, den)
+            fresh = scratch(_estimated(_few(members).join(tested.select("a", "b"), ["a", "b"], "left_anti"), classes, num, den), "fresh", 8)
             found = found.union(verify(fresh, texts, n, num, den))
-        found = scratch(found.distinct(), "found")
+        found = scratch(found.distinct(), "found", 8)
         if not found.isEmpty():
             links = links.union(found)
             labels = components(links, labels)
