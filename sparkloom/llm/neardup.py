@@ -340,16 +340,15 @@ def groups(docs: DataFrame, n: int, num: int, den: int) -> DataFrame:
     links = links.union(belongs.where("n > 0").join(several, "doc_id").where("cid <> a").select("a", F.col("cid").alias("b")).distinct())
     labels = components(links)
     # first the likeliest few, which merge most of what belongs together, then all that is left
+    sizes = classes.select("cid", "n")
     for top in (2, 0):
-        inside = rows.select("band", "v", "cid", "size").join(labels.withColumnRenamed("node", "cid"), "cid", "left").withColumn("comp", F.coalesce("comp", "cid"))
-        counts = inside.groupBy("band", "v", "comp").agg(F.count("*").alias("c"))
-        mixed = counts.groupBy("band", "v").agg(F.max(F.struct("c", "comp")).alias("m"), F.count("*").alias("comps"), F.sum("c").alias("all")).where("comps > 1")
-        mixed = scratch(mixed.select("band", "v", F.col("m.comp").alias("main"), "all", (F.col("all") - F.col("m.c")).alias("outs")), "mixed", 8)
-        members = inside.join(mixed, ["band", "v"])
-        large = scratch(members.where(F.col("size") > SMALL).join(classes.select("cid", "n", "sig"), "cid"), "large", 2)
-        per = large.groupBy("band", "v").agg(F.sum("n").alias("shingles"), F.sum(F.when(F.col("comp") != F.col("main"), F.col("n")).otherwise(0)).alias("out"))
-        cut = lambda rows, shingles: F.greatest(F.ceil(F.col(rows) / BLOCK), F.ceil(F.col(shingles) / STRETCH)).cast("int")
-        large = large.join(per, ["band", "v"]).withColumn("blocks", cut("all", "shingles")).withColumn("asks", cut("outs", "out"))
+        inside = rows.select("band", "v", "cid", "size").join(labels.withColumnRenamed("node", "cid"), "cid", "left").withColumn("comp", F.coalesce("comp", "cid")).join(sizes, "cid")
+        counts = inside.groupBy("band", "v", "comp").agg(F.count("*").alias("c"), F.sum("n").alias("n"))
+        mixed = counts.groupBy("band", "v").agg(F.max(F.struct("c", "comp", "n")).alias("m"), F.count("*").alias("comps"), F.sum("c").alias("c"), F.sum("n").alias("n")).where("comps > 1")
+        cut = lambda rows, shingles: F.greatest(F.ceil(rows / BLOCK), F.ceil(shingles / STRETCH)).cast("int")
+        mixed = mixed.select("band", "v", F.col("m.comp").alias("main"), cut(F.col("c"), F.col("n")).alias("blocks"), cut(F.col("c") - F.col("m.c"), F.col("n") - F.col("m.n")).alias("asks"))
+        members = scratch(inside.join(mixed, ["band", "v"]), "mixed", 4)  # read three times
+        large = members.where(F.col("size") > SMALL).join(classes.select("cid", "sig"), "cid")
         asked = scratch(_blocks(large, num, den, top), "asked", 2)
         found = _verified_blocks(asked, texts, n, num, den)
         if top:  # small buckets give all their pairs at once
