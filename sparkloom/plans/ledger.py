@@ -178,7 +178,7 @@ ORACLES = {
  CASE WHEN bool_or(role = 'user' AND contains(text, '{MARKER}')) THEN 'draft' ELSE 'simple' END AS session_type FROM conversations GROUP BY 1""",
     "quota_gate": f"""SELECT conv_id, tokens, CASE WHEN conv_id % 4 <= 0 THEN 'no simple credits' WHEN tokens > {GLOBAL_TOKENS} THEN 'token limit'
  WHEN tokens > {DEMO_SESSION_LIMIT} THEN 'session limit' ELSE 'ok' END AS verdict FROM (SELECT conv_id, CAST(sum(tokens) AS BIGINT) AS tokens FROM {_M} GROUP BY 1)""",
-    "usage_ledger_fold": f"""WITH RECURSIVE l AS (SELECT user_id, least(amount, 2) AS amount, row_number() OVER (PARTITION BY user_id ORDER BY ts, log_id) AS k FROM {_LOGS} WHERE event_type <> 'view'),
+    "usage_ledger_fold": f"""WITH RECURSIVE l AS (SELECT user_id, amount, row_number() OVER (PARTITION BY user_id ORDER BY ts, log_id) AS k FROM {_LOGS} WHERE event_type <> 'view'),
 f AS (SELECT user_id, CAST(0 AS BIGINT) AS k, CAST({START_BALANCE} AS BIGINT) AS balance, CAST(0 AS BIGINT) AS used, CAST(0 AS BIGINT) AS refused, CAST(0 AS BIGINT) AS alerts FROM (SELECT DISTINCT user_id FROM l)
  UNION ALL SELECT f.user_id, l.k, CASE WHEN l.amount < 0 THEN greatest(f.balance - 1, 0) ELSE f.balance + l.amount END, f.used + CASE WHEN l.amount < 0 THEN 1 ELSE 0 END,
  f.refused + CASE WHEN l.amount < 0 AND f.balance <= 0 THEN 1 ELSE 0 END, f.alerts + CASE WHEN l.amount < 0 AND f.balance = 2 THEN 1 ELSE 0 END FROM f JOIN l ON l.user_id = f.user_id AND l.k = f.k + 1)

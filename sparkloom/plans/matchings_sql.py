@@ -4,13 +4,13 @@ from __future__ import annotations
 
 from sparkloom.operators import matching as M
 from sparkloom.plans.matchings import KINDS
-from sparkloom.plans.retrieval import D2, QUERY_VECTORS
+from sparkloom.plans.retrieval import D2, QUERY_EVERY
 
 _INDEX = """(SELECT 'section' AS index_name, CAST(p_size AS VARCHAR) AS key, p_partkey AS chunk_id, p_partkey AS pos FROM part
  UNION ALL SELECT 'rule', p_size || 'a', p_partkey, p_partkey FROM part WHERE p_partkey % 2 = 0)"""
 _KIND = "[" + ", ".join(f"'{k}'" for k in KINDS) + f"][e.label % {len(KINDS)} + 1]"
 _HITS = f"""(SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY d2, vec_id) AS rank, round(1 / (1 + d2), 6) AS score FROM
- (SELECT q.vec_id AS query_id, e.vec_id, {D2} AS d2, {_KIND} AS kind, e.label FROM embeddings e, embeddings q WHERE q.vec_id < {QUERY_VECTORS})) WHERE rank <= 50)"""
+ (SELECT q.vec_id AS query_id, e.vec_id, {D2} AS d2, {_KIND} AS kind, e.label FROM embeddings e, embeddings q WHERE q.vec_id % {QUERY_EVERY} = 0)) WHERE rank <= 50)"""
 _PRIORITY = "CASE kind " + " ".join(f"WHEN '{k}' THEN {i}" for i, k in enumerate(M.HIERARCHY)) + " ELSE 99 END"
 _J = "(SELECT p_partkey AS external_id, p_name AS p, lower(p_type) || ' stores' AS r FROM part)"
 
@@ -52,11 +52,11 @@ SELECT query_id, external_id, round(score, 6) AS score, CAST(rank AS INTEGER) AS
 SELECT o_orderkey, sha256(concat_ws(chr(10), CASE WHEN o_orderstatus <> 'P' THEN 'Status: ' || o_orderstatus END, 'Priority: ' || o_orderpriority) || chr(10) || chr(10) || body) AS text_sha256 FROM orders JOIN b ON l_orderkey = o_orderkey""",
     "intent_classify": "WITH t AS (SELECT conv_id, turn, lower(text || [' how to register', ' RATE', '', ' council'][turn % 4 + 1]) AS q FROM conversations) SELECT conv_id, turn, CASE " + " ".join(f"WHEN {_any(w)} THEN '{n}'" for n, w in M.INTENTS) + " ELSE 'general' END AS intent FROM t",
     "mode_detect": "WITH t AS (SELECT conv_id, turn, lower(CASE WHEN turn % 3 = 0 THEN text || ' Support the NOTICE please' ELSE text END) AS q FROM conversations) SELECT conv_id, turn, CASE WHEN " + _any(M.REVENUE_SIDE) + " THEN 'in_favour' ELSE 'defensive' END AS mode FROM t",
-    "primary_supporting_split": f"""WITH h AS (SELECT query_id, rank, vec_id, vec_id % 17 = 0 OR (query_id = 0 AND kind = 'judgment') OR (query_id = 1 AND kind = 'definition') OR (query_id = 4 AND kind = 'rule') AS flag FROM {_HITS})
+    "primary_supporting_split": f"""WITH h AS (SELECT query_id, rank, vec_id, vec_id % 17 = 0 OR (query_id // {QUERY_EVERY} % 5 = 0 AND kind = 'judgment') OR (query_id // {QUERY_EVERY} % 5 = 1 AND kind = 'definition') OR (query_id // {QUERY_EVERY} % 5 = 4 AND kind = 'rule') AS flag FROM {_HITS})
 SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, CASE WHEN bool_or(flag) OVER (PARTITION BY query_id) THEN flag ELSE rank <= 3 END AS primary FROM h""",
     "cosine_clamp": f"""SELECT q.vec_id AS query_id, e.vec_id, round(greatest(0.3, least(1.0, list_sum(list_transform(list_zip(q.embedding, e.embedding), lambda p: p[1]::DOUBLE * p[2]::DOUBLE))
- / sqrt(list_sum(list_transform(q.embedding, lambda x: x::DOUBLE * x::DOUBLE)) * list_sum(list_transform(e.embedding, lambda x: x::DOUBLE * x::DOUBLE))))), 6) AS score FROM embeddings e, embeddings q WHERE q.vec_id < {QUERY_VECTORS}""",
-    "score_fusion_topk": f"""WITH u AS (SELECT q.vec_id AS query_id, e.vec_id, 0.95::DOUBLE AS score, 0 AS stage FROM embeddings e JOIN embeddings q ON q.label = e.label AND q.vec_id < {QUERY_VECTORS} WHERE e.vec_id % 10 = 3
+ / sqrt(list_sum(list_transform(q.embedding, lambda x: x::DOUBLE * x::DOUBLE)) * list_sum(list_transform(e.embedding, lambda x: x::DOUBLE * x::DOUBLE))))), 6) AS score FROM embeddings e, embeddings q WHERE q.vec_id % {QUERY_EVERY} = 0""",
+    "score_fusion_topk": f"""WITH u AS (SELECT q.vec_id AS query_id, e.vec_id, 0.95::DOUBLE AS score, 0 AS stage FROM embeddings e JOIN embeddings q ON q.label = e.label AND q.vec_id % {QUERY_EVERY} = 0
  UNION ALL SELECT query_id, vec_id, score, 1 FROM {_HITS}),
 f AS (SELECT query_id, vec_id, arg_min(score, stage) AS score, min(stage) AS stage FROM u GROUP BY 1, 2)
 SELECT query_id, vec_id, round(score, 6) AS score, stage, CAST(rank AS INTEGER) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 6) DESC, stage, vec_id) AS rank FROM f) WHERE rank <= 25""",

@@ -14,7 +14,6 @@ TOP_K = 50
 #: Every vector whose id this divides is a query, so their side grows with the table.
 QUERY_EVERY = 20
 #: The SQL's queries: its first five vectors only.
-QUERY_VECTORS = 5
 #: Vectors and queries of a block; each block of queries meets all blocks of vectors.
 VECTOR_BLOCK, QUERY_BLOCK = 4096, 256
 
@@ -108,7 +107,7 @@ D2 = "list_sum(list_transform(list_zip(q.embedding, e.embedding), lambda p: (p[1
 
 ORACLES = {
     "knn_topk": f"""
-WITH scored AS (SELECT q.vec_id AS query_id, e.vec_id, {D2} AS d2 FROM embeddings e, embeddings q WHERE q.vec_id < {QUERY_VECTORS}),
+WITH scored AS (SELECT q.vec_id AS query_id, e.vec_id, {D2} AS d2 FROM embeddings e, embeddings q WHERE q.vec_id % {QUERY_EVERY} = 0),
 ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY d2, vec_id) AS rank FROM scored)
 SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, round(d2, 6) AS d2, round(1 / (1 + d2), 6) AS score FROM ranked WHERE rank <= {TOP_K}
 """,

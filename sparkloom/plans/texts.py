@@ -203,10 +203,10 @@ SELECT doc_id, count(*) AS lines, CAST(min(pos) AS INTEGER) AS first, CAST(max(p
     "case_number_expand": """SELECT s_suppkey, array_to_string(list_sort(['Civil Appeal No. ' || s_suppkey || ' of 2016', 'W.P.M.P.No. ' || s_suppkey || ' of 2017', 'W.P.M.P.No. ' || (s_suppkey + 1) || ' of 2017']), '; ') AS numbers FROM supplier""",
     "citation_extract": "SELECT s_suppkey, CASE WHEN s_suppkey % 2 = 0 THEN '2019 (3) SCC ' || s_suppkey ELSE '2021 (5) tmi ' || s_suppkey END AS citation FROM supplier",
     "cross_refs": """SELECT p_partkey, array_to_string(list_sort(list_distinct([p_size || '(2)', '16', '7'])), ',') AS sections, '89A' AS rules, '12/2017' AS notifications, '05' AS forms, '9983' AS hsn_codes, '' AS sac_codes FROM part""",
-    "keywords_topn": f"""WITH w AS (SELECT item_id, {_WORDS} AS w FROM benchmark),
-t AS (SELECT item_id, unnest(list_concat(w, list_transform(range(1, greatest(len(w), 1)), lambda i: w[i] || ' ' || w[i + 1]))) AS term FROM w),
-c AS (SELECT item_id, term, count(*) AS times FROM t GROUP BY 1, 2)
-SELECT item_id, term, times, CAST(rank AS INTEGER) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY times DESC, term) AS rank FROM c) WHERE rank <= {TOP_WORDS}""",
+    "keywords_topn": f"""WITH w AS (SELECT doc_id, {_WORDS} AS w FROM documents),
+t AS (SELECT doc_id, unnest(list_concat(w, list_transform(range(1, greatest(len(w), 1)), lambda i: w[i] || ' ' || w[i + 1]))) AS term FROM w),
+c AS (SELECT doc_id, term, count(*) AS times FROM t GROUP BY 1, 2)
+SELECT doc_id, term, times, CAST(rank AS INTEGER) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY times DESC, term) AS rank FROM c) WHERE rank <= {TOP_WORDS}""",
     "first_sentence_summary": f"SELECT doc_id, coalesce({_SENT}[1], substr(text, 1, 200)) AS summary FROM documents",
     "decision_sentences": f"""WITH s AS (SELECT doc_id, list_filter({_SENT}, lambda s: contains(lower(s), 'that the') OR contains(lower(s), 'idiot')) AS kept FROM documents)
 SELECT doc_id, CAST(len(kept) AS INTEGER) AS sentences, array_to_string(kept, '|') AS kept FROM s""",
@@ -219,7 +219,7 @@ SELECT q.conv_id, CAST(q.i AS INTEGER) AS i, q.text AS question, a.text AS answe
     "html_to_text": r"""SELECT page_id, trim(regexp_replace(replace(replace(replace(replace(replace(replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(html,
  '(?is)<script\b.*?</script>', ' ', 'g'), '(?is)<style\b.*?</style>', ' ', 'g'), '(?s)<!--.*?-->', ' ', 'g'), '(?s)<[^>]*>', ' ', 'g'),
  '&nbsp;', ' '), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', ''''), '&amp;', '&'), '\s+', ' ', 'g')) AS text FROM pages""",
-    "fixed_slices": "SELECT item_id, CAST(i AS INTEGER) AS slice_no, substr(text, CAST(i AS INTEGER) * 200 + 1, 200) AS slice FROM (SELECT item_id, text, unnest(range((length(text) + 199) // 200)) AS i FROM benchmark)",
+    "fixed_slices": "SELECT doc_id, CAST(i AS INTEGER) AS slice_no, substr(text, CAST(i AS INTEGER) * 200 + 1, 200) AS slice FROM (SELECT doc_id, text, unnest(range((length(text) + 199) // 200)) AS i FROM documents)",
     "two_halves": """WITH m AS (SELECT doc_id, text, length(text) // 2 AS mid, substr(text, length(text) // 2 - 149, 300) AS w FROM documents),
 c AS (SELECT *, CASE WHEN contains(w, chr(10)) THEN mid - 150 + length(w) - strpos(reverse(w), chr(10)) ELSE mid END AS cut FROM m),
 h AS (SELECT doc_id, 0 AS half, CASE WHEN length(text) > 3000 THEN substr(text, 1, CAST(cut + 200 AS INTEGER)) ELSE text END AS part FROM c
