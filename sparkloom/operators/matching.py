@@ -50,11 +50,34 @@ def match_parties(queries: DataFrame, judgments: DataFrame) -> DataFrame:
 
 
 def match_substring(queries: DataFrame, judgments: DataFrame) -> DataFrame:
-    """Parties that contain a name or are contained in it. A nested loop over the queries, which are broadcast: a stated handful."""
-    q = queries.select("query_id", T.normalize_party(F.col("one")).alias("n")).where(F.length("n") >= 3)
+    """query_id, external_id, side: parties that contain one of a query's names or are contained in it. A nested loop over the queries' names,
+    which are broadcast: a stated handful."""
+    names = F.array(T.normalize_party(F.col("one")), *([T.normalize_party(F.col("two"))] if "two" in queries.columns else []))
+    q = queries.select("query_id", F.explode(names).alias("n")).where(F.length("n") >= 3)
     j = judgments.select("external_id", T.normalize_party(F.col("petitioner")).alias("p"), T.normalize_party(F.col("respondent")).alias("r"))
     inside = lambda a: (F.length(a) >= 3) & (F.contains(F.col(a), F.col("n")) | F.contains(F.col("n"), F.col(a)))
-    return j.join(F.broadcast(q), inside("p") | inside("r")).select("query_id", "external_id", F.when(inside("p"), "petitioner").otherwise("respondent").alias("side"))
+    found = j.join(F.broadcast(q), inside("p") | inside("r")).groupBy("query_id", "external_id").agg(F.max(inside("p")).alias("first"))
+    return found.select("query_id", "external_id", F.when(F.col("first"), "petitioner").otherwise("respondent").alias("side"))
+
+
+REASONS = ["citation", "case_number", "both", "petitioner", "respondent", "substring"]
+
+
+def find_judgments(queries: DataFrame, judgments: DataFrame) -> DataFrame:
+    """queries: query_id, citation, case_number, one, two; judgments: external_id, citation, case_number, petitioner, respondent. query_id,
+    external_id, reason: by citation, by case number, by both parties, by one, and only where no party was hit exactly, by a part of
+    a name. The first reason that holds counts. All but the last are equi-joins on normalised keys."""
+    keyed = lambda df, c, norm: df.select(*[x for x in ("query_id", "external_id") if x in df.columns], norm(F.col(c)).alias("key")).where("key <> ''")
+    rows = None
+    for rank, (c, norm) in enumerate((("citation", T.normalize_citation), ("case_number", T.core_case_number))):
+        got = keyed(queries, c, norm).join(keyed(judgments, c, norm), "key").select("query_id", "external_id", F.lit(rank).alias("rank"))
+        rows = got if rows is None else rows.unionByName(got)
+    at = lambda c: (F.array_position(F.array(*[F.lit(x) for x in REASONS]), F.col(c)) - 1).cast("int")
+    exact = match_parties(queries, judgments).select("query_id", "external_id", at("reason").alias("rank"))
+    rest = queries.join(exact.select("query_id").distinct(), "query_id", "left_anti")
+    part = match_substring(rest, judgments).select("query_id", "external_id", F.lit(5).alias("rank"))
+    best = rows.unionByName(exact).unionByName(part).groupBy("query_id", "external_id").agg(F.min("rank").alias("rank"))
+    return best.select("query_id", "external_id", F.element_at(F.array(*[F.lit(x) for x in REASONS]), F.col("rank") + 1).alias("reason"))
 
 
 def match_fuzzy(queries: DataFrame, judgments: DataFrame, high: float = 0.75, low: float = 0.60, top: int = 5) -> DataFrame:

@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from sparkloom.plans import analytics, ledger, matchings, matchings_sql, retrieval, texts
+from sparkloom.plans import analytics, ledger, matchings, matchings_sql, records, retrieval, texts
 
-MODULES = (retrieval, analytics, ledger, texts, matchings)
+MODULES = (retrieval, analytics, ledger, texts, matchings, records)
 QUERIES = {name: query for m in MODULES for name, query in m.QUERIES.items()}
-ORACLES = {name: sql for m in (retrieval, analytics, ledger, texts, matchings_sql) for name, sql in m.ORACLES.items()}
+ORACLES = {name: sql for m in (retrieval, analytics, ledger, texts, matchings_sql, records) for name, sql in m.ORACLES.items()}
