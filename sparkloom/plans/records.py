@@ -84,7 +84,7 @@ def analysis_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def plain_signs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "supplier").select("s_suppkey", R.plain_signs(F.concat(F.lit("“"), "s_name", F.lit("” –  it’s "), "s_phone", F.lit("… "))).alias("plain"))
+    return table(spark, sf_dir, "supplier").select("s_suppkey", R.plain_signs(F.concat(F.lit("“"), "s_name", F.lit("” –  it’s "), F.col("s_nationkey").cast("string"), F.lit("… "))).alias("plain"))
 
 
 def capped_keywords(spark: SparkSession, sf_dir: str) -> DataFrame:
