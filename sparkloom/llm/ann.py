@@ -1,19 +1,22 @@
 """Approximate nearest neighbours by adaptive dimension scans over inverted lists.
 
 Vectors are turned by a random rotation, which spreads what tells them apart evenly over the dimensions, and every one is put into
-the list of its nearest centroid. A query probes its nearest lists. Inside a list the rotated dimensions are read in column
-blocks: after each block, the partial distance scaled to all dimensions is an estimate, and a candidate is abandoned as soon as
-a one-sided test says that its distance exceeds the query's bound (partial > bound * d / D * (1 + EPSILON / sqrt(d)) ** 2). What
-survives all blocks is ranked by the exact distance of the original vectors in double precision.
-
-Centroids, the number of lists to probe and each query's first bound come from a sample of SAMPLE vectors at most (those with
-the least hashes of their ids), which is broadcast; every vector is indexed. The number of probes is the least that finds
+a list: that of its nearest centroid, divided further by the nearest of FINE offsets from it, as many as it takes for about
+sqrt(rows) lists. A query probes its nearest lists, the nearest one first: the k-th distance found there bounds the others.
+Inside a list the rotated dimensions are read in column blocks: after each block, the partial distance scaled to all dimensions
+is an estimate, and a candidate is abandoned as soon as a one-sided test says that its distance exceeds the query's bound
+(partial > bound * d / D * (1 + EPSILON / sqrt(d)) ** 2). What survives all blocks is ranked by the exact distance of the original
+vectors in double precision.
+
+Centroids, offsets, the number of lists to probe and each query's first bound come from a sample of SAMPLE vectors at most (those
+with the least hashes of their ids), which is broadcast; every vector is indexed. The number of probes is the least that finds
 TARGET of the sample's own neighbours. Lists are cut into parts of about PART vectors, so one that holds a third of all rows is many
 tasks.
 
 Defined results: vectors that are null, zero, of a length other than the most common one, or with null or non-finite
-components take no part; queries that share an id count once; of candidates that share an id each row counts; fewer than k
-candidates give fewer rows; an empty table gives an empty result; further columns are ignored.
+components take no part; each row whose id asks is a query of its own, and every other row, those of the same id among them, is a
+candidate; ties at the last rank go to the smaller ids; fewer than k candidates give fewer rows; an empty table gives an empty
+result; further columns are ignored.
 """
 
 from __future__ import annotations
@@ -22,9 +25,9 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window, functions as F
 
-from .common import scratch
+from .common import partitions, scratch, small_batches, tidied
 
-SAMPLE, MAX_LISTS, PART, COLUMNS = 16_384, 256, 4_096, 16
+SAMPLE, CENTROIDS, FINE, PART, COLUMNS = 16_384, 256, 256, 4_096, 16
 EPSILON, TARGET, PROBED = 2.1, 0.97, 512
 
 
@@ -62,21 +65,40 @@ def kmeans(x: np.ndarray, k: int, rounds: int = 10, seed: int = 7) -> np.ndarray
     return centroids
 
 
-def probes(x: np.ndarray, centroids: np.ndarray, k: int) -> int:
+class Lists:
+    """Centroids and offsets from them; list = centroid * offsets + offset."""
+
+    def __init__(self, x: np.ndarray, rows: int):
+        wanted = max(1, round(rows**0.5))
+        self.centroids = kmeans(x, min(CENTROIDS, wanted, max(1, round(len(x) ** 0.5))))
+        residuals = x - self.centroids[nearest(x, self.centroids)]
+        fine = min(FINE, -(-wanted // len(self.centroids)))
+        self.offsets = kmeans(residuals, fine) if fine > 1 else np.zeros((1, x.shape[1]))
+
+    def of(self, x: np.ndarray) -> np.ndarray:
+        near = nearest(x, self.centroids)
+        return near * len(self.offsets) + nearest(x - self.centroids[near], self.offsets)
+
+    def centres(self) -> np.ndarray:
+        return (self.centroids[:, None] + self.offsets[None]).reshape(-1, self.centroids.shape[1])
+
+
+def probes(x: np.ndarray, lists: Lists, k: int) -> int:
     """Lists to probe so that TARGET of the sample's k nearest lie in them."""
     asked = x[:PROBED]
     d = squared(asked, x)
     d[np.arange(len(asked)), np.arange(len(asked))] = np.inf
     near = np.argsort(d, 1)[:, : min(k, len(x) - 1)]
-    order = np.argsort(np.argsort(squared(asked, centroids), 1), 1)
-    places = np.sort(order[np.arange(len(asked))[:, None], nearest(x, centroids)[near]].ravel())
-    return int(places[min(len(places) - 1, int(np.ceil(TARGET * len(places))))]) + 1 if len(places) else len(centroids)
+    centres = lists.centres()
+    order = np.argsort(np.argsort(squared(asked, centres), 1), 1)
+    places = np.sort(order[np.arange(len(asked))[:, None], lists.of(x)[near]].ravel())
+    return int(places[min(len(places) - 1, int(np.ceil(TARGET * len(places))))]) + 1 if len(places) else len(centres)
 
 
-def scan(rotated: np.ndarray, original: np.ndarray, ids: np.ndarray, q_rotated: np.ndarray, q: np.ndarray, own: int, bound: float, k: int) -> tuple[np.ndarray, np.ndarray]:
+def scan(rotated: np.ndarray, original: np.ndarray, ids: np.ndarray, row: np.ndarray, q_rotated: np.ndarray, q: np.ndarray, own: int, bound: float, k: int) -> tuple[np.ndarray, np.ndarray]:
     """(ids, distances) of the k nearest of a part for one query; bound: squared distance beyond which nothing counts."""
     d = rotated.shape[1]
-    alive = np.flatnonzero(ids != own)
+    alive = np.flatnonzero(row != own)
     partial = np.zeros(len(alive))
     for start in range(0, d, COLUMNS):
         end = min(start + COLUMNS, d)
@@ -93,55 +115,65 @@ def scan(rotated: np.ndarray, original: np.ndarray, ids: np.ndarray, q_rotated:
 def search(vectors: DataFrame, every: int = 100, k: int = 10) -> DataFrame:
     """query_id, rank, vec_id, score: k nearest of every row whose vec_id is divisible by `every`."""
     spark = vectors.sparkSession
+    small_batches(spark)
     rows = usable(vectors)
     taken = rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(SAMPLE).collect()
     if not taken:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     s_ids, s = np.array([r["vec_id"] for r in taken]), np.array([r["v"] for r in taken])
     turn = rotation(s.shape[1])
-    s_rotated = s @ turn
-    n_lists = int(min(MAX_LISTS, max(1, round(len(s) ** 0.5))))
-    centroids = kmeans(s_rotated, n_lists)
-    n_probes = probes(s_rotated, centroids, k)
-    shared = spark.sparkContext.broadcast((turn, centroids, s_ids, s))
+    index = Lists(s @ turn, rows.count())
+    n_probes = probes(s @ turn, index, k)
+    shared = spark.sparkContext.broadcast((turn, index, index.centres(), s_ids, s))  # SAMPLE vectors and CENTROIDS * FINE centres at most
 
+    @tidied
     def put(frames):
-        turn, centroids, _, _ = shared.value
+        turn, index, *_ = shared.value
         for frame in frames:
-            yield frame.assign(list=nearest(np.array(frame.v.tolist()) @ turn, centroids).astype("int32")) if len(frame) else frame.assign(list=np.zeros(0, "int32"))
+            yield frame.assign(list=(index.of(np.array(frame.v.tolist()) @ turn) if len(frame) else np.zeros(0)).astype("int32"))
 
+    @tidied
     def ask(frames):
-        turn, centroids, ids, sample = shared.value
+        turn, _, centres, ids, sample = shared.value
         for frame in frames:
             out = []
-            for own, v in zip(frame.vec_id, frame.v, strict=True):
+            for row, own, v in zip(frame.row, frame.vec_id, frame.v, strict=True):
                 v = np.array(v)
                 d = ((sample[ids != own] - v) ** 2).sum(1)
                 # rotated components are rounded: without the slack, copies of the query would be a hair beyond a bound of 0
                 bound = float(np.partition(d, k - 1)[k - 1]) * (1 + 1e-9) + 1e-9 * float(v @ v) if len(d) >= k else float("inf")
-                order = np.argsort(squared((v @ turn)[None], centroids)[0], kind="stable")[:n_probes]
-                out += [(own, v, bound, int(x)) for x in order]
-            yield pd.DataFrame(out, columns=["query_id", "q", "bound", "list"])
-
-    lists = scratch(rows.mapInPandas(put, "vec_id long, v array<double>, list int"), "lists")
-    parts = scratch(lists.groupBy("list").agg(F.ceil(F.count("*") / PART).cast("int").alias("parts")), "parts")  # MAX_LISTS rows at most
-    asked = rows.where(F.col("vec_id") % every == 0).dropDuplicates(["vec_id"]).mapInPandas(ask, "query_id long, q array<double>, bound double, list int")
-    counts = parts.select("list", F.col("parts").alias("n"))
-    asked = asked.join(F.broadcast(counts), "list").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("n") - 1))).drop("n")
-    stored = lists.join(F.broadcast(parts), "list").withColumn("part", F.pmod(F.xxhash64("vec_id", F.lit(1)), F.col("parts")).cast("int")).drop("parts")
+                order = np.argsort(squared((v @ turn)[None], centres)[0], kind="stable")[:n_probes]
+                out.append((row, own, v, bound, order.astype("int32").tolist()))
+            yield pd.DataFrame(out, columns=["row", "query_id", "q", "bound", "probes"])
 
     def probe(part: pd.DataFrame, queries: pd.DataFrame) -> pd.DataFrame:
-        turn = shared.value[0]
-        out = []
+        turn, out = shared.value[0], []
         if len(part) and len(queries):
-            original, ids = np.array(part.v.tolist()), part.vec_id.to_numpy()
+            original, ids, row = np.array(part.v.tolist()), part.vec_id.to_numpy(), part.row.to_numpy()
             rotated = original @ turn
-            for own, q, bound in zip(queries.query_id, queries.q, queries.bound, strict=True):
+            for own, query_id, q, bound in zip(queries.row, queries.query_id, queries.q, queries.bound, strict=True):
                 q = np.asarray(q)
-                found, distance = scan(rotated, original, ids, q @ turn, q, own, bound, k)
-                out += zip([own] * len(found), found.tolist(), distance.tolist(), strict=True)
-        return pd.DataFrame(out, columns=["query_id", "vec_id", "score"]).astype({"query_id": "int64", "vec_id": "int64", "score": "float64"})
-
-    hits = stored.groupBy("list", "part").cogroup(asked.groupBy("list", "part")).applyInPandas(probe, "query_id long, vec_id long, score double")
-    ranked = hits.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy("score", "vec_id")))
-    return ranked.where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+                found, distance = scan(rotated, original, ids, row, q @ turn, q, own, bound, k)
+                out += zip([own] * len(found), [query_id] * len(found), found.tolist(), distance.tolist(), strict=True)
+        return pd.DataFrame(out, columns=["row", "query_id", "vec_id", "score"]).astype({"row": "int64", "query_id": "int64", "vec_id": "int64", "score": "float64"})
+
+    def scanned(asked: DataFrame) -> DataFrame:
+        """The k nearest that the lists of the queries hold, one list a row of asked."""
+        parts = asked.join(many, "list").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).drop("parts")
+        hits = stored.groupBy("list", "part").cogroup(parts.groupBy("list", "part")).applyInPandas(probe, "row long, query_id long, vec_id long, score double")
+        ranked = hits.withColumn("rank", F.row_number().over(Window.partitionBy("row").orderBy("score", "vec_id")))
+        return ranked.where(F.col("rank") <= k)
+
+    indexed = rows.mapInPandas(put, "vec_id long, v array<double>, list int").withColumn("row", F.monotonically_increasing_id())
+    indexed = scratch(indexed, "lists")  # from here on, row stands for a row
+    many = scratch(indexed.groupBy("list").agg(F.ceil(F.count("*") / PART).cast("int").alias("parts")), "parts", 16)  # a row a list
+    stored = indexed.join(F.broadcast(many), "list").withColumn("part", F.pmod(F.xxhash64("row"), F.col("parts")).cast("int")).drop("parts")
+    asking = indexed.where(F.col("vec_id") % every == 0).select("row", "vec_id", "v").repartition(partitions(spark), "row")
+    queries = scratch(asking.mapInPandas(ask, "row long, query_id long, q array<double>, bound double, probes array<int>"), "queries")
+    first = scratch(scanned(queries.select("row", "query_id", "q", "bound", F.get("probes", F.lit(0)).alias("list"))), "first", 8)
+    worst = first.groupBy("row").agg(F.max(F.when(F.col("rank") == k, F.col("score"))).alias("worst"))
+    # the k-th distance of the nearest list bounds the others; the same slack as above
+    tighter = F.least("bound", F.coalesce(F.col("worst") * F.col("worst") * (1 + 1e-9) + 1e-9 * F.aggregate("q", F.lit(0.0), lambda a, x: a + x * x), F.col("bound")))
+    rest = queries.join(worst, "row", "left").select("row", "query_id", "q", tighter.alias("bound"), F.explode(F.slice("probes", 2, n_probes)).alias("list"))
+    both = first.unionByName(scanned(rest)).withColumn("rank", F.row_number().over(Window.partitionBy("row").orderBy("score", "vec_id")))
+    return both.where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

@@ -330,10 +330,10 @@ def groups(docs: DataFrame, n: int, num: int, den: int) -> DataFrame:
     buckets = banded.groupBy("band", "v").agg(F.min(F.struct(F.xxhash64("cid").alias("h"), "cid")).alias("m"), F.count("*").alias("size"))
     buckets = scratch(buckets.where("size > 1").select("band", "v", F.col("m.cid").alias("lead"), "size"), "buckets", 4)
     rows = scratch(banded.join(buckets, ["band", "v"]), "members", 2)  # only those that meet anyone
-    tested = scratch(_estimated(_pairs(rows, "cid", "lead"), classes, num, den), "tested", 8)
+    tested = scratch(_estimated(_pairs(rows, "cid", "lead"), classes, num, den), "tested", 4)
     met = rows.select("cid").distinct().join(classes.select("cid", F.col("rep").alias("doc_id"), "tie"), "cid")
     texts = scratch(text_of(docs).withColumn("tie", F.xxhash64("text")).join(met, ["doc_id", "tie"]).select("cid", "text"), "texts")
-    links = scratch(verify(tested, texts, n, num, den), "verified", 8)
+    links = scratch(verify(tested, texts, n, num, den), "verified", 2)
     # rows of one doc_id are one document: their classes belong together
     belongs = scratch(sketched.join(classes.select("d1", "d2", "cid", "rep"), ["d1", "d2"], "left").select("doc_id", "n", "cid", "rep"), "belongs", 4)
     several = belongs.where("n > 0 and doc_id is not null").groupBy("doc_id").agg(F.min("cid").alias("a"), F.max("cid").alias("most")).where("a < most")
@@ -352,7 +352,7 @@ def groups(docs: DataFrame, n: int, num: int, den: int) -> DataFrame:
         asked = scratch(_blocks(large, num, den, top), "asked", 2)
         found = _verified_blocks(asked, texts, n, num, den)
         if top:  # small buckets give all their pairs at once
-            fresh = scratch(_estimated(_few(members).join(tested.select("a", "b"), ["a", "b"], "left_anti"), classes, num, den), "fresh", 8)
+            fresh = scratch(_estimated(_few(members).join(tested.select("a", "b"), ["a", "b"], "left_anti"), classes, num, den), "fresh", 4)
             found = found.union(verify(fresh, texts, n, num, den))
         found = scratch(found.distinct(), "found", 8)
         if not found.isEmpty():

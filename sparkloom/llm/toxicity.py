@@ -9,7 +9,8 @@ where the bracket corrects the unlabelled risk for the toxic texts hidden in it,
 step goes back along it). The class prior is the share of toxic documents among the labelled ones of the training folds.
 
 The training sample is bounded: POSITIVES toxic and UNLABELLED other documents at most, those with the least hashes of doc_id.
-Words are hashed into SPACE places; the FEATURES most telling ones are kept, so the model that goes to the executors is of fixed size.
+Words are hashed into SPACE places. How many texts of either kind have a place is counted on the executors, and the FEATURES most
+telling places are chosen there; the driver gets their numbers, and for each text of the sample one bit a feature, 1.5 MB at most.
 
 Defined results: null and empty texts have no words and get the model's base score; without a toxic example all scores are 0;
 rows that share a doc_id, or are equal, are scored each; an empty table gives an empty result; further columns are ignored.
@@ -23,12 +24,12 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .common import text_of
+from .common import scratch, small_batches, text_of, tidied
 
 POSITIVES, UNLABELLED, FEATURES, SPACE = 4_096, 8_192, 1_024, 1 << 20
 FOLDS = 5
 EDGES = ".,;:!?|#*$%&<>()[]{}\"'`~_-=+/\\"
-REMEMBERED = 300_000
+REMEMBERED = 100_000
 
 
 def held_out(doc_id: Column) -> Column:
@@ -64,33 +65,31 @@ def _features(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             known.clear()
 
 
-def select(positive: list[np.ndarray], unlabelled: list[np.ndarray], features: int = FEATURES) -> np.ndarray:
-    """Places whose share of positive texts stands out most, in standard errors, either way; rare ones don't count."""
-    p, u = np.zeros(SPACE), np.zeros(SPACE)
-    for share, texts in ((p, positive), (u, unlabelled)):
-        for places in texts:
-            share[places] += 1 / len(texts)
-    both = (p * len(positive) + u * len(unlabelled)) / (len(positive) + len(unlabelled))
-    error = np.sqrt(both * (1 - both) * (1 / max(1, len(positive)) + 1 / max(1, len(unlabelled)))) + 1e-3
-    z = np.abs(p - u) / error
-    best = np.argsort(-z, kind="stable")[:features]
-    return np.sort(best[(z[best] > 4) & (np.maximum(p, u)[best] > 0.03)])
-
-
-def train(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float, steps: int = 3000, rate: float = 0.05, decay: float = 1e-4, seed: int = 11) -> tuple[dict[int, float], float]:
-    """(weight of each place, base)."""
-    chosen = select(positive, unlabelled)
-
-    def matrix(rows: list[np.ndarray]) -> np.ndarray:
-        out = np.zeros((len(rows), len(chosen)), np.float32)
-        for i, r in enumerate(rows):
-            at = np.searchsorted(chosen, r)
-            at[at == len(chosen)] = 0
-            if len(chosen):
-                out[i, at[chosen[at] == r]] = 1
-        return out
-
-    xp, xu = matrix(positive), matrix(unlabelled)
+def select(counts: DataFrame, positives: int, unlabelled: int) -> list[int]:
+    """Places whose share of positive texts stands out most, in standard errors, either way; rare ones don't count.
+    counts: place, p, u (positive and unlabelled texts that have it)."""
+    p, u, n = F.col("p") / max(1, positives), F.col("u") / max(1, unlabelled), positives + unlabelled
+    both = (F.col("p") + F.col("u")) / n
+    error = F.sqrt(both * (1 - both) * (1 / max(1, positives) + 1 / max(1, unlabelled))) + 1e-3
+    z = F.abs(p - u) / error
+    best = counts.select("place", z.alias("z"), F.greatest(p, u).alias("share")).where("z > 4 and share > 0.03").orderBy(F.desc("z"), "place").limit(FEATURES)
+    return sorted(r["place"] for r in best.collect())
+
+
+def _counted(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """place, p, u of a task's texts."""
+    p, u = np.zeros(SPACE, np.int32), np.zeros(SPACE, np.int32)
+    for frame in frames:
+        for positive, places in zip(frame.positive, frame.places, strict=True):
+            (p if positive else u)[np.frombuffer(places, "<i4")] += 1
+    at = np.flatnonzero(p + u)
+    for k in range(0, len(at), 100_000):
+        part = at[k : k + 100_000]
+        yield pd.DataFrame({"place": part, "p": p[part], "u": u[part]})
+
+
+def train(xp: np.ndarray, xu: np.ndarray, chosen: list[int], prior: float, steps: int = 3000, rate: float = 0.05, decay: float = 1e-4, seed: int = 11) -> tuple[dict[int, float], float]:
+    """(weight of each place, base) from rows of 0 and 1, a column for each chosen place."""
     rng = np.random.default_rng(seed)
     w, b = np.zeros(len(chosen) + 1), float(np.log(prior / (1 - prior)))
     w[-1] = b
@@ -111,7 +110,7 @@ def train(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float
             t += 1
             m, v = 0.9 * m + 0.1 * grad, 0.999 * v + 0.001 * grad * grad
             w -= rate * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
-    return dict(zip(chosen.tolist(), w[:-1].tolist(), strict=True)), float(w[-1])
+    return dict(zip(chosen, w[:-1].tolist(), strict=True)), float(w[-1])
 
 
 def fit(docs: DataFrame, labels: DataFrame) -> tuple[dict[int, float], float] | None:
@@ -126,12 +125,21 @@ def fit(docs: DataFrame, labels: DataFrame) -> tuple[dict[int, float], float] |
     # the unlabelled texts stand for all texts, toxic ones with a label among them: the prior is about that mixture
     no = rows.select("doc_id").distinct().orderBy(*order).limit(UNLABELLED).withColumn("positive", F.lit(False))
     picked = F.broadcast(yes.union(no))  # POSITIVES + UNLABELLED ids at most
-    sample = rows.join(picked, "doc_id").select("text", "positive").mapInPandas(_features, "positive boolean, places binary")
-    got = sample.collect()
-    split = [[np.frombuffer(r["places"], "<i4") for r in got if r["positive"] is x] for x in (True, False)]
-    if not split[0]:
+    small_batches(docs.sparkSession)
+    sample = scratch(rows.join(picked, "doc_id").select("text", "positive").mapInPandas(tidied(_features), "positive boolean, places binary"), "sample")
+    of = {r["positive"]: r["count"] for r in sample.groupBy("positive").count().collect()}
+    if not of.get(True):
         return None
-    return train(*split, prior=min(0.9, max(1e-4, toxic / n)))
+    counts = sample.mapInPandas(tidied(_counted), "place int, p int, u int").groupBy("place").agg(F.sum("p").alias("p"), F.sum("u").alias("u"))
+    chosen = select(counts, of[True], of.get(False, 0))
+
+    def bits(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            yield pd.DataFrame({"positive": frame.positive, "bits": [np.packbits(np.isin(np.array(chosen, "<i4"), np.frombuffer(x, "<i4"))).tobytes() for x in frame.places]})
+
+    got = sorted((r["positive"], bytes(r["bits"])) for r in sample.mapInPandas(bits, "positive boolean, bits binary").collect())
+    split = [np.array([np.unpackbits(np.frombuffer(b, np.uint8), count=len(chosen)) for p, b in got if p is x], np.float32).reshape(-1, len(chosen)) for x in (True, False)]
+    return train(*split, chosen, prior=min(0.9, max(1e-4, toxic / n)))
 
 
 def score(docs: DataFrame, model: tuple[dict[int, float], float] | None) -> DataFrame:
@@ -154,7 +162,8 @@ def score(docs: DataFrame, model: tuple[dict[int, float], float] | None) -> Data
             if len(known) > REMEMBERED:
                 known.clear()
 
-    return text_of(docs).mapInPandas(run, "doc_id long, score double")
+    small_batches(docs.sparkSession)
+    return text_of(docs).mapInPandas(tidied(run), "doc_id long, score double")
 
 
 def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:

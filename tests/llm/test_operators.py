@@ -475,6 +475,33 @@ def test_neighbours(spark):
     assert ann.search(df.where("vec_id = 50"), every=50).count() == 0
 
 
+def test_neighbours_of_repeated_ids_and_ties(spark):
+    """Each row that asks is a query, every other row a candidate; ties go to the smaller id."""
+    made = [(0, [1.0, 0.0]), (0, [1.0, 0.0]), (0, [0.0, 1.0]), (7, [1.0, 0.5]), (3, [1.0, 0.5]), (5, [1.0, -0.5]), (9, [5.0, 5.0])]
+    got = ann.search(spark.createDataFrame(made, "vec_id long, embedding array<float>"), every=100, k=4).collect()
+    want = []
+    for i, q in [m for m in enumerate(made) if m[1][0] == 0]:
+        near = sorted((float(np.hypot(v[0] - q[1][0], v[1] - q[1][1])), j) for k, (j, v) in enumerate(made) if k != i)[:4]
+        want += [(0, rank + 1, j, d) for rank, (d, j) in enumerate(near)]
+    assert sorted(map(tuple, got)) == sorted(want)
+
+
+def test_recall_beyond_the_sample(spark):
+    """More vectors than the sample holds, clustered and uniform: at least 0.9 of the true neighbours are found."""
+    rng = np.random.default_rng(8)
+    centres = rng.standard_normal((60, 32)) * 3
+    x = np.concatenate([centres[rng.integers(0, 60, 14_000)] + rng.standard_normal((14_000, 32)), rng.standard_normal((10_000, 32))]).astype("float32")
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>").repartition(4)
+    got, hit, total = {}, 0, 0
+    for r in ann.search(df, every=200).collect():
+        got.setdefault(r["query_id"], set()).add(r["vec_id"])
+    for q in range(0, len(x), 200):
+        d = ((x.astype(float) - x[q].astype(float)) ** 2).sum(1)
+        d[q] = np.inf
+        hit, total = hit + len(got[q] & set(np.argsort(d)[:10].tolist())), total + 10
+    assert hit >= 0.9 * total
+
+
 def test_secrets(spark, docs, empty):
     made = spark.createDataFrame([(1, 'token = "04dbebab91ab85687d33eeaaf9ac699e1188f962"'), (2, "see reading/handler/2041/testdata.html"), (3, "commit 04dbebab91ab85687d33eeaaf9ac699e1188f962 done"), (4, None)], "doc_id long, text string")
     got = secrets.scan(made).collect()
@@ -506,6 +533,22 @@ def test_toxicity(spark, empty):
     assert toxicity.classify(docs, labels.where("toxic = 0")).agg(F.max("score")).first()[0] == 0
 
 
+def test_toxicity_on_held_out_documents(spark):
+    """Precision and recall on the labelled documents of the held-out fold of sf0.1, which the model never sees; long, empty and repeated
+    texts have scores, and equal texts equal ones."""
+    d = "/root/testdata/sf0.1"
+    docs, labels = spark.read.parquet(f"{d}/documents.parquet"), spark.read.parquet(f"{d}/labels.parquet")
+    model = toxicity.fit(docs, labels)
+    rows = toxicity.score(docs, model).join(labels.where("toxic is not null"), "doc_id").where(toxicity.held_out(F.col("doc_id"))).select("toxic", (F.col("score") >= 0.5).alias("said")).collect()
+    true, said, both = sum(r["toxic"] for r in rows), sum(r["said"] for r in rows), sum(r["toxic"] and r["said"] for r in rows)
+    print(f"held out: {len(rows)} labelled, {true} toxic, precision {both / said:.3f}, recall {both / true:.3f}")
+    assert both >= 0.5 * said and both >= 0.7 * true
+    text = docs.where("text is not null").first()["text"]
+    odd = spark.createDataFrame([(1, text), (1, text), (2, text), (3, "word " * 400_000), (4, ""), (5, None)], "doc_id long, text string")
+    got = sorted((r["doc_id"], r["score"]) for r in toxicity.score(odd, model).collect())
+    assert len(got) == 6 and got[0][1] == got[1][1] == got[2][1] and got[4][1] == got[5][1] and all(0 <= x <= 1 for _, x in got)
+
+
 # Queries and pipeline
 
 
