@@ -85,7 +85,7 @@ def targets(sizes: DataFrame, weights: tuple = WEIGHTS, budget: float = BUDGET,
 def counted(df: DataFrame, many: Column, name: str) -> DataFrame:
     """A row for each number from 0 to many - 1, dealt out, A_ROW numbers a row at a time."""
     wide = df.withColumn("__many", many.cast("long")).where("__many > 0").withColumn("__part", F.explode(F.sequence(F.lit(0).cast("long"), F.expr(f"(__many - 1) div {A_ROW}L"))))
-    wide = wide.repartition(partitions(df.sparkSession), *df.columns[:1], "__part")
+    wide = wide.repartition(partitions(df.sparkSession), *df.columns, "__part")
     first = F.col("__part") * A_ROW
     return wide.withColumn(name, F.explode(F.sequence(first, F.least(first + A_ROW, F.col("__many")) - 1))).drop("__many", "__part")
 
