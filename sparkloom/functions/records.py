@@ -94,3 +94,54 @@ def capped_keywords(words: Column, most: int = 10) -> Column:
 
 def length_ratio_fits(a: Column, b: Column, low: float = 0.7, high: float = 1.3) -> Column:
     return (F.length(b) > 0) & (F.length(a) / F.length(b)).between(low, high)
+
+
+#: Labels of chunks in prompts by kind of document; what stands for a missing number or title.
+UNKNOWN, UNTITLED, CONTENT = "UNKNOWN", "Untitled", "Content"
+
+
+def source_block(c: dict[str, Column]) -> Column:
+    """A chunk in words, a label in front by kind of document. c: complete, doc_type, chunk_type, source, section_number, illustration_number, section_title,
+    question_number, section_type, table_index, meeting_number, hsn_code, sac_code, problem, solution, text."""
+    or_ = lambda name, other: F.coalesce(c[name].cast("string"), F.lit(other))
+    label = lambda *parts: F.concat(F.lit("["), F.concat_ws(" | ", *parts), F.lit("]"))
+    said = lambda word, name, other: F.concat(F.lit(word + " "), or_(name, other))
+    kind, source, text = c["doc_type"], or_("source", "source"), or_("text", "")
+    below, beside = lambda head: F.concat(head, F.lit("\n"), text), lambda head: F.concat(head, F.lit(" "), text)
+    solved = F.concat(F.lit("\nPROBLEM: "), or_("problem", "No problem description provided."), F.lit("\nSOLUTION: "), or_("solution", "No solution provided."))
+    table_head = label(said("CASE STUDY TABLE", "table_index", ""), source)
+    return (
+        F.when(F.coalesce(c["complete"], F.lit(False)), text)
+        .when(kind == "Case Scenario", F.concat(label(F.lit("CASE SCENARIO"), source, said("Sec", "section_number", UNKNOWN), said("Illus", "illustration_number", UNKNOWN)), solved))
+        .when(kind == "Analytical Review", below(label(F.lit("ANALYTICAL REVIEW"), source, said("Sec", "section_number", UNKNOWN), or_("section_title", UNTITLED))))
+        .when(kind == "FAQ", below(label(F.lit("FAQ"), source, said("Q", "question_number", UNKNOWN))))
+        .when(kind == "Draft Reply", below(label(F.lit("DRAFT REPLY"), source, or_("section_type", CONTENT))))
+        .when(kind.isin("Case Study", "Case Study Table") & (F.coalesce(c["table_index"], F.lit(0)) > 0), below(table_head))
+        .when(kind.isin("Case Study", "Case Study Table"), below(label(F.lit("CASE STUDY"), source, or_("section_type", CONTENT))))
+        .when(c["hsn_code"].isNotNull(), beside(label(said("HSN CODE", "hsn_code", ""), source)))
+        .when(c["sac_code"].isNotNull(), beside(label(said("SAC CODE", "sac_code", ""), source)))
+        .when((kind == "Council Minutes") | (c["chunk_type"] == "council_decision"), below(label(F.concat(said("GST COUNCIL", "meeting_number", UNKNOWN), F.lit("th MEETING")), source)))
+        .otherwise(beside(label(F.upper(or_("chunk_type", "source")), source)))
+    )
+
+
+def prompt(question: Column, primary: Column, supporting: Column, document: Column | None = None) -> Column:
+    """The question with what was found, the best first; a document of the user's in front of it."""
+    parts = [F.concat(F.lit("QUESTION:\n"), question)]
+    if document is not None:
+        parts.append(F.when(F.length(strip(document)) > 0, F.concat(F.lit("DOCUMENT:\n"), document)))
+    return F.concat_ws("\n\n", *parts, F.concat(F.lit("PRIMARY:\n"), F.array_join(primary, "\n\n")), F.concat(F.lit("SUPPORTING:\n"), F.array_join(supporting, "\n\n")))
+
+
+#: How forms and registers, their titles and the rules that they belong to are written.
+FORM, REGISTER, FORM_TITLE, FORM_RULE = r"(?i)GSTAT\s*FORM[-\s]*(\d+)", r"(?i)GSTAT[-\s]*CDR[-\s]*(\d+)", r"–\s*(.*?)\n", r"(?i)\[See\s*rule\s*([\d\(\)a-zA-Z]+)\]"
+
+
+def form_kind(x: Column) -> dict[str, Column]:
+    """Form or register by the first number that a text names, its title behind a dash and the rule in brackets; else Other, UNKNOWN and Untitled."""
+    of = lambda pattern: F.nullif(strip(F.regexp_extract(x, pattern, 1)), F.lit(""))
+    form, register = of(FORM), of(REGISTER)
+    return {
+        "doc_type": F.when(form.isNotNull(), "Form").when(register.isNotNull(), "Register").otherwise("Other"), "number": F.coalesce(form, register, F.lit(UNKNOWN)),
+        "title": F.coalesce(of(FORM_TITLE), F.lit(UNTITLED)), "related_rule": of(FORM_RULE),
+    }

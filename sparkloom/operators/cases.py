@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import Column, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 ISSUE = "struct<id:int,text:string,reply:string,status:string>"
 
@@ -85,3 +85,24 @@ def first_of_alike(texts: list[str], least: float = 0.85, width: int = 64) -> li
             seen.append(t)
             joined += t + "\n"
     return out
+
+
+#: The state that a case is in after an action.
+STATES = {"new": "awaiting_decision", "analyse": "awaiting_decision", "decide": "awaiting_mode", "mode": "reply_in_progress", "done": "complete"}
+
+
+def case_states(events: DataFrame) -> DataFrame:
+    """session, case_id, status, state of all cases after all events. events: session, place (their order, unique in a session), action, target.
+
+    'new' opens the next case and makes it the active one, 'switch' makes the case `target` active if there is one of that number, any other
+    action of STATES sets the active case's state; actions before the first case and unknown ones change nothing. Running windows by session, so no
+    session's events are gathered in one row."""
+    so_far = Window.partitionBy("session").orderBy("place").rowsBetween(Window.unboundedPreceding, 0)
+    rows = events.withColumn("made", F.count_if(F.col("action") == "new").over(so_far))
+    moves = F.when(F.col("action") == "new", F.col("made")).when((F.col("action") == "switch") & F.col("target").between(1, F.col("made")), F.col("target"))
+    rows = rows.withColumn("case_id", F.last(moves, ignorenulls=True).over(so_far)).where("case_id is not null")
+    state = F.element_at(F.create_map(*[F.lit(x) for pair in STATES.items() for x in pair]), F.col("action"))
+    told = rows.withColumn("state", F.when(F.col("action").isin(*STATES), state))
+    per = told.groupBy("session", "case_id").agg(F.max_by("state", F.when(F.col("state").isNotNull(), F.col("place"))).alias("state"), F.max("place").alias("last"))
+    latest = F.max("last").over(Window.partitionBy("session"))
+    return per.select("session", F.col("case_id").cast("int").alias("case_id"), F.when(F.col("last") == latest, "active").otherwise("archived").alias("status"), "state")

@@ -34,6 +34,41 @@ def probe(query: Column, strict: bool = True) -> Column:
     )
 
 
+#: Fixed value: whose rules the index of court rules holds.
+COURT_RULES = "GSTAT Rules 2025"
+
+
+def full_index(chunks: DataFrame) -> DataFrame:
+    """index_name, key, sub, chunk_id, pos: all eleven indexes of chunks, long. sub is a section's subsection, '' where there is none.
+
+    chunks: chunk_id, pos, and as strings section_number, subsection, rule_number, hsn_code, sac_code, chunk_type, external_id, citation, case_number, doc_type,
+    number, title, text, parent_doc. number is that of the form, register, rule or meeting. Of a judgment's chunks the first one alone
+    stands under its citation and its case number; blank keys don't count."""
+    c, kind = F.col, F.col("doc_type")
+    bare = lambda x: F.when(T.strip(x) != "", F.regexp_replace(T.strip(x), "^0+(?=.)", ""))
+    low = F.lower(T.strip(F.coalesce("subsection", F.lit(""))))
+    sub = F.when(low.isin("none", "null"), "").otherwise(T.strip(F.coalesce("subsection", F.lit(""))))
+    judged = (c("chunk_type") == "judgment") & (T.strip(c("external_id")) != "")
+    register = (kind == "Register") | ((kind == "Other") & (F.coalesce("title", F.lit("")) != "") & (F.contains(F.lower("title"), F.lit("register")) | F.contains(F.lower("text"), F.lit("cdr"))))
+    entries = [
+        ("section", T.strip(c("section_number")), sub), ("rule", T.strip(c("rule_number")), None), ("hsn", T.strip(c("hsn_code")), None), ("sac", T.strip(c("sac_code")), None), ("judgment", F.when(judged, T.strip(c("external_id"))), None),
+        ("citation", F.when(judged, T.normalize_citation(c("citation"))), None), ("case_number", F.when(judged, T.core_case_number(c("case_number"))), None), ("form", F.when(kind == "Form", bare(c("number"))), None),
+        ("register", F.when(register & (c("number") != "UNKNOWN"), bare(c("number"))), None), ("court_rule", F.when((kind == "Rule") & (c("parent_doc") == COURT_RULES), bare(c("number"))), None),
+        ("council", F.when(kind == "Council Minutes", T.strip(c("number"))), None),
+    ]
+    made = F.array(*[F.struct(F.lit(name).alias("index_name"), key.alias("key"), (F.lit("") if s is None else s).alias("sub")) for name, key, s in entries])
+    rows = chunks.select("chunk_id", "pos", "external_id", F.explode(made).alias("k")).select("k.*", "chunk_id", "pos", "external_id").where("key <> ''")
+    alone = F.col("index_name").isin("citation", "case_number")
+    firsts = rows.where(alone).groupBy("index_name", "key", "sub", "external_id").agg(F.min(F.struct("pos", "chunk_id")).alias("m")).select("index_name", "key", "sub", "m.chunk_id", "m.pos")
+    return rows.where(~alone).drop("external_id").unionByName(firsts)
+
+
+def look_up(queries: DataFrame, index: DataFrame) -> DataFrame:
+    """query_id, chunk_id, pos: what the first probe of each query (query_id, text) finds in the index; a section without a subsection finds all of it."""
+    asked = queries.select("query_id", probe(F.col("text")).alias("p")).select("query_id", "p.index_name", "p.key", F.col("p.sub").alias("want"))
+    return asked.join(index, ["index_name", "key"]).where(F.col("want").isNull() | (F.col("want") == F.col("sub"))).select("query_id", "chunk_id", "pos")
+
+
 def match_parties(queries: DataFrame, judgments: DataFrame) -> DataFrame:
     """queries: query_id, one, two (two may be null); judgments: external_id, petitioner, respondent. query_id, external_id, reason by
     precedence: both parties in either order, one party as petitioner, one as respondent. Equi-joins on normalised keys."""

@@ -13,7 +13,6 @@ from sparkloom.sources.tables import table
 TOP_K = 50
 #: Every vector whose id this divides is a query, so their side grows with the table.
 QUERY_EVERY = 20
-#: The SQL's queries: its first five vectors only.
 #: Vectors and queries of a block; each block of queries meets all blocks of vectors.
 VECTOR_BLOCK, QUERY_BLOCK = 4096, 256
 
