@@ -73,6 +73,12 @@ def undated(citation: Column) -> Column:
     return strip(F.regexp_replace(citation, r"(?is)\s*\bdated\b.*$", ""))
 
 
+def citation_line(citation: Column, case_number: Column, score: Column) -> Column:
+    """A found judgment as a line below an answer: citation, case number without its date, score with two places."""
+    case = F.regexp_replace(F.coalesce(case_number, F.lit("")), r"\s+dated.*$", "")
+    return F.concat(F.lit("- "), F.coalesce(citation, F.lit("")), F.when(case != "", F.concat(F.lit(" ("), case, F.lit(")"))).otherwise(""), F.lit(" [Score: "), F.format_string("%.2f", score), F.lit("]"))
+
+
 def pages_text(pages: Column) -> Column:
     """Pages with their numbers in front, a blank line between."""
     return F.array_join(F.transform(pages, lambda p, i: F.concat(F.lit("[PAGE "), (i + 1).cast("string"), F.lit("]\n"), p)), "\n\n")

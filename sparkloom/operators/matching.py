@@ -11,6 +11,15 @@ BAND = 0.05
 HIERARCHY = ["judgment", "definition", "operative", "case_scenario", "case_study", "rule", "hsn", "sac", "council_decision", "gstat_rule", "gstat_form", "gstat_register", "draft_reply", "qa_pair", "faq", "notification", "circular", "analytical_review"]
 
 
+#: Ranks of sources of law; equal ranks are equal.
+LEGAL_PRIORITY = {"act": 1, "rule": 2, "notification": 3, "circular": 4, "faq": 4, "illustration": 5, "article": 6, "analytical_review": 7, "judgment": 8}
+
+
+def legal_priority(kind: Column) -> Column:
+    """Null for other kinds."""
+    return F.try_element_at(F.create_map(*[F.lit(x) for pair in LEGAL_PRIORITY.items() for x in pair]), kind)
+
+
 def metadata_index(chunks: DataFrame, keys: dict[str, str]) -> DataFrame:
     """index_name, key, chunk_id, pos: one row for each key that a chunk has; blank keys and 'none' don't count."""
     pairs = F.array(*[F.struct(F.lit(name).alias("index_name"), T.strip(F.col(c).cast("string")).alias("key")) for name, c in keys.items()])

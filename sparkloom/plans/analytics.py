@@ -82,7 +82,7 @@ def revenue_of_user(spark: SparkSession, sf_dir: str, user: int | None = 7, sinc
 
 
 def feedback_join_report(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """feedback with its order (session) and customer (user), newest first in the order of ids; the comment is cut at 40."""
+    """feedback with its order (session) and customer (user), newest first; the comment is cut at 40."""
     rating = F.when(F.col("event_type") == "error", -1).otherwise(1 + F.floor("value") % 5)
     feedback = table(spark, sf_dir, "events").select("event_id", "ts", rating.cast("long").alias("rating"), "props", F.col("event_id").alias("o_orderkey"))
     orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderpriority")
@@ -90,7 +90,7 @@ def feedback_join_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     nations = table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("c_nationkey"), "n_name")
     joined = feedback.join(orders, "o_orderkey").join(people, "o_custkey").join(nations, "c_nationkey")
     preview = F.when(F.length("props") > 40, F.concat(F.substring("props", 1, 40), F.lit("..."))).otherwise(F.col("props"))
-    return joined.select("event_id", "ts", "rating", "c_name", "n_name", "o_orderpriority", preview.alias("preview"))
+    return joined.select("event_id", "ts", "rating", "c_name", "n_name", "o_orderpriority", preview.alias("preview")).orderBy(F.desc("ts"), F.desc("event_id"))
 
 
 def feedback_rating(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -3,12 +3,15 @@ the table for questions put in other words."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from sparkloom.functions import records as R
 from sparkloom.operators import answering as A, cases, matching as M
-from sparkloom.plans.matchings import KINDS
+from sparkloom.plans import matchings_sql
+from sparkloom.plans.ledger import messages
+from sparkloom.plans.matchings import KINDS, judgments
 from sparkloom.plans.retrieval import D2, QUERY_EVERY, TOP_K, knn
+from sparkloom.sources import files
 from sparkloom.sources.tables import table
 
 #: Judgments in the table of vectors.
@@ -118,7 +121,56 @@ def case_states(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cases.case_states(table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("session"), F.col("turn").alias("place"), action.alias("action"), F.lit(1).alias("target")))
 
 
-QUERIES = {f.__name__: f for f in (hybrid_retrieval, issue_retrieval, answer_assembly, source_blocks, form_kinds, all_keys_index, index_lookups, case_states)}
+#: Stated pairs of parties that an answer names.
+PAIRS = [(1, "Small Ring Co.", "Economy Stores"), (2, "blue stores", "large bolt"), (3, "none", "nobody")]
+
+
+def attribution(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is passed on about each judgment that fits a pair of parties, and its line below the answer."""
+    asked = spark.createDataFrame(PAIRS, "query_id int, one string, two string")
+    n = F.col("external_id")
+    known = judgments(spark, sf_dir).withColumns({"citation": F.concat(F.lit("2019 (3) SCC "), n.cast("string")), "case_number": F.when(n % 2 == 0, F.concat(F.lit("W.P. "), n.cast("string"), F.lit(" dated 1.2.2019"))).otherwise("")})
+    found = M.match_fuzzy(asked, known).join(asked, "query_id").join(known, "external_id")
+    return found.select("query_id", "rank", F.col("one").alias("party1"), F.col("two").alias("party2"), F.col("petitioner").alias("petitioner_full"), F.col("respondent").alias("respondent_full"), "citation", "case_number", R.citation_line(F.col("citation"), F.col("case_number"), F.round("score", 6)).alias("line"))
+
+
+def token_counters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tokens of each user's prompts and answers, over all sessions; what a message doesn't tell counts as none."""
+    rows = messages(spark, sf_dir).select((F.col("conv_id") % 50).alias("user_id"), "role", F.when(F.col("turn") % 7 > 0, F.col("tokens")).alias("tokens"))
+    of = lambda where: F.coalesce(F.sum(F.when(where, F.col("tokens"))), F.lit(0))
+    answer = F.col("role") == "assistant"
+    return rows.groupBy("user_id").agg(of(~answer).alias("input_tokens"), of(answer).alias("output_tokens"), of(F.lit(True)).alias("total_tokens"))
+
+
+#: What a list in the cache lives for after its last entry, in seconds, and how many entries it gives.
+TTL, NEWEST = 86_400, 50
+
+
+def cached_lists(spark: SparkSession, sf_dir: str, ttl: int = TTL, most: int = NEWEST) -> DataFrame:
+    """Lists by user as a cache holds them when the last event is in: each entry renews its list's time; after a longer pause the list starts
+    anew, and a list whose time is up is gone. The newest entries are given."""
+    rows = table(spark, sf_dir, "events").select("user_id", "event_id", F.unix_micros(F.col("ts").cast("timestamp")).alias("at"))
+    newest = Window.partitionBy("user_id").orderBy(F.desc("at"), F.desc("event_id"))
+    now = rows.agg(F.max("at")).scalar()
+    rows = rows.withColumn("later", F.lag("at").over(newest)).withColumn("pause", F.coalesce("later", now) - F.col("at") > ttl * 1_000_000).withColumn("back", F.row_number().over(newest))
+    live = rows.withColumn("gone", F.max("pause").over(newest.rowsBetween(Window.unboundedPreceding, 0)))
+    return live.where(~F.col("gone") & (F.col("back") <= most)).select("user_id", "back", "event_id")
+
+
+def changed_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers after inserts, updates and deletes; the last change of a customer counts."""
+    people = table(spark, sf_dir, "customer").select("c_custkey", "c_name")
+    n = F.col("o_orderkey")
+    made = table(spark, sf_dir, "orders").select((F.col("o_custkey") + F.when(n % 5 == 0, 1_000_000).otherwise(0)).alias("c_custkey"), F.concat(F.lit("order "), n.cast("string")).alias("c_name"), F.when(n % 3 == 0, "delete").otherwise("upsert").alias("op"), n.alias("place"))
+    return files.changed(people, made, "c_custkey")
+
+
+def legal_priorities(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kind = F.element_at(F.array(*[F.lit(x) for x in ("act", "rule", "faq", "circular", "judgment", "other")]), (F.col("p_partkey") % 6 + 1).cast("int"))
+    return table(spark, sf_dir, "part").select("p_partkey", M.legal_priority(kind).alias("priority"))
+
+
+QUERIES = {f.__name__: f for f in (hybrid_retrieval, issue_retrieval, answer_assembly, source_blocks, form_kinds, all_keys_index, index_lookups, case_states, attribution, token_counters, cached_lists, changed_rows, legal_priorities)}
 
 _CH = f"""(SELECT vec_id AS chunk_id, CASE WHEN vec_id % 3 = 0 THEN vec_id % {JUDGMENTS} END AS external_id, CASE WHEN vec_id % 3 = 0 THEN 'judgment' ELSE [{", ".join(f"'{k}'" for k in KINDS)}][label % {len(KINDS)} + 1] END AS chunk_type,
  CASE WHEN vec_id % 6 = 0 THEN 'In favour of assessee' WHEN vec_id % 6 = 3 THEN 'In favour of revenue' END AS decision, CASE WHEN vec_id % 4 = 0 THEN label END AS section, CASE WHEN vec_id % 5 > 0 THEN vec_id % 11 END AS source, label, embedding FROM embeddings)"""
@@ -192,4 +244,15 @@ n AS (SELECT *, sum(CASE WHEN action = 'new' THEN 1 ELSE 0 END) OVER w AS made F
 a AS (SELECT *, last_value(CASE WHEN action = 'new' THEN made WHEN action = 'switch' AND made > 0 THEN 1 END IGNORE NULLS) OVER (PARTITION BY session ORDER BY turn) AS active FROM n),
 s AS (SELECT session, active AS case_id, arg_max(action, turn) AS action FROM a WHERE active IS NOT NULL AND action <> 'switch' GROUP BY 1, 2), z AS (SELECT session, arg_max(active, turn) AS last FROM a GROUP BY 1)
 SELECT session, CAST(case_id AS INTEGER) AS case_id, CASE WHEN case_id = last THEN 'active' ELSE 'archived' END AS status, CASE action WHEN 'decide' THEN 'awaiting_mode' WHEN 'mode' THEN 'reply_in_progress' WHEN 'done' THEN 'complete' ELSE 'awaiting_decision' END AS state FROM s JOIN z USING (session)""",
+    "attribution": f"""WITH f AS ({matchings_sql.ORACLES["fuzzy_pair_match_top5"]}), a(query_id, party1, party2) AS (VALUES (1, 'Small Ring Co.', 'Economy Stores'), (2, 'blue stores', 'large bolt'), (3, 'none', 'nobody'))
+SELECT query_id, rank, party1, party2, p_name || ' pvt ltd' AS petitioner_full, lower(p_type) || ' stores' AS respondent_full, '2019 (3) SCC ' || external_id AS citation, CASE WHEN external_id % 2 = 0 THEN 'W.P. ' || external_id || ' dated 1.2.2019' ELSE '' END AS case_number,
+ '- 2019 (3) SCC ' || external_id || CASE WHEN external_id % 2 = 0 THEN ' (W.P. ' || external_id || ')' ELSE '' END || ' [Score: ' || printf('%.2f', score) || ']' AS line FROM f JOIN a USING (query_id) JOIN part ON p_partkey = external_id""",
+    "token_counters": """WITH t AS (SELECT conv_id % 50 AS user_id, role = 'assistant' AS answer, CASE WHEN turn % 7 > 0 THEN CAST(ceil(length(text) / 4.0) AS BIGINT) ELSE 0 END AS n FROM conversations)
+SELECT user_id, CAST(sum(CASE WHEN answer THEN 0 ELSE n END) AS BIGINT) AS input_tokens, CAST(sum(CASE WHEN answer THEN n ELSE 0 END) AS BIGINT) AS output_tokens, CAST(sum(n) AS BIGINT) AS total_tokens FROM t GROUP BY 1""",
+    "cached_lists": f"""WITH e AS (SELECT user_id, event_id, epoch_us(CAST(ts AS TIMESTAMP)) AS t0, max(epoch_us(CAST(ts AS TIMESTAMP))) OVER () AS now FROM events),
+p AS (SELECT *, row_number() OVER w AS back, coalesce(lag(t0) OVER w, now) - t0 > {TTL * 1_000_000} AS pause FROM e WINDOW w AS (PARTITION BY user_id ORDER BY t0 DESC, event_id DESC))
+SELECT user_id, CAST(back AS INTEGER) AS back, event_id FROM p WHERE back <= {NEWEST} AND NOT EXISTS (SELECT 1 FROM p x WHERE x.user_id = p.user_id AND x.back <= p.back AND x.pause)""",
+    "changed_rows": """WITH c AS (SELECT o_custkey + CASE WHEN o_orderkey % 5 = 0 THEN 1000000 ELSE 0 END AS k, 'order ' || o_orderkey AS name, o_orderkey % 3 = 0 AS gone, row_number() OVER (PARTITION BY o_custkey + CASE WHEN o_orderkey % 5 = 0 THEN 1000000 ELSE 0 END ORDER BY o_orderkey DESC) AS n FROM orders)
+SELECT k AS c_custkey, name AS c_name FROM c WHERE n = 1 AND NOT gone UNION ALL SELECT c_custkey, c_name FROM customer WHERE c_custkey NOT IN (SELECT k FROM c)""",
+    "legal_priorities": "SELECT p_partkey, [1, 2, 4, 4, 8, NULL][p_partkey % 6 + 1] AS priority FROM part",
 }

@@ -47,17 +47,15 @@ def quota_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def fold_balance(rows: DataFrame, start: int = START_BALANCE) -> DataFrame:
     """user_id, balance, used, refused, alerts from (user_id, at, id, amount): purchases add; a use takes one where there is one, counts
-    always, and gives an alert where exactly one is left. Zero is a floor, so the order matters: a fold over the user's sorted rows."""
-    first = F.struct(F.lit(start).cast("long").alias("balance"), *[F.lit(0).cast("long").alias(c) for c in ("used", "refused", "alerts")])
-
-    def step(acc: Column, x: Column) -> Column:
-        use = x["amount"] < 0
-        left = F.when(use, F.greatest(acc["balance"] - 1, F.lit(0))).otherwise(acc["balance"] + x["amount"])
-        one = lambda what: F.when(what, 1).otherwise(0)
-        return F.struct(left.cast("long").alias("balance"), (acc["used"] + one(use)).cast("long").alias("used"), (acc["refused"] + one(use & (acc["balance"] <= 0))).cast("long").alias("refused"), (acc["alerts"] + one(use & (acc["balance"] == 2))).cast("long").alias("alerts"))
-
-    grouped = rows.groupBy("user_id").agg(F.array_sort(F.collect_list(F.struct("at", "id", "amount"))).alias("rows"))
-    return grouped.select("user_id", F.aggregate("rows", first, step).alias("s")).select("user_id", "s.*")
+    always, and gives an alert where exactly one is left. Zero is a floor, so the order matters: the balance is the running sum less its
+    lowest value so far where that is below zero. Windows by user, so no user's rows are gathered in one."""
+    order = Window.partitionBy("user_id").orderBy("at", "id")
+    so_far = order.rowsBetween(Window.unboundedPreceding, 0)
+    use = F.col("amount") < 0
+    rows = rows.withColumn("sum", start + F.sum(F.when(use, -1).otherwise(F.col("amount"))).over(so_far))
+    rows = rows.withColumn("balance", F.col("sum") - F.least(F.lit(0), F.min("sum").over(so_far))).withColumn("before", F.coalesce(F.lag("balance").over(order), F.lit(start)))
+    last = F.max_by("balance", F.struct("at", "id")).cast("long")
+    return rows.groupBy("user_id").agg(last.alias("balance"), F.count_if(use).alias("used"), F.count_if(use & (F.col("before") <= 0)).alias("refused"), F.count_if(use & (F.col("before") == 2)).alias("alerts"))
 
 
 def usage_ledger_fold(spark: SparkSession, sf_dir: str) -> DataFrame:

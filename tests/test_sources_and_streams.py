@@ -62,3 +62,36 @@ def test_capped_slots_stream(spark):
     for r in sorted(spark.read.parquet(f"{DATA}/events.parquet").where("event_type = 'signup'").collect(), key=lambda r: (r["ts"], r["event_id"])):
         want.setdefault(r["user_id"], []).append(r["event_id"])
     assert got == {k: v[-3:] for k, v in want.items()}
+
+
+def test_judgments_and_questions(spark, tmp_path):
+    heads = ["ID", *files.JUDGMENT_FIELDS.values(), "Judgement Description"]
+    (tmp_path / "j.csv").write_text("\n" + ",".join(heads) + "\n" + ",".join([" 7 ", *[f"v{i}" for i in range(len(heads) - 2)], "the text"]) + "\n" + ",".join(["8"] * (len(heads) - 1)) + "\n")
+    rows = files.read_judgments(spark, str(tmp_path / "j.csv")).collect()
+    assert [(r["external_id"], r["citation"], r["case_note"], r["text"]) for r in rows] == [("7", "v1", "v17", "the text")]
+    (tmp_path / "q.csv").write_bytes('ID,Query\n1,"Q. 1 What is due? Ans: caf\xe9"\n2,\n3,Hm?\n'.encode("latin-1"))
+    kept, seen = files.counted(files.read_questions(spark, str(tmp_path / "q.csv")), files.F.col("skipped"))
+    assert [(r["row_id"], r["question"], r["answer"]) for r in kept.collect()] == [("1", "What is due?", "caf\xe9")]
+    assert seen.get == {"loaded": 1, "skipped": 2}
+
+
+def test_services_header_anywhere(spark, tmp_path):
+    (tmp_path / "s.csv").write_text("x,y\n" * 20 + "SAC Code,Description,CGST,SGST,IGST,CESS\n99, Care ,9,9,18,0\n98,,1,1,2,0\n")
+    assert [(r["id"], r["text"]) for r in files.read_codes(spark, str(tmp_path / "s.csv"), "SAC", "SAC Code").collect()] == [("SAC-99", "SAC 99: Care (CGST 9, SGST 9, IGST 18, CESS 0)")]
+
+
+def test_first_row_of_a_file_stays(spark, tmp_path):
+    rows = spark.createDataFrame([("1", "b", 1), ("1", "a", 2), ("2", "c", 0)], "id string, text string, row_no int")
+    assert sorted(r["text"] for r in files.union_sources([rows]).collect()) == ["b", "c"]
+    files.append_new(rows, str(tmp_path / "t"))
+    assert sorted(r["text"] for r in spark.read.parquet(str(tmp_path / "t")).collect()) == ["b", "c"]
+
+
+def test_corpus_and_vectors_round_trip(spark, tmp_path):
+    rows = spark.createDataFrame([("1", "x"), (None, "y"), ("3", None)], "id string, text string")
+    for _ in range(2):
+        files.write_corpus(rows, str(tmp_path / "c"), "json")
+    assert [(r["id"], r["text"]) for r in files.read_json_corpus(spark, str(tmp_path / "c"), "id string, text string").collect()] == [("1", "x")]
+    vectors = spark.range(50).selectExpr("id pos", "array(id / 2, 1.5) vector")
+    files.write_vectors(vectors, str(tmp_path / "v"))
+    assert [tuple(r) for r in spark.read.parquet(str(tmp_path / "v")).orderBy("pos").collect()] == [(i, [i / 2, 1.5]) for i in range(50)]
