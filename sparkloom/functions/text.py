@@ -193,6 +193,23 @@ def references(x: Column) -> Column:
     )
 
 
+#: How circulars and decisions are named.
+CIRCULARS, CASE_LAWS = r"Circular\s+No\.?\s*([\d/.-]+)", r"Vs\.\s*([A-Za-z\s\.]+)"
+
+
+def authorities(x: Column) -> Column:
+    """struct of sorted distinct circulars and other parties of decisions that a text names."""
+    done = lambda p: F.array_sort(F.array_distinct(F.transform(F.regexp_extract_all(x, F.lit(p), F.lit(1)), squeeze)))
+    return F.struct(done(CIRCULARS).alias("circulars"), done(CASE_LAWS).alias("case_laws"))
+
+
+def rule_summary(number: Column, title: Column, x: Column, least: int = 30, most: int = 300) -> Column:
+    """A rule's first sentence behind its header, cut at `most`; where it has no more than `least` characters, what number and title say."""
+    body = strip(F.regexp_replace(x, r"(?s)^(.*?)Rule\s+\d+\.\s*[^\n]*?–", "$1"))
+    first = F.get(F.split(body, r"(?<=[.!?]) +"), F.lit(0))
+    return F.when(F.length(first) > least, F.left(first, F.lit(most))).otherwise(F.concat(F.lit("Rule "), number, F.lit(" deals with "), title, F.lit(".")))
+
+
 def slices(x: Column, n: int) -> Column:
     """Pieces of n characters."""
     return F.when(F.length(x) > 0, F.transform(F.sequence(F.lit(1), F.length(x), F.lit(n)), lambda i: F.substring(x, i, F.lit(n)))).otherwise(F.array().cast("array<string>"))
@@ -218,13 +235,18 @@ def plain_html(x: Column) -> Column:
 
 # Packing
 
-def packed(paragraphs: Column, most: int, compat: bool = False) -> Column:
+#: Fixed value: words that head the parts of a judgment.
+HEADINGS = r"(?i)facts?|background|issues?|arguments?|submissions?|findings?|analysis|held|decision|conclusion"
+
+def packed(paragraphs: Column, most: int, compat: bool = False, cue: str | None = None) -> Column:
     """Paragraphs joined by a blank while they fit into `most`; one that is too long stands alone. With compat an empty chunk comes
-    first where the first paragraph alone is too long."""
+    first where the first paragraph alone is too long. A paragraph that begins with the cue (a pattern) begins a chunk."""
     start = F.struct(F.array().cast("array<string>").alias("done"), F.lit("").alias("buf"))
 
     def step(acc: Column, p: Column) -> Column:
         fits = F.length(acc["buf"]) + F.length(p) + 1 <= most
+        if cue:
+            fits = fits & ~((acc["buf"] != "") & p.rlike(f"^(?:{cue})"))
         more = strip(F.concat(acc["buf"], F.lit(" "), p))
         return F.struct(F.when(fits, acc["done"]).otherwise(F.concat(acc["done"], F.array(acc["buf"]))).alias("done"), F.when(fits, more).otherwise(p).alias("buf"))
 

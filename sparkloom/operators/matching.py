@@ -162,6 +162,12 @@ def priority(kind: Column) -> Column:
     return F.when(kind.isNull() | (at == 0), 99).otherwise((at - 1).cast("int"))
 
 
+def kind_of(chunk_type: Column, doc_type: Column, hsn: Column, sac: Column) -> Column:
+    """A chunk's kind: its own, else its document's in lower case with underscores, else that of the code it has, else null."""
+    said = lambda c: F.nullif(c, F.lit(""))
+    return F.coalesce(said(chunk_type), said(F.replace(F.lower(doc_type), F.lit(" "), F.lit("_"))), F.when(hsn.isNotNull(), "hsn").when(sac.isNotNull(), "sac"))
+
+
 #: Words that tell what a question is about, in order; the first hit counts, inside words too.
 INTENTS = [("judgment", ("judgment", "case law", "court")), ("definition", ("define", "what is section", "meaning of")), ("rcm", ("rcm", "reverse charge")), ("rate", ("rate", "gst rate")), ("procedure", ("procedure", "how to")), ("comparison", ("difference", "vs")), ("gstat", ("gstat", "form", "register", "cdr")), ("council", ("council", "meeting"))]
 REVENUE_SIDE = ["in favour of revenue", "in favor of revenue", "in favour of department", "in favor of department", "against the taxpayer", "against the assessee", "support the notice", "justify the notice", "authority is correct", "department is correct", "uphold the allegation", "support the allegation", "revenue's position", "department's position", "liability of taxpayer"]

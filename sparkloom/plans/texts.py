@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
-from sparkloom.functions import text as T
+from sparkloom.functions import records as R, text as T
 from sparkloom.sources.tables import table
 
 #: Words too common to be keywords.
@@ -36,6 +36,16 @@ def pack_sections_1100(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", F.posexplode("chunks").alias("chunk_no", "c")).select("doc_id", "chunk_no", F.length("c").alias("chars"), F.sha2("c", 256).alias("chunk_sha256"))
 
 
+#: Lines of the test data that stand for the headings of a judgment.
+CUE = "[DT]"
+
+
+def pack_judgments_1100(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Packed like sections, but headings begin a chunk."""
+    rows = table(spark, sf_dir, "documents").select("doc_id", T.packed(paragraphs(F.col("text")), 1100, compat=True, cue=CUE).alias("chunks"))
+    return rows.select("doc_id", F.posexplode("chunks").alias("chunk_no", "c")).select("doc_id", "chunk_no", F.length("c").alias("chars"), F.sha2("c", 256).alias("chunk_sha256"))
+
+
 def pack_overlap_2000(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sources stand for questions. A text that fits beside its question and the signs between them is one chunk, as it is."""
     rows = table(spark, sf_dir, "documents")
@@ -115,16 +125,45 @@ def cross_refs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "part").select("p_partkey", *[F.array_join(refs[c], ",").alias(c) for c in ("sections", "rules", "notifications", "forms", "hsn_codes", "sac_codes")])
 
 
-def keywords_topn(spark: SparkSession, sf_dir: str, n: int = TOP_WORDS) -> DataFrame:
-    """Most frequent words and pairs of words, stop words out before pairing; ties by term."""
+def keywords_topn(spark: SparkSession, sf_dir: str, n: int = TOP_WORDS, generic: tuple[str, ...] = ()) -> DataFrame:
+    """Most frequent words and pairs of words, stop words out before pairing; ties by term. Generic words alone are no keywords, but stay in pairs."""
     words = F.filter(F.regexp_extract_all(F.lower("text"), F.lit(r"(?U)\b\w\w+\b"), F.lit(0)), lambda w: ~w.isin(*STOP))
     rows = table(spark, sf_dir, "documents").select("doc_id", words.alias("w"))
     pairs = F.zip_with(F.slice("w", 1, F.greatest(F.size("w") - 1, F.lit(0))), F.slice("w", 2, F.greatest(F.size("w") - 1, F.lit(0))), lambda a, b: F.concat(a, F.lit(" "), b))
-    counted = rows.select("doc_id", F.explode(F.concat("w", pairs)).alias("term")).groupBy("doc_id", "term").agg(F.count("*").alias("times"))
+    counted = rows.select("doc_id", F.explode(F.concat("w", pairs)).alias("term")).where(~F.col("term").isin(*generic) if generic else F.lit(True)).groupBy("doc_id", "term").agg(F.count("*").alias("times"))
     ranked = counted.withColumn("rank", F.row_number().over(Window.partitionBy("doc_id").orderBy(F.desc("times"), "term")))
     return ranked.where(F.col("rank") <= n)
 
 
+#: Terms of the field that come before all other keywords, and words that are too general for one: the test data's.
+TERMS, GENERIC = ("Region", "income", "Court", "die", "water level"), ("more", "people", "und")
+
+
+def document_keywords(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The field's terms that a text holds, then its most frequent ones; of terms equal but for case the first stays; ten at most."""
+    docs = table(spark, sf_dir, "documents").where("length(text) >= 10")
+    ranked = keywords_topn(spark, sf_dir, generic=GENERIC).groupBy("doc_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "term"))), lambda x: x["term"]).alias("ranked"))
+    held = F.array_compact(F.array(*[F.when(F.contains(F.lower("text"), F.lit(t.lower())), t) for t in TERMS]))
+    rows = docs.select("doc_id", held.alias("held")).join(ranked, "doc_id", "left")
+    words = R.capped_keywords(F.concat("held", F.coalesce("ranked", F.array().cast("array<string>"))))
+    return rows.select("doc_id", F.array_join(words, "|").alias("keywords"))
+
+
+def authorities(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Circulars and decisions that texts name, behind whole documents."""
+    n = F.col("doc_id")
+    made = F.concat(F.coalesce("text", F.lit("")), F.lit("\nCircular No. "), (n % 7).cast("string"), F.lit("/2019, Circular no 3, Vs. Union  of "), "source", F.lit("; Circular No 12-4"))
+    found = T.authorities(made)
+    return table(spark, sf_dir, "documents").where("source is not null").select("doc_id", F.array_join(found["circulars"], "|").alias("circulars"), F.array_join(found["case_laws"], "|").alias("case_laws"))
+
+
+def rule_summaries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as rules: what their first sentence says, else their number and title."""
+    n = F.col("doc_id").cast("string")
+    x = F.concat(F.lit("Rule "), n, F.lit(". Name –"), F.when(F.col("doc_id") % 4 == 0, F.lit(" Short one. ")).otherwise(""), F.coalesce("text", F.lit("")))
+    return table(spark, sf_dir, "documents").select("doc_id", T.rule_summary(n, F.col("lang"), x).alias("summary"))
+
+
 def first_sentence_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", T.first_sentence(F.col("text")).alias("summary"))
 
@@ -164,14 +203,16 @@ QUERIES = {f.__name__: f for f in (
     merge_keep_first, pack_paragraphs_900, pack_sections_1100, pack_overlap_2000, line_segments, region_collect, carry_forward, clean_text, clean_answers,
     normalize_citation, core_case_number, normalize_party, case_number_expand, citation_extract, cross_refs, keywords_topn, first_sentence_summary,
     decision_sentences, qa_split, qa_pairing, html_to_text, fixed_slices, two_halves,
+    pack_judgments_1100, document_keywords, authorities, rule_summaries,
 )}
 
 
-def _pack(most: int) -> str:
+def _pack(most: int, cue: str = "") -> str:
+    fits = f"length(f.buf) + length(p.ps[f.i + 1]) + 1 <= {most}" + (f" AND NOT (f.buf <> '' AND regexp_matches(p.ps[f.i + 1], '^(?:{cue})'))" if cue else "")
     return f"""WITH RECURSIVE p AS (SELECT doc_id, list_filter(list_transform(string_split(text, chr(10)), lambda x: regexp_replace(x, '^\\s+|\\s+$', '', 'g')), lambda x: x <> '') AS ps FROM documents),
 f AS (SELECT doc_id, 0 AS i, '' AS buf, CAST(NULL AS VARCHAR) AS chunk, 0 AS k FROM p
- UNION ALL SELECT f.doc_id, f.i + 1, CASE WHEN f.i >= len(p.ps) THEN '' WHEN length(f.buf) + length(p.ps[f.i + 1]) + 1 <= {most} THEN trim(f.buf || ' ' || p.ps[f.i + 1]) ELSE p.ps[f.i + 1] END,
- CASE WHEN f.i >= len(p.ps) THEN nullif(f.buf, '') WHEN length(f.buf) + length(p.ps[f.i + 1]) + 1 <= {most} THEN NULL ELSE f.buf END, f.k + 1
+ UNION ALL SELECT f.doc_id, f.i + 1, CASE WHEN f.i >= len(p.ps) THEN '' WHEN {fits} THEN trim(f.buf || ' ' || p.ps[f.i + 1]) ELSE p.ps[f.i + 1] END,
+ CASE WHEN f.i >= len(p.ps) THEN nullif(f.buf, '') WHEN {fits} THEN NULL ELSE f.buf END, f.k + 1
  FROM f JOIN p ON p.doc_id = f.doc_id WHERE f.i <= len(p.ps)),
 c AS (SELECT doc_id, i, chunk FROM f WHERE chunk IS NOT NULL)"""
 
@@ -188,6 +229,19 @@ r AS (SELECT sha256(text) AS id, source_no, pos, row_number() OVER (PARTITION BY
 SELECT id, source_no, pos, copies FROM r WHERE k = 1""",
     "pack_paragraphs_900": _pack(900) + " SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY i) - 1 AS INTEGER) AS chunk_no, chunk FROM c WHERE chunk <> ''",
     "pack_sections_1100": _pack(1100) + " SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY i) - 1 AS INTEGER) AS chunk_no, CAST(length(chunk) AS INTEGER) AS chars, sha256(chunk) AS chunk_sha256 FROM c",
+    "pack_judgments_1100": _pack(1100, CUE) + " SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY i) - 1 AS INTEGER) AS chunk_no, CAST(length(chunk) AS INTEGER) AS chars, sha256(chunk) AS chunk_sha256 FROM c",
+    "document_keywords": f"""WITH d AS (SELECT * FROM documents WHERE length(text) >= 10), w AS (SELECT doc_id, {_WORDS} AS w FROM d),
+t AS (SELECT doc_id, unnest(list_concat(w, list_transform(range(1, greatest(len(w), 1)), lambda i: w[i] || ' ' || w[i + 1]))) AS term FROM w),
+c AS (SELECT doc_id, term, count(*) AS times FROM t WHERE term NOT IN ({", ".join(f"'{g}'" for g in GENERIC)}) GROUP BY 1, 2), r AS (SELECT doc_id, term, row_number() OVER (PARTITION BY doc_id ORDER BY times DESC, term) AS rank FROM c),
+u AS (SELECT doc_id, term, {len(TERMS)} + rank AS rank FROM r WHERE rank <= {TOP_WORDS} UNION ALL SELECT doc_id, term, i FROM d, (VALUES {", ".join(f"({i}, '{t}')" for i, t in enumerate(TERMS))}) v(i, term) WHERE contains(lower(text), lower(term))),
+k AS (SELECT doc_id, lower(term) AS l, arg_min(term, rank) AS term, min(rank) AS rank FROM u GROUP BY 1, 2 QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY min(rank)) <= 10)
+SELECT d.doc_id, coalesce(string_agg(term, '|' ORDER BY rank), '') AS keywords FROM d LEFT JOIN k USING (doc_id) GROUP BY 1""",
+    "authorities": r"""WITH t AS (SELECT doc_id, coalesce(text, '') || chr(10) || 'Circular No. ' || doc_id % 7 || '/2019, Circular no 3, Vs. Union  of ' || source || '; Circular No 12-4' AS x FROM documents WHERE source IS NOT NULL)
+SELECT doc_id, array_to_string(list_sort(list_distinct(regexp_extract_all(x, 'Circular\s+No\.?\s*([\d/.-]+)', 1))), '|') AS circulars,
+ array_to_string(list_sort(list_distinct(list_transform(regexp_extract_all(x, 'Vs\.\s*([A-Za-z\s\.]+)', 1), lambda v: trim(regexp_replace(v, '\s+', ' ', 'g'))))), '|') AS case_laws FROM t""",
+    "rule_summaries": r"""WITH t AS (SELECT doc_id, lang, regexp_replace(CASE WHEN doc_id % 4 = 0 THEN ' Short one. ' ELSE '' END || coalesce(text, ''), '^\s+|\s+$', '', 'g') AS body FROM documents),
+f AS (SELECT *, string_split(regexp_replace(body, '([.!?]) +', '\1' || chr(1), 'g'), chr(1))[1] AS first FROM t)
+SELECT doc_id, CASE WHEN length(first) > 30 THEN substr(first, 1, 300) ELSE 'Rule ' || doc_id || ' deals with ' || lang || '.' END AS summary FROM f""",
     "line_segments": f"""SELECT doc_id, segment, count(*) AS lines, string_agg(line, ' ' ORDER BY pos) AS text FROM
  (SELECT *, CAST(sum(CASE WHEN length(line) < 40 THEN 1 ELSE 0 END) {_SUM} AS BIGINT) AS segment FROM {_LINES}) GROUP BY 1, 2""",
     "region_collect": f"""WITH b AS (SELECT *, max(CASE WHEN length(line) > 200 THEN 1 ELSE 0 END) {_SUM} AS begun FROM {_LINES}),

@@ -3,8 +3,8 @@
 import pytest
 from pyspark.sql import functions as F
 
-from sparkloom.functions import records as R
-from sparkloom.operators import matching as M
+from sparkloom.functions import records as R, text as T
+from sparkloom.operators import answering as A, matching as M
 
 
 @pytest.mark.parametrize(("made", "expected"), [
@@ -25,3 +25,28 @@ def test_judgments_by_the_first_reason(spark):
     asked = spark.createDataFrame([(1, "2019 (3) x 4", "W.P. No. 2 of 2017", "red widget", None), (2, None, None, "Red Widget", "Blue Ring"), (3, None, "", "ring", "nobody")], "query_id int, citation string, case_number string, one string, two string")
     got = sorted((r["query_id"], r["external_id"], r["reason"]) for r in M.find_judgments(asked, judgments).collect())
     assert got == [(1, 1, "citation"), (1, 2, "case_number"), (2, 1, "both"), (2, 2, "petitioner"), (3, 1, "substring"), (3, 3, "substring")]
+
+
+def test_kinds_and_headings(spark):
+    rows = spark.createDataFrame([("faq", "Rule", None, None), ("", "Case Study", None, None), (None, None, "10", "9"), (None, "", None, "9"), (None, None, None, None)], "c string, d string, h string, s string")
+    kinds = rows.select(M.kind_of(F.col("c"), F.col("d"), F.col("h"), F.col("s")).alias("k")).collect()
+    assert [r["k"] for r in kinds] == ["faq", "case_study", "hsn", "sac", None]
+    parts = F.array(*[F.lit(x) for x in ("Facts of it", "more", "HELD that", "x" * 30, "end")])
+    assert spark.range(1).select(T.packed(parts, 30, cue=T.HEADINGS).alias("c")).first()["c"] == ["Facts of it more", "HELD that", "x" * 30, "end"]
+
+
+def test_retrieval_cuts_nothing_that_counts(spark):
+    """Judgments stand once, without their chunks; a band's kinds by priority; cut lists equal the front of whole ones."""
+    queries = spark.createDataFrame([(1, [1.0, 0.0]), (2, [0.0, 0.0])], "query_id long, q array<float>")
+    matches = spark.createDataFrame([(1, 7, "both"), (2, 8, "substring")], "query_id long, external_id long, reason string")
+    whole = spark.createDataFrame([(7, -7, [0.6, 0.8]), (8, -8, [1.0, 0.0])], "external_id long, chunk_id long, vector array<float>")
+    kinds = ["faq", "rule", "judgment", None]
+    chunks = spark.createDataFrame([(i, 7 if i == 5 else None, kinds[i % 4]) for i in range(60)], "chunk_id long, external_id long, chunk_type string")
+    statutory = spark.createDataFrame([(1, i) for i in range(0, 60, 2)], "query_id long, chunk_id long")
+    near = spark.createDataFrame([(q, i, 1 - i / 100) for q in (1, 2) for i in range(50)], "query_id long, chunk_id long, score double")
+    got = lambda k: [(r["query_id"], r["rank"], r["chunk_id"], r["score"], r["stage"]) for r in A.retrieve(queries, matches, whole, statutory, near, chunks, k).orderBy("query_id", "rank").collect()]
+    every = got(1000)
+    assert got(9) == [r for r in every if r[1] <= 9]
+    assert every[0] == (1, 1, -7, 1.6, 0) and (1, 5) not in {(r[0], r[2]) for r in every}
+    assert {r[3] for r in every if r[2] == -8} == {0.95}
+    assert len(every) == len({(r[0], r[2]) for r in every})
