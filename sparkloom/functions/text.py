@@ -90,9 +90,12 @@ def normalize_party_ends(x: Column) -> Column:
     return squeeze(F.regexp_replace(y, r"[.,]+", " "))
 
 
+#: Beginnings that no name has.
+NO_NAMES = [r"^\s*on\s+", r"^\s*in\s+", r"^\s*the\s+", r"HC\s+on\s+", r"court\s+", r"judgment\s+", r"case\s+of\s+"]
+
+
 def valid_party(x: Column) -> Column:
-    bad = [r"^\s*on\s+", r"^\s*in\s+", r"^\s*the\s+", r"HC\s+on\s+", r"court\s+", r"judgment\s+", r"case\s+of\s+"]
-    return reduce(lambda c, p: c & ~x.rlike("(?i)" + p), bad, x.rlike("[a-zA-Z]"))
+    return reduce(lambda c, p: c & ~x.rlike("(?i)" + p), NO_NAMES, x.rlike("[a-zA-Z]"))
 
 
 def party_pairs(x: Column) -> Column:
@@ -126,9 +129,15 @@ def clean_page(x: Column) -> Column:
     return F.regexp_replace(y, r"^\n+|\n+$", "")
 
 
+#: Blanks around signs and brackets, and what stands for them, in order; how numbers of questions are written.
+SPACING = [(r"(?U)\s+([.,!?;:])", "$1"), (r"(?U)([.,!?;:])([^\s\d])", "$1 $2"), (r"(?U)\s*\(\s*", " ("), (r"(?U)\s*\)\s*", ") ")]
+QUESTION_NUMBERS = [r"(?i)^(?:Q\.?|Ques\.?|Question)\s*[-:\.]?\s*\d+\s*[\.:-]?\s*", r"^\d+\s*[\.:-]?\s*", r"(?i)^(?:Ques|QUES)\s*[:\.]\s*", r"(?i)^(?:Q|q)\s*[:\.]\s*"]
+ANSWER, DASHES = r"(?Ui)\bAns\.?\s*:?\s*", "[-—]{4,}"
+
+
 def clean_answer(x: Column) -> Column:
     y = squeeze(F.coalesce(x, F.lit("")))
-    for pattern, by in ((r"(?U)\s+([.,!?;:])", "$1"), (r"(?U)([.,!?;:])([^\s\d])", "$1 $2"), (r"(?U)\s*\(\s*", " ("), (r"(?U)\s*\)\s*", ") ")):
+    for pattern, by in SPACING:
         y = F.regexp_replace(y, pattern, by)
     return strip(y)
 
@@ -150,13 +159,12 @@ def question_answer(x: Column) -> Column:
     parts = F.split(text, r"\?", 2)
     mark = F.struct(F.concat(clean_answer(parts[0]), F.lit("?")).alias("question"), clean_answer(F.get(parts, F.lit(1))).alias("answer"))
     whole = F.struct(clean_answer(text).alias("question"), empty.alias("answer"))
-    return F.coalesce(at(r"(?Ui)\bAns\.?\s*:?\s*"), at("[-—]{4,}"), F.when((F.size(parts) == 2) & (mark["answer"] != ""), mark), whole)
+    return F.coalesce(at(ANSWER), at(DASHES), F.when((F.size(parts) == 2) & (mark["answer"] != ""), mark), whole)
 
 
 def without_number(x: Column) -> Column:
     """The first pattern that changes anything wins."""
-    patterns = [r"(?i)^(?:Q\.?|Ques\.?|Question)\s*[-:\.]?\s*\d+\s*[\.:-]?\s*", r"^\d+\s*[\.:-]?\s*", r"(?i)^(?:Ques|QUES)\s*[:\.]\s*", r"(?i)^(?:Q|q)\s*[:\.]\s*"]
-    tried = [F.when(F.regexp_replace(x, p, "") != x, F.regexp_replace(x, p, "")) for p in patterns]
+    tried = [F.when(F.regexp_replace(x, p, "") != x, F.regexp_replace(x, p, "")) for p in QUESTION_NUMBERS]
     return clean_answer(F.coalesce(*tried, x))
 
 
@@ -177,20 +185,21 @@ def decision_sentences(x: Column, verbs: tuple[str, ...] = DECIDES) -> Column:
     return F.filter(sentences(x), lambda s: reduce(lambda c, v: c | F.contains(F.lower(s), F.lit(v)), verbs, F.lit(False)))
 
 
+#: How texts refer to sections, rules, notifications, forms and codes.
+SECTIONS, UNDER = r"(?:Section|Sec\.?)\s+(\d+)\s*(?:\((\d+[A-Za-z]*)\))?", r"(?:u/s|under\s+section)\s+(\d+)"
+RULES, NOTIFICATIONS, FORMS = r"Rule\s+(\d+[A-Za-z]*)\s*(?:\((\d+[A-Za-z]*)\))?", r"Notification\s*(?:No\.?)?\s*([\d/\-]+(?:/\d{4})?)", r"(?:Form|GSTAT\s+Form)\s+(\d+[A-Z]*(?:\s+[A-Z]+-\d+)?)"
+HSN, SAC = r"HSN\s+(?:Code\s+)?(\d{4,8})", r"SAC\s+(?:Code\s+)?(\d{4,6})"
+
+
 def references(x: Column) -> Column:
     """struct of sorted distinct sections, rules, notifications, forms, HSN and SAC codes."""
     every = lambda p, g=1: F.regexp_extract_all(x, F.lit("(?i)" + p), F.lit(g))
     sub = lambda p: F.zip_with(every(p, 1), every(p, 2), lambda a, b: F.when(F.coalesce(b, F.lit("")) != "", F.concat(a, F.lit("("), b, F.lit(")"))).otherwise(a))
     done = lambda a: F.array_sort(F.array_distinct(a))
-    section = r"(?:Section|Sec\.?)\s+(\d+)\s*(?:\((\d+[A-Za-z]*)\))?"
     return F.struct(
-        done(F.concat(sub(section), every(r"(?:u/s|under\s+section)\s+(\d+)"))).alias("sections"),
-        done(sub(r"Rule\s+(\d+[A-Za-z]*)\s*(?:\((\d+[A-Za-z]*)\))?")).alias("rules"),
-        done(every(r"Notification\s*(?:No\.?)?\s*([\d/\-]+(?:/\d{4})?)")).alias("notifications"),
-        done(every(r"(?:Form|GSTAT\s+Form)\s+(\d+[A-Z]*(?:\s+[A-Z]+-\d+)?)")).alias("forms"),
-        done(every(r"HSN\s+(?:Code\s+)?(\d{4,8})")).alias("hsn_codes"),
-        done(every(r"SAC\s+(?:Code\s+)?(\d{4,6})")).alias("sac_codes"),
-    )
+        done(F.concat(sub(SECTIONS), every(UNDER))).alias("sections"), done(sub(RULES)).alias("rules"), done(every(NOTIFICATIONS)).alias("notifications"),
+        done(every(FORMS)).alias("forms"), done(every(HSN)).alias("hsn_codes"), done(every(SAC)).alias("sac_codes"),
+    )
 
 
 #: How circulars and decisions are named.

@@ -55,6 +55,24 @@ def retrieve(queries: DataFrame, matches: DataFrame, judgments: DataFrame, statu
     return ranked.where(F.col("rank") <= k).select("query_id", "rank", "chunk_id", "chunk_type", "score", "stage", (F.col("stage") < 2).alias("complete"))
 
 
+#: What a complete judgment says of itself, where it is known.
+HEAD = {"citation": "Citation", "case_number": "Case Number", "petitioner": "Petitioner", "respondent": "Respondent"}
+
+
+def full_judgments(found: DataFrame, chunks: DataFrame, records: DataFrame, fields: list[str]) -> DataFrame:
+    """query_id, place, external_id, fields (blank where missing) and text of the judgments that chunks were found of, each once by its first chunk.
+    found: query_id, external_id, rank; chunks: external_id, pos, text; records: external_id and what is known of the fields. Only the chunks
+    of found judgments are put together."""
+    first = found.groupBy("query_id", "external_id").agg(F.min("rank").alias("rank"))
+    place = F.row_number().over(Window.partitionBy("query_id").orderBy("rank", "external_id"))
+    parts = chunks.join(first.select("external_id").distinct(), "external_id", "left_semi").groupBy("external_id").agg(F.array_sort(F.collect_list(F.struct("pos", "text"))).alias("parts"))
+    said = records.select("external_id", *[(F.coalesce(F.trim(F.col(c).cast("string")), F.lit("")) if c in records.columns else F.lit("")).alias(c) for c in fields])
+    head = F.concat_ws("\n", *[F.when(F.col(c) != "", F.concat(F.lit(f"{label}: "), c)) for c, label in HEAD.items() if c in fields])
+    body = F.array_join(F.transform("parts", lambda x: x["text"]), "\n")
+    text = F.concat_ws("\n\n", F.nullif(head, F.lit("")), body)
+    return first.select("query_id", "external_id", place.alias("place")).join(parts, "external_id").join(said, "external_id").select("query_id", "place", "external_id", *fields, text.alias("text"))
+
+
 def for_issue(reframed: DataFrame, raw: DataFrame, chunks: DataFrame, modes: DataFrame) -> DataFrame:
     """query_id, rank, chunk_id, score, primary: the two passes of an issue and siblings of the second one, scored by kind, decision and mode.
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
-from sparkloom.functions import records as R
+from sparkloom.functions import records as R, text as T
 from sparkloom.operators import answering as A, cases, matching as M
 from sparkloom.plans import matchings_sql
 from sparkloom.plans.ledger import messages
@@ -170,7 +170,45 @@ def legal_priorities(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "part").select("p_partkey", M.legal_priority(kind).alias("priority"))
 
 
-QUERIES = {f.__name__: f for f in (hybrid_retrieval, issue_retrieval, answer_assembly, source_blocks, form_kinds, all_keys_index, index_lookups, case_states, attribution, token_counters, cached_lists, changed_rows, legal_priorities)}
+def full_judgments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders as judgments, their lines as chunks: all fields and the whole text of each that was found."""
+    lines = table(spark, sf_dir, "lineitem")
+    pos = F.struct("l_linenumber", "l_partkey", "l_suppkey", "l_quantity")
+    chunks = lines.select(F.col("l_orderkey").alias("external_id"), pos.alias("pos"), F.concat_ws(" ", "l_returnflag", "l_linestatus").alias("text"))
+    found = lines.where("l_orderkey % 3 = 0 and l_linenumber <= 2").select((F.col("l_orderkey") % 5).alias("query_id"), F.col("l_orderkey").alias("external_id"), F.col("l_linenumber").alias("rank"))
+    n = F.col("o_orderkey")
+    records = table(spark, sf_dir, "orders").select(n.alias("external_id"), F.when(n % 2 == 0, F.concat(F.lit("2019 (3) SCC "), n.cast("string"))).alias("citation"), F.when(n % 4 > 0, F.concat(F.lit(" W.P. "), n.cast("string"))).alias("case_number"), F.col("o_orderpriority").alias("court"), F.year("o_orderdate").alias("year"), F.col("o_orderstatus").alias("decision"))
+    out = A.full_judgments(found, chunks, records, list(files.JUDGMENT_FIELDS))
+    return out.withColumn("text", F.sha2("text", 256))
+
+
+def active_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Users with messages and their sessions, by role: sessions joined with their messages."""
+    sessions = table(spark, sf_dir, "conversations").groupBy("conv_id").agg((F.min("conv_id") % 50).alias("user_id"))
+    rows = sessions.join(table(spark, sf_dir, "conversations").select("conv_id", "role"), "conv_id")
+    return rows.groupBy("role").agg(F.countDistinct("user_id").alias("users"), F.countDistinct("conv_id").alias("sessions"), F.count("*").alias("messages"))
+
+
+def publisher_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    n = F.col("s_suppkey").cast("string")
+    said = F.when(F.col("s_suppkey") % 3 > 0, F.concat(F.lit("see 2019 tmi  "), n, F.lit(" (HC)"))).otherwise(F.concat(F.lit("2019 SCC "), n))
+    return table(spark, sf_dir, "supplier").select("s_suppkey", T.long_publisher(said, "TMI", "Tax Matters").alias("citation"))
+
+
+def named_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs of parties that texts name, each once in whatever order; what is no name is left out."""
+    n = F.col("p_partkey")
+    names = F.initcap("p_name")
+    x = F.concat(names, F.lit(" v. Other ("), n.cast("string"), F.lit("). "), F.when(n % 2 == 0, F.concat(F.lit("Other vs "), names, F.lit(" case"))).otherwise("The Court of v. None ("))
+    return table(spark, sf_dir, "part").select("p_partkey", F.posexplode(T.party_pairs(x)).alias("n", "s")).select("p_partkey", "n", "s.a", "s.b")
+
+
+def minutes_cleaned(spark: SparkSession, sf_dir: str) -> DataFrame:
+    x = F.concat(F.lit("Page  12 "), "text", F.lit("\n\nCouncil Secretariat page 3 "))
+    return table(spark, sf_dir, "benchmark").select("item_id", T.clean_minutes(x).alias("cleaned"))
+
+
+QUERIES = {f.__name__: f for f in (hybrid_retrieval, issue_retrieval, answer_assembly, source_blocks, form_kinds, all_keys_index, index_lookups, case_states, attribution, token_counters, cached_lists, changed_rows, legal_priorities, full_judgments, active_sessions, publisher_forms, named_pairs, minutes_cleaned)}
 
 _CH = f"""(SELECT vec_id AS chunk_id, CASE WHEN vec_id % 3 = 0 THEN vec_id % {JUDGMENTS} END AS external_id, CASE WHEN vec_id % 3 = 0 THEN 'judgment' ELSE [{", ".join(f"'{k}'" for k in KINDS)}][label % {len(KINDS)} + 1] END AS chunk_type,
  CASE WHEN vec_id % 6 = 0 THEN 'In favour of assessee' WHEN vec_id % 6 = 3 THEN 'In favour of revenue' END AS decision, CASE WHEN vec_id % 4 = 0 THEN label END AS section, CASE WHEN vec_id % 5 > 0 THEN vec_id % 11 END AS source, label, embedding FROM embeddings)"""
@@ -255,4 +293,13 @@ SELECT user_id, CAST(back AS INTEGER) AS back, event_id FROM p WHERE back <= {NE
     "changed_rows": """WITH c AS (SELECT o_custkey + CASE WHEN o_orderkey % 5 = 0 THEN 1000000 ELSE 0 END AS k, 'order ' || o_orderkey AS name, o_orderkey % 3 = 0 AS gone, row_number() OVER (PARTITION BY o_custkey + CASE WHEN o_orderkey % 5 = 0 THEN 1000000 ELSE 0 END ORDER BY o_orderkey DESC) AS n FROM orders)
 SELECT k AS c_custkey, name AS c_name FROM c WHERE n = 1 AND NOT gone UNION ALL SELECT c_custkey, c_name FROM customer WHERE c_custkey NOT IN (SELECT k FROM c)""",
     "legal_priorities": "SELECT p_partkey, [1, 2, 4, 4, 8, NULL][p_partkey % 6 + 1] AS priority FROM part",
+    "full_judgments": f"""WITH f AS (SELECT l_orderkey AS external_id, l_orderkey % 5 AS query_id, min(l_linenumber) AS rank FROM lineitem WHERE l_orderkey % 3 = 0 AND l_linenumber <= 2 GROUP BY 1, 2),
+b AS (SELECT l_orderkey AS external_id, string_agg(l_returnflag || ' ' || l_linestatus, chr(10) ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity) AS body FROM lineitem GROUP BY 1),
+r AS (SELECT o_orderkey AS external_id, CASE WHEN o_orderkey % 2 = 0 THEN '2019 (3) SCC ' || o_orderkey ELSE '' END AS citation, CASE WHEN o_orderkey % 4 > 0 THEN 'W.P. ' || o_orderkey ELSE '' END AS case_number, o_orderpriority AS court, CAST(year(o_orderdate) AS VARCHAR) AS year, o_orderstatus AS decision FROM orders)
+SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY rank, external_id) AS INTEGER) AS place, external_id, citation, case_number, court, year, decision, {", ".join(f"'' AS {c}" for c in files.JUDGMENT_FIELDS if c not in ("citation", "case_number", "court", "year", "decision"))},
+ sha256(concat_ws(chr(10), CASE WHEN citation <> '' THEN 'Citation: ' || citation END, CASE WHEN case_number <> '' THEN 'Case Number: ' || case_number END) || chr(10) || chr(10) || body) AS text FROM f JOIN b USING (external_id) JOIN r USING (external_id)""",
+    "active_sessions": "SELECT role, count(DISTINCT conv_id % 50) AS users, count(DISTINCT conv_id) AS sessions, count(*) AS messages FROM conversations GROUP BY 1",
+    "publisher_forms": "SELECT s_suppkey, CASE WHEN s_suppkey % 3 > 0 THEN '2019 Tax Matters ' ELSE '2019 SCC ' END || s_suppkey AS citation FROM supplier",
+    "named_pairs": """SELECT p_partkey, 0 AS n, array_to_string(list_transform(string_split(p_name, ' '), lambda w: upper(w[1]) || lower(w[2:])), ' ') AS a, 'Other' AS b FROM part""",
+    "minutes_cleaned": r"""SELECT item_id, trim(replace(regexp_replace(regexp_replace('Page  12 ' || text || chr(10) || chr(10) || 'Council Secretariat page 3 ', '\s+', ' ', 'g'), 'Page\s+\d+', '', 'g'), 'Council Secretariat', '')) AS cleaned FROM benchmark""",
 }

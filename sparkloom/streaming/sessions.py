@@ -8,6 +8,8 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from sparkloom.operators.cases import STATES
+
 LATE = "1 day"
 
 
@@ -40,3 +42,24 @@ def capped_slots(events: DataFrame, n: int) -> DataFrame:
 
     rows = events.where("event_type = 'signup'").select("user_id", "event_id", F.col("ts").cast("timestamp").alias("ts"))
     return rows.groupBy("user_id").applyInPandasWithState(step, "user_id long, slots array<long>", "at array<long>, ids array<long>", "update", "NoTimeout")
+
+
+def case_stream(events: DataFrame) -> DataFrame:
+    """session, active, states: the cases of a session, kept as state and emitted whenever they change; the twin of cases.case_states for events
+    (session, place, action, target) that arrive bit by bit. Those of one batch are taken in order of place."""
+
+    def step(key: tuple, frames: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
+        active, states = state.get if state.exists else (0, [])
+        states = list(states)
+        for row in pd.concat(frames).sort_values("place").itertuples():
+            if row.action == "new":
+                states.append(STATES["new"])
+                active = len(states)
+            elif row.action == "switch" and 1 <= row.target <= len(states):
+                active = int(row.target)
+            elif row.action in STATES and active:
+                states[active - 1] = STATES[row.action]
+        state.update((active, states))
+        yield pd.DataFrame({"session": [key[0]], "active": [active], "states": [states]})
+
+    return events.groupBy("session").applyInPandasWithState(step, "session long, active int, states array<string>", "active int, states array<string>", "update", "NoTimeout")

@@ -4,6 +4,7 @@ import zipfile
 
 import pytest
 
+from sparkloom.operators import cases
 from sparkloom.sources import files
 from sparkloom.streaming import sessions
 
@@ -95,3 +96,11 @@ def test_corpus_and_vectors_round_trip(spark, tmp_path):
     vectors = spark.range(50).selectExpr("id pos", "array(id / 2, 1.5) vector")
     files.write_vectors(vectors, str(tmp_path / "v"))
     assert [tuple(r) for r in spark.read.parquet(str(tmp_path / "v")).orderBy("pos").collect()] == [(i, [i / 2, 1.5]) for i in range(50)]
+
+
+def test_case_stream(spark):
+    made = lambda rows: rows.selectExpr("conv_id session", "turn place", "element_at(array('new', 'decide', 'mode', 'done', 'analyse', 'switch'), int((turn + conv_id) % 6 + 1)) action", "1 target")
+    run(sessions.case_stream(made(sessions.stream(spark, DATA, "conversations"))), "update", "cases")
+    got = {(r["session"], i + 1): ("active" if i + 1 == r["active"] else "archived", s) for r in spark.table("cases").collect() for i, s in enumerate(r["states"])}
+    batch = cases.case_states(made(spark.read.parquet(f"{DATA}/conversations.parquet"))).collect()
+    assert got and got == {(r["session"], r["case_id"]): (r["status"], r["state"]) for r in batch}
