@@ -42,8 +42,8 @@ def retrieve(queries: DataFrame, matches: DataFrame, judgments: DataFrame, statu
     first = hits.groupBy("query_id", "chunk_id").agg(F.min(F.struct("stage", "score")).alias("m")).select("query_id", "chunk_id", "m.stage", "m.score")
     first = first.join(chunks.select("chunk_id", "external_id", "chunk_type"), "chunk_id").join(matches.select("query_id", "external_id"), ["query_id", "external_id"], "left_anti")
     kind = M.priority(F.col("chunk_type"))
-    place = F.row_number().over(Window.partitionBy("query_id").orderBy(kind, "chunk_id"))
-    named = first.where("stage = 2").withColumn("place", place).where(F.col("place") <= k).drop("place").unionByName(first.where("stage = 3"))
+    place = F.row_number().over(Window.partitionBy("query_id", "stage").orderBy(kind, "chunk_id"))  # one pass over both stages: neighbours are dear
+    named = first.withColumn("place", place).where((F.col("place") <= k) | (F.col("stage") == 3)).drop("place")
     rows = whole.unionByName(named.select(*whole.columns)).withColumn("score", F.round("score", 6))
     falling = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score")))
     lowest = F.max(F.when(F.col("n") == k, F.col("score"))).over(Window.partitionBy("query_id"))
