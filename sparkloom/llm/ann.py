@@ -14,7 +14,7 @@ TARGET of the sample's own neighbours. Lists are cut into parts of about PART ve
 tasks.
 
 Defined results: vectors that are null, zero, of a length other than the most common one, or with null or non-finite
-components take no part; each row whose id asks is a query of its own, and every other row, those of the same id among them, is a
+components take no part, nor do rows without a vec_id, which no result could name; any long is a vec_id; each row whose id asks is a query of its own, and every other row, those of the same id among them, is a
 candidate; ties at the last rank go to the smaller ids; fewer than k candidates give fewer rows; an empty table gives an empty
 result; further columns are ignored.
 """
@@ -35,7 +35,7 @@ def usable(vectors: DataFrame) -> DataFrame:
     """vec_id, v (array of doubles): the rows that take part."""
     rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("v"))
     fine = F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists("v", lambda x: x != 0)
-    rows = rows.where(F.col("v").isNotNull() & fine)
+    rows = rows.where(F.col("vec_id").isNotNull() & F.col("v").isNotNull() & fine)
     sizes = rows.groupBy(F.size("v").alias("d")).agg(F.count("*").alias("c")).orderBy(F.desc("c"), "d").limit(1).collect()
     return rows.where(F.size("v") == (sizes[0]["d"] if sizes else 0))
 

@@ -10,8 +10,8 @@ exact and takes time in proportion. Only then are the pieces encoded. Decoding c
 Texts of more than SPREAD code points take these steps in several tasks (chunks as rows, stitched stretches as rows), others in the
 task that reads them; the functions are the same, and so are the results.
 
-Defined results: a null or empty text has no ids; rows that share doc_id, or are equal altogether, are encoded each; an empty
-table gives an empty result; further columns are ignored. No text is cut short.
+Defined results: a null or empty text has no ids; rows that share doc_id, or are equal altogether, are encoded each; a null
+doc_id, and any long, passes through as it is; an empty table gives an empty result; further columns are ignored. No text is cut short.
 """
 
 from __future__ import annotations
@@ -24,7 +24,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
-from .common import small_batches, text_of, tidied
+from .common import named, numbered, small_batches, text_of, tidied
 
 CHUNK, OVERLAP = 4_096, 256
 #: Code points from which a text's steps are dealt to several tasks, and chunks or stretches that one row holds then.
@@ -162,7 +162,7 @@ def encode(docs: DataFrame, ranks_path: str, form: str = "ids") -> DataFrame:
     columns, finish = FORMS[form]
     names = ["doc_id", *[c.split()[0] for c in columns.split(", ")]]
     small_batches(docs.sparkSession)
-    rows = text_of(docs)
+    rows = named(text_of(docs))
 
     @tidied
     def here(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -194,7 +194,7 @@ def encode(docs: DataFrame, ranks_path: str, form: str = "ids") -> DataFrame:
                 ends = np.cumsum(np.frombuffer(sizes, "<i4")).tolist()
                 yield start, text, [text[a:b] for a, b in zip([0, *ends], ends, strict=False)]
 
-        out = [(int(frame.doc_id.iloc[0]), int(frame.tie.iloc[0]), copies, k, "".join(pieces), np.array([len(p) for p in pieces], "<i4").tobytes()) for k, pieces in enumerate(stitched(parts(), code.find))]
+        out = [(frame.doc_id.iloc[0], int(frame.tie.iloc[0]), copies, k, "".join(pieces), np.array([len(p) for p in pieces], "<i4").tobytes()) for k, pieces in enumerate(stitched(parts(), code.find))]
         return pd.DataFrame(out, columns=["doc_id", "tie", "copies", "nth", "text", "sizes"])
 
     @tidied
@@ -209,15 +209,15 @@ def encode(docs: DataFrame, ranks_path: str, form: str = "ids") -> DataFrame:
 
     def finished(frame: pd.DataFrame) -> pd.DataFrame:
         ids = np.frombuffer(b"".join(frame.sort_values("nth").ids), "<i4").tolist()
-        return pd.DataFrame([(int(frame.doc_id.iloc[0]), *finish(coder(ranks_path), ids))] * int(frame.copies.iloc[0]), columns=names)
+        return pd.DataFrame([(frame.doc_id.iloc[0], *finish(coder(ranks_path), ids))] * int(frame.copies.iloc[0]), columns=names)
 
-    schema = f"doc_id long, {columns}"
+    schema = f"doc_id string, {columns}"
     short = rows.where(F.length("text") <= SPREAD).mapInPandas(here, schema)
-    long = rows.where(F.length("text") > SPREAD).withColumn("tie", F.xxhash64("text")).mapInPandas(chunks, "doc_id long, tie long, nth long, start long, text string")
-    found = long.repartition("doc_id", "tie", "nth").mapInPandas(pretokenised, "doc_id long, tie long, nth long, start long, text string, sizes binary")
-    stretches = found.groupBy("doc_id", "tie").applyInPandas(joined, "doc_id long, tie long, copies int, nth long, text string, sizes binary")
-    ids = stretches.repartition("doc_id", "tie", "nth").mapInPandas(coded, "doc_id long, tie long, copies int, nth long, ids binary")
-    return short.unionByName(ids.groupBy("doc_id", "tie").applyInPandas(finished, schema))
+    long = rows.where(F.length("text") > SPREAD).withColumn("tie", F.xxhash64("text")).mapInPandas(chunks, "doc_id string, tie long, nth long, start long, text string")
+    found = long.repartition("doc_id", "tie", "nth").mapInPandas(pretokenised, "doc_id string, tie long, nth long, start long, text string, sizes binary")
+    stretches = found.groupBy("doc_id", "tie").applyInPandas(joined, "doc_id string, tie long, copies int, nth long, text string, sizes binary")
+    ids = stretches.repartition("doc_id", "tie", "nth").mapInPandas(coded, "doc_id string, tie long, copies int, nth long, ids binary")
+    return numbered(short.unionByName(ids.groupBy("doc_id", "tie").applyInPandas(finished, schema)))
 
 
 def decode(coded: DataFrame, ranks_path: str) -> DataFrame:
@@ -228,4 +228,4 @@ def decode(coded: DataFrame, ranks_path: str) -> DataFrame:
         for frame in frames:
             yield pd.DataFrame({"doc_id": frame.doc_id, "raw": [code.decode(x.tolist()) for x in frame.ids]})
 
-    return coded.select("doc_id", "ids").mapInPandas(back, "doc_id long, raw binary")
+    return numbered(named(coded.select("doc_id", "ids")).mapInPandas(back, "doc_id string, raw binary"))

@@ -45,15 +45,21 @@ def delete(spark: SparkSession, path: str) -> None:
     place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
 
 
+def folder(spark: SparkSession, tag: str) -> str:
+    """A new name in the shared folder, whose files go as scratch tables do."""
+    path = f"{shared_dir(spark)}/sparkloom-{tag}-{uuid.uuid4().hex}"
+    mine = _scope.get()
+    (_outside if mine is None else mine).append(path)
+    return path
+
+
 def scratch(df: DataFrame, tag: str, narrow: int = 1) -> DataFrame:
     """Writes df as a table in the shared folder and reads it again: cuts the lineage and survives lost executors. The table
     goes with the scope() that it was written in; outside of any, with release() or when the driver's Python ends.
 
     Partitions are set for rows with texts; rows that are so many times narrower, as ids are, go to so many times fewer files."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/sparkloom-{tag}-{uuid.uuid4().hex}"
-    mine = _scope.get()
-    (_outside if mine is None else mine).append(path)
+    path = folder(spark, tag)
     out = df.coalesce(max(1, partitions(spark) // narrow)) if narrow > 1 else df
     out.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
@@ -125,6 +131,17 @@ def text_of(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
 
 
+def named(rows: DataFrame) -> DataFrame:
+    """rows with doc_id as decimal text: a long column with a null in it would come to pandas as floats, which change ids over
+    2 ** 53. Python steps pass it on as it is; a result column of type long is cast back by numbered()."""
+    return rows.withColumn("doc_id", F.col("doc_id").cast("string"))
+
+
+def numbered(rows: DataFrame) -> DataFrame:
+    """rows with doc_id as a long again."""
+    return rows.withColumn("doc_id", F.col("doc_id").cast("long"))
+
+
 def unused(docs: DataFrame, *names: str) -> list[str]:
     """The names, each with as many underscores in front as it takes to clash with no column of docs."""
     taken = {c.lower() for c in docs.columns}

@@ -10,7 +10,8 @@ dropped, kept, ...), and only for documents that lose a line.
 
 Defined results: a null or empty text is one empty line and stays; keys under min_chars code points never drop; equal lines
 within the first document all stay; rows that share a doc_id count as one document, and each row gets its own bitmap, told from
-the others by a hash of its text (rows equal in both get the same); any long is a doc_id; an empty table gives an empty result;
+the others by a hash of its text (rows equal in both get the same); rows without a doc_id keep all lines and take none from
+others; any long is a doc_id; an empty table gives an empty result;
 further columns pass through rebuild() unchanged.
 """
 
@@ -35,7 +36,7 @@ def row_hash(text: Column) -> Column:
 
 def keys(docs: DataFrame, min_chars: int) -> DataFrame:
     """doc_id, tie (hash of the row's text), pos, h1, h2: one row for each line whose key is long enough."""
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), row_hash(F.col("text")).alias("tie"), F.posexplode(lines_of(F.col("text"))).alias("pos", "line"))
+    rows = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), row_hash(F.col("text")).alias("tie"), F.posexplode(lines_of(F.col("text"))).alias("pos", "line"))
     rows = rows.where(F.length("line") >= min_chars)
     rows = rows.withColumn("key", F.translate(F.btrim(F.col("line"), F.lit(WHITE)), UPPER, LOWER)).where(F.length("key") >= min_chars)
     return rows.select("doc_id", "tie", "pos", F.xxhash64("key").alias("h1"), F.xxhash64(F.lit(1), "key").alias("h2"))

@@ -13,7 +13,8 @@ Running sums (where a document starts among its source's words, a source's rank,
 range partitions, then sums inside each, so no key and no global order is one task.
 
 Defined results: a null or empty text has size 0 and is never taken; null sources form a source of their own, which comes last;
-rows that share a doc_id are told apart by the hash of their text, and equal ones by their places; any long is a doc_id; a source without words has target 0; an empty table gives an empty result; further columns are
+rows that share a doc_id are told apart by the hash of their text, and equal ones by their places; rows without a doc_id come first
+in their source and are taken like all others; any long is a doc_id; a source without words has target 0; an empty table gives an empty result; further columns are
 ignored by plan() and assign(); passed on by mixture().
 """
 
@@ -157,9 +158,10 @@ def assign(docs: DataFrame, seed: int = 0) -> DataFrame:
     overlap = F.least(end, (F.col("block") + 1) * BLOCK) - F.greatest(F.col("start"), F.col("block") * BLOCK)
     parts = parts.select("doc_id", "tie", "src", "start", "block", overlap.alias("overlap"))
     # the estimate of a side made by explode() is far too small, so it must not be broadcast on its word
-    taken = parts.join(drawn.hint("merge"), ["src", "block"]).groupBy("src", "start", "doc_id", "tie").agg(F.sum(F.col("overlap") * F.col("times")).alias("taken"))
+    taken = parts.join(drawn.hint("merge"), ["src", "block"]).groupBy("src", "start").agg(F.sum(F.col("overlap") * F.col("times")).alias("taken"))
     per = sources.select("src", "source_size", "target")
-    out = placed.join(taken.hint("merge"), ["src", "start", "doc_id", "tie"], "left").join(per, "src", "left")
+    # only one row with words starts at a place of a source; rows without any take nothing
+    out = placed.join(taken.hint("merge"), ["src", "start"], "left").join(per, "src", "left")
     out = out.withColumn("taken", F.when(F.col("size") > 0, F.coalesce("taken", F.lit(0))).otherwise(F.lit(0)).cast("long"))
     return out.select("doc_id", "tie", "src", "size", "source_size", "target", "taken")
 
@@ -172,5 +174,5 @@ def mixture(docs: DataFrame, seed: int = 0) -> DataFrame:
     got = got.groupBy(doc, tie).agg(F.max(times).alias(times))
     luck = F.pmod(F.xxhash64(doc, tie, F.lit(seed), F.lit("copy")), F.lit(1 << 20)) / float(1 << 20)
     stand = got.withColumn(copies, F.floor(F.col(times) + luck).cast("int")).where(F.col(copies) > 0)
-    rows = docs.join(stand, (docs["doc_id"] == F.col(doc)) & (F.xxhash64(docs["text"]) == F.col(tie)))
+    rows = docs.join(stand, docs["doc_id"].eqNullSafe(F.col(doc)) & (F.xxhash64(docs["text"]) == F.col(tie)))
     return rows.withColumn(copy, F.explode(F.sequence(F.lit(1), F.col(copies)))).select(*[docs[c] for c in docs.columns])

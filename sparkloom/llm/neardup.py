@@ -32,7 +32,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from .common import scratch, small_batches, text_of, tidied, unused
+from .common import named, numbered, scratch, small_batches, text_of, tidied, unused
 
 REGISTERS, MANTISSA, BANDS, ROWS = 512, 10, 42, 6
 #: A candidate is verified unless its estimate is this many standard deviations of REGISTERS registers below the threshold, a chance of
@@ -61,6 +61,26 @@ def shingles(text: str, n: int) -> set:
     return set(zip(*[words[i:] for i in range(n)], strict=False)) if len(words) >= n else {tuple(words)} if words else set()
 
 
+def shingle_numbers(texts: list[np.ndarray], n: int) -> list[np.ndarray]:
+    """The full set of each text, given as word numbers, with a number for each different shingle: sorted and distinct. Shingles grow
+    a word at a time, and each length's different ones are numbered anew, so nothing is hashed."""
+    size = np.array([len(t) for t in texts], np.int64)
+    ends, words = np.cumsum(size), np.concatenate([np.zeros(0, np.int64), *texts])
+    left = np.repeat(ends, size) - np.arange(len(words))  # words from here to the text's end
+    width = np.minimum(np.repeat(size, size), n)  # a text of fewer words is one shingle
+    numbers, many = words.copy(), int(words.max(initial=0)) + 1
+    for k in range(1, n):
+        on = np.flatnonzero((left > k) & (width > k))
+        longer = np.unique(numbers[on] * many + words[on + k], return_inverse=True)[1] if len(on) else on
+        # shorter ones keep clear of these: they never equal a longer one
+        rest = np.ones(len(numbers), bool)
+        rest[on] = False
+        numbers[rest] = np.unique(numbers[rest], return_inverse=True)[1] + len(on) if rest.any() else numbers[rest]
+        numbers[on] = longer
+    starts = left >= width
+    return [np.unique(numbers[e - s : e][starts[e - s : e]]) for s, e in zip(size.tolist(), ends.tolist(), strict=True)]
+
+
 class _Words(dict):
     def __missing__(self, word: bytes) -> int:
         import xxhash
@@ -147,11 +167,10 @@ def sketches(docs: DataFrame, n: int) -> DataFrame:
                 out.append((doc_id, tie, len(h), *d, keys.tolist(), compressed(registers).tobytes() + keys.astype("<u4").tobytes()))
                 if len(known) > REMEMBERED:
                     known.clear()
-            got = pd.DataFrame(out, columns=["doc_id", "tie", "n", "d1", "d2", "bands", "sig"])
-            yield got.assign(doc_id=frame.doc_id.to_numpy())
+            yield pd.DataFrame(out, columns=["doc_id", "tie", "n", "d1", "d2", "bands", "sig"])
 
-    rows = text_of(docs).withColumn("tie", F.xxhash64("text"))
-    return rows.mapInPandas(run, "doc_id long, tie long, n long, d1 long, d2 long, bands array<long>, sig binary")
+    rows = named(text_of(docs)).withColumn("tie", F.xxhash64("text"))
+    return numbered(rows.mapInPandas(run, "doc_id string, tie long, n long, d1 long, d2 long, bands array<long>, sig binary"))
 
 
 def _registers(sig: pd.Series) -> tuple[np.ndarray, np.ndarray]:
@@ -274,14 +293,16 @@ def _blocks(members: DataFrame, num: int, den: int, top: int) -> DataFrame:
 
 
 def _verified_blocks(blocks: DataFrame, texts: DataFrame, n: int, num: int, den: int) -> DataFrame:
-    """a, b of the packed pairs whose full sets reach the threshold. The sets of a block are held as sorted 64-bit hashes of all shingles."""
+    """a, b of the packed pairs whose full sets reach the threshold. A block numbers its words, and then its shingles, in the order
+    that they come in, so equal numbers are equal shingles."""
 
     @tidied
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        known, key, packed, ids, sets = _Words(), None, b"", [], []
+        known, key, packed, ids, words = {}, None, b"", [], []
 
         def links() -> pd.DataFrame:
             out, at = [], np.frombuffer(packed, "<i8")
+            sets = shingle_numbers(words, n)
             for i, j in zip((at // max(1, len(ids))).tolist(), (at % max(1, len(ids))).tolist(), strict=True):
                 one, two = sets[i], sets[j]
                 inter = len(np.intersect1d(one, two, assume_unique=True))
@@ -294,14 +315,12 @@ def _verified_blocks(blocks: DataFrame, texts: DataFrame, n: int, num: int, den:
                 if block != key:
                     if ids:
                         yield links()
-                    key, packed, ids, sets = block, b"", [], []
+                    known, key, packed, ids, words = {}, block, b"", [], []
                 if cid < 0:
                     packed = pairs
                 else:
                     ids.append(cid)
-                    sets.append(hashes(words_of(text), n, known))
-                if len(known) > REMEMBERED:
-                    known.clear()
+                    words.append(np.array([known.setdefault(w, len(known)) for w in words_of(text)], np.int64))
         if ids:
             yield links()
 

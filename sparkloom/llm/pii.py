@@ -15,7 +15,7 @@ adds nothing. Only counts of code patterns reach the driver, CODES of them at mo
 Patterns never repeat a group, so no text is too long for the matcher's stack, and each starts only where a run starts, so no run
 is searched from all its characters.
 
-Defined results: a null or empty text has no spans; rows that share a doc_id are judged each; an empty table gives an empty
+Defined results: a null or empty text has no spans; rows that share a doc_id are judged each; a null doc_id, and any long, passes through as it is; an empty table gives an empty
 result; further columns are ignored. Places are code points of the text as it is.
 """
 

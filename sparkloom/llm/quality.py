@@ -6,7 +6,8 @@ posterior probability of being good is at least one half. The patterns number 3
 so the counts are a table of bounded size and the model is fitted on the driver from all documents, not from a sample.
 
 Defined results: a null or empty text has no words, all its measures are 0 and it fails the base rule; repeated rows are
-measured alike, each on its own; an empty table gives an empty result; further columns are passed on or ignored.
+measured alike, each on its own; no decision looks at doc_id, so a null one, and any long, passes through as it is; an empty table
+gives an empty result; further columns are passed on or ignored.
 """
 
 from __future__ import annotations

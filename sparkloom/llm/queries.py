@@ -6,8 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import ann, bpe, linededup, mixing, neardup, pii, quality, secrets, substrings, toxicity
-from .common import table
+from . import ann, bpe, linededup, middle, mixing, neardup, pii, quality, secrets, substrings, toxicity, variants, warc
+from .common import folder, table
 
 
 def op1_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -55,6 +55,22 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.assign(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op11_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return variants.group(table(spark, sf_dir, "documents")).select("word", "form", "root", "n", "n_near", "form_n")
+
+
+def op12_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    place = folder(spark, "warc")
+    warc.write(table(spark, sf_dir, "pages"), place)
+    return warc.read(spark, place, ("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"))
+
+
+def op13_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cut = middle.transform(table(spark, sf_dir, "documents"))
+    digests = [F.sha2(x.cast("binary"), 256) for x in (F.col("output"), middle.restored(F.col("output"), F.col("form")))]
+    return cut.select("doc_id", "n", "form", "prefix_chars", "middle_chars", digests[0].alias("output_sha256"), digests[1].alias("restored_sha256"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_ann": op1_ann,
     "op2_secrets": op2_secrets,
@@ -66,6 +82,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_line_dedup": op8_line_dedup,
     "op9_quality_rules": op9_quality_rules,
     "op10_mixing": op10_mixing,
+    "op11_variants": op11_variants,
+    "op12_warc": op12_warc,
+    "op13_fill_in_middle": op13_fill_in_middle,
 }
 
 ORACLES: dict[str, str] = {

@@ -9,7 +9,7 @@ findings: FINDINGS synthetic ones, made here by rule from hashes (keys of public
 versions, numbers, checksums named as such and repeated characters as false ones), which run through the same candidate
 search and coding as the corpus. Only counts of code patterns reach the driver.
 
-Defined results: a null or empty text has no findings; rows that share a doc_id are scanned each; an empty table gives an empty
+Defined results: a null or empty text has no findings; rows that share a doc_id are scanned each; a null doc_id, and any long, passes through as it is; an empty table gives an empty
 result; further columns are ignored. Results carry a digest of the secret, never the secret. Places are code points.
 """
 

@@ -18,7 +18,8 @@ byte. Documents live in homes of about HOME bytes. A home sends the bytes of eac
 third of all documents share meets as one row a home.
 
 Defined results: matches never cross rows; null and empty texts keep 0 bytes; a text shorter than the window stays whole; rows
-that share a doc_id never match each other, and each loses what smaller ids have; an empty table gives an empty result; further
+that share a doc_id never match each other, and each loses what smaller ids have; rows without a doc_id stay whole and take
+nothing from others, as no id is smaller; any long is a doc_id; an empty table gives an empty result; further
 columns are ignored.
 """
 
@@ -320,6 +321,11 @@ def plan(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
         raise ValueError("digits of fewer than 8 bytes are not supported")
     small_batches(docs.sparkSession)
     rows = text_of(docs)
+    nameless = rows.where("doc_id is null").select(
+        "doc_id", F.octet_length("text").cast("long").alias("n_bytes"), F.lit(0).cast("long").alias("n_removed"), F.lit(0).cast("long").alias("n_spans"), F.lit(b"").alias("spans"),
+        F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"),
+    )
+    rows = rows.where("doc_id is not null")
     total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     homes = max(24, -(-int(total) // HOME))
     width = -(-(window + (window - gram + 2) // 2) // 8) * 8  # bytes of the longest fragment, and more
@@ -512,4 +518,5 @@ def plan(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
     texts = rows.mapInPandas(to_homes, "key long, blob binary").groupBy("key")
     sent = texts.cogroup(alive.groupBy("key")).applyInPandas(second_pass, dealt)
     answers = sent.groupBy("kind", "key").applyInPandas(third_pass, dealt)
-    return texts.cogroup(answers.groupBy("key")).applyInPandas(last_pass, "doc_id long, n_bytes long, n_removed long, n_spans long, spans binary, kept_sha256 string")
+    named = texts.cogroup(answers.groupBy("key")).applyInPandas(last_pass, "doc_id long, n_bytes long, n_removed long, n_spans long, spans binary, kept_sha256 string")
+    return named.unionByName(nameless)

@@ -8,12 +8,14 @@ words, their beginnings and short runs of characters is trained with numpy on th
 where the bracket corrects the unlabelled risk for the toxic texts hidden in it, and is kept from going negative (if it would be, the
 step goes back along it). The class prior is the share of toxic documents among the labelled ones of the training folds.
 
-The training sample is bounded: POSITIVES toxic and UNLABELLED other documents at most, those with the least hashes of doc_id.
+The training sample is bounded: POSITIVES toxic and UNLABELLED other documents at most, those with the least hashes of doc_id, and as
+many rows at most where rows share ids.
 Words are hashed into SPACE places. How many texts of either kind have a place is counted on the executors, and the FEATURES most
 telling places are chosen there; the driver gets their numbers, and for each text of the sample one bit a feature, 1.5 MB at most.
 
 Defined results: null and empty texts have no words and get the model's base score; without a toxic example all scores are 0;
-rows that share a doc_id, or are equal, are scored each; an empty table gives an empty result; further columns are ignored.
+where no feature tells toxic texts apart, all scores are the base score; rows that share a doc_id, or are equal, are scored each; rows
+without a doc_id are scored, never trained on, and their held_out is null; any long is a doc_id; an empty table gives an empty result; further columns are ignored.
 """
 
 from __future__ import annotations
@@ -24,7 +26,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .common import scratch, small_batches, text_of, tidied
+from .common import named, numbered, scratch, small_batches, text_of, tidied
 
 POSITIVES, UNLABELLED, FEATURES, SPACE = 4_096, 8_192, 1_024, 1 << 20
 FOLDS = 5
@@ -132,14 +134,19 @@ def fit(docs: DataFrame, labels: DataFrame) -> tuple[dict[int, float], float] |
         return None
     counts = sample.mapInPandas(tidied(_counted), "place int, p int, u int").groupBy("place").agg(F.sum("p").alias("p"), F.sum("u").alias("u"))
     chosen = select(counts, of[True], of.get(False, 0))
+    prior = min(0.9, max(1e-4, toxic / n))
+    if not chosen:  # nothing tells the two apart: every text has the base score
+        return {}, float(np.log(prior / (1 - prior)))
 
     def bits(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             yield pd.DataFrame({"positive": frame.positive, "bits": [np.packbits(np.isin(np.array(chosen, "<i4"), np.frombuffer(x, "<i4"))).tobytes() for x in frame.places]})
 
-    got = sorted((r["positive"], bytes(r["bits"])) for r in sample.mapInPandas(bits, "positive boolean, bits binary").collect())
+    # rows that share a doc_id all follow it into the sample; what comes to the driver is bounded in rows
+    packed = sample.mapInPandas(bits, "positive boolean, bits binary").orderBy(F.xxhash64("bits"), "bits", "positive").limit(POSITIVES + UNLABELLED)
+    got = sorted((r["positive"], bytes(r["bits"])) for r in packed.collect())
     split = [np.array([np.unpackbits(np.frombuffer(b, np.uint8), count=len(chosen)) for p, b in got if p is x], np.float32).reshape(-1, len(chosen)) for x in (True, False)]
-    return train(*split, chosen, prior=min(0.9, max(1e-4, toxic / n)))
+    return train(*split, chosen, prior=prior)
 
 
 def score(docs: DataFrame, model: tuple[dict[int, float], float] | None) -> DataFrame:
@@ -163,7 +170,7 @@ def score(docs: DataFrame, model: tuple[dict[int, float], float] | None) -> Data
                 known.clear()
 
     small_batches(docs.sparkSession)
-    return text_of(docs).mapInPandas(tidied(run), "doc_id long, score double")
+    return numbered(named(text_of(docs)).mapInPandas(tidied(run), "doc_id string, score double"))
 
 
 def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:
