@@ -5,7 +5,8 @@ tables go when its output is written, and a stage's output goes when the next on
 
 Defined results: null and empty texts have no words and fall to the quality rules; rows that share a doc_id are judged each by
 quality rules and line dedup, and stay or go together in near-dedup; equal rows are treated alike and each stays until
-near-dedup, which keeps all rows of the document with the smallest id; null sources mix as a source of their own; an empty
+near-dedup, which keeps all rows of the document with the smallest id; rows without a doc_id pass quality rules by their text, lose no
+line, are no one's duplicate, are mixed and encoded like others; any long is a doc_id; a table without n_chars goes without it; null sources mix as a source of their own; an empty
 table gives an empty result at every stage; columns other than doc_id, text, source and n_chars pass through until the last
 stage, whatever their names."""
 
@@ -26,7 +27,7 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Lines that an earlier document has go; documents stay, with n_chars of what is left."""
     kept = linededup.rebuild(docs)
-    return kept.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(*docs.columns)
+    return kept.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(*docs.columns) if "n_chars" in docs.columns else kept
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
