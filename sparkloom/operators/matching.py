@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from sparkloom.functions import text as T
+from sparkloom.operators import names
 
 BAND = 0.05
 #: Kinds of chunks by priority.
@@ -94,14 +95,15 @@ def match_parties(queries: DataFrame, judgments: DataFrame) -> DataFrame:
 
 
 def match_substring(queries: DataFrame, judgments: DataFrame) -> DataFrame:
-    """query_id, external_id, side: parties that contain one of a query's names or are contained in it. A nested loop over the queries' names,
-    which are broadcast: a stated handful."""
-    names = F.array(T.normalize_party(F.col("one")), *([T.normalize_party(F.col("two"))] if "two" in queries.columns else []))
-    q = queries.select("query_id", F.explode(names).alias("n")).where(F.length("n") >= 3)
-    j = judgments.select("external_id", T.normalize_party(F.col("petitioner")).alias("p"), T.normalize_party(F.col("respondent")).alias("r"))
-    inside = lambda a: (F.length(a) >= 3) & (F.contains(F.col(a), F.col("n")) | F.contains(F.col("n"), F.col(a)))
-    found = j.join(F.broadcast(q), inside("p") | inside("r")).groupBy("query_id", "external_id").agg(F.max(inside("p")).alias("first"))
-    return found.select("query_id", "external_id", F.when(F.col("first"), "petitioner").otherwise("respondent").alias("side"))
+    """query_id, external_id, side: parties that contain one of a query's names or are contained in it. Names meet at their rarest run of
+    characters (names.related), as distinct names; judgments and queries are looked up by what was found."""
+    parts = F.array(T.normalize_party(F.col("one")), *([T.normalize_party(F.col("two"))] if "two" in queries.columns else []))
+    q = queries.select("query_id", F.explode(parts).alias("name")).where(F.length("name") >= 3).distinct()
+    sides = F.array(*[F.struct(F.lit(rank).alias("rank"), T.normalize_party(F.col(c)).alias("name")) for rank, c in enumerate(("petitioner", "respondent"))])
+    j = judgments.select("external_id", F.explode(sides).alias("s")).select("external_id", "s.rank", "s.name").where(F.length("name") >= 3)
+    found = q.join(names.related(q, j).withColumnRenamed("x", "name"), "name").select("query_id", F.col("y").alias("name")).distinct()
+    best = found.join(j, "name").groupBy("query_id", "external_id").agg(F.min("rank").alias("rank"))
+    return best.select("query_id", "external_id", F.when(F.col("rank") == 0, "petitioner").otherwise("respondent").alias("side"))
 
 
 REASONS = ["citation", "case_number", "both", "petitioner", "respondent", "substring"]
@@ -125,24 +127,11 @@ def find_judgments(queries: DataFrame, judgments: DataFrame) -> DataFrame:
 
 
 def match_fuzzy(queries: DataFrame, judgments: DataFrame, high: float = 0.75, low: float = 0.60, top: int = 5) -> DataFrame:
-    """query_id, external_id, score, rank: pairs of parties against the two sides of judgments. Only judgments that share a token with each
-    party can score, so the join is on tokens; each party takes its better side, the two must point to opposite sides, and the
-    lower of both counts. Where any score reaches `high`, only such count, else those from `low` on; the best `top` stay."""
+    """query_id, external_id, score, rank: pairs of parties against the two sides of judgments, by a similarity join of the distinct names
+    (names.paired)."""
     clean = lambda c: T.normalize_party_ends(F.col(c))
     q = queries.select("query_id", clean("one").alias("a"), clean("two").alias("b"))
-    j = judgments.select("external_id", clean("petitioner").alias("p"), clean("respondent").alias("r"))
-    tokens = lambda c: F.explode(F.array_distinct(F.split(c, " "))).alias("token")
-    first = q.select("query_id", "a", "b", tokens("a"))
-    near = j.select("external_id", "p", "r", F.explode(F.array_distinct(F.concat(F.split("p", " "), F.split("r", " ")))).alias("token"))
-    rows = first.join(near, "token").drop("token").distinct()
-    for party in ("a", "b"):
-        rows = rows.withColumn(f"{party}p", T.fuzzy(F.col(party), F.col("p"))).withColumn(f"{party}r", T.fuzzy(F.col(party), F.col("r")))
-    opposite = (F.col("ap") > F.col("ar")) != (F.col("bp") > F.col("br"))
-    rows = rows.where(opposite).select("query_id", "external_id", F.least(F.greatest("ap", "ar"), F.greatest("bp", "br")).alias("score"))
-    best = F.max("score").over(Window.partitionBy("query_id"))
-    rows = rows.withColumn("best", best).where(F.col("score") >= F.when(F.col("best") >= high, high).otherwise(low))
-    ranked = rows.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "external_id")))
-    return ranked.where(F.col("rank") <= top).select("query_id", "external_id", "score", "rank")
+    return names.paired(q, judgments.select("external_id", clean("petitioner").alias("p"), clean("respondent").alias("r")), high, low, top)
 
 
 def bands(scores: Column, width: float = BAND) -> Column:
