@@ -54,8 +54,9 @@ SELECT o_orderkey, sha256(concat_ws(chr(10), CASE WHEN o_orderstatus <> 'P' THEN
     "mode_detect": "WITH t AS (SELECT conv_id, turn, lower(CASE WHEN turn % 3 = 0 THEN text || ' Support the NOTICE please' ELSE text END) AS q FROM conversations) SELECT conv_id, turn, CASE WHEN " + _any(M.REVENUE_SIDE) + " THEN 'in_favour' ELSE 'defensive' END AS mode FROM t",
     "primary_supporting_split": f"""WITH h AS (SELECT query_id, rank, vec_id, vec_id % 17 = 0 OR (query_id // {QUERY_EVERY} % 5 = 0 AND kind = 'judgment') OR (query_id // {QUERY_EVERY} % 5 = 1 AND kind = 'definition') OR (query_id // {QUERY_EVERY} % 5 = 4 AND kind = 'rule') AS flag FROM {_HITS})
 SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, CASE WHEN bool_or(flag) OVER (PARTITION BY query_id) THEN flag ELSE rank <= 3 END AS primary FROM h""",
-    "cosine_clamp": f"""SELECT q.vec_id AS query_id, e.vec_id, round(greatest(0.3, least(1.0, list_sum(list_transform(list_zip(q.embedding, e.embedding), lambda p: p[1]::DOUBLE * p[2]::DOUBLE))
- / sqrt(list_sum(list_transform(q.embedding, lambda x: x::DOUBLE * x::DOUBLE)) * list_sum(list_transform(e.embedding, lambda x: x::DOUBLE * x::DOUBLE))))), 6) AS score FROM embeddings e, embeddings q WHERE q.vec_id % {QUERY_EVERY} = 0""",
+    "cosine_clamp": f"""SELECT h.query_id, h.vec_id, round(greatest(0.3, least(1.0, list_sum(list_transform(list_zip(q.embedding, e.embedding), lambda p: p[1]::DOUBLE * p[2]::DOUBLE))
+ / sqrt(list_sum(list_transform(q.embedding, lambda x: x::DOUBLE * x::DOUBLE)) * list_sum(list_transform(e.embedding, lambda x: x::DOUBLE * x::DOUBLE))))), 6) AS score
+ FROM {_HITS} h JOIN embeddings e ON e.vec_id = h.vec_id JOIN embeddings q ON q.vec_id = h.query_id""",
     "score_fusion_topk": f"""WITH u AS (SELECT q.vec_id AS query_id, e.vec_id, 0.95::DOUBLE AS score, 0 AS stage FROM embeddings e JOIN embeddings q ON q.label = e.label AND q.vec_id % {QUERY_EVERY} = 0
  UNION ALL SELECT query_id, vec_id, score, 1 FROM {_HITS}),
 f AS (SELECT query_id, vec_id, arg_min(score, stage) AS score, min(stage) AS stage FROM u GROUP BY 1, 2)

@@ -2,96 +2,23 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
-
-import numpy as np
-import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from sparkloom.operators import neighbours
 from sparkloom.sources.tables import table
 
 TOP_K = 50
 #: Every vector whose id this divides is a query, so their side grows with the table.
 QUERY_EVERY = 20
-#: Vectors and queries of a block; each block of queries meets all blocks of vectors.
-VECTOR_BLOCK, QUERY_BLOCK = 4096, 256
 
 
 def query_side(vectors: DataFrame) -> DataFrame:
     return vectors.where(F.col("vec_id") % QUERY_EVERY == 0).select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"))
 
 
-def pairwise(vectors: DataFrame, queries: DataFrame, scores: Callable[[Iterator[tuple]], Iterator[tuple]], name: str) -> DataFrame:
-    """query_id, vec_id and a score of all queries against all vectors: each block of queries meets all blocks of vectors in one task.
-    scores takes (number of the block of queries, their ids, their vectors, ids, vectors) and gives arrays. A row without a vector has no score."""
-    vectors, queries = vectors.where("embedding is not null"), queries.where("q is not null")
-    many = lambda df, n: max(1, -(-df.count() // n))
-    xs, qs = many(vectors, VECTOR_BLOCK), many(queries, QUERY_BLOCK)
-    deal = lambda id_, n: F.pmod(F.xxhash64(id_), F.lit(n)).cast("int")
-    pack = lambda id_, v: F.collect_list(F.struct(F.col(id_).alias("id"), F.col(v).alias("v")))
-    left = vectors.groupBy(deal("vec_id", xs)).agg(pack("vec_id", "embedding").alias("x")).select("x", F.explode(F.sequence(F.lit(0), F.lit(qs - 1))).alias("qb"))
-    right = queries.groupBy(deal("query_id", qs).alias("qb")).agg(pack("query_id", "q").alias("y"))
-
-    def unpack(cell: pa.ListScalar) -> tuple[np.ndarray, np.ndarray]:
-        ids, rows = cell.values.field("id").to_numpy(), cell.values.field("v")
-        order = np.argsort(ids, kind="stable")
-        return ids[order], rows.flatten().to_numpy().reshape(len(ids), -1)[order].astype(float)
-
-    def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        met = ((batch["qb"][i].as_py(), *unpack(batch["y"][i]), *unpack(batch["x"][i])) for batch in batches for i in range(batch.num_rows))
-        for arrays in scores(met):
-            yield pa.RecordBatch.from_arrays([pa.array(a) for a in arrays], ["query_id", "vec_id", name])
-
-    return left.join(right.hint("shuffle_hash"), "qb").select("qb", "y", "x").mapInArrow(blocks, f"query_id long, vec_id long, {name} double")
-
-
-def _near(q: np.ndarray, x: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Rows, columns and squared distances of all pairs that can be among the k nearest of a row. Products of matrices only leave out what is
-    further by more than their rounding; distances are summed one dimension after the other, so copies of a vector are at equal distances."""
-    qq, xx = (q * q).sum(1), (x * x).sum(1)
-    rough = qq[:, None] + xx[None, :] - 2 * (q @ x.T)
-    if len(x) > k and np.isfinite(rough).all():
-        reach = np.partition(rough, k - 1, axis=1)[:, k - 1] + 1e-9 * (qq + xx.max())
-        rows, cols = np.nonzero(rough <= reach[:, None])
-    else:
-        rows, cols = (a.ravel() for a in np.indices(rough.shape))
-    d2 = np.zeros(len(rows))
-    for d in range(x.shape[1]):
-        d2 += (q[rows, d] - x[cols, d]) ** 2
-    return rows, cols, d2
-
-
-def _nearest(k: int) -> Callable[[Iterator[tuple]], Iterator[tuple]]:
-    def scores(met: Iterator[tuple]) -> Iterator[tuple]:
-        best = {}
-        for qb, q_ids, q, x_ids, x in met:
-            rows, cols, d2 = _near(q, x, k)
-            old = best.get(qb)
-            rows, ids, d2 = (rows, x_ids[cols], d2) if old is None else (np.concatenate(p) for p in zip(old[1:], (rows, x_ids[cols], d2)))
-            order = np.lexsort((ids, d2, rows))
-            place = np.arange(len(order)) - np.searchsorted(rows[order], rows[order])
-            order = order[place < k]
-            best[qb] = (q_ids, rows[order], ids[order], d2[order])
-        for q_ids, rows, ids, d2 in best.values():
-            yield q_ids[rows], ids, d2
-
-    return scores
-
-
-def clamped_cosines(met: Iterator[tuple]) -> Iterator[tuple]:
-    """Cosines, kept within 0.3 and 1."""
-    for _, q_ids, q, x_ids, x in met:
-        norms = (x * x).sum(1)
-        for i in range(len(q)):
-            yield np.full(len(x_ids), q_ids[i]), x_ids, np.clip(x @ q[i] / np.sqrt((q[i] * q[i]).sum() * norms), 0.3, 1.0)
-
-
 def knn(vectors: DataFrame, queries: DataFrame, k: int = TOP_K) -> DataFrame:
     """query_id, rank, vec_id, d2, score = 1 / (1 + d2): exact, ties to the smaller vec_id."""
-    scored = pairwise(vectors, queries, _nearest(k), "d2")
-    order = Window.partitionBy("query_id").orderBy("d2", "vec_id")
-    ranked = scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
-    return ranked.select("query_id", "rank", "vec_id", "d2", (1 / (1 + F.col("d2"))).alias("score"))
+    return neighbours.knn(vectors, queries, k)
 
 
 def knn_topk(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -7,8 +7,8 @@ from collections import Counter
 import duckdb
 import pytest
 
-from sparkloom.operators import cases
-from sparkloom.plans import catalog, ledger, retrieval, texts
+from sparkloom.operators import cases, neighbours
+from sparkloom.plans import catalog, ledger, texts
 from tests.test_oracles import DATA, TABLES, plain
 
 
@@ -25,14 +25,11 @@ def same(spark, name, sql):
 
 
 @pytest.mark.parametrize("name", ["knn_topk", "cosine_clamp", "score_fusion_topk", "hierarchy_banding", "issue_rank_15_10", "primary_supporting_split"])
-def test_every_twentieth_vector_is_a_query(spark, monkeypatch, name):
-    """Against the SQL with the wanted queries and without its filter of exact hits; blocks are small, so that there are several."""
-    monkeypatch.setattr(retrieval, "VECTOR_BLOCK", 120)
-    monkeypatch.setattr(retrieval, "QUERY_BLOCK", 9)
-    sql = catalog.ORACLES[name].replace("q.vec_id < 5", "q.vec_id % 20 = 0").replace(" WHERE e.vec_id % 10 = 3", "")
-    for i in (0, 1, 4):
-        sql = sql.replace(f"(query_id = {i} AND", f"(query_id // 20 % 5 = {i} AND")
-    same(spark, name, sql)
+def test_neighbours_in_small_parts(spark, monkeypatch, name):
+    """Cells of several parts, and queries in several blocks."""
+    monkeypatch.setattr(neighbours, "PART", 13)
+    monkeypatch.setattr(neighbours, "BLOCK", 3)
+    same(spark, name, catalog.ORACLES[name])
 
 
 def chunked(question, answer, most=2000, overlap=200):
