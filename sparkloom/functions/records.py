@@ -106,6 +106,10 @@ def length_ratio_fits(a: Column, b: Column, low: float = 0.7, high: float = 1.3)
 UNKNOWN, UNTITLED, CONTENT = "UNKNOWN", "Untitled", "Content"
 
 
+#: What stands where a record has no problem or no solution.
+NO_PROBLEM, NO_SOLUTION = "No problem description provided.", "No solution provided."
+
+
 def source_block(c: dict[str, Column]) -> Column:
     """A chunk in words, a label in front by kind of document. c: complete, doc_type, chunk_type, source, section_number, illustration_number, section_title,
     question_number, section_type, table_index, meeting_number, hsn_code, sac_code, problem, solution, text."""
@@ -114,7 +118,7 @@ def source_block(c: dict[str, Column]) -> Column:
     said = lambda word, name, other: F.concat(F.lit(word + " "), or_(name, other))
     kind, source, text = c["doc_type"], or_("source", "source"), or_("text", "")
     below, beside = lambda head: F.concat(head, F.lit("\n"), text), lambda head: F.concat(head, F.lit(" "), text)
-    solved = F.concat(F.lit("\nPROBLEM: "), or_("problem", "No problem description provided."), F.lit("\nSOLUTION: "), or_("solution", "No solution provided."))
+    solved = F.concat(F.lit("\nPROBLEM: "), or_("problem", NO_PROBLEM), F.lit("\nSOLUTION: "), or_("solution", NO_SOLUTION))
     table_head = label(said("CASE STUDY TABLE", "table_index", ""), source)
     return (
         F.when(F.coalesce(c["complete"], F.lit(False)), text)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, functions as F
@@ -98,12 +99,15 @@ def valid_party(x: Column) -> Column:
     return reduce(lambda c, p: c & ~x.rlike("(?i)" + p), NO_NAMES, x.rlike("[a-zA-Z]"))
 
 
+#: How a name looks in prose, what stands between two, and what ends the second.
+NAME, VERSUS, AFTER_NAMES = r"([A-Z][A-Za-z\s&.,()]+?)", (r"v\.?", r"vs\.?"), r"(?:\s+\(|$|\s+case|\s+judgment)"
+
+
 def party_pairs(x: Column) -> Column:
     """array<struct<a, b>>: 'A v. B' and 'A vs B' in prose, valid names only, each unordered pair once."""
-    name = r"([A-Z][A-Za-z\s&.,()]+?)"
     pairs = []
-    for word in (r"v\.?", r"vs\.?"):
-        p = rf"{name}\s+{word}\s+{name}(?:\s+\(|$|\s+case|\s+judgment)"
+    for word in VERSUS:
+        p = rf"{NAME}\s+{word}\s+{NAME}{AFTER_NAMES}"
         pairs.append(F.zip_with(F.regexp_extract_all(x, F.lit(p), F.lit(1)), F.regexp_extract_all(x, F.lit(p), F.lit(2)), lambda a, b: F.struct(strip(a).alias("a"), strip(b).alias("b"))))
     fine = F.filter(F.concat(*pairs), lambda s: valid_party(s["a"]) & valid_party(s["b"]))
     key = lambda s: F.array_sort(F.array(F.lower(s["a"]), F.lower(s["b"])))
@@ -247,32 +251,128 @@ def plain_html(x: Column) -> Column:
 #: Fixed value: words that head the parts of a judgment.
 HEADINGS = r"(?i)facts?|background|issues?|arguments?|submissions?|findings?|analysis|held|decision|conclusion"
 
-def packed(paragraphs: Column, most: int, compat: bool = False, cue: str | None = None) -> Column:
-    """Paragraphs joined by a blank while they fit into `most`; one that is too long stands alone. With compat an empty chunk comes
-    first where the first paragraph alone is too long. A paragraph that begins with the cue (a pattern) begins a chunk."""
-    start = F.struct(F.array().cast("array<string>").alias("done"), F.lit("").alias("buf"))
 
-    def step(acc: Column, p: Column) -> Column:
-        fits = F.length(acc["buf"]) + F.length(p) + 1 <= most
-        if cue:
-            fits = fits & ~((acc["buf"] != "") & p.rlike(f"^(?:{cue})"))
-        more = strip(F.concat(acc["buf"], F.lit(" "), p))
-        return F.struct(F.when(fits, acc["done"]).otherwise(F.concat(acc["done"], F.array(acc["buf"]))).alias("done"), F.when(fits, more).otherwise(p).alias("buf"))
+def once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value), with value computed once however often it is used."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
+def folded(xs: Column, start: Column, step: Callable[[Column, Column], tuple[Column, Column, Column]], kind: str) -> Column:
+    """struct<state, out>: a fold over xs that hands out values. step(state, x) gives the next state, a value of type kind, and whether it is
+    handed out. Values are gathered by stretches of about the root of the number of xs, so that none is copied more often than that."""
+    empty = F.array().cast(f"array<{kind}>")
+
+    def one(acc: Column, x: Column) -> Column:
+        state, value, out = step(acc["state"], x)
+        return F.struct(state.alias("state"), F.when(out, F.concat(acc["out"], F.array(value))).otherwise(acc["out"]).alias("out"))
+
+    def stretch(acc: Column, part: Column) -> Column:
+        inner = F.aggregate(part, F.struct(acc["state"].alias("state"), empty.alias("out")), one)
+        return once(inner, lambda i: F.struct(i["state"].alias("state"), F.concat(acc["outs"], F.array(i["out"])).alias("outs")))
+
+    def whole(xs: Column) -> Column:
+        many = F.greatest(F.ceil(F.sqrt(F.size(xs))), F.lit(1)).cast("int")
+        parts = F.transform(F.sequence(F.lit(0), F.greatest(F.floor((F.size(xs) - 1) / many), F.lit(0)).cast("int")), lambda k: F.slice(xs, k * many + 1, many))
+        return F.aggregate(parts, F.struct(start.alias("state"), F.array().cast(f"array<array<{kind}>>").alias("outs")), stretch, lambda acc: F.struct(acc["state"].alias("state"), F.flatten(acc["outs"]).alias("out")))
+
+    return once(xs, whole)
+
+
+CUT = "struct<from:int,to:int,carry:int,raw:boolean>"
+
+
+def _cut(from_: Column, to: Column, carry: Column, raw: Column) -> Column:
+    return F.struct(from_.cast("int").alias("from"), to.cast("int").alias("to"), carry.cast("int").alias("carry"), raw.alias("raw"))
 
-    out = F.aggregate(paragraphs, start, step, lambda acc: F.when(acc["buf"] != "", F.concat(acc["done"], F.array(acc["buf"]))).otherwise(acc["done"]))
+
+def packed(paragraphs: Column, most: int, compat: bool = False, cue: str | None = None) -> Column:
+    """Paragraphs joined by a blank while they fit into `most`; one that is too long stands alone. With compat an empty chunk comes
+    first where the first paragraph alone is too long. A paragraph that begins with the cue (a pattern) begins a chunk.
+
+    The fold sees lengths alone and hands out where chunks begin and end; their texts are joined afterwards, each once."""
+    right = lambda p: F.regexp_replace(p, r"(?U)\s+$", "")
+    left = lambda p: F.regexp_replace(p, r"(?U)^\s+", "")
+    sizes = lambda p, i: F.struct(i.cast("int").alias("i"), F.length(p).alias("raw"), F.length(right(p)).alias("right"), F.length(strip(p)).alias("core"), F.length(left(p)).alias("left"), (p.rlike(f"^(?:{cue})") if cue else F.lit(False)).alias("cue"))
+    start = F.struct(F.lit(0).alias("from"), F.lit(0).alias("size"), F.lit(0).alias("core"), F.lit(0).alias("left"), F.lit(False).alias("raw"))
+
+    def step(at: Column, p: Column) -> tuple[Column, Column, Column]:
+        """size: of the buffer as it stands, core: without white space at its ends, left: if it is one paragraph that did not fit before, which stands
+        as it is until another joins it, without white space at its beginning; raw: whether it began with such a one."""
+        fits = (at["size"] + p["raw"] + 1 <= most) & ~((at["size"] > 0) & p["cue"])
+        more = F.when(p["core"] == 0, at["core"]).when(at["core"] == 0, p["core"]).otherwise(F.greatest(at["core"], at["left"]) + 1 + p["right"])
+        begins = ~fits | (at["core"] == 0)
+        state = F.struct(
+            F.when(begins, p["i"]).otherwise(at["from"]).alias("from"), F.when(fits, more).otherwise(p["raw"]).alias("size"), F.when(fits, more).otherwise(p["core"]).alias("core"),
+            F.when(fits, 0).otherwise(p["left"]).alias("left"), (~fits | (at["raw"] & ~begins)).alias("raw"),
+        )
+        return state, _cut(F.when(at["size"] > 0, at["from"]).otherwise(p["i"]), p["i"], F.lit(0), at["raw"]), ~fits
+
+    def texts(ps: Column) -> Column:
+        def chunk(c: Column) -> Column:
+            own = F.slice(ps, c["from"] + 1, c["to"] - c["from"])
+            whole = c["raw"] & (right(F.coalesce(F.get(own, F.lit(1)), F.lit("x"))) != "")
+            first = F.when(whole, F.get(own, F.lit(0))).otherwise(right(F.get(own, F.lit(0))))
+            rest = F.transform(F.slice(own, 2, F.greatest(F.size(own) - 1, F.lit(0))), right)
+            text = F.array_join(F.filter(F.concat(F.array(first), rest), lambda x: x != ""), " ")
+            return F.when(c["from"] == c["to"], "").when(c["raw"] & (F.size(own) == 1), first).otherwise(strip(text))
+
+        def all_(f: Column) -> Column:
+            last = F.when(f["state"]["size"] > 0, F.array(_cut(f["state"]["from"], F.size(ps), F.lit(0), f["state"]["raw"]))).otherwise(F.array().cast(f"array<{CUT}>"))
+            return F.transform(F.concat(f["out"], last), chunk)
+
+        return once(folded(F.transform(ps, sizes), start, step, CUT), all_)
+
+    out = once(paragraphs, texts)
     return out if compat else F.filter(out, lambda c: c != "")
 
 
 def packed_overlapping(parts: Column, room: Column, overlap: int = 200) -> Column:
     """Sentences joined by a blank while they fit into `room`; the next chunk begins with the last `overlap` characters of the one before. A
-    single sentence that is too long stands alone, and nothing is carried over from it."""
-    start = F.struct(F.array().cast("array<string>").alias("done"), F.lit("").alias("buf"))
+    single sentence that is too long stands alone, and nothing is carried over from it.
+
+    What a chunk carries is the end of the sentences before its first, so the fold needs no text: it hands out first and last sentence and the
+    number of characters carried."""
+    start = F.struct(F.lit(0).alias("from"), F.lit(0).alias("carry"), F.lit(0).alias("size"))
+
+    def step(at: Column, s: Column) -> tuple[Column, Column, Column]:
+        empty = at["size"] == 0
+        test = F.when(empty, s["size"]).otherwise(at["size"] + 1 + s["size"])
+        over = test > s["room"]
+        carry = F.least(at["size"], F.lit(overlap))
+        state = F.struct(
+            F.when(over | empty, s["i"]).otherwise(at["from"]).alias("from"), F.when(over, carry).when(empty, 0).otherwise(at["carry"]).alias("carry"),
+            F.when(over & ~empty, carry + 1 + s["size"]).when(over, 0).otherwise(test).alias("size"),
+        )
+        return state, _cut(F.when(empty, s["i"]).otherwise(at["from"]), F.when(empty, s["i"] + 1).otherwise(s["i"]), F.when(empty, 0).otherwise(at["carry"]), F.lit(False)), over
+
+    def texts(ps: Column) -> Column:
+        def chunk(c: Column) -> Column:
+            own = F.array_join(F.slice(ps, c["from"] + 1, c["to"] - c["from"]), " ")
+            back = F.greatest(c["from"] - (overlap + 1), F.lit(0))
+            before = F.transform(F.slice(ps, back + 1, c["from"] - back), lambda p: F.right(p, F.lit(overlap)))
+            return strip(F.when(c["carry"] > 0, F.concat(F.right(F.array_join(before, " "), c["carry"]), F.lit(" "), own)).otherwise(own))
+
+        def all_(f: Column) -> Column:
+            last = F.when(f["state"]["size"] > 0, F.array(_cut(f["state"]["from"], F.size(ps), f["state"]["carry"], F.lit(False)))).otherwise(F.array().cast(f"array<{CUT}>"))
+            return F.transform(F.concat(f["out"], last), chunk)
+
+        sizes = F.transform(ps, lambda p, i: F.struct(i.cast("int").alias("i"), F.length(p).alias("size"), room.cast("int").alias("room")))
+        return once(folded(sizes, start, step, CUT), all_)
+
+    return once(parts, texts)
+
+
+def most_frequent(terms: Column, n: int) -> Column:
+    """array<struct<term, times, rank>>: the n most frequent of terms, ties by term: sorted, equal ones stand beside each other."""
+
+    def counted(xs: Column) -> Column:
+        heads = F.filter(F.transform(xs, lambda x, i: F.when((i == 0) | (x != F.get(xs, i - 1)), i)), lambda i: i.isNotNull())
+
+        def runs(at: Column) -> Column:
+            ends = F.concat(F.slice(at, 2, F.greatest(F.size(at) - 1, F.lit(0))), F.array(F.size(xs)))
+            return F.zip_with(at, ends, lambda a, e: F.struct((a - e).alias("less"), F.get(xs, a).alias("term")))
 
-    def step(acc: Column, s: Column) -> Column:
-        test = F.when(acc["buf"] != "", F.concat(acc["buf"], F.lit(" "), s)).otherwise(s)
-        over = F.length(test) > room
-        done = F.when(over & (acc["buf"] != ""), F.concat(acc["done"], F.array(strip(acc["buf"])))).when(over, F.concat(acc["done"], F.array(strip(s)))).otherwise(acc["done"])
-        carried = F.concat(F.substring(acc["buf"], F.greatest(F.length(acc["buf"]) - overlap, F.lit(0)) + 1, F.lit(overlap)), F.lit(" "), s)
-        return F.struct(done.alias("done"), F.when(over & (acc["buf"] != ""), carried).when(over, F.lit("")).otherwise(test).alias("buf"))
+        best = F.slice(F.array_sort(once(heads, runs)), 1, n)
+        return F.transform(best, lambda x, i: F.struct(x["term"].alias("term"), (-x["less"]).cast("long").alias("times"), (i + 1).cast("int").alias("rank")))
 
-    return F.aggregate(parts, start, step, lambda acc: F.when(acc["buf"] != "", F.concat(acc["done"], F.array(strip(acc["buf"])))).otherwise(acc["done"]))
+    return once(F.array_sort(terms), counted)

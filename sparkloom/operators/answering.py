@@ -49,7 +49,7 @@ def retrieve(queries: DataFrame, matches: DataFrame, judgments: DataFrame, statu
     lowest = F.max(F.when(F.col("n") == k, F.col("score"))).over(Window.partitionBy("query_id"))
     rows = rows.withColumn("n", falling).withColumn("lowest", lowest).where(F.col("lowest").isNull() | (F.col("score") >= F.col("lowest") - width - 1e-6))
     lists = rows.groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("low"), "stage", "chunk_id", "chunk_type"))).alias("xs"))
-    zipped = lists.select("query_id", F.explode(F.arrays_zip("xs", M.bands(F.transform("xs", lambda x: -x["low"]), width + 5e-7).alias("band"))).alias("z"))
+    zipped = lists.select("query_id", F.explode(F.arrays_zip("xs", M.bands(F.transform("xs", lambda x: -x["low"]), width).alias("band"))).alias("z"))
     out = zipped.select("query_id", "z.xs.chunk_id", "z.xs.chunk_type", (-F.col("z.xs.low")).alias("score"), "z.xs.stage", "z.band")
     ranked = out.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy("band", kind, F.desc("score"), "stage", "chunk_id")))
     return ranked.where(F.col("rank") <= k).select("query_id", "rank", "chunk_id", "chunk_type", "score", "stage", (F.col("stage") < 2).alias("complete"))

@@ -57,33 +57,93 @@ def without_doubles(texts: Column, least: float = 0.85) -> Column:
     return F.aggregate(texts, F.array().cast("array<string>"), lambda acc, t: F.when(F.exists(acc, lambda k: alike(F.lower(k), F.lower(t))), acc).otherwise(F.concat(acc, F.array(t))))
 
 
-def first_of_alike(texts: list[str], least: float = 0.85, width: int = 64) -> list[str]:
-    """Like without_doubles for long lists, with blanks squeezed; a blank text is like no other. The first `width` characters of all that
-    were kept are compared at once, and only texts whose differences there leave it open are compared to their ends."""
-    out, seen, joined = [], [], ""
-    heads, sizes = np.full((16, width), -1, np.int32), np.zeros(16, np.int64)
-    codes = lambda t: np.frombuffer(t.encode("utf-32-le", "surrogatepass"), np.int32)
-    for text in texts:
-        t = " ".join(text.lower().split())
-        n = len(seen)
-        if t and n:
-            if t in joined or any(s in t for s in seen):
+#: Characters of a block of a text; blocks as short as that always leave some untouched where 85 of 100 characters agree.
+SIGNS = 3
+#: Characters that are compared at once.
+AT_ONCE = 1 << 22
+
+
+class _Blocks:
+    """Texts by their blocks of SIGNS characters at the same place. Two texts that differ in d places of the shorter one at most have all but d of
+    its blocks in common, so any d + 1 of them, the rarest, lead to every text that is alike."""
+
+    def __init__(self, texts: list[str], least: float):
+        self.least, self.size = least, np.array([len(t) for t in texts], np.int64)
+        self.codes = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32)
+        self.start = np.concatenate([[0], np.cumsum(self.size)])
+        many = self.size // SIGNS
+        self.first = np.concatenate([[0], np.cumsum(many)])
+        owner = np.repeat(np.arange(len(texts)), many)
+        place = np.arange(self.first[-1]) - self.first[owner]
+        at, sign = self.start[owner] + place * SIGNS, np.zeros(len(owner), np.uint64)
+        for k in range(SIGNS):
+            sign = (sign << np.uint64(21)) | self.codes[at + k].astype(np.uint64)
+        order = np.lexsort((owner, sign, place))
+        new = np.ones(len(order), bool)
+        new[1:] = (sign[order][1:] != sign[order][:-1]) | (place[order][1:] != place[order][:-1])
+        self.group = np.empty(len(order), np.int64)
+        self.group[order] = np.cumsum(new) - 1
+        self.begin = np.append(np.flatnonzero(new), len(order))
+        self.owner = owner[order]
+
+    def alike(self, k: int) -> np.ndarray:
+        """Texts, no shorter than text k, that agree with it in more than `least` of its places."""
+        m = int(self.size[k])
+        d = int(np.ceil(m * (1 - self.least)))
+        while d >= 0 and (m - d) / m <= self.least:
+            d -= 1
+        own = self.group[self.first[k] : self.first[k + 1]]
+        if len(own) > d:
+            often = self.begin[own + 1] - self.begin[own]
+            rare = own[np.argpartition(often, d)[: d + 1]]
+            found = np.unique(np.concatenate([self.owner[self.begin[g] : self.begin[g + 1]] for g in rare.tolist()]))
+        elif d == 0:
+            return np.zeros(0, np.int64)  # the beginning of another text, which holds it
+        else:
+            found = np.arange(len(self.size))
+        found = found[(self.size[found] >= m) & (found != k)]
+        text, out = self.codes[self.start[k] : self.start[k] + m], []
+        step = max(1, AT_ONCE // m)
+        for x in range(0, len(found), step):
+            part = found[x : x + step]
+            equal = (self.codes[self.start[part][:, None] + np.arange(m)] == text).sum(1)
+            out.append(part[equal / m > self.least])
+        return np.concatenate([np.zeros(0, np.int64), *out])
+
+
+def first_of_alike(texts: list[str], least: float = 0.85) -> list[str]:
+    """Like without_doubles for long lists, with blanks squeezed; a blank text is like no other, and of equal ones the first stays.
+
+    Texts are taken in order. One that is kept marks what it holds (an automaton finds all texts in it in one pass over it) and what agrees with
+    it place by place among those that come after it; one that holds or agrees with a kept one goes. So nothing is compared that shares no rare block."""
+    import ahocorasick
+
+    squeezed = [" ".join(t.lower().split()) for t in texts]
+    number = {t: k for k, t in enumerate(dict.fromkeys(t for t in squeezed if t))}
+    own = list(number)
+    gone = np.zeros(len(own), bool)
+    if len(own) > 1:
+        held, blocks = ahocorasick.Automaton(), _Blocks(own, least)
+        for t, k in number.items():
+            held.add_word(t, k)
+        held.make_automaton()
+        for k, t in enumerate(own):
+            if gone[k]:
                 continue
-            own = codes(t)
-            shared = np.minimum(sizes[:n], len(own))
-            first = own[:width]
-            equal = (heads[:n, : len(first)] == first).sum(1)
-            near = np.flatnonzero(np.minimum(shared, width) - equal <= (1 - least) * shared + 1e-6)
-            if any((codes(seen[i])[: shared[i]] == own[: shared[i]]).sum() / shared[i] > least for i in near):
-                continue
-        out.append(text)
-        if t:
-            if n == len(sizes):
-                heads, sizes = np.vstack([heads, np.full_like(heads, -1)]), np.concatenate([sizes, np.zeros_like(sizes)])
-            own = codes(t)
-            heads[n, : min(len(own), width)], sizes[n] = own[:width], len(own)
-            seen.append(t)
-            joined += t + "\n"
+            inside = np.unique(np.fromiter((i for _, i in held.iter(t)), np.int64))
+            near = np.zeros(0, np.int64)
+            if not (doubled := bool((~gone[inside[inside < k]]).any())):
+                near = blocks.alike(k)
+                doubled = bool((~gone[near[near < k]]).any())
+            if doubled:
+                gone[k] = True
+            else:
+                gone[inside[inside > k]] = gone[near[near > k]] = True
+    seen, out = set(), []
+    for text, t in zip(texts, squeezed, strict=True):
+        if not t or (t not in seen and not gone[number[t]]):
+            out.append(text)
+        seen.add(t)
     return out
 
 

@@ -28,16 +28,22 @@ def metadata_index(chunks: DataFrame, keys: dict[str, str]) -> DataFrame:
     return rows.where(F.col("key").isNotNull() & ~F.col("key").isin("", "none", "null"))
 
 
+#: How questions name what they ask for, in lower case: sections with and without a subsection, rules, goods and service codes, forms and rules
+#: of the court, registers, meetings of the council in two ways.
+PROBES = (
+    r"section\s+(\d+)\s*\(\s*(\d+)\s*\)?", r"section\s+(\d+)", r"rule\s+(\d+[a-z]?)", r"hsn\s+(\d+)", r"sac\s+(\d+)", r"(?:gstat[-\s]*)?form[-\s]*(\d+)", r"(?:gstat[-\s]*)?rule[-\s]*(\d+)",
+    r"(?:gstat[-\s]*)?(?:cdr|register)[-\s]*(\d+)", r"(\d+)(?:st|nd|rd|th)?\s+council\s+(?:meeting|minutes)", r"council\s+meeting\s+(\d+)",
+)
+LOOSE_SECTION = r"section\s+(\d+)\s*\(?\s*(\d+)\s*\)?"
+
+
 def probe(query: Column, strict: bool = True) -> Column:
     """struct<index_name, key, sub>: the first probe whose words occur, whether or not its look-up will find anything."""
     q = F.lower(query)
     group = lambda p, g=1: F.nullif(F.regexp_extract(q, p, g), F.lit(""))
     hit = lambda name, p, key, sub=None: F.when(q.rlike(p), F.struct(F.lit(name).alias("index_name"), key.alias("key"), (F.lit(None).cast("string") if sub is None else sub).alias("sub")))
     bare = lambda p: F.regexp_replace(F.regexp_extract(q, p, 1), "^0+(?=.)", "")
-    both = r"section\s+(\d+)\s*\(\s*(\d+)\s*\)?" if strict else r"section\s+(\d+)\s*\(?\s*(\d+)\s*\)?"
-    one, rule, hsn, sac = r"section\s+(\d+)", r"rule\s+(\d+[a-z]?)", r"hsn\s+(\d+)", r"sac\s+(\d+)"
-    form, court_rule, register = r"(?:gstat[-\s]*)?form[-\s]*(\d+)", r"(?:gstat[-\s]*)?rule[-\s]*(\d+)", r"(?:gstat[-\s]*)?(?:cdr|register)[-\s]*(\d+)"
-    council, council2 = r"(\d+)(?:st|nd|rd|th)?\s+council\s+(?:meeting|minutes)", r"council\s+meeting\s+(\d+)"
+    both, one, rule, hsn, sac, form, court_rule, register, council, council2 = PROBES if strict else (LOOSE_SECTION, *PROBES[1:])
     return F.coalesce(
         hit("section", both, group(both), group(both, 2)), hit("section", one, group(one)), hit("rule", rule, group(rule)), hit("hsn", hsn, group(hsn)), hit("sac", sac, group(sac)),
         hit("form", form, bare(form)), hit("court_rule", court_rule, bare(court_rule)), hit("register", register, bare(register)), hit("council", council, group(council)), hit("council", council2, group(council2)),
@@ -135,15 +141,37 @@ def match_fuzzy(queries: DataFrame, judgments: DataFrame, high: float = 0.75, lo
 
 
 def bands(scores: Column, width: float = BAND) -> Column:
-    """Band numbers for scores in falling order: a band's first score leads it, and all within `width` of the leader belong to it."""
-    start = F.struct(F.lit(None).cast("double").alias("leader"), F.lit(-1).alias("band"), F.array().cast("array<int>").alias("out"))
+    """Band numbers for scores in falling order: a band's first score leads it, and all within `width` of the leader belong to it. Scores
+    count at six places, so a gap of exactly `width` is within.
+
+    For every score the next leader, if it were one, is found by binary search; the leaders are the chain from the first score on, which
+    doubles at each step as the jumps do. So a list of n scores takes about log n passes."""
+    wide = round(width * 1e6)
+
+    def whole(xs: Column) -> Column:
+        n = F.size(xs)
+        rounds = F.sequence(F.lit(1), F.ceil(F.log2(n + 1)).cast("int"))
+
+        def following(x: Column, i: Column) -> Column:
+            def halve(at: Column, _: Column) -> Column:
+                mid = F.shiftright(at["low"] + at["high"], 1)
+                beyond = x - F.get(xs, mid) > wide
+                closer = F.struct(F.when(beyond, at["low"]).otherwise(mid).alias("low"), F.when(beyond, mid).otherwise(at["high"]).alias("high"))
+                return F.when(at["high"] - at["low"] > 1, closer).otherwise(at)
+
+            return F.aggregate(rounds, F.struct(i.cast("int").alias("low"), n.alias("high")), halve, lambda at: at["high"])
+
+        def numbered(after: Column) -> Column:
+            def double(at: Column, _: Column) -> Column:
+                jump = lambda c: F.coalesce(F.get(at["jump"], c), n)
+                return F.struct(F.concat(at["chain"], F.filter(F.transform(at["chain"], jump), lambda c: c < n)).alias("chain"), F.transform(at["jump"], jump).alias("jump"))
+
+            chain = F.aggregate(rounds, F.struct(F.array(F.lit(0)).alias("chain"), after.alias("jump")), double, lambda at: at["chain"])
+            return F.flatten(F.transform(chain, lambda c, b: F.array_repeat(b.cast("int"), F.get(after, c) - c)))
 
-    def step(acc: Column, s: Column) -> Column:
-        new = acc["leader"].isNull() | (acc["leader"] - s > width)
-        band = F.when(new, acc["band"] + 1).otherwise(acc["band"])
-        return F.struct(F.when(new, s).otherwise(acc["leader"]).alias("leader"), band.alias("band"), F.concat(acc["out"], F.array(band)).alias("out"))
+        return F.when(n > 0, T.once(F.transform(xs, following), numbered)).otherwise(F.array().cast("array<int>"))
 
-    return F.aggregate(scores, start, step, lambda acc: acc["out"])
+    return T.once(F.transform(scores, lambda s: F.round(s * 1e6).cast("long")), whole)
 
 
 def priority(kind: Column) -> Column:

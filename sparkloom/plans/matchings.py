@@ -131,7 +131,7 @@ def hierarchy_banding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Neighbours in bands of similar score; inside a band, kinds by priority. Scores are rounded first, so both engines band alike."""
     rows = _hits(spark, sf_dir).select("query_id", "vec_id", F.round("score", 6).alias("score"), "kind")
     lists = rows.groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("low"), "vec_id", "kind"))).alias("xs"))
-    banded = lists.select("query_id", F.explode(F.arrays_zip("xs", M.bands(F.transform("xs", lambda x: F.round(-x["low"], 6)), 0.0200005).alias("band"))).alias("z"))
+    banded = lists.select("query_id", F.explode(F.arrays_zip("xs", M.bands(F.transform("xs", lambda x: -x["low"])).alias("band"))).alias("z"))
     out = banded.select("query_id", "z.xs.vec_id", "z.band", M.priority(F.col("z.xs.kind")).alias("priority"), F.col("z.xs.low").alias("low"))
     final = F.row_number().over(Window.partitionBy("query_id").orderBy("band", "priority", "low", "vec_id"))
     return out.select("query_id", "vec_id", "band", "priority", final.alias("rank"))

@@ -63,7 +63,7 @@ f AS (SELECT query_id, vec_id, arg_min(score, stage) AS score, min(stage) AS sta
 SELECT query_id, vec_id, round(score, 6) AS score, stage, CAST(rank AS INTEGER) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 6) DESC, stage, vec_id) AS rank FROM f) WHERE rank <= 25""",
     "hierarchy_banding": f"""WITH RECURSIVE h AS (SELECT query_id, vec_id, score, {_PRIORITY} AS priority, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS k FROM {_HITS}),
 b AS (SELECT query_id, k, score AS leader, 0 AS band FROM h WHERE k = 1
- UNION ALL SELECT h.query_id, h.k, CASE WHEN b.leader - h.score > 0.0200005 THEN h.score ELSE b.leader END, CASE WHEN b.leader - h.score > 0.0200005 THEN b.band + 1 ELSE b.band END FROM b JOIN h ON h.query_id = b.query_id AND h.k = b.k + 1)
+ UNION ALL SELECT h.query_id, h.k, CASE WHEN b.leader - h.score > 0.0500005 THEN h.score ELSE b.leader END, CASE WHEN b.leader - h.score > 0.0500005 THEN b.band + 1 ELSE b.band END FROM b JOIN h ON h.query_id = b.query_id AND h.k = b.k + 1)
 SELECT h.query_id, h.vec_id, b.band, h.priority, CAST(row_number() OVER (PARTITION BY h.query_id ORDER BY b.band, h.priority, h.score DESC, h.vec_id) AS INTEGER) AS rank FROM h JOIN b USING (query_id, k)""",
     "issue_rank_15_10": f"""WITH s AS (SELECT query_id, vec_id, round(CASE WHEN kind = 'judgment' THEN 40 WHEN kind = 'rule' THEN 25 ELSE 10 END
  + CASE WHEN kind = 'judgment' AND vec_id % 3 = 0 THEN 30 WHEN kind = 'judgment' AND vec_id % 3 = 1 THEN -20 ELSE 0 END + least(score * 20, 20), 6) AS score FROM {_HITS}),

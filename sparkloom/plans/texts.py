@@ -125,14 +125,22 @@ def cross_refs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "part").select("p_partkey", *[F.array_join(refs[c], ",").alias(c) for c in ("sections", "rules", "notifications", "forms", "hsn_codes", "sac_codes")])
 
 
-def keywords_topn(spark: SparkSession, sf_dir: str, n: int = TOP_WORDS, generic: tuple[str, ...] = ()) -> DataFrame:
-    """Most frequent words and pairs of words, stop words out before pairing; ties by term. Generic words alone are no keywords, but stay in pairs."""
-    words = F.filter(F.regexp_extract_all(F.lower("text"), F.lit(r"(?U)\b\w\w+\b"), F.lit(0)), lambda w: ~w.isin(*STOP))
-    rows = table(spark, sf_dir, "documents").select("doc_id", words.alias("w"))
-    pairs = F.zip_with(F.slice("w", 1, F.greatest(F.size("w") - 1, F.lit(0))), F.slice("w", 2, F.greatest(F.size("w") - 1, F.lit(0))), lambda a, b: F.concat(a, F.lit(" "), b))
-    counted = rows.select("doc_id", F.explode(F.concat("w", pairs)).alias("term")).where(~F.col("term").isin(*generic) if generic else F.lit(True)).groupBy("doc_id", "term").agg(F.count("*").alias("times"))
-    ranked = counted.withColumn("rank", F.row_number().over(Window.partitionBy("doc_id").orderBy(F.desc("times"), "term")))
-    return ranked.where(F.col("rank") <= n)
+def _terms(text: Column, generic: tuple[str, ...] = ()) -> Column:
+    """Words and pairs of words of a text, stop words out before pairing. Generic words alone are no terms, but stay in pairs."""
+    words = F.filter(F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(r"(?U)\b\w\w+\b"), F.lit(0)), lambda w: ~w.isin(*STOP))
+
+    def both(w: Column) -> Column:
+        less = F.greatest(F.size(w) - 1, F.lit(0))
+        return F.concat(w, F.zip_with(F.slice(w, 1, less), F.slice(w, 2, less), lambda a, b: F.concat(a, F.lit(" "), b)))
+
+    terms = T.once(words, both)
+    return F.filter(terms, lambda t: ~t.isin(*generic)) if generic else terms
+
+
+def keywords_topn(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Most frequent words and pairs of words, stop words out before pairing; ties by term. Counted inside the row: nothing moves."""
+    best = T.most_frequent(_terms(F.col("text")), TOP_WORDS)
+    return table(spark, sf_dir, "documents").select("doc_id", F.explode(best).alias("k")).select("doc_id", "k.term", "k.times", "k.rank")
 
 
 #: Terms of the field that come before all other keywords, and words that are too general for one: the test data's.
@@ -140,21 +148,21 @@ TERMS, GENERIC = ("Region", "income", "Court", "die", "water level"), ("more", "
 
 
 def document_keywords(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The field's terms that a text holds, then its most frequent ones; of terms equal but for case the first stays; ten at most."""
-    docs = table(spark, sf_dir, "documents").where("length(text) >= 10")
-    ranked = keywords_topn(spark, sf_dir, generic=GENERIC).groupBy("doc_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "term"))), lambda x: x["term"]).alias("ranked"))
+    """The field's terms that a text holds, then its most frequent ones; of terms equal but for case the first stays; ten at most. A text of fewer
+    than ten characters has none."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.when(F.length("text") >= 10, F.col("text")).otherwise("").alias("text"))
     held = F.array_compact(F.array(*[F.when(F.contains(F.lower("text"), F.lit(t.lower())), t) for t in TERMS]))
-    rows = docs.select("doc_id", held.alias("held")).join(ranked, "doc_id", "left")
-    words = R.capped_keywords(F.concat("held", F.coalesce("ranked", F.array().cast("array<string>"))))
+    rows = docs.select("doc_id", held.alias("held"), T.most_frequent(_terms(F.col("text"), GENERIC), TOP_WORDS).alias("ranked"))
+    words = R.capped_keywords(F.concat("held", F.transform("ranked", lambda x: x["term"])))
     return rows.select("doc_id", F.array_join(words, "|").alias("keywords"))
 
 
 def authorities(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Circulars and decisions that texts name, behind whole documents."""
     n = F.col("doc_id")
-    made = F.concat(F.coalesce("text", F.lit("")), F.lit("\nCircular No. "), (n % 7).cast("string"), F.lit("/2019, Circular no 3, Vs. Union  of "), "source", F.lit("; Circular No 12-4"))
+    made = F.concat(F.coalesce("text", F.lit("")), F.lit("\nCircular No. "), (n % 7).cast("string"), F.lit("/2019, Circular no 3, Vs. Union  of "), F.coalesce("source", F.lit("")), F.lit("; Circular No 12-4"))
     found = T.authorities(made)
-    return table(spark, sf_dir, "documents").where("source is not null").select("doc_id", F.array_join(found["circulars"], "|").alias("circulars"), F.array_join(found["case_laws"], "|").alias("case_laws"))
+    return table(spark, sf_dir, "documents").select("doc_id", F.array_join(found["circulars"], "|").alias("circulars"), F.array_join(found["case_laws"], "|").alias("case_laws"))
 
 
 def rule_summaries(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -229,14 +237,21 @@ r AS (SELECT sha256(text) AS id, source_no, pos, row_number() OVER (PARTITION BY
 SELECT id, source_no, pos, copies FROM r WHERE k = 1""",
     "pack_paragraphs_900": _pack(900) + " SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY i) - 1 AS INTEGER) AS chunk_no, chunk FROM c WHERE chunk <> ''",
     "pack_sections_1100": _pack(1100) + " SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY i) - 1 AS INTEGER) AS chunk_no, CAST(length(chunk) AS INTEGER) AS chars, sha256(chunk) AS chunk_sha256 FROM c",
+    "pack_overlap_2000": rf"""WITH RECURSIVE p AS (SELECT doc_id, {_SENT} AS ps, 1990 - length(coalesce(source, '')) AS room FROM documents WHERE length(coalesce(source, '')) + length(text) + 8 > 2000),
+f AS (SELECT doc_id, 0 AS i, '' AS buf, CAST(NULL AS VARCHAR) AS chunk FROM p
+ UNION ALL SELECT doc_id, i + 1, CASE WHEN s IS NULL THEN '' WHEN length(test) <= room THEN test WHEN buf <> '' THEN right(buf, 200) || ' ' || s ELSE '' END,
+ regexp_replace(CASE WHEN s IS NULL THEN nullif(buf, '') WHEN length(test) <= room THEN NULL WHEN buf <> '' THEN buf ELSE s END, '^\s+|\s+$', '', 'g')
+ FROM (SELECT f.*, p.room, p.ps[f.i + 1] AS s, CASE WHEN f.buf <> '' THEN f.buf || ' ' || p.ps[f.i + 1] ELSE p.ps[f.i + 1] END AS test FROM f JOIN p ON p.doc_id = f.doc_id WHERE f.i <= len(p.ps)))
+SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY i) - 1 AS INTEGER) AS chunk_no, chunk FROM f WHERE chunk IS NOT NULL
+UNION ALL SELECT doc_id, 0, text FROM documents WHERE length(coalesce(source, '')) + length(text) + 8 <= 2000""",
     "pack_judgments_1100": _pack(1100, CUE) + " SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY i) - 1 AS INTEGER) AS chunk_no, CAST(length(chunk) AS INTEGER) AS chars, sha256(chunk) AS chunk_sha256 FROM c",
-    "document_keywords": f"""WITH d AS (SELECT * FROM documents WHERE length(text) >= 10), w AS (SELECT doc_id, {_WORDS} AS w FROM d),
+    "document_keywords": f"""WITH d AS (SELECT doc_id, CASE WHEN length(text) >= 10 THEN text ELSE '' END AS text FROM documents), w AS (SELECT doc_id, {_WORDS} AS w FROM d),
 t AS (SELECT doc_id, unnest(list_concat(w, list_transform(range(1, greatest(len(w), 1)), lambda i: w[i] || ' ' || w[i + 1]))) AS term FROM w),
 c AS (SELECT doc_id, term, count(*) AS times FROM t WHERE term NOT IN ({", ".join(f"'{g}'" for g in GENERIC)}) GROUP BY 1, 2), r AS (SELECT doc_id, term, row_number() OVER (PARTITION BY doc_id ORDER BY times DESC, term) AS rank FROM c),
 u AS (SELECT doc_id, term, {len(TERMS)} + rank AS rank FROM r WHERE rank <= {TOP_WORDS} UNION ALL SELECT doc_id, term, i FROM d, (VALUES {", ".join(f"({i}, '{t}')" for i, t in enumerate(TERMS))}) v(i, term) WHERE contains(lower(text), lower(term))),
 k AS (SELECT doc_id, lower(term) AS l, arg_min(term, rank) AS term, min(rank) AS rank FROM u GROUP BY 1, 2 QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY min(rank)) <= 10)
 SELECT d.doc_id, coalesce(string_agg(term, '|' ORDER BY rank), '') AS keywords FROM d LEFT JOIN k USING (doc_id) GROUP BY 1""",
-    "authorities": r"""WITH t AS (SELECT doc_id, coalesce(text, '') || chr(10) || 'Circular No. ' || doc_id % 7 || '/2019, Circular no 3, Vs. Union  of ' || source || '; Circular No 12-4' AS x FROM documents WHERE source IS NOT NULL)
+    "authorities": r"""WITH t AS (SELECT doc_id, coalesce(text, '') || chr(10) || 'Circular No. ' || doc_id % 7 || '/2019, Circular no 3, Vs. Union  of ' || coalesce(source, '') || '; Circular No 12-4' AS x FROM documents)
 SELECT doc_id, array_to_string(list_sort(list_distinct(regexp_extract_all(x, 'Circular\s+No\.?\s*([\d/.-]+)', 1))), '|') AS circulars,
  array_to_string(list_sort(list_distinct(list_transform(regexp_extract_all(x, 'Vs\.\s*([A-Za-z\s\.]+)', 1), lambda v: trim(regexp_replace(v, '\s+', ' ', 'g'))))), '|') AS case_laws FROM t""",
     "rule_summaries": r"""WITH t AS (SELECT doc_id, lang, regexp_replace(CASE WHEN doc_id % 4 = 0 THEN ' Short one. ' ELSE '' END || coalesce(text, ''), '^\s+|\s+$', '', 'g') AS body FROM documents),

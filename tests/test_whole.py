@@ -32,20 +32,33 @@ def test_neighbours_in_small_parts(spark, monkeypatch, name):
     same(spark, name, catalog.ORACLES[name])
 
 
-def chunked(question, answer, most=2000, overlap=200):
-    if len(f"Q: {question}\n\nA: {answer}") <= most:
-        return [answer]
-    out, current = [], ""
-    for sentence in (s for s in re.split(r"(?<=[.!?])\s+", answer.strip()) if s):
-        test = current + " " + sentence if current else sentence
-        if len(test) + len(question) + 10 <= most:
-            current = test
-        elif current:
-            out.append(current.strip())
-            current = current[-overlap:] + " " + sentence
+def overlapping(parts, room, overlap):
+    """Chunks by their places: buffers are stretches of the joined sentences, from the carried characters on."""
+    ends, at = [], 0
+    for p in parts:
+        ends.append(at + len(p))
+        at += len(p) + 1
+    joined, chunks, a = " ".join(parts), [], None
+    for k, p in enumerate(parts):
+        begin = ends[k] - len(p)
+        length = ends[k] - a if a is not None else len(p)
+        if length <= room:
+            a = begin if a is None else a
+        elif a is None:
+            chunks.append(p)
         else:
-            out.append(sentence.strip())
-    return [*out, current.strip()] if current else out
+            last = ends[k - 1]
+            chunks.append(joined[a:last])
+            a = max(a, last - overlap)
+    if a is not None and parts:
+        chunks.append(joined[a : ends[-1]])
+    return [c.strip() for c in chunks]
+
+
+def chunks(question, answer):
+    """A text that fits beside its question is one chunk; else its sentences are packed."""
+    fits = len(question) + len(answer) + len("Q: \n\nA: ") <= 2000
+    return [answer] if fits else overlapping([s for s in re.split(r"(?<=[.!?])\s+", answer.strip()) if s], 1990 - len(question), 200)
 
 
 def test_short_documents_are_chunks(spark, tmp_path):
@@ -55,12 +68,12 @@ def test_short_documents_are_chunks(spark, tmp_path):
     for d in (DATA, str(tmp_path)):
         rows = spark.read.parquet(f"{d}/documents.parquet").select("doc_id", "source", "text").where("text is not null").collect()
         got = sorted(tuple(r) for r in catalog.QUERIES["pack_overlap_2000"](spark, d).select("doc_id", "chunk_no", "chunk").collect())
-        assert got == sorted((r["doc_id"], i, c) for r in rows for i, c in enumerate(chunked(r["source"] or "", r["text"])))
+        assert got == sorted((r["doc_id"], i, c) for r in rows for i, c in enumerate(chunks(r["source"] or "", r["text"])))
         assert {g[0] for g in got} == {r["doc_id"] for r in rows}
 
 
 def unlike(issues):
-    """The reference's rule, place by place."""
+    """The rule, pair by pair and place by place."""
     seen, unique = [], []
     for issue in issues:
         x = re.sub(r"\s+", " ", issue.lower().strip())
