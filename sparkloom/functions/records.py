@@ -135,9 +135,20 @@ def source_block(c: dict[str, Column]) -> Column:
     )
 
 
-def prompt(question: Column, primary: Column, supporting: Column, document: Column | None = None) -> Column:
-    """The question with what was found, the best first; a document of the user's in front of it."""
-    parts = [F.concat(F.lit("QUESTION:\n"), question)]
+#: Fixed value: what stands in a prompt where nothing came before.
+NO_HISTORY = "No previous context."
+
+
+def spoken(messages: Column) -> Column:
+    """Messages (structs with role and content), a line each."""
+    lines = F.transform(messages, lambda m: F.concat(F.upper(m["role"]), F.lit(": "), m["content"]))
+    return F.when(F.size(messages) > 0, F.array_join(lines, "\n")).otherwise(NO_HISTORY)
+
+
+def prompt(question: Column, primary: Column, supporting: Column, document: Column | None = None, history: Column | None = None) -> Column:
+    """The question with what was found, the best first; what was said before and a document of the user's in front of it."""
+    parts = [] if history is None else [F.concat(F.lit("HISTORY:\n"), spoken(history))]
+    parts.append(F.concat(F.lit("QUESTION:\n"), question))
     if document is not None:
         parts.append(F.when(F.length(strip(document)) > 0, F.concat(F.lit("DOCUMENT:\n"), document)))
     return F.concat_ws("\n\n", *parts, F.concat(F.lit("PRIMARY:\n"), F.array_join(primary, "\n\n")), F.concat(F.lit("SUPPORTING:\n"), F.array_join(supporting, "\n\n")))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 from functools import reduce
 
@@ -42,10 +43,15 @@ def long_publisher(x: Column, short: str, long: str) -> Column:
     return F.when(x.rlike(pattern), F.concat(F.regexp_extract(x, pattern, 1), F.lit(f" {long} "), F.regexp_extract(x, pattern, 2))).otherwise(x)
 
 
-def first_citation(x: Column, publishers: tuple[str, ...] = ("TMI", "SCC")) -> Column:
-    """The first pattern that matches wins: year (volume) publisher number, then year publisher number, publisher by publisher."""
-    patterns = [p for name in publishers for p in (rf"(?i)\d{{4}}\s*\(\s*\d+\s*\)\s*{name}\s*\d+", rf"(?i)\d{{4}}\s*{name}\s*\d+")]
-    return F.coalesce(*[F.nullif(F.regexp_extract(x, p, 0), F.lit("")) for p in patterns])
+#: How citations of two publishers are written.
+REPORTS, COURT_REPORTS = (r"\d{4}\s*\(\s*\d+\s*\)\s*TMI\s*\d+", r"\d{4}\s*TMI\s*\d+"), (r"\d{4}\s*\(\s*\d+\s*\)\s*SCC\s+\d+", r"\d{4}\s+SCC\s+\d+")
+
+
+def first_citation(x: Column, house: tuple[str, str] | None = None) -> Column:
+    """The first pattern that occurs wins. house: short and long name of a publisher that is written either way, and stands with its long name in the result."""
+    own = (rf"\d{{4}}\s+{re.escape(house[1])}\s+\d+", rf"\d{{4}}\s+{re.escape(house[0])}\s+\d+") if house else ()
+    found = strip(F.coalesce(*[F.nullif(F.regexp_extract(x, "(?i)" + p, 0), F.lit("")) for p in (*REPORTS, *own, *COURT_REPORTS)]))
+    return long_publisher(found, *house) if house else found
 
 
 #: How case numbers are written.

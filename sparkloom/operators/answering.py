@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from sparkloom.functions import records as R
+from sparkloom.functions import records as R, text as T
 from sparkloom.operators import matching as M
 
 #: What a complete judgment gains by an exact and by a partial match; the score of a statutory hit; bounds of a similarity.
@@ -99,14 +99,64 @@ def for_issue(reframed: DataFrame, raw: DataFrame, chunks: DataFrame, modes: Dat
     return ranked.where(F.col("rank") <= PRIMARY + SUPPORTING).select("query_id", "rank", "chunk_id", "score", (F.col("rank") <= PRIMARY).alias("primary"))
 
 
-def assemble(questions: DataFrame, retrieved: DataFrame, texts: DataFrame, write: Callable[[Column], Column], document: str | None = None) -> DataFrame:
+#: Characters of a prompt, pairs of messages that come into it, and messages below which a history that doesn't fit goes altogether.
+BUDGET, PAIRS, FLOOR = 360_000, 10, 4
+
+
+def trimmed(history: DataFrame, fixed: DataFrame, budget: int = BUDGET, pairs: int = PAIRS, floor: int = FLOOR) -> DataFrame:
+    """query_id, place, role, content: what of each history goes into its prompt. history: those columns; fixed: query_id, size (characters of all other parts).
+
+    Of the newest `pairs` pairs, the two oldest messages go while all doesn't fit, and all go once `floor` or fewer are left and don't. That is the longest suffix that
+    fits, in steps of two: a running sum from the newest on finds it."""
+    newest, whole = Window.partitionBy("query_id").orderBy(F.desc("place")), Window.partitionBy("query_id")
+    rows = history.withColumn("back", F.row_number().over(newest)).where(F.col("back") <= 2 * pairs)
+    so_far = newest.rowsBetween(Window.unboundedPreceding, 0)
+    rows = rows.withColumn("size", F.sum(F.coalesce(F.length("content"), F.lit(0))).over(so_far)).withColumn("n", F.count("*").over(whole))
+    rows = rows.join(fixed.select("query_id", F.col("size").alias("fixed")), "query_id")
+    step = ((F.col("n") - F.col("back")) % 2 == 0) & ((F.col("back") >= floor - 1) | (F.col("back") == F.col("n")))
+    keep = F.max(F.when(step & (F.col("fixed") + F.col("size") <= budget), F.col("back"))).over(whole)
+    return rows.withColumn("keep", keep).where(F.col("back") <= F.col("keep")).select("query_id", "place", "role", "content")
+
+
+#: What stands between an answer and the list of what it cites, and around a pair of parties.
+CITED, PAIR = "\n\n---\n\n\n**Citations Referenced:**\n", ("\n**", " vs ", ":**")
+
+
+def attributed(answers: DataFrame, judgments: DataFrame) -> DataFrame:
+    """query_id, pair_no, one, two, rank, external_id, citation, case_number, score: judgments of the pairs of parties that answers (query_id, answer) name, the best
+    five a pair. judgments: external_id, petitioner, respondent, citation, case_number. Answers that name one pair ask for it once."""
+    pairs = answers.select("query_id", F.posexplode(T.party_pairs(F.col("answer"))).alias("pair_no", "s")).select("query_id", "pair_no", F.col("s.a").alias("one"), F.col("s.b").alias("two"))
+    asked = pairs.select(F.struct("one", "two").alias("query_id"), "one", "two").distinct()
+    found = M.match_fuzzy(asked, judgments).join(judgments.select("external_id", "citation", "case_number"), "external_id")
+    found = found.select(F.col("query_id.one").alias("one"), F.col("query_id.two").alias("two"), "rank", "external_id", "citation", "case_number", "score")
+    return pairs.join(found, ["one", "two"]).select("query_id", "pair_no", "one", "two", "rank", "external_id", "citation", "case_number", "score")
+
+
+def with_citations(answers: DataFrame, found: DataFrame) -> DataFrame:
+    """query_id, answer: each answer with the list of what was found for its pairs; answers without any stay as they are. The place of a model that writes them into the
+    text; a text of another length than records.length_ratio_fits allows would be told by it."""
+    line = R.citation_line(F.col("citation"), F.col("case_number"), F.col("score"))
+    per = found.groupBy("query_id", "pair_no", "one", "two").agg(F.array_sort(F.collect_list(F.struct("rank", line.alias("line")))).alias("lines"))
+    open_, between, close = (F.lit(x) for x in PAIR)
+    block = F.concat(open_, "one", between, "two", close, F.lit("\n"), F.array_join(F.transform("lines", lambda x: x["line"]), "\n"))
+    listed = per.groupBy("query_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pair_no", block.alias("block")))), lambda x: x["block"]), "\n").alias("listed"))
+    both = answers.join(listed, "query_id", "left")
+    return both.select("query_id", F.concat("answer", F.coalesce(F.concat(F.lit(CITED + "\n"), "listed"), F.lit(""))).alias("answer"))
+
+
+def assemble(questions: DataFrame, retrieved: DataFrame, texts: DataFrame, write: Callable[[Column], Column], document: str | None = None, history: DataFrame | None = None, budget: int = BUDGET) -> DataFrame:
     """query_id, prompt, answer, sources (ids in order, primary ones first). questions: query_id, question, and the column `document` if named; retrieved:
-    as of retrieve; texts: chunk_id, block (a chunk in words). write makes an answer of a prompt: the place for a model."""
+    as of retrieve; texts: chunk_id, block (a chunk in words). write makes an answer of a prompt: the place for a model. history: query_id, place, role, content; as much of it
+    as leaves the prompt within its budget comes first (trimmed)."""
     asked = questions.withColumn("intent", M.intent(F.col("question")))
     split = M.split_primary(retrieved.join(asked.select("query_id", "intent"), "query_id").select("query_id", "rank", "intent", "chunk_type", "complete", "chunk_id"))
     rows = split.join(texts, "chunk_id").groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct((~F.col("primary")).alias("later"), "rank", "chunk_id", "block"))).alias("xs"))
     part = lambda later: F.transform(F.filter("xs", lambda x: x["later"] == F.lit(later)), lambda x: x["block"])
     given = None if document is None else F.left(F.col(document), F.lit(DOCUMENT))
     made = asked.join(rows, "query_id", "left").withColumn("xs", F.coalesce("xs", F.array().cast(rows.schema["xs"].dataType)))
-    made = made.withColumn("prompt", R.prompt(F.col("question"), part(False), part(True), given))
+    if history is not None:
+        size = F.length("question") + F.length(F.array_join(part(False), "\n\n")) + F.length(F.array_join(part(True), "\n\n"))
+        said = trimmed(history, made.select("query_id", size.alias("size")), budget).groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("place", "role", "content"))).alias("said"))
+        made = made.join(said, "query_id", "left").withColumn("said", F.coalesce("said", F.array().cast("array<struct<place:long,role:string,content:string>>")))
+    made = made.withColumn("prompt", R.prompt(F.col("question"), part(False), part(True), given, None if history is None else F.col("said")))
     return made.select("query_id", "prompt", write(F.col("prompt")).alias("answer"), F.transform("xs", lambda x: x["chunk_id"]).alias("sources"))

@@ -79,6 +79,13 @@ def full_index(chunks: DataFrame) -> DataFrame:
     return rows.where(~alone).drop("external_id").unionByName(firsts)
 
 
+def store_index(index: DataFrame, name: str, path: str, buckets: int = 64) -> DataFrame:
+    """The index as a table in buckets by (index_name, key), sorted by them: what looks up in it is dealt into the same buckets, the index itself stays where it is."""
+    dealt = index.repartition(buckets, "index_name", "key")  # a file a bucket
+    dealt.write.mode("overwrite").bucketBy(buckets, "index_name", "key").sortBy("index_name", "key").option("path", path).saveAsTable(name)
+    return index.sparkSession.table(name)
+
+
 def look_up(queries: DataFrame, index: DataFrame) -> DataFrame:
     """query_id, chunk_id, pos: what the first probe of each query (query_id, text) finds in the index; a section without a subsection finds all of it."""
     asked = queries.select("query_id", probe(F.col("text")).alias("p")).select("query_id", "p.index_name", "p.key", F.col("p.sub").alias("want"))

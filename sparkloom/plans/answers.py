@@ -3,6 +3,8 @@ the table for questions put in other words."""
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from sparkloom.functions import records as R, text as T
@@ -12,8 +14,11 @@ from sparkloom.plans.ledger import messages
 from sparkloom.plans.matchings import KINDS, judgments
 from sparkloom.plans.retrieval import D2, QUERY_EVERY, TOP_K, knn
 from sparkloom.sources import files
+from sparkloom.sources.cut import new_folder
 from sparkloom.sources.tables import table
 
+#: Buckets of a stored index.
+BUCKETS = 16
 #: Judgments in the table of vectors.
 JUDGMENTS = 37
 
@@ -105,13 +110,20 @@ def all_keys_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return M.full_index(_indexed(spark, sf_dir))
 
 
-#: Stated questions for the index.
-ASKED = [(1, "what does section 12(3) say"), (2, "section 7"), (3, "rule 8"), (4, "hsn 12"), (5, "sac 3"), (6, "gstat form 05"), (7, "register 006"), (8, "28th council meeting"), (9, "rule-15"), (10, "nothing at all")]
+#: How questions name what the index holds: {0} is a part's size, {1} its number by 100, {2} its number by 4.
+ASKED = ["what does section {0}({2}) say", "section {0}", "RULE {0} refunds", "hsn {1}", "sac {1} rate", "gstat form 0{1}", "register 00{1}", "{1}th council meeting", "rule-{1}", "nothing at all"]
 
 
 def index_lookups(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Questions' probes against the index: sections with a subsection on both, without one on the section alone."""
-    return M.look_up(spark.createDataFrame(ASKED, "query_id int, text string"), all_keys_index(spark, sf_dir))
+    """What the first probe of every question finds in the stored index: sections with a subsection on both, without one on the section alone. All parts ask, equal
+    questions once."""
+    n = F.col("p_partkey")
+    text = F.element_at(F.array(*[F.lit(a) for a in ASKED]), (n % len(ASKED) + 1).cast("int"))
+    for k, value in enumerate((F.col("p_size"), n % 100, n % 4)):
+        text = F.replace(text, F.lit(f"{{{k}}}"), value.cast("string"))
+    asked = table(spark, sf_dir, "part").select(text.alias("text")).distinct().withColumn("query_id", F.col("text"))
+    index = M.store_index(all_keys_index(spark, sf_dir), f"index_{uuid.uuid4().hex}", new_folder(spark, "index"), BUCKETS)
+    return M.look_up(asked, index).withColumnRenamed("query_id", "question")
 
 
 def case_states(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -275,8 +287,10 @@ SELECT p_partkey, CASE WHEN p_partkey % 20 = 19 THEN p_name
  WHEN r = 8 THEN '[HSN CODE ' || p_partkey || ' | ' || src || '] ' || p_name WHEN r = 9 THEN '[SAC CODE ' || p_partkey || ' | ' || src || '] ' || p_name WHEN r = 6 THEN '[GST COUNCIL ' || p_size || 'th MEETING | ' || src || ']' || chr(10) || p_name ELSE '[RULE | ' || src || '] ' || p_name END AS block FROM t""",
     "form_kinds": """SELECT p_partkey, ['Form', 'Register', 'Other'][p_partkey % 3 + 1] AS doc_type, CASE WHEN p_partkey % 3 = 2 THEN 'UNKNOWN' ELSE CAST(p_partkey AS VARCHAR) END AS number, CASE WHEN p_partkey % 4 > 0 THEN p_name ELSE 'Untitled' END AS title, p_size || '(c)' AS related_rule FROM part""",
     "all_keys_index": f"SELECT * FROM {_INDEX}",
-    "index_lookups": f"""WITH a(query_id, index_name, key, sub) AS (VALUES (1, 'section', '12', '3'), (2, 'section', '7', NULL), (3, 'rule', '8', NULL), (4, 'hsn', '12', NULL), (5, 'sac', '3', NULL), (6, 'form', '5', NULL), (7, 'register', '6', NULL), (8, 'council', '28', NULL), (9, 'court_rule', '15', NULL))
-SELECT query_id, chunk_id, pos FROM a JOIN {_INDEX} i USING (index_name, key) WHERE a.sub IS NULL OR a.sub = i.sub""",
+    "index_lookups": f"""WITH t AS (SELECT DISTINCT p_partkey % {len(ASKED)} AS r, CASE WHEN p_partkey % {len(ASKED)} < 3 THEN CAST(p_size AS VARCHAR) ELSE CAST(p_partkey % 100 AS VARCHAR) END AS key, CASE WHEN p_partkey % {len(ASKED)} = 0 THEN CAST(p_partkey % 4 AS VARCHAR) END AS sub FROM part),
+a AS (SELECT ['section', 'section', 'rule', 'hsn', 'sac', 'form', 'register', 'council', 'court_rule', NULL][r + 1] AS index_name, key, sub,
+ replace(replace(replace([{", ".join(f"'{a}'" for a in ASKED)}][r + 1], '{{0}}', key), '{{1}}', key), '{{2}}', coalesce(sub, '')) AS question FROM t)
+SELECT question, chunk_id, pos FROM a JOIN {_INDEX} i ON a.index_name = i.index_name AND i.key = a.key WHERE a.sub IS NULL OR a.sub = i.sub""",
     "case_states": """WITH e AS (SELECT conv_id AS session, turn, ['new', 'decide', 'mode', 'done', 'analyse', 'switch'][(turn + conv_id) % 6 + 1] AS action FROM conversations),
 n AS (SELECT *, sum(CASE WHEN action = 'new' THEN 1 ELSE 0 END) OVER w AS made FROM e WINDOW w AS (PARTITION BY session ORDER BY turn)),
 a AS (SELECT *, last_value(CASE WHEN action = 'new' THEN made WHEN action = 'switch' AND made > 0 THEN 1 END IGNORE NULLS) OVER (PARTITION BY session ORDER BY turn) AS active FROM n),

@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from sparkloom.plans import acts, analytics, answers, changes, ledger, matchings, matchings_sql, parties, records, retrieval, texts
+from sparkloom.plans import acts, analytics, answers, changes, chats, ledger, matchings, matchings_sql, parties, records, retrieval, texts
 
-MODULES = (retrieval, analytics, ledger, texts, matchings, parties, changes, acts, records, answers)
+MODULES = (retrieval, analytics, ledger, texts, matchings, parties, changes, acts, chats, records, answers)
 QUERIES = {name: query for m in MODULES for name, query in m.QUERIES.items()}
-ORACLES = {name: sql for m in (retrieval, analytics, ledger, texts, matchings_sql, parties, changes, acts, records, answers) for name, sql in m.ORACLES.items()}
+ORACLES = {name: sql for m in (retrieval, analytics, ledger, texts, matchings_sql, parties, changes, acts, chats, records, answers) for name, sql in m.ORACLES.items()}

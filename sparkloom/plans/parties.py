@@ -46,11 +46,9 @@ def _score(x: str, y: str) -> str:
     return f"CASE WHEN {x} = {y} THEN 1.0 WHEN {a} = 0 OR {b} = 0 THEN len({both})::DOUBLE / len(list_distinct(list_concat({tokens(x)}, {tokens(y)}))) ELSE {shares} END"
 
 
-ORACLES = {
-    "fuzzy_pairs_all": f"""WITH j AS (SELECT 'p' || p_partkey AS external_id, p_name AS p, lower(p_type) || ' stores' AS r FROM part
- UNION ALL SELECT 'c' || c_custkey, lower(c_name) || ' ' || lower(c_mktsegment), lower(n_name) || ' traders' FROM customer JOIN nation ON c_nationkey = n_nationkey),
-q AS (SELECT 'p' || p_partkey AS query_id, p_name || ' shop' AS a, lower(p_brand) || ' ' || lower(p_type) || ' stores' AS b FROM part
- UNION ALL SELECT 'c' || c_custkey, lower(n_name) || ' traders', lower(c_mktsegment) || ' ' || lower(c_name) FROM customer JOIN nation ON c_nationkey = n_nationkey),
+def matched_sql(judgments: str, queries: str) -> str:
+    """Common tables that end in k: a, b, external_id, score, rank of judgments (external_id, p, r) for queries (a, b)."""
+    return f"""j AS ({judgments}), q AS ({queries}),
 x AS (SELECT DISTINCT unnest([a, b]) AS x FROM q), y AS (SELECT DISTINCT unnest([p, r]) AS y FROM j),
 s AS MATERIALIZED (SELECT x, y, {_score('x', 'y')} AS s FROM x, y WHERE len(list_intersect(string_split(x, ' '), string_split(y, ' '))) > 0),
 ab AS (SELECT DISTINCT a, b FROM q), pr AS (SELECT DISTINCT p, r FROM j),
@@ -59,8 +57,16 @@ f AS (SELECT m.*, coalesce(s1.s, 0) AS ap, coalesce(s2.s, 0) AS ar, coalesce(s3.
  LEFT JOIN s s1 ON s1.x = a AND s1.y = p LEFT JOIN s s2 ON s2.x = a AND s2.y = r LEFT JOIN s s3 ON s3.x = b AND s3.y = p LEFT JOIN s s4 ON s4.x = b AND s4.y = r),
 c AS (SELECT a, b, p, r, least(greatest(ap, ar), greatest(bp, br)) AS score FROM f WHERE (ap > ar) <> (bp > br)),
 t AS (SELECT *, max(score) OVER (PARTITION BY a, b) AS best FROM c),
-k AS (SELECT a, b, external_id, score, row_number() OVER (PARTITION BY a, b ORDER BY score DESC, external_id) AS rank FROM t JOIN j USING (p, r) WHERE score >= CASE WHEN best >= 0.75 THEN 0.75 ELSE 0.6 END)
-SELECT query_id, external_id, round(score, 6) AS score, CAST(rank AS INTEGER) AS rank FROM q JOIN k USING (a, b) WHERE rank <= 5""",
+k AS (SELECT a, b, external_id, score, row_number() OVER (PARTITION BY a, b ORDER BY score DESC, external_id) AS rank FROM t JOIN j USING (p, r) WHERE score >= CASE WHEN best >= 0.75 THEN 0.75 ELSE 0.6 END
+ QUALIFY rank <= 5)"""
+
+
+_CUSTOMERS = "FROM customer JOIN nation ON c_nationkey = n_nationkey"
+ORACLES = {
+    "fuzzy_pairs_all": "WITH " + matched_sql(
+        f"SELECT 'p' || p_partkey AS external_id, p_name AS p, lower(p_type) || ' stores' AS r FROM part UNION ALL SELECT 'c' || c_custkey, lower(c_name) || ' ' || lower(c_mktsegment), lower(n_name) || ' traders' {_CUSTOMERS}",
+        f"SELECT 'p' || p_partkey AS query_id, p_name || ' shop' AS a, lower(p_brand) || ' ' || lower(p_type) || ' stores' AS b FROM part UNION ALL SELECT 'c' || c_custkey, lower(n_name) || ' traders', lower(c_mktsegment) || ' ' || lower(c_name) {_CUSTOMERS}",
+    ) + " SELECT query_id, external_id, round(score, 6) AS score, CAST(rank AS INTEGER) AS rank FROM q JOIN k USING (a, b)",
     "parties_containing": """WITH j AS (SELECT c_custkey AS external_id, 'customer ' || substr(c_name, 10) || ' ' || lower(c_mktsegment) AS p, lower(n_name) || ' traders' AS r FROM customer JOIN nation ON c_nationkey = n_nationkey),
 q AS (SELECT s_suppkey AS query_id, unnest([lpad(CAST(s_suppkey AS VARCHAR), 6, '0'), 'the customer ' || lpad(CAST(s_suppkey AS VARCHAR), 9, '0') || ' building house']) AS n FROM supplier),
 h AS (SELECT query_id, external_id, contains(p, n) OR contains(n, p) AS one, contains(r, n) OR contains(n, r) AS two FROM q, j)

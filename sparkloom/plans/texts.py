@@ -114,9 +114,14 @@ def case_number_expand(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "supplier").select("s_suppkey", F.array_join(T.case_numbers(made), "; ").alias("numbers"))
 
 
+#: Stated forms of citations, filled with each supplier's number, and a publisher with a short and a long name.
+CITED, HOUSE = ["see 2019 (3) SCC {}", "as in 2021 (5) tmi {} and 2019 SCC 1", "2018 TMI{}", "2020 Lex.online {} (HC)", "held in 2020  lex {}, 2017 SCC 4", "2016 SCC {}.", "2015 ( 2 )SCC{} and 2014 SCC 9", "none {}"], ("Lex", "Lex.online")
+
+
 def citation_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
-    made = F.when(F.col("s_suppkey") % 2 == 0, F.concat(F.lit("see 2019 (3) SCC "), F.col("s_suppkey").cast("string"))).otherwise(F.concat(F.lit("as in 2021 (5) tmi "), F.col("s_suppkey").cast("string"), F.lit(" and 2019 SCC 1")))
-    return table(spark, sf_dir, "supplier").select("s_suppkey", T.first_citation(made).alias("citation"))
+    form = F.element_at(F.array(*[F.lit(c) for c in CITED]), (F.col("s_suppkey") % len(CITED) + 1).cast("int"))
+    made = F.replace(form, F.lit("{}"), F.col("s_suppkey").cast("string"))
+    return table(spark, sf_dir, "supplier").select("s_suppkey", T.first_citation(made, HOUSE).alias("citation"))
 
 
 def cross_refs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -270,7 +275,9 @@ SELECT doc_id, count(*) AS lines, CAST(min(pos) AS INTEGER) AS first, CAST(max(p
     "core_case_number": "SELECT s_suppkey, 'wp' || s_suppkey || '2017' AS key FROM supplier",
     "normalize_party": r"""SELECT s_suppkey, trim(regexp_replace(regexp_replace(lower(s_name), '[^\w]', ' ', 'g'), '\s+', ' ', 'g')) || ' trading' AS anywhere, lower(s_name) || ' trading' AS ends FROM supplier""",
     "case_number_expand": """SELECT s_suppkey, array_to_string(list_sort(['Civil Appeal No. ' || s_suppkey || ' of 2016', 'W.P.M.P.No. ' || s_suppkey || ' of 2017', 'W.P.M.P.No. ' || (s_suppkey + 1) || ' of 2017']), '; ') AS numbers FROM supplier""",
-    "citation_extract": "SELECT s_suppkey, CASE WHEN s_suppkey % 2 = 0 THEN '2019 (3) SCC ' || s_suppkey ELSE '2021 (5) tmi ' || s_suppkey END AS citation FROM supplier",
+    "citation_extract": f"""WITH t AS (SELECT s_suppkey, replace([{", ".join(f"'{c}'" for c in CITED)}][s_suppkey % {len(CITED)} + 1], '{{}}', CAST(s_suppkey AS VARCHAR)) AS x FROM supplier),
+f AS (SELECT s_suppkey, coalesce({", ".join(f"nullif(regexp_extract(x, '(?i){p}'), '')" for p in (*T.REPORTS, "[0-9]{4}[ ]+Lex[.]online[ ]+[0-9]+", "[0-9]{4}[ ]+Lex[ ]+[0-9]+", *T.COURT_REPORTS))}) AS c FROM t)
+SELECT s_suppkey, CASE WHEN regexp_matches(c, '(?i)lex ') THEN regexp_replace(c, '(?i) +lex +', ' Lex.online ') ELSE c END AS citation FROM f""",
     "cross_refs": """SELECT p_partkey, array_to_string(list_sort(list_distinct([p_size || '(2)', '16', '7'])), ',') AS sections, '89A' AS rules, '12/2017' AS notifications, '05' AS forms, '9983' AS hsn_codes, '' AS sac_codes FROM part""",
     "keywords_topn": f"""WITH w AS (SELECT doc_id, {_WORDS} AS w FROM documents),
 t AS (SELECT doc_id, unnest(list_concat(w, list_transform(range(1, greatest(len(w), 1)), lambda i: w[i] || ' ' || w[i + 1]))) AS term FROM w),
