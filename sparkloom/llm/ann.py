@@ -10,8 +10,9 @@ vectors in double precision.
 
 Centroids, offsets, the number of lists to probe and each query's first bound come from a sample of SAMPLE vectors at most (those
 with the least hashes of their ids), which is broadcast; every vector is indexed. The number of probes is the least that finds
-TARGET of the sample's own neighbours. Lists are cut into parts of about PART vectors, so one that holds a third of all rows is many
-tasks.
+TARGET of the sample's own neighbours. Lists are cut into parts of about PART vectors and the queries that probe one into blocks of about BLOCK, so
+a list that holds a third of all rows is many tasks, each of bounded size. Of equal vectors the k + 1 with the smallest ids stand in the lists, since no other one can
+be among anyone's k nearest, and equal vectors that ask are one query, whose result all of them get, each without itself.
 
 Defined results: vectors that are null, zero, of a length other than the most common one, or with null or non-finite
 components take no part, nor do rows without a vec_id, which no result could name; any long is a vec_id; each row whose id asks is a query of its own, and every other row, those of the same id among them, is a
@@ -27,7 +28,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from .common import partitions, scratch, small_batches, tidied
 
-SAMPLE, CENTROIDS, FINE, PART, COLUMNS = 16_384, 256, 256, 4_096, 16
+SAMPLE, CENTROIDS, FINE, PART, BLOCK, COLUMNS = 16_384, 256, 256, 4_096, 1_024, 16
 EPSILON, TARGET, PROBED = 2.1, 0.97, 512
 
 
@@ -95,11 +96,10 @@ def probes(x: np.ndarray, lists: Lists, k: int) -> int:
     return int(places[min(len(places) - 1, int(np.ceil(TARGET * len(places))))]) + 1 if len(places) else len(centres)
 
 
-def scan(rotated: np.ndarray, original: np.ndarray, ids: np.ndarray, row: np.ndarray, q_rotated: np.ndarray, q: np.ndarray, own: int, bound: float, k: int) -> tuple[np.ndarray, np.ndarray]:
+def scan(rotated: np.ndarray, original: np.ndarray, ids: np.ndarray, q_rotated: np.ndarray, q: np.ndarray, bound: float, k: int) -> tuple[np.ndarray, np.ndarray]:
     """(ids, distances) of the k nearest of a part for one query; bound: squared distance beyond which nothing counts."""
     d = rotated.shape[1]
-    alive = np.flatnonzero(row != own)
-    partial = np.zeros(len(alive))
+    alive, partial = np.arange(len(rotated)), np.zeros(len(rotated))
     for start in range(0, d, COLUMNS):
         end = min(start + COLUMNS, d)
         block = rotated[alive, start:end] - q_rotated[start:end]
@@ -114,17 +114,17 @@ def scan(rotated: np.ndarray, original: np.ndarray, ids: np.ndarray, row: np.nda
 
 def search(vectors: DataFrame, every: int = 100, k: int = 10) -> DataFrame:
     """query_id, rank, vec_id, score: k nearest of every row whose vec_id is divisible by `every`."""
-    spark = vectors.sparkSession
+    spark, some = vectors.sparkSession, k + 1  # a query is among its own nearest
     small_batches(spark)
     rows = usable(vectors)
     taken = rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(SAMPLE).collect()
     if not taken:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    s_ids, s = np.array([r["vec_id"] for r in taken]), np.array([r["v"] for r in taken])
+    s = np.array([r["v"] for r in taken])
     turn = rotation(s.shape[1])
     index = Lists(s @ turn, rows.count())
     n_probes = probes(s @ turn, index, k)
-    shared = spark.sparkContext.broadcast((turn, index, index.centres(), s_ids, s))  # SAMPLE vectors and CENTROIDS * FINE centres at most
+    shared = spark.sparkContext.broadcast((turn, index, index.centres(), s))  # SAMPLE vectors and CENTROIDS * FINE centres at most
 
     @tidied
     def put(frames):
@@ -134,46 +134,58 @@ def search(vectors: DataFrame, every: int = 100, k: int = 10) -> DataFrame:
 
     @tidied
     def ask(frames):
-        turn, _, centres, ids, sample = shared.value
+        turn, _, centres, sample = shared.value
         for frame in frames:
             out = []
-            for row, own, v in zip(frame.row, frame.vec_id, frame.v, strict=True):
+            for query, v in zip(frame["query"], frame.v, strict=True):
                 v = np.array(v)
-                d = ((sample[ids != own] - v) ** 2).sum(1)
+                d = ((sample - v) ** 2).sum(1)
                 # rotated components are rounded: without the slack, copies of the query would be a hair beyond a bound of 0
-                bound = float(np.partition(d, k - 1)[k - 1]) * (1 + 1e-9) + 1e-9 * float(v @ v) if len(d) >= k else float("inf")
+                bound = float(np.partition(d, some - 1)[some - 1]) * (1 + 1e-9) + 1e-9 * float(v @ v) if len(d) >= some else float("inf")
                 order = np.argsort(squared((v @ turn)[None], centres)[0], kind="stable")[:n_probes]
-                out.append((row, own, v, bound, order.astype("int32").tolist()))
-            yield pd.DataFrame(out, columns=["row", "query_id", "q", "bound", "probes"])
+                out.append((query, v, bound, order.astype("int32").tolist()))
+            yield pd.DataFrame(out, columns=["query", "q", "bound", "probes"])
 
     def probe(part: pd.DataFrame, queries: pd.DataFrame) -> pd.DataFrame:
         turn, out = shared.value[0], []
         if len(part) and len(queries):
-            original, ids, row = np.array(part.v.tolist()), part.vec_id.to_numpy(), part.row.to_numpy()
+            original, ids = np.array(part.v.tolist()), part.vec_id.to_numpy()
             rotated = original @ turn
-            for own, query_id, q, bound in zip(queries.row, queries.query_id, queries.q, queries.bound, strict=True):
+            for query, q, bound in zip(queries["query"], queries.q, queries.bound, strict=True):
                 q = np.asarray(q)
-                found, distance = scan(rotated, original, ids, row, q @ turn, q, own, bound, k)
-                out += zip([own] * len(found), [query_id] * len(found), found.tolist(), distance.tolist(), strict=True)
-        return pd.DataFrame(out, columns=["row", "query_id", "vec_id", "score"]).astype({"row": "int64", "query_id": "int64", "vec_id": "int64", "score": "float64"})
+                found, distance = scan(rotated, original, ids, q @ turn, q, bound, some)
+                out += zip([query] * len(found), found.tolist(), distance.tolist(), strict=True)
+        return pd.DataFrame(out, columns=["query", "vec_id", "score"]).astype({"query": "int64", "vec_id": "int64", "score": "float64"})
 
     def scanned(asked: DataFrame) -> DataFrame:
-        """The k nearest that the lists of the queries hold, one list a row of asked."""
-        parts = asked.join(many, "list").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).drop("parts")
-        hits = stored.groupBy("list", "part").cogroup(parts.groupBy("list", "part")).applyInPandas(probe, "row long, query_id long, vec_id long, score double")
-        ranked = hits.withColumn("rank", F.row_number().over(Window.partitionBy("row").orderBy("score", "vec_id")))
-        return ranked.where(F.col("rank") <= k)
-
-    indexed = rows.mapInPandas(put, "vec_id long, v array<double>, list int").withColumn("row", F.monotonically_increasing_id())
-    indexed = scratch(indexed, "lists")  # from here on, row stands for a row
+        """The nearest that the lists of the queries hold, one list a row of asked: parts of lists against blocks of queries."""
+        blocks = asked.groupBy("list").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+        met = F.broadcast(scratch(many.join(blocks, "list"), "blocks", 16))  # a row a list
+        deal = lambda c, n: F.pmod(F.xxhash64(c), F.col(n)).cast("int")
+        left = indexed.join(met, "list").select("list", deal("row", "parts").alias("part"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), "vec_id", "v")
+        right = asked.join(met, "list").select("list", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), deal("query", "blocks").alias("block"), "query", "q", "bound")
+        hits = left.groupBy("list", "part", "block").cogroup(right.groupBy("list", "part", "block")).applyInPandas(probe, "query long, vec_id long, score double")
+        return best(hits)
+
+    def best(hits: DataFrame) -> DataFrame:
+        return hits.withColumn("rank", F.row_number().over(Window.partitionBy("query").orderBy("score", "vec_id"))).where(F.col("rank") <= some)
+
+    # of equal vectors, only those with the smallest ids can be among anyone's nearest; those that ask, ask once
+    copies = rows.withColumn("copy", F.row_number().over(Window.partitionBy("v").orderBy("vec_id"))).where(F.col("copy") <= some).drop("copy")
+    indexed = scratch(copies.mapInPandas(put, "vec_id long, v array<double>, list int").withColumn("row", F.monotonically_increasing_id()), "lists")
     many = scratch(indexed.groupBy("list").agg(F.ceil(F.count("*") / PART).cast("int").alias("parts")), "parts", 16)  # a row a list
-    stored = indexed.join(F.broadcast(many), "list").withColumn("part", F.pmod(F.xxhash64("row"), F.col("parts")).cast("int")).drop("parts")
-    asking = indexed.where(F.col("vec_id") % every == 0).select("row", "vec_id", "v").repartition(partitions(spark), "row")
-    queries = scratch(asking.mapInPandas(ask, "row long, query_id long, q array<double>, bound double, probes array<int>"), "queries")
-    first = scratch(scanned(queries.select("row", "query_id", "q", "bound", F.get("probes", F.lit(0)).alias("list"))), "first", 8)
-    worst = first.groupBy("row").agg(F.max(F.when(F.col("rank") == k, F.col("score"))).alias("worst"))
-    # the k-th distance of the nearest list bounds the others; the same slack as above
+    asking = rows.where(F.col("vec_id") % every == 0)
+    different = scratch(asking.select("v").distinct().withColumn("query", F.monotonically_increasing_id()), "different")  # from here on, query stands for a vector that asks
+    queries = scratch(different.repartition(partitions(spark), "query").mapInPandas(ask, "query long, q array<double>, bound double, probes array<int>"), "queries")
+    first = scratch(scanned(queries.select("query", "q", "bound", F.get("probes", F.lit(0)).alias("list"))), "first", 8)
+    worst = first.groupBy("query").agg(F.max(F.when(F.col("rank") == some, F.col("score"))).alias("worst"))
+    # the last distance of the nearest list bounds the others; the same slack as above
     tighter = F.least("bound", F.coalesce(F.col("worst") * F.col("worst") * (1 + 1e-9) + 1e-9 * F.aggregate("q", F.lit(0.0), lambda a, x: a + x * x), F.col("bound")))
-    rest = queries.join(worst, "row", "left").select("row", "query_id", "q", tighter.alias("bound"), F.explode(F.slice("probes", 2, n_probes)).alias("list"))
-    both = first.unionByName(scanned(rest)).withColumn("rank", F.row_number().over(Window.partitionBy("row").orderBy("score", "vec_id")))
-    return both.where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    rest = scratch(queries.join(worst, "query", "left").select("query", "q", tighter.alias("bound"), F.explode(F.slice("probes", 2, n_probes)).alias("list")), "rest", 2)
+    found = best(first.drop("rank").unionByName(scanned(rest).drop("rank")))
+    lists = found.groupBy("query").agg(F.array_sort(F.collect_list(F.struct("score", "vec_id"))).alias("near"))  # k + 1 at most
+    # every row that asks gets its vector's list without itself: one row of its id at distance 0
+    out = asking.join(different, "v").join(lists, "query").select(F.col("vec_id").alias("query_id"), "near")
+    own = F.array_position(F.transform("near", lambda x: (x["vec_id"] == F.col("query_id")) & (x["score"] == 0)), True)
+    others = F.slice(F.filter("near", lambda x, i: i + 1 != own), 1, k)
+    return out.select("query_id", F.posexplode(others).alias("rank", "x")).select("query_id", (F.col("rank") + 1).cast("int").alias("rank"), "x.vec_id", "x.score")
