@@ -28,7 +28,7 @@ BESIDE = 8
 SIGNS = "A-Za-z0-9+/_.-"
 TOKEN = rf"(?<![{SIGNS}])(?=[+/_.-]*+[A-Za-z0-9])[{SIGNS}]{{{LEAST},}}+(?:={{1,2}}(?![{SIGNS}=]))?"
 #: Words beside a secret; words that name a checksum or an example; common syllables and words of plain text and code.
-CUES = r"(?i)(token|secret|passw|pwd|api.?key|access.?key|private.?key|auth|bearer|credential)"
+CUES = r"(?i)(token|secret|passw|passphrase|pwd|\bpw\b|api.?key|access.?key|private.?key|auth|bearer|credential)"
 CUE = CUES.removeprefix("(?i)")
 #: A cue word, the rest of its name, at most one sign of assignment, and a quote or none. The short test comes first, as it rules most places out.
 NEAR = rf"(?<=[\s:=>\"'`])(?=[^\s\"'`:=>])(?<=(?i:{CUE})[A-Za-z0-9_.-]{{0,24}}[\"'`]?\s{{0,3}}(?:[:=]|=>|:=|\s)\s{{0,3}}[\"'`]?)"
@@ -39,6 +39,7 @@ BLOCK = r"(?<=PRIVATE KEY-----)[\sA-Za-z0-9+/=]{32,}+(?=-----END)"
 VALUE = rf"{IN_URL}|{BLOCK}|{NEAR}(?:{QUOTED}|{BARE})|{TOKEN}"
 #: Texts without any of these hold no candidates but tokens.
 HINTS = rf"{CUES}|://[^\s/@:]++:[^\s/@]++@"
+PASSWORD = r"(?i)(passw|passphrase|pwd|\bpw\b)"
 BENIGN = r"(?i)(sha-?(1|256|512)|md5|checksum|digest|commit|revision|etag|uuid|example|sample|placeholder|dummy|version|build)"
 WORDS = r"(?i)(the|and|ing|tion|ent|ers|est|ment|able|with|that|ung|ein|sch|ver|lich|eau|que|aux|elle|ción|mente|ado|path|name|file|test|data|user|http|www|com|org)"
 NAMES = ["len", "turns", "digits", "upper", "words", "path", "cue", "benign", "quoted", "repeat", "signs", "vowels", "place"]
@@ -69,7 +70,7 @@ def candidates(docs: DataFrame) -> DataFrame:
         turns = (n - F.length(F.regexp_replace(hit, r"(?<=[0-9])(?=[^0-9])|(?<=[^0-9])(?=[0-9])|(?<=[a-z])(?=[A-Z])", "~"))) * -100 / n
         codes = {
             "len": _step(n, 12, 16, 20, 28, 36, 40, 41, 64), "turns": _step(turns, 10, 20, 30, 45), "digits": _step(share("[^0-9]"), 10, 25, 50, 80), "upper": _step(share("[^A-Z]"), 1, 20, 60),
-            "words": _step(100 - share(WORDS), 10, 25, 50), "path": _step(share("[^/.]"), 1, 8), "cue": F.when(before.rlike(CUES), 1).otherwise(0), "benign": F.when(before.rlike(BENIGN), 1).otherwise(0),
+            "words": _step(100 - share(WORDS), 10, 25, 50), "path": _step(share("[^/.]"), 1, 8), "cue": F.when(before.rlike(PASSWORD), 2).when(before.rlike(CUES), 1).otherwise(0), "benign": F.when(before.rlike(BENIGN), 1).otherwise(0),
             "quoted": F.when(before.rlike("[\"'`=:]\\s?$"), 1).otherwise(0), "repeat": F.when(hit.rlike(r"(.)\1{5}"), 1).otherwise(0),
             "signs": _step(share("[A-Za-z0-9]"), 1, 15, 40), "vowels": _step(share("(?i)[^aeiouyäöüéèóá]"), 12, 25, 50),
             "place": F.when(before.rlike(r"://[^\s/@:]+:$"), 1).when(before.rlike("PRIVATE KEY-----$"), 2).otherwise(0),
@@ -87,6 +88,7 @@ def labelled(spark: SparkSession) -> DataFrame:
     word = F.array(*[F.lit(w) for w in ("reading", "mentation", "verlichung", "handler", "configuration", "testdata", "elleaux", "ciónmente", "username", "thening")])
     pick = lambda words, salt: F.element_at(words, (F.pmod(F.xxhash64("id", F.lit(salt)), F.size(words)) + 1).cast("int"))
     cue, one, two = pick(plain, 1), pick(word, 2), pick(word, 3)
+    password = pick(F.array(*[F.lit(w) for w in ("password", "PASSWORD", "pwd", "pw", "db_passwd", "passphrase")]), 8)
     number = F.pmod(F.xxhash64("id"), F.lit(99999)).cast("string")
     letters = F.translate(wide, "0123456789+/", "qXwZkVbNgRtP")
     lower = F.translate(F.substring(b, 1, 12), "0123456789", "qxwzkvjngt")
@@ -100,6 +102,9 @@ def labelled(spark: SparkSession) -> DataFrame:
         (F.lit("aws_access_key_id="), F.concat(F.lit("AKIA"), F.upper(F.substring(b, 1, 16))), empty), (F.lit("aws_secret_access_key="), F.substring(wide, 1, 40), empty), (F.concat(cue, tail, assign), F.substring(letters, 1, 16), empty),
         (F.concat(F.lit("db_"), cue, assign), signed, empty), (F.concat(cue, tail, assign), F.substring(wide, 1, 9), empty), (F.concat(cue, tail, assign), lower, empty), (F.concat(cue, assign, quote), F.concat(signed, F.lit("?")), quote),
         (F.concat(cue, tail, assign), F.concat(F.substring(letters, 1, 6), F.lit("!x9")), empty),
+        # passwords made of words: beside a word for passwords the dictionary alone doesn't decide
+        (F.concat(password, assign), F.concat_ws("-", one, two, F.reverse(one), two), empty), (F.concat(password, assign, quote), F.concat_ws(".", two, one, F.reverse(two)), quote),
+        (F.concat(password, assign), F.concat(F.substring(two, 1, 6), number, F.lit("xyz")), empty),
         (F.concat(F.lit("https://"), one, F.lit(":")), F.substring(F.regexp_replace(wide, "[+/]", "x"), 1, 12), F.lit("@db.example/x")), (F.concat(F.lit("amqp://"), one, F.lit(":")), signed, F.lit("@host")),
         (F.concat(F.lit("postgres://"), one, F.lit(":")), F.concat(F.substring(letters, 1, 5), number), F.lit("@10.0.0.1/db")),
         (F.lit("-----BEGIN RSA PRIVATE KEY-----"), F.concat(F.lit("\n"), wide, F.lit("\n"), F.base64(F.unhex(a)), F.lit("\n")), F.lit("-----END RSA PRIVATE KEY-----")),
@@ -108,6 +113,7 @@ def labelled(spark: SparkSession) -> DataFrame:
     wrong = [F.concat(F.lit("see "), one, F.lit("/"), two, F.lit("/"), number, F.lit(".html")), F.concat(one, F.lit("_"), two, F.lit("_"), number), F.concat(F.lit("commit "), a), F.concat(F.lit("sha256 checksum: "), b), F.concat(one, F.lit("-"), two, F.lit("-v"), number, F.lit(".0.1")), F.concat(F.lit("phone-"), number, F.lit("-"), number, F.lit("-x1")), F.concat(cue, F.lit('="xxxxxxxxxxxxxxxx12"')), F.concat(F.lit("uuid "), F.substring(a, 1, 8), F.lit("-"), F.substring(a, 9, 4), F.lit("-"), F.substring(a, 13, 4), F.lit("-"), F.substring(b, 1, 12)), F.concat(one, two, number, one, two)]
     # what has no digit, stands beside a cue word, or is all digits or signs
     wrong += [F.upper(F.concat(one, two, one)), F.concat(one, two, one), F.concat(F.initcap(one), F.initcap(two), F.initcap(one)), F.concat(cue, F.lit(" "), one, two), F.concat(cue, assign, one, two), F.concat(cue, assign, F.lit("get"), F.initcap(one), F.initcap(two)), F.concat(cue, assign, one, F.lit("."), two), F.concat(cue, assign, F.lit("your_"), one), F.concat(one, F.lit("_"), two, F.lit("_"), one, F.lit("="), two), F.concat(number, number, number, number), F.concat(F.repeat(F.lit("-"), 20), one), F.concat(cue, F.lit(": ********")), F.concat(cue, F.lit("=/"), one, F.lit("/"), two)]
+    wrong += [F.concat(cue, assign, F.concat_ws("-", one, two, one)), F.concat(password, F.lit(": "), one), F.concat(password, F.lit(" "), one, F.lit(" "), two), F.concat(password, assign, F.lit("${"), F.upper(one), F.lit("_"), F.upper(two), F.lit("}")), F.concat(password, assign, F.lit("<your-"), one, F.lit(">"))]
     # placeholders and words where a password or a key would stand
     wrong += [F.concat(F.lit("https://"), one, F.lit(":"), two, F.lit("@host")), F.concat(F.lit("https://user:password@"), one), F.concat(F.lit("amqp://"), one, F.lit(":xxxxxxxx@host")), F.concat(F.lit("ftp://name:${"), F.upper(two), F.lit("}@host")), F.concat(F.lit("-----BEGIN PRIVATE KEY-----\n"), F.repeat(F.concat(one, F.lit(" "), two, F.lit(" ")), 3), F.lit("\n-----END PRIVATE KEY-----")), F.concat(F.lit("-----BEGIN PRIVATE KEY-----\n"), F.repeat(F.lit("x"), 64), F.lit("\n-----END PRIVATE KEY-----"))]
     rows = spark.range(FINDINGS).withColumn("secret", (F.col("id") % 2).cast("int"))

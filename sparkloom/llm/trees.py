@@ -1,8 +1,8 @@
 """Small decision trees over coded features: grown with numpy on counts of feature patterns, applied as SQL expressions.
 
 Every feature is a small integer code, so candidates fall into a bounded number of patterns and a grouped count holds all that
-growing needs: no row leaves the executors but the pattern counts. A tree becomes nested CASE expressions, which run inside the
-JVM beside the rest of the plan."""
+growing needs: no row leaves the executors but the pattern counts. Trees become nested conditions or, where there are many, constant arrays that are walked;
+both run inside the JVM beside the rest of the plan."""
 
 from __future__ import annotations
 
@@ -88,8 +88,31 @@ def _scale(node: Node, by: float) -> None:
             _scale(part, by)
 
 
+def _flat(node: Node, into: list[tuple]) -> int:
+    """The number of a node in a table of (feature, cut, low, high, value); leaves lead to themselves."""
+    at = len(into)
+    into.append(())
+    into[at] = (0, 0, at, at, node.value) if node.feature < 0 else (node.feature, node.cut, _flat(node.low, into), _flat(node.high, into), node.value)
+    return at
+
+
+def _depth(node: Node) -> int:
+    return 0 if node.feature < 0 else 1 + max(_depth(node.low), _depth(node.high))
+
+
 def forest_share(trees: list[Node], names: list[str]) -> Column:
-    return F.expr("(" + " + ".join(expression(t, names) for t in trees) + f") / {len(trees)}") if trees else F.lit(0.0)
+    """The trees' mean. All nodes stand in constant arrays and each tree is walked by number, so the plan's code is small however many trees there are."""
+    if not trees:
+        return F.lit(0.0)
+    nodes: list[tuple] = []
+    roots = [_flat(t, nodes) for t in trees]
+    column = lambda k: f"array({', '.join(f'{n[k]!r}D' if k == 4 else str(n[k]) for n in nodes)})"
+    codes = f"array({', '.join(f'cast({n} as int)' for n in names)})"
+    # what is looked up in is bound once; constants fold into literals
+    walk = "aggregate(sequence(1, {depth}), r, (n, i) -> if(get(x.codes, get(x.feature, n)) <= get(x.cut, n), get(x.low, n), get(x.high, n)))"
+    total = f"aggregate(array({', '.join(map(str, roots))}), 0D, (s, r) -> s + get(x.value, {walk.format(depth=max(1, max(map(_depth, trees))))}))"
+    table = f"named_struct('codes', {codes}, 'feature', {column(0)}, 'cut', {column(1)}, 'low', {column(2)}, 'high', {column(3)}, 'value', {column(4)})"
+    return F.expr(f"element_at(transform(array({table}), x -> {total}), 1) / {len(trees)}")
 
 
 def boosted_score(base: float, trees: list[Node], names: list[str]) -> Column:
