@@ -376,7 +376,7 @@ def most_frequent(terms: Column, n: int) -> Column:
 
         def runs(at: Column) -> Column:
             ends = F.concat(F.slice(at, 2, F.greatest(F.size(at) - 1, F.lit(0))), F.array(F.size(xs)))
-            return F.zip_with(at, ends, lambda a, e: F.struct((a - e).alias("less"), F.get(xs, a).alias("term")))
+            return F.slice(F.zip_with(at, ends, lambda a, e: F.struct((a - e).alias("less"), F.get(xs, a).alias("term"))), 1, F.size(at))  # none of no terms
 
         best = F.slice(F.array_sort(once(heads, runs)), 1, n)
         return F.transform(best, lambda x, i: F.struct(x["term"].alias("term"), (-x["less"]).cast("long").alias("times"), (i + 1).cast("int").alias("rank")))

@@ -6,6 +6,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from sparkloom.functions import text as T
+from sparkloom.sources.cut import cut
 
 #: Slack for sums of doubles; the score itself decides.
 EPS = 1e-9
@@ -67,13 +68,13 @@ def paired(queries: DataFrame, judgments: DataFrame, high: float, low: float, to
     Each party takes its better side, the two must point to opposite sides, and the lower of both counts; where any score reaches `high`, only such
     count, else those from `low` on; the best `top` stay. Equal judgments score alike, so the first `top` of them stand for all; equal queries
     are asked once. Of a query's two parties, that whose similar names have fewer judgments is followed to them; the other one is looked up there."""
-    cases = judgments.withColumn("nth", F.row_number().over(Window.partitionBy("p", "r").orderBy("external_id"))).where(F.col("nth") <= top)
+    cases = cut(judgments.withColumn("nth", F.row_number().over(Window.partitionBy("p", "r").orderBy("external_id"))).where(F.col("nth") <= top).drop("nth"))
     pairs = cases.select("p", "r").distinct()
     asked = queries.select("a", "b").distinct()
     # once as it stands, a for the petitioner, and once the other way round
     both = asked.select(F.col("a").alias("xp"), F.col("b").alias("xr"), F.lit(True).alias("straight")).union(asked.select("b", "a", F.lit(False)))
     own = asked.select(F.explode(F.array("a", "b")).alias("name")).distinct()
-    like = similar(own, pairs.select(F.explode(F.array("p", "r")).alias("name")).distinct(), low)
+    like = cut(similar(own, pairs.select(F.explode(F.array("p", "r")).alias("name")).distinct(), low))  # read six times
     side = lambda c: pairs.groupBy(F.col(c).alias("y")).agg(F.count("*").alias("many"))
     cost = lambda c: like.join(side(c), "y").groupBy(F.col("x").alias(f"x{c}")).agg(F.sum("many").alias(f"cost_{c}"))
     ways = both.join(cost("p"), "xp").join(cost("r"), "xr")
