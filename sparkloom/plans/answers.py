@@ -216,8 +216,8 @@ def named_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def minutes_cleaned(spark: SparkSession, sf_dir: str) -> DataFrame:
-    x = F.concat(F.lit("Page  12 "), "text", F.lit("\n\nCouncil Secretariat page 3 "))
-    return table(spark, sf_dir, "benchmark").select("item_id", T.clean_minutes(x).alias("cleaned"))
+    x = F.concat(F.lit("Page  12 "), F.coalesce("text", F.lit("")), F.lit("\n\nCouncil Secretariat page 3 "))
+    return table(spark, sf_dir, "documents").select("doc_id", F.sha2(T.clean_minutes(x), 256).alias("cleaned_sha256"))
 
 
 QUERIES = {f.__name__: f for f in (hybrid_retrieval, issue_retrieval, answer_assembly, source_blocks, form_kinds, all_keys_index, index_lookups, case_states, attribution, token_counters, cached_lists, changed_rows, legal_priorities, full_judgments, active_sessions, publisher_forms, named_pairs, minutes_cleaned)}
@@ -315,5 +315,5 @@ SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY rank, ex
     "active_sessions": "SELECT role, count(DISTINCT conv_id % 50) AS users, count(DISTINCT conv_id) AS sessions, count(*) AS messages FROM conversations GROUP BY 1",
     "publisher_forms": "SELECT s_suppkey, CASE WHEN s_suppkey % 3 > 0 THEN '2019 Tax Matters ' ELSE '2019 SCC ' END || s_suppkey AS citation FROM supplier",
     "named_pairs": """SELECT p_partkey, 0 AS n, array_to_string(list_transform(string_split(p_name, ' '), lambda w: upper(w[1]) || lower(w[2:])), ' ') AS a, 'Other' AS b FROM part""",
-    "minutes_cleaned": r"""SELECT item_id, trim(replace(regexp_replace(regexp_replace('Page  12 ' || text || chr(10) || chr(10) || 'Council Secretariat page 3 ', '\s+', ' ', 'g'), 'Page\s+\d+', '', 'g'), 'Council Secretariat', '')) AS cleaned FROM benchmark""",
+    "minutes_cleaned": r"""SELECT doc_id, sha256(trim(replace(regexp_replace(regexp_replace('Page  12 ' || coalesce(text, '') || chr(10) || chr(10) || 'Council Secretariat page 3 ', '\s+', ' ', 'g'), 'Page\s+\d+', '', 'g'), 'Council Secretariat', ''))) AS cleaned_sha256 FROM documents""",
 }

@@ -13,7 +13,9 @@ from sparkloom.sources.tables import table
 
 #: Stated queries.
 PARTIES = [(1, "M/s. Small Ring & Ors.", "Economy Stores Ltd."), (2, "Red Widget", None), (3, "small stores", "Blue Bolt Pvt. Ltd."), (4, "promo stores", None), (5, "unknown", "nobody")]
-QUESTIONS = [(1, "what does section 16(2) say"), (2, "section 7"), (3, "rule 89A refunds"), (4, "hsn 10"), (5, "sac 3"), (6, "gstat form 05"), (7, "register 007"), (8, "53rd council meeting"), (9, "rule-15"), (10, "nothing at all")]
+ASKED = [(2, "section 7"), (3, "rule 89A refunds")]
+#: Forms of questions, filled with each part's size.
+QUESTIONS = ["what does section {}(2) say", "section {}", "Rule {}A refunds", "HSN {}", "sac {}", "GSTAT form 0{}", "register 00{}", "{}rd council meeting", "rule-{}", "nothing at all"]
 KINDS = ["judgment", "definition", "article", "rule", "faq"]
 
 
@@ -36,13 +38,15 @@ def metadata_index_build(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def query_probes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    q = _values(spark, QUESTIONS, "query_id int, text string").withColumn("p", M.probe(F.col("text")))
-    return q.select("query_id", F.col("p.index_name").alias("index_name"), F.col("p.key").alias("key"), F.col("p.sub").alias("sub"))
+    """The first probe of every part's question."""
+    form = F.element_at(F.array(*[F.lit(q) for q in QUESTIONS]), (F.col("p_partkey") % len(QUESTIONS) + 1).cast("int"))
+    asked = table(spark, sf_dir, "part").select("p_partkey", F.replace(form, F.lit("{}"), F.col("p_size").cast("string")).alias("text"))
+    return asked.withColumn("p", M.probe(F.col("text"))).select("p_partkey", F.col("p.index_name").alias("index_name"), F.col("p.key").alias("key"), F.col("p.sub").alias("sub"))
 
 
 def exact_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Stated questions, broadcast, against the index on (name, key)."""
-    probes = query_probes(spark, sf_dir).where("index_name = 'rule' or (index_name = 'section' and sub is null)").drop("sub")
+    probes = _values(spark, ASKED, "query_id int, text string").select("query_id", M.probe(F.col("text")).alias("p")).select("query_id", "p.index_name", "p.key")
     return metadata_index_build(spark, sf_dir).join(F.broadcast(probes), ["index_name", "key"]).select("query_id", "chunk_id")
 
 
@@ -150,7 +154,7 @@ def sibling_semi_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "lang", "source")
     hits = docs.where("doc_id < 3")  # the stated hits
     keyed = lambda d: d.select("doc_id", F.explode(F.array(F.concat(F.lit("s"), "source"), F.concat(F.lit("l"), "lang"))).alias("k"))
-    return keyed(docs).join(F.broadcast(keyed(hits).select("k").distinct()), "k", "left_semi").select("doc_id").distinct().join(F.broadcast(hits.select("doc_id")), "doc_id", "left_anti")
+    return keyed(docs).join(keyed(hits).select("k").distinct(), "k", "left_semi").select("doc_id").distinct().join(hits.select("doc_id"), "doc_id", "left_anti")
 
 
 def unseen_only(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -31,8 +31,8 @@ def _fuzzy(a: str, b: str) -> str:
 
 ORACLES = {
     "metadata_index_build": f"SELECT * FROM {_INDEX}",
-    "query_probes": """SELECT * FROM (VALUES (1, 'section', '16', '2'), (2, 'section', '7', NULL), (3, 'rule', '89a', NULL), (4, 'hsn', '10', NULL), (5, 'sac', '3', NULL),
- (6, 'form', '5', NULL), (7, 'register', '7', NULL), (8, 'council', '53', NULL), (9, 'court_rule', '15', NULL), (10, NULL, NULL, NULL)) t(query_id, index_name, key, sub)""",
+    "query_probes": """SELECT p_partkey, ['section', 'section', 'rule', 'hsn', 'sac', 'form', 'register', 'council', 'court_rule', NULL][p_partkey % 10 + 1] AS index_name,
+ CASE p_partkey % 10 WHEN 9 THEN NULL WHEN 2 THEN p_size || 'a' ELSE CAST(p_size AS VARCHAR) END AS key, CASE WHEN p_partkey % 10 = 0 THEN '2' END AS sub FROM part""",
     "exact_lookup": f"SELECT CASE key WHEN '7' THEN 2 ELSE 3 END AS query_id, chunk_id FROM {_INDEX} WHERE (index_name = 'section' AND key = '7') OR (index_name = 'rule' AND key = '89a')",
     "section_prefix_lookup": "SELECT p_size AS section, count(*) AS chunks, min(p_partkey) AS first FROM part WHERE p_size % 2 <> 0 OR p_partkey % 3 = 1 GROUP BY 1",
     "party_match_exact": f"""SELECT query_id, external_id, CASE min(rank) WHEN 0 THEN 'both' WHEN 1 THEN 'petitioner' ELSE 'respondent' END AS reason FROM (

@@ -88,20 +88,21 @@ def plain_signs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def capped_keywords(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The first ten words of an article that differ but for case."""
-    return table(spark, sf_dir, "benchmark").select("item_id", F.array_join(R.capped_keywords(F.regexp_extract_all("text", F.lit("[A-Za-z]+"), F.lit(0))), " ").alias("keywords"))
+    """The first ten words of a document that differ but for case."""
+    words = F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit("[A-Za-z]+"), F.lit(0))
+    return table(spark, sf_dir, "documents").select("doc_id", F.array_join(R.capped_keywords(words), " ").alias("keywords"))
 
 
 def _keep_first(rows: DataFrame, key: Column) -> DataFrame:
     """By key, the row of the least (list, place)."""
-    return rows.groupBy(key.alias("key")).agg(F.min(F.struct("list", "place", "id", "text")).alias("m")).select("key", "m.list", "m.place", "m.id")
+    return rows.groupBy(key.alias("key")).agg(F.min(F.struct("list", "place", "id")).alias("m")).select("key", "m.list", "m.place", "m.id")
 
 
 def merged_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Three lists of candidates; of equal ids, or without an id of equal first 120 characters, the first stays."""
     docs = table(spark, sf_dir, "documents").where("text is not null")
     one = lambda n, where, id_: docs.where(where).select(F.lit(n).alias("list"), F.col("doc_id").alias("place"), id_.cast("string").alias("id"), "text")
-    rows = one(0, "doc_id % 3 = 0", F.col("doc_id")).unionByName(one(1, "doc_id % 2 = 0", F.col("doc_id"))).unionByName(one(2, "doc_id % 5 < 2", F.lit("")))
+    rows = one(0, "doc_id % 3 = 0", F.col("doc_id")).unionByName(one(1, "doc_id % 2 = 0", F.col("doc_id"))).unionByName(one(2, "true", F.lit("")))
     return _keep_first(rows, F.coalesce(F.nullif("id", F.lit("")), F.left("text", F.lit(120)))).select(F.sha2("key", 256).alias("key_sha256"), "list", "place")
 
 
@@ -246,11 +247,11 @@ SELECT *, 'Rule ' || coalesce(number, '?') || ' relates to ' || title || '.' AS
  || array_to_string(list_transform(range(1, len(texts) + 1), lambda i: i || '. ' || texts[i]), chr(10))) AS analysis_sha256,
  sha256(array_to_string(list_transform(range(1, len(texts) + 1), lambda i: '[PAGE ' || i || ']' || chr(10) || texts[i]), chr(10) || chr(10))) AS pages_sha256 FROM {_LISTS}""",
     "plain_signs": "SELECT s_suppkey, '\"' || s_name || '\" - it''s ' || s_nationkey || '...' AS plain FROM supplier",
-    "capped_keywords": """WITH w AS (SELECT item_id, unnest(regexp_extract_all(text, '[A-Za-z]+')) AS w, unnest(range(len(regexp_extract_all(text, '[A-Za-z]+')))) AS i FROM benchmark),
-f AS (SELECT item_id, lower(w) AS k, arg_min(w, i) AS w, min(i) AS i FROM w GROUP BY 1, 2 QUALIFY row_number() OVER (PARTITION BY item_id ORDER BY min(i)) <= 10)
-SELECT item_id, string_agg(w, ' ' ORDER BY i) AS keywords FROM f GROUP BY 1""",
+    "capped_keywords": """WITH w AS (SELECT doc_id, unnest(regexp_extract_all(text, '[A-Za-z]+')) AS w, unnest(range(len(regexp_extract_all(text, '[A-Za-z]+')))) AS i FROM documents),
+f AS (SELECT doc_id, lower(w) AS k, arg_min(w, i) AS w, min(i) AS i FROM w GROUP BY 1, 2 QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY min(i)) <= 10),
+k AS (SELECT doc_id, string_agg(w, ' ' ORDER BY i) AS keywords FROM f GROUP BY 1) SELECT doc_id, coalesce(keywords, '') AS keywords FROM documents LEFT JOIN k USING (doc_id)""",
     "merged_candidates": """WITH u AS (SELECT 0 AS list, doc_id AS place, CAST(doc_id AS VARCHAR) AS key FROM documents WHERE doc_id % 3 = 0 AND text IS NOT NULL UNION ALL SELECT 1, doc_id, CAST(doc_id AS VARCHAR) FROM documents WHERE doc_id % 2 = 0 AND text IS NOT NULL
- UNION ALL SELECT 2, doc_id, substr(text, 1, 120) FROM documents WHERE doc_id % 5 < 2 AND text IS NOT NULL)
+ UNION ALL SELECT 2, doc_id, substr(text, 1, 120) FROM documents WHERE text IS NOT NULL)
 SELECT sha256(key) AS key_sha256, list, place FROM u QUALIFY row_number() OVER (PARTITION BY key ORDER BY list, place) = 1""",
     "merged_preferences": """WITH u AS (SELECT conv_id, role AS x, 0 AS part, turn FROM conversations UNION ALL SELECT conv_id, substr(text, 1, 1), 1, turn FROM conversations),
 f AS (SELECT conv_id, x, min(part * 1000000 + turn) AS pos FROM u GROUP BY 1, 2) SELECT conv_id, string_agg(x, '|' ORDER BY pos) AS merged FROM f GROUP BY 1""",
