@@ -54,11 +54,18 @@ NAMESPACE = uuid.UUID("00000000-0000-0000-0000-000000000000")
 MANIFEST = "file string, begin long, end long, records long"
 
 
+def qualified(spark: SparkSession, folder: str) -> str:
+    """The folder with the scheme that Spark takes it by, as tasks without Spark understand it."""
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    whole = place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(place).toString()
+    return re.sub("^file:/+", "file:///", re.sub("^s3[an]:", "s3:", whole))
+
+
 def store(folder: str):
-    """(file system, path) of a folder that driver and executors share."""
+    """(file system, path) of a qualified folder."""
     from pyarrow import fs
 
-    return fs.FileSystem.from_uri(folder if "://" in folder or folder.startswith("file:") else f"file://{folder}")
+    return fs.FileSystem.from_uri(folder)
 
 
 def records(pages: DataFrame) -> DataFrame:
@@ -197,7 +204,7 @@ def write(pages: DataFrame, folder: str, min_bytes: int = 0, shard_bytes: int =
     """Writes the archive of pages (page_id, url, html) into an empty folder and returns its manifest: file, begin, end, records."""
     spark = pages.sparkSession
     small_batches(spark)
-    rows = records(pages)
+    shared, rows = qualified(spark, folder), records(pages)
     keys = scratch(verdicts(rows, min_bytes), "warc-verdicts", 2)
     total = keys.agg(F.coalesce(F.sum(F.col("copies") * (F.col("n") + HEADER)), F.lit(0))).first()[0]
     shards = max(partitions(spark), -(-total // shard_bytes))
@@ -228,7 +235,7 @@ def write(pages: DataFrame, folder: str, min_bytes: int = 0, shard_bytes: int =
                     if files is not None:
                         files.close()
                         yield done(files)
-                    files = Files(folder, shard[k].as_py(), roll_bytes, level, date)
+                    files = Files(shared, shard[k].as_py(), roll_bytes, level, date)
                 if about[k].is_valid:
                     key, nth = about[k].as_py(), 0
                     continue
@@ -297,11 +304,11 @@ ARROW = {"long": pa.int64(), "string": pa.string()}
 
 def read(spark: SparkSession, folder: str, columns: tuple[str, ...] = tuple(ROWS)) -> DataFrame:
     """The records of an archive with a manifest, one row each, all digests checked; html is null for revisits."""
-    at = [list(ROWS).index(c) for c in columns]
+    at, shared = [list(ROWS).index(c) for c in columns], qualified(spark, folder)
 
     @tidied
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        fs, base = store(folder)
+        fs, base = store(shared)
         for batch in batches:
             for name, begin, end in zip(*(batch.column(c).to_pylist() for c in ("file", "begin", "end")), strict=True):
                 with fs.open_input_file(f"{base}/{name}") as stream:
