@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from sparkloom.operators import answering as A, matching as M
 from sparkloom.plans.parties import matched_sql
@@ -56,7 +56,23 @@ def session_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.coalesce(F.sum(prompt + answer), F.lit(0)).alias("tokens"), F.count(prompt + answer).alias("counted"))
 
 
-QUERIES = {f.__name__: f for f in (prompt_histories, chat_prompts, attributed_answers, chunk_kinds, session_tokens)}
+#: What marks a message of a draft.
+MARKER = "Documents:"
+
+
+def session_modes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Kinds of sessions: the mode that its first message is sent in, else what the message looks like, makes it; a later one that is sent in draft mode or brings documents
+    makes a draft of it for good."""
+    n, rows = F.col("conv_id") + F.col("turn"), table(spark, sf_dir, "conversations")
+    mode = F.when(n % 5 == 0, "simple").when(n % 11 == 0, "draft")
+    marked = (F.col("role") == "user") & (F.contains("text", F.lit(MARKER)) | (n % 13 == 0))
+    first = F.coalesce(mode, F.when(marked, "draft").otherwise("simple"))
+    later = F.coalesce(mode == "draft", F.lit(False)) | marked
+    rows = rows.select("conv_id", "turn", first.alias("first"), later.alias("later"), (F.col("turn") > F.min("turn").over(Window.partitionBy("conv_id"))).alias("again"))
+    return rows.groupBy("conv_id").agg(F.when(F.max(F.col("again") & F.col("later")), "draft").otherwise(F.min_by("first", "turn")).alias("session_type"))
+
+
+QUERIES = {f.__name__: f for f in (prompt_histories, chat_prompts, attributed_answers, chunk_kinds, session_tokens, session_modes)}
 
 _TRIMMED = f"""h AS (SELECT conv_id, turn, role, text, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS back FROM conversations QUALIFY back <= {2 * A.PAIRS}),
 z AS (SELECT *, sum(length(text)) OVER (PARTITION BY conv_id ORDER BY back) AS size, count(*) OVER (PARTITION BY conv_id) AS n FROM h),
@@ -64,6 +80,9 @@ w AS (SELECT z.*, max(CASE WHEN (n - back) % 2 = 0 AND (back >= {A.FLOOR - 1} OR
 _KINDS = "['definition', NULL, '', 'judgment'][p_partkey % 4 + 1], ['Draft Reply', NULL, '', 'FAQ', 'Council Decision'][p_partkey // 4 % 5 + 1]"
 
 ORACLES = {
+    "session_modes": f"""WITH r AS (SELECT conv_id, turn, CASE WHEN (conv_id + turn) % 5 = 0 THEN 'simple' WHEN (conv_id + turn) % 11 = 0 THEN 'draft' END AS mode, role = 'user' AND (contains(text, '{MARKER}') OR (conv_id + turn) % 13 = 0) AS marked FROM conversations),
+t AS (SELECT *, turn = min(turn) OVER (PARTITION BY conv_id) AS opens FROM r)
+SELECT conv_id, CASE WHEN bool_or(NOT opens AND (coalesce(mode, '') = 'draft' OR marked)) THEN 'draft' ELSE max(CASE WHEN opens THEN coalesce(mode, CASE WHEN marked THEN 'draft' ELSE 'simple' END) END) END AS session_type FROM t GROUP BY 1""",
     "prompt_histories": f"""WITH fixed AS (SELECT conv_id, 200 + min(conv_id) % 7 * 150 AS fixed FROM conversations GROUP BY 1), {_TRIMMED}
 SELECT conv_id AS query_id, CAST(turn AS BIGINT) AS place, role FROM w WHERE back <= kept""",
     "chat_prompts": f"""WITH q AS (SELECT conv_id, arg_max(text, turn) AS question FROM conversations GROUP BY 1),
