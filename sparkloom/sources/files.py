@@ -124,6 +124,23 @@ def read_pages(spark: SparkSession, path: str, reader) -> DataFrame:
     return files.select("path", "content").mapInPandas(parse, "file string, category string, page int, text string")
 
 
+def read_tables(spark: SparkSession, path: str, reader) -> DataFrame:
+    """file, page, table_no, row_no, cells: rows of the tables on the pages of binary documents. reader(bytes) -> for each page a list of tables, each a list of rows of cells, is the
+    place for a PDF library; a cell that it leaves out is null, tables without rows don't count, and white space in cells is squeezed."""
+
+    def parse(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            for path_, content in zip(frame.path, frame.content, strict=True):
+                out = []
+                for page, tables in enumerate(reader(bytes(content)), 1):
+                    for number, table in enumerate(t for t in tables if t):
+                        out += [(path_, page, number, k, [None if c is None else " ".join(str(c).split()) for c in row]) for k, row in enumerate(table)]
+                yield pd.DataFrame(out, columns=["file", "page", "table_no", "row_no", "cells"])
+
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
+    return files.select("path", "content").mapInPandas(parse, "file string, page int, table_no int, row_no int, cells array<string>")
+
+
 def read_json_corpus(spark: SparkSession, path: str, schema=None) -> DataFrame:
     """A JSON array of chunks; rows need an id and a text. Write it as Parquet once and read that."""
     reader = spark.read.option("multiLine", True)

@@ -104,3 +104,10 @@ def test_case_stream(spark):
     got = {(r["session"], i + 1): ("active" if i + 1 == r["active"] else "archived", s) for r in spark.table("cases").collect() for i, s in enumerate(r["states"])}
     batch = cases.case_states(made(spark.read.parquet(f"{DATA}/conversations.parquet"))).collect()
     assert got and got == {(r["session"], r["case_id"]): (r["status"], r["state"]) for r in batch}
+
+
+def test_tables_of_pages(spark, tmp_path):
+    (tmp_path / "a.bin").write_bytes(b"1|x  y\n2|\f\fNo|Name")
+    reader = lambda data: [[[[c or None for c in row.split("|")] for row in page.split("\n")]] if page else [[]] for page in data.decode().split("\f")]
+    rows = files.read_tables(spark, str(tmp_path), reader).orderBy("page", "row_no").collect()
+    assert [(r["page"], r["table_no"], r["row_no"], r["cells"]) for r in rows] == [(1, 0, 0, ["1", "x y"]), (1, 0, 1, ["2", None]), (3, 0, 0, ["No", "Name"])]
