@@ -1,4 +1,4 @@
-"""Answers from start to end over the driver's tables: vectors stand for chunks, groups of every third one for judgments, queries' neighbours in
+"""Answers from start to end over the driver's tables: vectors stand for chunks, stretches of them, every third one, for judgments, queries' neighbours in
 the table for questions put in other words."""
 
 from __future__ import annotations
@@ -19,8 +19,8 @@ from sparkloom.sources.tables import table
 
 #: Buckets of a stored index.
 BUCKETS = 16
-#: Judgments in the table of vectors.
-JUDGMENTS = 37
+#: Vectors among which one judgment's chunks are, every third one; the number of judgments grows with the table.
+SPAN = 27
 
 
 def _chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -28,7 +28,7 @@ def _chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     kind = F.when(n % 3 == 0, "judgment").otherwise(F.element_at(F.array(*[F.lit(k) for k in KINDS]), (F.col("label") % len(KINDS) + 1).cast("int")))
     decision = F.when(n % 6 == 0, "In favour of assessee").when(n % 6 == 3, "In favour of revenue")
     section, source = F.when(n % 4 == 0, F.col("label")), F.when(n % 5 > 0, n % 11)
-    return table(spark, sf_dir, "embeddings").select(n.alias("chunk_id"), F.when(n % 3 == 0, n % JUDGMENTS).alias("external_id"), kind.alias("chunk_type"), decision.alias("decision"), section.alias("section"), source.alias("source"), "label", "embedding")
+    return table(spark, sf_dir, "embeddings").select(n.alias("chunk_id"), F.when(n % 3 == 0, F.floor(n / SPAN)).alias("external_id"), kind.alias("chunk_type"), decision.alias("decision"), section.alias("section"), source.alias("source"), "label", "embedding")
 
 
 def _questions(spark: SparkSession, sf_dir: str, shift: int) -> DataFrame:
@@ -40,8 +40,9 @@ def _questions(spark: SparkSession, sf_dir: str, shift: int) -> DataFrame:
 def _retrieved(spark: SparkSession, sf_dir: str, shift: int = 0, k: int = A.RESULTS) -> DataFrame:
     chunks, asked = _chunks(spark, sf_dir), _questions(spark, sf_dir, shift)
     nth = F.floor(F.col("query_id") / QUERY_EVERY)
-    of = lambda where, external_id, reason: asked.where(where).select("query_id", (external_id % JUDGMENTS).alias("external_id"), F.lit(reason).alias("reason"))
-    matches = of(nth % 3 == 0, nth, "citation").unionByName(of(nth % 4 == 0, nth + 1, "substring"))
+    of = lambda where, external_id, reason: asked.where(where).select("query_id", external_id.alias("external_id"), F.lit(reason).alias("reason"))
+    own = F.floor(F.col("query_id") / SPAN)
+    matches = of(nth % 3 == 0, own, "citation").unionByName(of(nth % 4 == 0, own + 1, "substring"))
     whole = chunks.where("external_id is not null").groupBy("external_id").agg(F.min_by("embedding", "chunk_id").alias("vector")).withColumn("chunk_id", -1 - F.col("external_id"))
     statutory = asked.where(nth % 2 == 0).join(chunks.where("external_id is null").select("chunk_id", "label"), "label").select("query_id", "chunk_id")
     near = knn(table(spark, sf_dir, "embeddings"), asked.select("query_id", "q")).select("query_id", F.col("vec_id").alias("chunk_id"), "score")
@@ -222,7 +223,7 @@ def minutes_cleaned(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (hybrid_retrieval, issue_retrieval, answer_assembly, source_blocks, form_kinds, all_keys_index, index_lookups, case_states, attribution, token_counters, cached_lists, changed_rows, legal_priorities, full_judgments, active_sessions, publisher_forms, named_pairs, minutes_cleaned)}
 
-_CH = f"""(SELECT vec_id AS chunk_id, CASE WHEN vec_id % 3 = 0 THEN vec_id % {JUDGMENTS} END AS external_id, CASE WHEN vec_id % 3 = 0 THEN 'judgment' ELSE [{", ".join(f"'{k}'" for k in KINDS)}][label % {len(KINDS)} + 1] END AS chunk_type,
+_CH = f"""(SELECT vec_id AS chunk_id, CASE WHEN vec_id % 3 = 0 THEN vec_id // {SPAN} END AS external_id, CASE WHEN vec_id % 3 = 0 THEN 'judgment' ELSE [{", ".join(f"'{k}'" for k in KINDS)}][label % {len(KINDS)} + 1] END AS chunk_type,
  CASE WHEN vec_id % 6 = 0 THEN 'In favour of assessee' WHEN vec_id % 6 = 3 THEN 'In favour of revenue' END AS decision, CASE WHEN vec_id % 4 = 0 THEN label END AS section, CASE WHEN vec_id % 5 > 0 THEN vec_id % 11 END AS source, label, embedding FROM embeddings)"""
 _PRIORITY = "CASE chunk_type " + " ".join(f"WHEN '{k}' THEN {i}" for i, k in enumerate(M.HIERARCHY)) + " ELSE 99 END"
 _DOT = "list_sum(list_transform(list_zip({a}, {b}), lambda p: p[1]::DOUBLE * p[2]::DOUBLE))"
@@ -233,7 +234,7 @@ def _with(shift: int, k: int, name: str) -> str:
     """Common tables that end in one of the given name: what a pass retrieves."""
     p = f"{name}_"
     return f"""{p}q AS (SELECT vec_id - {shift} AS query_id, (vec_id - {shift}) // {QUERY_EVERY} AS nth, embedding, label FROM embeddings WHERE (vec_id - {shift}) % {QUERY_EVERY} = 0),
-{p}m AS (SELECT query_id, nth % {JUDGMENTS} AS external_id, 0 AS stage, {A.EXACT}::DOUBLE AS gain FROM {p}q WHERE nth % 3 = 0 UNION ALL SELECT query_id, (nth + 1) % {JUDGMENTS}, 1, {A.PARTIAL} FROM {p}q WHERE nth % 4 = 0),
+{p}m AS (SELECT query_id, query_id // {SPAN} AS external_id, 0 AS stage, {A.EXACT}::DOUBLE AS gain FROM {p}q WHERE nth % 3 = 0 UNION ALL SELECT query_id, query_id // {SPAN} + 1, 1, {A.PARTIAL} FROM {p}q WHERE nth % 4 = 0),
 {p}w AS (SELECT external_id, arg_min(embedding, chunk_id) AS vector FROM ch WHERE external_id IS NOT NULL GROUP BY 1),
 {p}near AS (SELECT query_id, vec_id AS chunk_id, 1 / (1 + d2) AS score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY d2, vec_id) AS k FROM (SELECT q.query_id, e.vec_id, {D2} AS d2 FROM embeddings e, {p}q q)) WHERE k <= {TOP_K}),
 {p}hits AS (SELECT query_id, chunk_id, {A.STATUTORY}::DOUBLE AS score, 2 AS stage FROM {p}q JOIN ch USING (label) WHERE nth % 2 = 0 AND external_id IS NULL UNION ALL SELECT query_id, chunk_id, score, 3 FROM {p}near),
