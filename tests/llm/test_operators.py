@@ -561,7 +561,7 @@ def test_line_query_and_its_sql(spark):
 
 
 def test_pipeline(spark, tmp_path):
-    """Each stage against its operator's own brute force, on the stage's own input."""
+    """What each stage keeps of its own input: columns and ids, near-dedup and BPE by brute force; test_pipeline.py holds all rows of run()."""
     import corpus_pipeline as P
 
     d = "/root/testdata/sf0.001"
