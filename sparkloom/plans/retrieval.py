@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from sparkloom.operators import neighbours
@@ -10,6 +14,8 @@ from sparkloom.sources.tables import table
 TOP_K = 50
 #: Every vector whose id this divides is a query, so their side grows with the table.
 QUERY_EVERY = 20
+#: Vectors and queries of a block, where all queries meet all vectors.
+VECTOR_BLOCK, QUERY_BLOCK = 4_096, 2_048
 
 
 def query_side(vectors: DataFrame) -> DataFrame:
@@ -21,6 +27,33 @@ def knn(vectors: DataFrame, queries: DataFrame, k: int = TOP_K) -> DataFrame:
     return neighbours.knn(vectors, queries, k)
 
 
+def cosines(vectors: DataFrame, queries: DataFrame, least: float, most: float) -> DataFrame:
+    """query_id, vec_id, score: the cosine of every query with every vector, kept within least and most. A block of queries meets a block of vectors in one
+    task, which hands on one query's scores after the other; a row without a vector has no score."""
+    vectors, queries = vectors.where("embedding is not null"), queries.where("q is not null")
+    many = lambda df, n: max(1, -(-df.count() // n))
+    xs, qs = many(vectors, VECTOR_BLOCK), many(queries, QUERY_BLOCK)
+    deal = lambda id_, n: F.pmod(F.xxhash64(id_), F.lit(n)).cast("int")
+    pack = lambda id_, v: F.collect_list(F.struct(F.col(id_).alias("id"), F.col(v).alias("v")))
+    left = vectors.groupBy(deal("vec_id", xs).alias("xb")).agg(pack("vec_id", "embedding").alias("x")).withColumn("qb", F.explode(F.sequence(F.lit(0), F.lit(qs - 1))))
+    right = queries.groupBy(deal("query_id", qs).alias("qb")).agg(pack("query_id", "q").alias("y")).withColumn("xb", F.explode(F.sequence(F.lit(0), F.lit(xs - 1))))
+
+    def unpack(cell: pa.ListScalar) -> tuple[np.ndarray, np.ndarray]:
+        ids, rows = cell.values.field("id").to_numpy(), cell.values.field("v")
+        return ids, rows.flatten().to_numpy().reshape(len(ids), -1).astype(float)
+
+    def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                (q_ids, q), (x_ids, x) = unpack(batch["y"][i]), unpack(batch["x"][i])
+                norms = (x * x).sum(1)
+                for k in range(len(q)):
+                    score = np.clip(x @ q[k] / np.sqrt((q[k] * q[k]).sum() * norms), least, most)
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(x_ids), q_ids[k])), pa.array(x_ids), pa.array(score)], ["query_id", "vec_id", "score"])
+
+    return left.join(right.hint("shuffle_merge"), ["xb", "qb"]).select("y", "x").mapInArrow(blocks, "query_id long, vec_id long, score double")
+
+
 def knn_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = table(spark, sf_dir, "embeddings")
     found = knn(vectors, query_side(vectors))

@@ -8,7 +8,7 @@ import duckdb
 import pytest
 
 from sparkloom.operators import cases, neighbours
-from sparkloom.plans import catalog, ledger, texts
+from sparkloom.plans import catalog, ledger, retrieval, texts
 from tests.test_oracles import DATA, TABLES, plain
 
 
@@ -32,6 +32,15 @@ def test_neighbours_in_small_parts(spark, monkeypatch, name):
     same(spark, name, catalog.ORACLES[name])
 
 
+def test_cosines_of_all_pairs(spark, monkeypatch):
+    """Every query meets every vector, in several blocks of both."""
+    monkeypatch.setattr(retrieval, "VECTOR_BLOCK", 50)
+    monkeypatch.setattr(retrieval, "QUERY_BLOCK", 4)
+    n = spark.read.parquet(f"{DATA}/embeddings.parquet").count()
+    assert catalog.QUERIES["cosine_clamp"](spark, DATA).count() == n * -(-n // retrieval.QUERY_EVERY)
+    same(spark, "cosine_clamp", catalog.ORACLES["cosine_clamp"])
+
+
 def overlapping(parts, room, overlap):
     """Chunks by their places: buffers are stretches of the joined sentences, from the carried characters on."""
     ends, at = [], 0
