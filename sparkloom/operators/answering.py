@@ -27,7 +27,8 @@ def retrieve(queries: DataFrame, matches: DataFrame, judgments: DataFrame, statu
     """query_id, rank, chunk_id, chunk_type, score, stage, complete: the best k of each query.
 
     queries: query_id, q (vector); matches: query_id, external_id, reason (one row each); judgments: external_id, chunk_id, vector (one complete text each);
-    statutory: query_id, chunk_id; near: query_id, chunk_id, score; chunks: chunk_id, external_id, chunk_type.
+    statutory: query_id, chunk_id; near: query_id, chunk_id, score, and where it is known `statutory`: that the chunk is a statutory hit as well; chunks: chunk_id, external_id,
+    chunk_type.
 
     A matched judgment stands as one complete text, and none of its chunks stands beside it. Stages in order: exact, partial, statutory,
     near; a chunk's first stage counts. Scores are rounded to six places, so that a gap of exactly `width` is within a band. A band's first
@@ -38,7 +39,8 @@ def retrieve(queries: DataFrame, matches: DataFrame, judgments: DataFrame, statu
     whole = matches.join(judgments, "external_id").join(queries, "query_id").select(
         "query_id", "chunk_id", F.lit("judgment").alias("chunk_type"), (similar + F.when(partial, PARTIAL).otherwise(EXACT)).alias("score"), F.when(partial, 1).otherwise(0).alias("stage")
     )
-    hits = statutory.select("query_id", "chunk_id", F.lit(STATUTORY).alias("score"), F.lit(2).alias("stage")).unionByName(near.select("query_id", "chunk_id", "score", F.lit(3).alias("stage")))
+    also = F.col("statutory") if "statutory" in near.columns else F.lit(False)
+    hits = statutory.select("query_id", "chunk_id", F.lit(STATUTORY).alias("score"), F.lit(2).alias("stage")).unionByName(near.select("query_id", "chunk_id", F.when(also, STATUTORY).otherwise(F.col("score")).alias("score"), F.when(also, 2).otherwise(3).alias("stage")))
     first = hits.groupBy("query_id", "chunk_id").agg(F.min(F.struct("stage", "score")).alias("m")).select("query_id", "chunk_id", "m.stage", "m.score")
     first = first.join(chunks.select("chunk_id", "external_id", "chunk_type"), "chunk_id").join(matches.select("query_id", "external_id"), ["query_id", "external_id"], "left_anti")
     kind = M.priority(F.col("chunk_type"))
@@ -55,6 +57,19 @@ def retrieve(queries: DataFrame, matches: DataFrame, judgments: DataFrame, statu
     return ranked.where(F.col("rank") <= k).select("query_id", "rank", "chunk_id", "chunk_type", "score", "stage", (F.col("stage") < 2).alias("complete"))
 
 
+def of_topics(topics: DataFrame, chunks: DataFrame, near: DataFrame, k: int = RESULTS) -> tuple[DataFrame, DataFrame]:
+    """statutory and near for retrieve, where a query's statutory hits are all chunks of its topic. topics: query_id, topic; chunks (of no judgment): chunk_id, chunk_type,
+    topic; near: query_id, chunk_id, score.
+
+    Only the first k of a topic by kind can be among a query's best, so they are taken before queries meet them; of all others it matters alone that a neighbour
+    is one. So what is put together grows with queries and neighbours, not with queries times chunks."""
+    place = F.row_number().over(Window.partitionBy("topic").orderBy(M.priority(F.col("chunk_type")), "chunk_id"))
+    heads = chunks.where("topic is not null").withColumn("place", place).where(F.col("place") <= k).select("topic", "chunk_id")
+    held = near.join(topics, "query_id").join(chunks.select("chunk_id", F.col("topic").alias("own")), "chunk_id", "left")
+    same = F.coalesce(F.col("topic") == F.col("own"), F.lit(False)).alias("statutory")
+    return topics.join(heads, "topic").select("query_id", "chunk_id"), held.select("query_id", "chunk_id", "score", same)
+
+
 #: What a complete judgment says of itself, where it is known.
 HEAD = {"citation": "Citation", "case_number": "Case Number", "petitioner": "Petitioner", "respondent": "Respondent"}
 

@@ -44,8 +44,9 @@ def _retrieved(spark: SparkSession, sf_dir: str, shift: int = 0, k: int = A.RESU
     own = F.floor(F.col("query_id") / SPAN)
     matches = of(nth % 3 == 0, own, "citation").unionByName(of(nth % 4 == 0, own + 1, "substring"))
     whole = chunks.where("external_id is not null").groupBy("external_id").agg(F.min_by("embedding", "chunk_id").alias("vector")).withColumn("chunk_id", -1 - F.col("external_id"))
-    statutory = asked.where(nth % 2 == 0).join(chunks.where("external_id is null").select("chunk_id", "label"), "label").select("query_id", "chunk_id")
+    topics = asked.select("query_id", F.when(nth % 2 == 0, F.col("label")).alias("topic"))
     near = knn(table(spark, sf_dir, "embeddings"), asked.select("query_id", "q")).select("query_id", F.col("vec_id").alias("chunk_id"), "score")
+    statutory, near = A.of_topics(topics, chunks.where("external_id is null").select("chunk_id", "chunk_type", F.col("label").alias("topic")), near, k)
     return A.retrieve(asked.select("query_id", "q"), matches, whole, statutory, near, chunks, k)
 
 

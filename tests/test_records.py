@@ -50,3 +50,21 @@ def test_retrieval_cuts_nothing_that_counts(spark):
     assert every[0] == (1, 1, -7, 1.6, 0) and (1, 5) not in {(r[0], r[2]) for r in every}
     assert {r[3] for r in every if r[2] == -8} == {0.95}
     assert len(every) == len({(r[0], r[2]) for r in every})
+
+
+def test_topics_meet_their_first_chunks_alone(spark):
+    """The same lists as from all statutory hits of a topic, from no more than k of them a query."""
+    queries = spark.createDataFrame([(q, [1.0, 0.0]) for q in range(6)], "query_id long, q array<float>")
+    matches = spark.createDataFrame([(1, 7, "both")], "query_id long, external_id long, reason string")
+    whole = spark.createDataFrame([(7, -7, [0.6, 0.8])], "external_id long, chunk_id long, vector array<float>")
+    kinds = ["faq", "rule", "judgment", None]
+    chunks = spark.createDataFrame([(i, 7 if i % 9 == 5 else None, kinds[i % 4], i // 2 % 3 if i % 7 else None) for i in range(120)], "chunk_id long, external_id long, chunk_type string, topic int")
+    topics = spark.createDataFrame([(q, q % 3 if q < 4 else None) for q in range(6)], "query_id long, topic int")
+    near = spark.createDataFrame([(q, i, 1 - i / 200) for q in range(6) for i in range(0, 120, 1 + q)], "query_id long, chunk_id long, score double")
+    free = chunks.where("external_id is null").drop("external_id")
+    every = topics.join(free, "topic").select("query_id", "chunk_id")
+    for k in (3, 9):
+        statutory, marked = A.of_topics(topics, free, near, k)
+        assert statutory.count() <= 4 * k < every.count() and marked.count() == near.count()
+        rows = lambda *hits: sorted(A.retrieve(queries, matches, whole, *hits, chunks, k).collect())  # noqa: E731,B023
+        assert rows(statutory, marked) == rows(every, near)
