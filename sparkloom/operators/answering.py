@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from sparkloom.functions import records as R, text as T
 from sparkloom.operators import matching as M
+from sparkloom.sources.cut import cut
 
 #: What a complete judgment gains by an exact and by a partial match; the score of a statutory hit; bounds of a similarity.
 EXACT, PARTIAL, STATUTORY, LEAST, MOST = 1.0, 0.65, 0.95, 0.3, 1.0
@@ -159,19 +160,29 @@ def with_citations(answers: DataFrame, found: DataFrame) -> DataFrame:
     return both.select("query_id", F.concat("answer", F.coalesce(F.concat(F.lit(CITED + "\n"), "listed"), F.lit(""))).alias("answer"))
 
 
-def assemble(questions: DataFrame, retrieved: DataFrame, texts: DataFrame, write: Callable[[Column], Column], document: str | None = None, history: DataFrame | None = None, budget: int = BUDGET) -> DataFrame:
+def assemble(questions: DataFrame, retrieved: DataFrame, texts: DataFrame, write: Callable[[Column], Column], document: str | None = None, history: DataFrame | None = None, budget: int = BUDGET, shared: str | None = None) -> DataFrame:
     """query_id, prompt, answer, sources (ids in order, primary ones first). questions: query_id, question, and the column `document` if named; retrieved:
     as of retrieve; texts: chunk_id, block (a chunk in words). write makes an answer of a prompt: the place for a model. history: query_id, place, role, content; as much of it
-    as leaves the prompt within its budget comes first (trimmed)."""
+    as leaves the prompt within its budget comes first (trimmed).
+
+    With shared, questions that have the same value in that column share what was retrieved, which has the column in place of query_id. Such a list is put in
+    words once for each intent; questions are told its lengths, and meet its words only where their prompts are written."""
     asked = questions.withColumn("intent", M.intent(F.col("question")))
-    split = M.split_primary(retrieved.join(asked.select("query_id", "intent"), "query_id").select("query_id", "rank", "intent", "chunk_type", "complete", "chunk_id"))
+    keys = ["query_id"] if shared is None else [shared, "intent"]
+    lists = asked.select(*dict.fromkeys([*keys, "intent"])).distinct()
+    split = M.split_primary(retrieved.join(lists, keys[0]).select(F.struct(*keys).alias("query_id"), "rank", "intent", "chunk_type", "complete", "chunk_id"))
     rows = split.join(texts, "chunk_id").groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct((~F.col("primary")).alias("later"), "rank", "chunk_id", "block"))).alias("xs"))
-    part = lambda later: F.transform(F.filter("xs", lambda x: x["later"] == F.lit(later)), lambda x: x["block"])
+    part = lambda later: F.array_join(F.transform(F.filter("xs", lambda x: x["later"] == F.lit(later)), lambda x: x["block"]), "\n\n")
+    worded = rows.select("query_id.*", part(False).alias("first"), part(True).alias("second"), F.transform("xs", lambda x: x["chunk_id"]).alias("sources"))
+    if shared is not None and history is not None:
+        worded = cut(worded)  # read for its lengths and for its words
     given = None if document is None else F.left(F.col(document), F.lit(DOCUMENT))
-    made = asked.join(rows, "query_id", "left").withColumn("xs", F.coalesce("xs", F.array().cast(rows.schema["xs"].dataType)))
+    words = lambda c: F.coalesce(c, F.lit(""))
     if history is not None:
-        size = F.length("question") + F.length(F.array_join(part(False), "\n\n")) + F.length(F.array_join(part(True), "\n\n"))
-        said = trimmed(history, made.select("query_id", size.alias("size")), budget).groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("place", "role", "content"))).alias("said"))
-        made = made.join(said, "query_id", "left").withColumn("said", F.coalesce("said", F.array().cast("array<struct<place:long,role:string,content:string>>")))
-    made = made.withColumn("prompt", R.prompt(F.col("question"), part(False), part(True), given, None if history is None else F.col("said")))
-    return made.select("query_id", "prompt", write(F.col("prompt")).alias("answer"), F.transform("xs", lambda x: x["chunk_id"]).alias("sources"))
+        lengths = worded.select(*keys, (F.length("first") + F.length("second")).alias("size"))
+        sizes = asked.join(lengths, keys, "left").select("query_id", (F.length("question") + F.coalesce("size", F.lit(0))).alias("size"))
+        said = trimmed(history, sizes, budget).groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("place", "role", "content"))).alias("said"))
+        asked = asked.join(said, "query_id", "left").withColumn("said", F.coalesce("said", F.array().cast("array<struct<place:long,role:string,content:string>>")))
+    made = asked.join(worded if shared is None else worded.hint("merge"), keys, "left").withColumn("sources", F.coalesce("sources", F.array().cast(worded.schema["sources"].dataType)))
+    made = made.withColumn("prompt", R.prompt(F.col("question"), F.array(words(F.col("first"))), F.array(words(F.col("second"))), given, None if history is None else F.col("said")))
+    return made.select("query_id", "prompt", write(F.col("prompt")).alias("answer"), "sources")

@@ -53,3 +53,19 @@ def test_citations(spark):
     rows = [("x 2020 Lex 5 y", "2020 Lex.online 5"), ("2019 ( 3 ) TMI 7, 2020 Lex 5", "2019 ( 3 ) TMI 7"), ("2018tmi9", "2018tmi9"), ("2017 (2)SCC 4", "2017 (2)SCC 4"), ("2017 (2) SCC4", None), ("2020 LEX.ONLINE 8", "2020 LEX.ONLINE 8"), (None, None)]
     got = spark.createDataFrame(rows, "x string, want string").select(T.first_citation(F.col("x"), ("Lex", "Lex.online")).alias("got"), "want").collect()
     assert [r["got"] for r in got] == [r["want"] for r in got]
+
+
+def test_shared_lists_are_put_in_words_once(spark):
+    """The same prompts as from a list for each question; words stand once a list and intent, not once a question."""
+    said = ["what does the court say", "how to register", "", "meaning of it", "anything"]
+    questions = spark.createDataFrame([(q, said[q % 5], q % 4) for q in range(60)], "query_id long, question string, list long")
+    lists = spark.createDataFrame([(n, r, ["rule", "judgment", "act"][(n + r) % 3], r == 4 and n == 1, 100 * n + r) for n in range(3) for r in range(1, 9)], "list long, rank int, chunk_type string, complete boolean, chunk_id long")
+    texts = lists.select("chunk_id", F.concat(F.lit("block "), F.col("chunk_id").cast("string")).alias("block"))
+    history = spark.range(60).selectExpr("id query_id", "explode(sequence(0L, id % 7)) place").selectExpr("query_id", "place", "'user' role", "repeat('x', 20) content")
+    own = questions.select("query_id", "list").join(lists, "list").drop("list")
+    write = lambda prompt: F.sha2(prompt, 256)
+    for told in (None, history):
+        each = answering.assemble(questions, own, texts, write, history=told, budget=200)
+        once = answering.assemble(questions, lists, texts, write, history=told, budget=200, shared="list")
+        assert sorted(once.collect()) == sorted(each.collect())
+        assert once.count() == 60
