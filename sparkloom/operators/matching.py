@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from sparkloom.functions import text as T
 from sparkloom.operators import names
+from sparkloom.sources.cut import cut
 
 BAND = 0.05
 #: Kinds of chunks by priority.
@@ -112,10 +113,14 @@ def match_substring(queries: DataFrame, judgments: DataFrame) -> DataFrame:
     characters (names.related), as distinct names; judgments and queries are looked up by what was found."""
     parts = F.array(T.normalize_party(F.col("one")), *([T.normalize_party(F.col("two"))] if "two" in queries.columns else []))
     q = queries.select("query_id", F.explode(parts).alias("name")).where(F.length("name") >= 3).distinct()
-    sides = F.array(*[F.struct(F.lit(rank).alias("rank"), T.normalize_party(F.col(c)).alias("name")) for rank, c in enumerate(("petitioner", "respondent"))])
-    j = judgments.select("external_id", F.explode(sides).alias("s")).select("external_id", "s.rank", "s.name").where(F.length("name") >= 3)
-    found = q.join(names.related(q, j).withColumnRenamed("x", "name"), "name").select("query_id", F.col("y").alias("name")).distinct()
-    best = found.join(j, "name").groupBy("query_id", "external_id").agg(F.min("rank").alias("rank"))
+    sides = F.array(*[F.struct(F.lit(rank).alias("rank"), F.col(c).alias("said")) for rank, c in enumerate(("petitioner", "respondent"))])
+    said = judgments.select("external_id", F.explode(sides).alias("s")).select("external_id", "s.rank", "s.said").where("said is not null")
+    # normalising is dear: each name once, over all cores however small the files are
+    clean = said.select("said").distinct().repartition(4 * judgments.sparkSession.sparkContext.defaultParallelism, "said").select("said", T.normalize_party(F.col("said")).alias("name"))
+    j = said.join(clean.hint("merge"), "said").select("external_id", "rank", "name").where(F.length("name") >= 3)
+    q, j = cut(q), cut(j)  # names are read several times
+    found = q.join(names.related(q, j).withColumnRenamed("x", "name").hint("merge"), "name").select("query_id", F.col("y").alias("name")).distinct()
+    best = found.join(j.hint("merge"), "name").groupBy("query_id", "external_id").agg(F.min("rank").alias("rank"))
     return best.select("query_id", "external_id", F.when(F.col("rank") == 0, "petitioner").otherwise("respondent").alias("side"))
 
 

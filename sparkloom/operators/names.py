@@ -94,23 +94,43 @@ def paired(queries: DataFrame, judgments: DataFrame, high: float, low: float, to
     return queries.join(ranked.select("a", "b", "external_id", "score", "rank"), ["a", "b"]).select("query_id", "external_id", "score", "rank")
 
 
-def grams(name: Column) -> Column:
-    """Distinct runs of GRAM characters."""
-    return F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(name) - (GRAM - 1)), lambda i: F.substring(name, i, F.lit(GRAM))))
+def run_size(n: Column) -> Column:
+    """The length of the runs at which names of n characters are looked up: n up to 8, then the next of four steps to each double, so four fifths of n at least."""
+    step = F.greatest(F.lit(1), F.pow(F.lit(2.0), F.floor(F.log2(n)) - 2)).cast("int")
+    return (n - n % step).cast("int")
+
+
+def grams(name: Column, size: Column) -> Column:
+    """Hashes of the distinct runs of size characters."""
+    return F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(name) - size + 1), lambda i: F.xxhash64(F.substring(name, i, size))))
 
 
 def containing(short: DataFrame, long: DataFrame) -> DataFrame:
     """x, y: names (column name, distinct, GRAM characters at least) of short that names of long hold.
 
-    Every name of long stands under its runs of three characters. A name of short asks at one place alone, its run that the fewest names hold, and
-    for names that are no shorter; whether they hold it is then compared."""
-    listed = long.select("name", F.explode(grams(F.col("name"))).alias("gram"))
-    df = listed.groupBy("gram").agg(F.count("*").alias("df"))
-    asks = short.select("name", F.explode(grams(F.col("name"))).alias("gram")).join(df, "gram", "left")
-    # a run that no name holds rules the name out: it counts as the rarest
-    rarest = asks.groupBy("name").agg(F.min(F.struct(F.coalesce("df", F.lit(0)).alias("df"), "gram")).alias("m")).where("m.df > 0")
-    rows = rarest.select(F.col("name").alias("x"), F.col("m.gram").alias("gram")).join(listed.withColumnRenamed("name", "y"), "gram")
-    return rows.where((F.length("x") <= F.length("y")) & F.contains("y", F.col("x"))).select("x", "y")
+    A name of short asks at one place alone: at its run of nearly its own length that the fewest names of long hold. Names of long stand under their
+    runs of such lengths as names of short have. So few names meet that don't hold one another, and what is made grows with names, not with their pairs; whether they
+    do is compared in the end. Names compress well, so no side is to be broadcast by the size of its shuffled files."""
+    asked = short.select("name", run_size(F.length("name")).alias("size"))
+    whole = F.length("name") == F.col("size")
+    used = asked.select("size", whole.alias("whole")).distinct().collect()  # some four a double of the longest name
+    if not used:
+        return short.select(F.col("name").alias("x"), F.col("name").alias("y"))
+
+    def listed(sizes: set[int]) -> DataFrame:
+        fit = F.filter(F.array(*[F.lit(n) for n in sorted(sizes)]), lambda n: n <= F.length("name"))
+        return long.select("name", F.explode(fit).alias("size")).select("name", F.explode(grams(F.col("name"), F.col("size"))).alias("gram"))
+
+    rows = asked.where(whole).select(F.col("name").alias("x"), F.xxhash64("name").alias("gram"))
+    some = {r["size"] for r in used if not r["whole"]}
+    if some:
+        df = listed(some).groupBy("gram").agg(F.count("*").alias("df"))
+        # a run that no name holds rules the name out: it counts as the rarest
+        asks = asked.where(~whole).select("name", F.explode(grams(F.col("name"), F.col("size"))).alias("gram")).join(df.hint("merge"), "gram", "left")
+        rarest = asks.groupBy("name").agg(F.min(F.struct(F.coalesce("df", F.lit(0)).alias("df"), "gram")).alias("m")).where("m.df > 0")
+        rows = rows.union(rarest.select("name", "m.gram"))
+    met = rows.join(listed({r["size"] for r in used}).withColumnRenamed("name", "y").hint("merge"), "gram")
+    return met.where((F.length("x") <= F.length("y")) & F.contains("y", F.col("x"))).select("x", "y")
 
 
 def related(left: DataFrame, right: DataFrame) -> DataFrame:

@@ -90,3 +90,18 @@ def test_containing(spark):
     assert sorted(tuple(r) for r in found.collect()) == sorted(want) and len(want) > 500
     plan = found._jdf.queryExecution().executedPlan().toString()
     assert "NestedLoop" not in plan and "Cartesian" not in plan
+
+
+def test_numbers_meet_only_where_they_are_held(spark):
+    """Of names that are alike in all runs of three, only those meet that hold one another; nothing is broadcast."""
+    short = spark.range(500).selectExpr("lpad(cast(id * 37 as string), 6, '0') name")
+    long = spark.range(4_000).selectExpr("concat('customer ', lpad(cast(id * 11 as string), 9, '0'), ' building') name")
+    found = names.containing(short, long)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "Broadcast" not in plan
+    x, y = ([r["name"] for r in df.collect()] for df in (short, long))
+    assert sorted(tuple(r) for r in found.collect()) == sorted((a, b) for a in x for b in y if a in b)
+    sizes = spark.range(3, 200).select("id", names.run_size(F.col("id")).alias("n")).collect()
+    assert all(r["n"] == r["id"] for r in sizes if r["id"] <= 8) and all(0.8 * r["id"] <= r["n"] <= r["id"] for r in sizes)
+    meets = short.select("name", F.explode(names.grams(F.col("name"), F.lit(6))).alias("g")).join(long.select(F.explode(names.grams(F.col("name"), F.lit(6))).alias("g")), "g").count()
+    assert meets == found.count()
