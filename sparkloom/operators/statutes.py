@@ -14,27 +14,37 @@ from sparkloom.functions.text import strip
 
 #: Lines of a block.
 BLOCK = 4_096
+#: White space as text.strip takes it; trimming by a set of characters looks at a line's ends alone.
+WHITE = "\t\n\x0b\f\r \x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"
 
 
 def lines_of(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """key, pos, line: the lines of a text that aren't blank, without white space at their ends."""
-    rows = docs.select(key, F.posexplode(F.split(F.coalesce(F.col(text), F.lit("")), "\n", -1)).alias("pos", "raw"))
-    return rows.select(key, "pos", strip(F.col("raw")).alias("line")).where("line <> ''")
+    """key, pos, line: the lines of a text that aren't blank, without white space at their ends. Lines are stripped before they are dealt out, so that each is once: as
+    an expression of a row it would be made again in every condition that is pushed down to it."""
+    lines = F.transform(F.split(F.coalesce(F.col(text), F.lit("")), "\n", -1), lambda x: F.btrim(x, F.lit(WHITE)))
+    return docs.select(key, F.posexplode(lines).alias("pos", "line")).where("line <> ''")
+
+
+def running(lines: DataFrame, key: str, marks: dict[str, Column], block: int = BLOCK) -> DataFrame:
+    """lines (key, pos) with, under each name of marks (structs that begin with pos, null where a line has none), the last one so far.
+
+    All are run in one pass over the lines. What blocks tell goes only to blocks of a document that come after the first mark's."""
+    rows = lines.withColumns({f"__{m}": c for m, c in marks.items()}).withColumn("__block", F.expr(f"pos div {block}L"))
+    told = rows.groupBy(key, "__block").agg(*[F.max(f"__{m}").alias(f"__{m}") for m in marks])
+    before = Window.partitionBy(key).orderBy("__block").rowsBetween(Window.unboundedPreceding, -1)
+    told = told.select(key, "__block", *[F.max(f"__{m}").over(before).alias(f"__in_{m}") for m in marks]).where(F.coalesce(*[F.col(f"__in_{m}.pos") for m in marks]).isNotNull())
+    inside = Window.partitionBy(key, "__block").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
+    rows = rows.join(told, [key, "__block"], "left").withColumns({f"__{m}": F.max(f"__{m}").over(inside) for m in marks})
+    return rows.select(*lines.columns, *[F.coalesce(f"__{m}", f"__in_{m}").alias(m) for m in marks])
 
 
 def hierarchy(lines: DataFrame, key: str, levels: int, block: int = BLOCK) -> DataFrame:
     """lines (key, pos, level: 0 to levels - 1 or null, label) with path: for each level the struct<pos, label> of the header that the line stands under or is,
     null where there is none."""
-    of = lambda k: F.max(F.when(F.col("level") == k, F.struct(F.col("pos").alias("pos"), F.col("label").alias("label"))))
-    rows = lines.withColumn("__block", F.expr(f"pos div {block}L"))
-    told = rows.groupBy(key, "__block").agg(*[of(k).alias(f"__{k}") for k in range(levels)])
-    before = Window.partitionBy(key).orderBy("__block").rowsBetween(Window.unboundedPreceding, -1)
-    told = told.select(key, "__block", *[F.max(f"__{k}").over(before).alias(f"__in{k}") for k in range(levels)])
-    inside = Window.partitionBy(key, "__block").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
-    rows = rows.join(told, [key, "__block"]).withColumns({f"__{k}": of(k).over(inside) for k in range(levels)})
-    last = [F.greatest(f"__in{k}", f"__{k}") for k in range(levels)]  # passes over nulls
+    of = lambda k: F.when(F.col("level") == k, F.struct(F.col("pos").alias("pos"), F.col("label").alias("label")))
+    last = [F.col(f"__last{k}") for k in range(levels)]
     path = [F.when(last[k]["pos"] > F.greatest(F.lit(-1), F.lit(-1), *[last[j]["pos"] for j in range(k)]), last[k]) for k in range(levels)]
-    return rows.withColumn("path", F.array(*path)).select(*lines.columns, "path")
+    return running(lines, key, {f"__last{k}": of(k) for k in range(levels)}, block).withColumn("path", F.array(*path)).select(*lines.columns, "path")
 
 
 @dataclass(frozen=True)
@@ -70,37 +80,35 @@ def chunks(lines: DataFrame, key: str, rules: Rules = ACT, block: int = BLOCK) -
     line = F.col("line")
     header = F.coalesce(*[F.when(line.rlike(p), F.struct(F.regexp_extract(line, p, 1).alias("number"), strip(F.regexp_extract(line, p, 2)).alias("title"))) for p in rules.section])
     kind = F.when(line.rlike(rules.chapter), "chapter").when(line.rlike(rules.notified), "notified").when(header.isNotNull(), "section").when(line.rlike(rules.dropped), "dropped").otherwise("text")
-    rows = lines.withColumn("kind", kind).where("kind <> 'dropped'")
-    text = F.col("kind") == "text"
-    # what a section takes with it: the chapter and the date before its header
-    carried = rows.where(~text).withColumn("level", F.when(F.col("kind") == "chapter", 0).when(F.col("kind") == "notified", 1))
-    label = F.when(F.col("kind") == "chapter", line).when(F.col("kind") == "notified", strip(F.regexp_extract(line, rules.notified, 1)))
-    # a level above never cuts these off, so each is run by itself
-    heads = carried.withColumn("label", label)
-    chapters = hierarchy(heads.withColumn("level", F.when(F.col("level") == 0, 0)), key, 1, block)
-    dates = hierarchy(heads.withColumn("level", F.when(F.col("level") == 1, 0)), key, 1, block).select(key, "pos", F.get("path", F.lit(0)).alias("date"))
-    heads = chapters.where("kind = 'section'").select(key, "pos", header.alias("h"), F.get("path", F.lit(0))["label"].alias("chapter")).join(dates, [key, "pos"])
-    firsts = heads.groupBy(key, F.col("h.number").alias("number")).agg(F.min("pos").alias("pos"))
-    heads = heads.join(firsts, [key, "pos"])
-    before = F.lag("pos").over(Window.partitionBy(key).orderBy("pos"))
-    heads = heads.withColumn("before", before).select(
-        key, F.col("pos").alias("head"), "number", F.col("h.title").alias("title"), F.coalesce("chapter", F.lit(rules.first_chapter)).alias("chapter"),
-        F.when(F.col("date.pos") > F.coalesce("before", F.lit(-1)), F.col("date.label")).alias("notified"),
+    rows = lines.where(F.col(key).isNotNull()).withColumn("kind", kind).where("kind <> 'dropped'")
+    text, section = F.col("kind") == "text", F.col("kind") == "section"
+    mark = lambda where, label: F.when(where, F.struct(F.col("pos").alias("pos"), label.alias("label")))
+    marks = {
+        "chapter": mark(F.col("kind") == "chapter", line), "date": mark(F.col("kind") == "notified", strip(F.regexp_extract(line, rules.notified, 1))), "head": mark(section, header),
+        "sub": mark(text & line.rlike(rules.subsection), F.regexp_extract(line, rules.subsection, 1)),
+    }
+    # each is the last one of its kind, whatever stands above it; a subsection ends with its section
+    under = running(rows, key, marks, block).where((text | section) & F.col("head").isNotNull())
+    start = F.when(F.col("sub.pos") > F.col("head.pos"), F.col("sub.pos")).otherwise(-1)
+    under = under.select(key, "pos", "line", F.col("head.pos").alias("at"), start.alias("start"), text.alias("is_text"), F.col("sub.label").alias("label"), F.when(section, F.struct("head.label.number", "head.label.title", "chapter", "date")).alias("h"))
+    # a section's own line stands with its text up to the first subsection and tells what the section is
+    place = F.when(F.col("is_text"), F.col("pos"))
+    body = under.groupBy(key, "at", "start").agg(
+        F.max("h").alias("h"), F.max(F.when(F.col("start") >= 0, F.col("label"))).alias("subsection"), F.min(place).alias("first_pos"), F.min_by("line", place).alias("first"),
+        F.count_if(F.col("is_text") & F.col("line").rlike(rules.clause)).alias("clauses"),
+        strip(F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col("is_text"), F.struct("pos", "line")))), lambda x: x["line"]), "\n")).alias("text"),
     )
-    levels = F.when(F.col("kind") == "section", 0).when(text & line.rlike(rules.subsection), 1)
-    marked = rows.where("kind in ('section', 'text')").withColumn("level", levels).withColumn("label", F.when(levels == 1, F.regexp_extract(line, rules.subsection, 1)))
-    under = hierarchy(marked, key, 2, block).where(text)
-    under = under.select(key, "pos", "line", F.get("path", F.lit(0))["pos"].alias("head"), F.get("path", F.lit(1)).alias("sub")).where("head is not null")
-    start = F.coalesce(F.col("sub.pos"), F.lit(-1)).alias("start")
-    body = under.groupBy(key, "head", start).agg(
-        F.max("sub.label").alias("subsection"), F.min("pos").alias("first_pos"), F.min_by("line", "pos").alias("first"), F.count_if(F.col("line").rlike(rules.clause)).alias("clauses"),
-        strip(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "line"))), lambda x: x["line"]), "\n")).alias("text"),
-    )
-    rows = body.join(heads, [key, "head"])
+    body = body.repartition(key)  # once for all windows below
+    inside = Window.partitionBy(key, "at").orderBy("start")
+    rows = body.withColumn("h", F.first("h").over(inside)).withColumn("number", F.col("h.number"))
     defines = (F.col("number") == rules.terms) & (F.col("start") >= 0) & F.col("first").rlike(rules.definition)
-    rows = rows.withColumn("defines", defines)
-    following = F.lead("defines").over(Window.partitionBy(key, "head").orderBy("start"))
-    said = F.when(F.coalesce(following, F.col("number") == rules.terms), "definition").otherwise("operative")
+    rows = rows.withColumn("defines", defines).withColumn("following", F.lead("defines").over(inside))
+    rows = rows.withColumn("first_at", F.min("at").over(Window.partitionBy(key, "number"))).where("at = first_at")
+    before = F.max("at").over(Window.partitionBy(key).orderBy("at").rangeBetween(Window.unboundedPreceding, -1))
+    rows = rows.withColumn("before", before).where("first_pos is not null").select(
+        "*", F.col("h.title").alias("title"), F.coalesce("h.chapter.label", F.lit(rules.first_chapter)).alias("chapter"), F.when(F.col("h.date.pos") > F.coalesce("before", F.lit(-1)), F.col("h.date.label")).alias("notified")
+    )
+    said = F.when(F.coalesce("following", F.col("number") == rules.terms), "definition").otherwise("operative")
     term = F.when(F.col("defines"), F.lower(F.regexp_extract("first", rules.definition, 2)))
     return rows.select(
         key, F.col("number").alias("section_number"), F.col("title").alias("section_title"), "chapter", F.col("notified").alias("notified_date"), "subsection", said.alias("chunk_type"),

@@ -108,3 +108,16 @@ def test_paths(spark):
     for block in (7, 4096):
         found = statutes.hierarchy(lines, "doc", 4, block).select("doc", "pos", F.transform("path", lambda x: x["label"]).alias("p")).collect()
         assert {(r["doc"], r["pos"]): list(r["p"]) for r in found} == want
+
+
+def test_lines_are_read_and_stripped_once(spark):
+    """White space of every kind goes at both ends; texts are read for their lines, for what blocks tell and no more; nothing is stripped again in a condition."""
+    white = [chr(n) for n in range(1, 0x10000) if not 0xD800 <= n < 0xE000 and chr(n) != "\n"]
+    rows = [(n, f"{w}{w}a{w}b {w}\n {w}") for n, w in enumerate(white)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    raw = docs.select("doc_id", F.posexplode(F.split("text", "\n", -1)).alias("pos", "raw")).select("doc_id", "pos", statutes.strip(F.col("raw")).alias("line")).where("line <> ''")
+    lines = statutes.lines_of(docs, "doc_id", "text")
+    assert lines.exceptAll(raw).count() == raw.exceptAll(lines).count() == 0
+    found = statutes.chunks(statutes.lines_of(spark.read.schema("doc_id long, text string").parquet("/root/testdata/sf0.001/documents.parquet"), "doc_id", "text"), "doc_id")
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FileScan") == 2 and "regexp_replace(raw" not in plan
