@@ -5,6 +5,7 @@ import re
 from collections import Counter
 
 import duckdb
+import numpy as np
 import pytest
 
 from sparkloom.operators import cases, neighbours
@@ -41,6 +42,29 @@ def test_cosines_of_all_pairs(spark, monkeypatch):
     same(spark, "cosine_clamp", catalog.ORACLES["cosine_clamp"])
 
 
+def test_cosines_take_vectors_as_they_come(spark, monkeypatch):
+    """No row holds a block, so what a task holds doesn't grow with batches; queries and vectors of a block may come in many batches."""
+    monkeypatch.setattr(retrieval, "VECTOR_BLOCK", 90)
+    monkeypatch.setattr(retrieval, "QUERY_BLOCK", 20)
+    monkeypatch.setattr(retrieval, "VECTOR_STEP", 5)
+    monkeypatch.setattr(retrieval, "QUERY_STEP", 3)
+    vectors = np.random.default_rng(2).normal(size=(200, 6))
+    vectors[17] = 0
+    rows = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(vectors)] + [(200, None)], "vec_id long, embedding array<double>")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        df = retrieval.cosines(rows, rows.where("vec_id % 4 = 0").selectExpr("vec_id as query_id", "embedding as q"), -0.5, 0.9, 6)
+        plan = df._jdf.queryExecution().optimizedPlan().toString()
+        got = {(r["query_id"], r["vec_id"]): r["score"] for r in df.collect()}
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert "collect_list" not in plan and "Join" not in plan
+    assert sorted(got) == [(i, j) for i in range(0, 200, 4) for j in range(200)]
+    for (i, j), score in got.items():
+        lengths = np.sqrt((vectors[i] ** 2).sum() * (vectors[j] ** 2).sum())
+        assert np.isnan(score) if j == 17 else score == pytest.approx(min(0.9, max(-0.5, vectors[i] @ vectors[j] / lengths)), abs=6e-7) and score == round(score, 6)
+
+
 def overlapping(parts, room, overlap):
     """Chunks by their places: buffers are stretches of the joined sentences, from the carried characters on."""
     ends, at = [], 0
