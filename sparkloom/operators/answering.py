@@ -89,26 +89,38 @@ def full_judgments(found: DataFrame, chunks: DataFrame, records: DataFrame, fiel
     return first.select("query_id", "external_id", place.alias("place")).join(parts, "external_id").join(said, "external_id").select("query_id", "place", "external_id", *fields, text.alias("text"))
 
 
+def best_siblings(asked: DataFrame, held: DataFrame, most: int) -> DataFrame:
+    """query_id, chunk_id, score: of each issue at least the `most` best chunks of its keys, by score and id. asked: query_id, mode, key; held: chunk_id, mode, key, score,
+    a chunk under two keys at most.
+
+    The first `most` of each mode and key are one list, and an issue's lists meet in its row: of them the first 2 * `most` go on, since a chunk stands in two
+    of them at most. So an issue hands on as many rows whatever the number of its keys."""
+    order = F.row_number().over(Window.partitionBy("mode", "key").orderBy(F.desc("score"), "chunk_id"))
+    firsts = held.withColumn("n", order).where(F.col("n") <= most).groupBy("mode", "key").agg(F.sort_array(F.collect_list(F.struct((-F.col("score")).alias("low"), "chunk_id"))).alias("xs"))
+    lists = firsts.select("mode", "key", F.col("xs.low").alias("lows"), F.col("xs.chunk_id").alias("ids"))  # two plain arrays take half the room of one of structs
+    met = asked.join(lists, ["mode", "key"]).groupBy("query_id").agg(F.arrays_zip(F.flatten(F.collect_list("lows")).alias("low"), F.flatten(F.collect_list("ids")).alias("chunk_id")).alias("xs"))
+    best = met.select("query_id", F.explode(F.slice(F.sort_array("xs"), 1, 2 * most)).alias("x"))
+    return best.select("query_id", F.col("x.chunk_id").alias("chunk_id"), (-F.col("x.low")).alias("score"))
+
+
 def for_issue(reframed: DataFrame, raw: DataFrame, chunks: DataFrame, modes: DataFrame) -> DataFrame:
     """query_id, rank, chunk_id, score, primary: the two passes of an issue and siblings of the second one, scored by kind, decision and mode.
 
     reframed, raw: query_id, rank, chunk_id, chunk_type; chunks: chunk_id, chunk_type, decision, section, source; modes: query_id, mode. Siblings share a
     section or a source with a chunk that the raw pass found. Of equal ids the first in order of the passes stays. Of each section and source
     only the best that can be among an issue's results are kept, before siblings meet issues: at most one a chunk of the passes is
-    a repetition, so PRIMARY + SUPPORTING + 2 * PASS of them are enough."""
+    a repetition, so PRIMARY + SUPPORTING + 2 * PASS of them are enough (best_siblings)."""
     known = chunks.select("chunk_id", "decision")
     passes = None
     for number, rows in enumerate((reframed, raw)):
         rows = rows.select("query_id", "chunk_id", "chunk_type", F.lit(number).alias("list"), F.col("rank").cast("long").alias("place"), F.lit(None).cast("double").alias("similarity"))
         passes = rows if passes is None else passes.unionByName(rows)
-    passes = passes.join(known, "chunk_id", "left").join(modes, "query_id")
+    passes = cut(passes.join(known, "chunk_id", "left").join(modes, "query_id"))  # read for what it found and for its siblings
     keys = lambda df: df.select("*", F.explode(F.array_compact(F.array(F.concat(F.lit("section:"), F.col("section").cast("string")), F.concat(F.lit("source:"), F.col("source").cast("string"))))).alias("key"))
     score = lambda similarity: F.round(M.chunk_score(F.col("chunk_type"), F.col("decision"), F.col("mode"), similarity), 6)
     held = keys(chunks).select("chunk_id", "chunk_type", "decision", "key", F.explode(F.array(F.lit("defensive"), F.lit("in_favour"))).alias("mode")).withColumn("score", score(F.lit(SIBLING)))
-    order = F.row_number().over(Window.partitionBy("mode", "key").orderBy(F.desc("score"), "chunk_id"))
-    held = held.withColumn("n", order).where(F.col("n") <= PRIMARY + SUPPORTING + 2 * PASS).drop("n")
-    asked = keys(raw.select("query_id", "chunk_id").join(chunks.select("chunk_id", "section", "source"), "chunk_id")).select("query_id", "key").distinct().join(modes, "query_id")
-    siblings = asked.join(held, ["mode", "key"]).select("query_id", "chunk_id", F.lit(2).alias("list"), F.col("chunk_id").alias("place"), "score")
+    asked = keys(passes.where("list = 1").select("query_id", "chunk_id", "mode").join(chunks.select("chunk_id", "section", "source"), "chunk_id")).select("query_id", "mode", "key").distinct()
+    siblings = best_siblings(asked, held, PRIMARY + SUPPORTING + 2 * PASS).select("query_id", "chunk_id", F.lit(2).alias("list"), F.col("chunk_id").alias("place"), "score")
     rows = passes.withColumn("score", score(F.col("similarity"))).select(*siblings.columns).unionByName(siblings)
     one = rows.groupBy("query_id", "chunk_id").agg(F.min(F.struct("list", "place", "score")).alias("m")).select("query_id", "chunk_id", "m.*")
     ranked = one.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "list", "place")))

@@ -14,7 +14,7 @@ from sparkloom.plans.ledger import messages
 from sparkloom.plans.matchings import KINDS, judgments
 from sparkloom.plans.retrieval import D2, QUERY_EVERY, TOP_K, knn
 from sparkloom.sources import files
-from sparkloom.sources.cut import new_folder
+from sparkloom.sources.cut import cut, new_folder
 from sparkloom.sources.tables import table
 
 #: Buckets of a stored index.
@@ -37,7 +37,19 @@ def _questions(spark: SparkSession, sf_dir: str, shift: int) -> DataFrame:
     return rows.where(F.col("query_id") % QUERY_EVERY == 0)
 
 
-def _retrieved(spark: SparkSession, sf_dir: str, shift: int = 0, k: int = A.RESULTS) -> DataFrame:
+def _neighbours(spark: SparkSession, sf_dir: str, shifts: tuple[int, ...] = (0,)) -> list[DataFrame]:
+    """query_id, chunk_id, score for each shift of the questions; all of them are asked in one search, by the vectors' own ids."""
+    vectors, n = table(spark, sf_dir, "embeddings"), F.col("query_id")
+    asked = None
+    for shift in shifts:
+        rows = _questions(spark, sf_dir, shift).select((n + shift).alias("query_id"), "q")
+        asked = rows if asked is None else asked.unionByName(rows)
+    found = knn(vectors, asked)
+    found = found if len(shifts) == 1 else cut(found)
+    return [found.where((n - shift) % QUERY_EVERY == 0).select((n - shift).alias("query_id"), F.col("vec_id").alias("chunk_id"), "score") for shift in shifts]
+
+
+def _retrieved(spark: SparkSession, sf_dir: str, near: DataFrame, shift: int = 0, k: int = A.RESULTS) -> DataFrame:
     chunks, asked = _chunks(spark, sf_dir), _questions(spark, sf_dir, shift)
     nth = F.floor(F.col("query_id") / QUERY_EVERY)
     of = lambda where, external_id, reason: asked.where(where).select("query_id", external_id.alias("external_id"), F.lit(reason).alias("reason"))
@@ -45,20 +57,20 @@ def _retrieved(spark: SparkSession, sf_dir: str, shift: int = 0, k: int = A.RESU
     matches = of(nth % 3 == 0, own, "citation").unionByName(of(nth % 4 == 0, own + 1, "substring"))
     whole = chunks.where("external_id is not null").groupBy("external_id").agg(F.min_by("embedding", "chunk_id").alias("vector")).withColumn("chunk_id", -1 - F.col("external_id"))
     topics = asked.select("query_id", F.when(nth % 2 == 0, F.col("label")).alias("topic"))
-    near = knn(table(spark, sf_dir, "embeddings"), asked.select("query_id", "q")).select("query_id", F.col("vec_id").alias("chunk_id"), "score")
     statutory, near = A.of_topics(topics, chunks.where("external_id is null").select("chunk_id", "chunk_type", F.col("label").alias("topic")), near, k)
     return A.retrieve(asked.select("query_id", "q"), matches, whole, statutory, near, chunks, k)
 
 
 def hybrid_retrieval(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Complete judgments, statutory hits and neighbours of each query, the best 25."""
-    return _retrieved(spark, sf_dir)
+    return _retrieved(spark, sf_dir, *_neighbours(spark, sf_dir))
 
 
 def issue_retrieval(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Two passes and siblings: 15 primary, 10 supporting chunks an issue."""
     modes = _questions(spark, sf_dir, 0).select("query_id", F.when(F.col("query_id") % (2 * QUERY_EVERY) == 0, "defensive").otherwise("in_favour").alias("mode"))
-    return A.for_issue(_retrieved(spark, sf_dir, 1, A.PASS), _retrieved(spark, sf_dir, 0, A.PASS), _chunks(spark, sf_dir).drop("label", "embedding"), modes)
+    first, second = _neighbours(spark, sf_dir, (1, 0))
+    return A.for_issue(_retrieved(spark, sf_dir, first, 1, A.PASS), _retrieved(spark, sf_dir, second, 0, A.PASS), _chunks(spark, sf_dir).drop("label", "embedding"), modes)
 
 
 def answer_assembly(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -66,7 +78,7 @@ def answer_assembly(spark: SparkSession, sf_dir: str) -> DataFrame:
     words = F.element_at(F.array(*[F.lit(x) for x in ("court says", "meaning of it", "how to", "council", "else")]), (F.floor(F.col("query_id") / QUERY_EVERY) % 5 + 1).cast("int"))
     asked = _questions(spark, sf_dir, 0).select("query_id", words.alias("question"), F.when(F.col("query_id") % 3 == 0, F.concat(F.lit("doc "), F.col("query_id").cast("string"))).alias("document"))
     blocks = lambda rows: rows.select("chunk_id", F.concat(F.lit("#"), F.col("chunk_id").cast("string")).alias("block"))
-    found = _retrieved(spark, sf_dir)
+    found = _retrieved(spark, sf_dir, *_neighbours(spark, sf_dir))
     chunks = _chunks(spark, sf_dir)
     whole = chunks.where("external_id is not null").select((-1 - F.col("external_id")).alias("chunk_id")).distinct()
     made = A.assemble(asked, found, blocks(chunks).unionByName(blocks(whole)), lambda p: F.sha2(p, 256), "document")

@@ -68,3 +68,32 @@ def test_topics_meet_their_first_chunks_alone(spark):
         assert statutory.count() <= 4 * k < every.count() and marked.count() == near.count()
         rows = lambda *hits: sorted(A.retrieve(queries, matches, whole, *hits, chunks, k).collect())  # noqa: E731,B023
         assert rows(statutory, marked) == rows(every, near)
+
+
+def test_siblings_meet_in_an_issues_row(spark):
+    """The best of all siblings under an issue's keys, each key's list and each issue's cut: no more than twice as many rows an issue as are wanted, whatever its keys."""
+    held = spark.createDataFrame([(i, mode, key, float(i * 7 % 5)) for i in range(300) for mode in ("a", "b") for key in (f"x{i % 6}", f"y{i % 4}")], "chunk_id long, mode string, key string, score double")
+    keys = lambda q: [f"x{i}" for i in range(q % 7)] + [f"y{i}" for i in range(q % 5)]
+    asked = spark.createDataFrame([(q, "ab"[q % 2], k) for q in range(30) for k in keys(q)], "query_id long, mode string, key string")
+    got = [(r["query_id"], -r["score"], r["chunk_id"]) for r in A.best_siblings(asked, held, 9).collect()]
+    for q in range(30):
+        want = sorted({(-float(i * 7 % 5), i) for i in range(300) if f"x{i % 6}" in keys(q) or f"y{i % 4}" in keys(q)})[:9]
+        own = [r[1:] for r in got if r[0] == q]
+        assert len(own) <= 18 and sorted(set(own))[: len(want)] == want
+
+
+def test_an_issues_passes_are_made_once(spark):
+    """Both passes are read for what they found and the second for its siblings, too; neither is computed again for that."""
+    made = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for batch in batches:
+            made.add(batch.num_rows)
+            yield batch
+
+    rows = lambda shift: spark.createDataFrame([(q, r, 2 * r + q + shift, "rule") for q in range(4) for r in range(1, 6)], schema)
+    schema = "query_id long, rank int, chunk_id long, chunk_type string"
+    chunks = spark.createDataFrame([(i, "judgment" if i % 3 else "rule", "In favour of revenue", i % 2, i % 5) for i in range(80)], "chunk_id long, chunk_type string, decision string, section int, source int")
+    modes = spark.createDataFrame([(q, "defensive" if q % 2 else "in_favour") for q in range(4)], "query_id long, mode string")
+    found = A.for_issue(rows(1).mapInArrow(counted, schema), rows(0).mapInArrow(counted, schema), chunks, modes).collect()
+    assert len(found) == 4 * 25 and made.value == 2 * 20
