@@ -33,6 +33,22 @@ def test_neighbours_in_small_parts(spark, monkeypatch, name):
     same(spark, name, catalog.ORACLES[name])
 
 
+@pytest.mark.parametrize("name", ["primary_supporting_split", "score_fusion_topk"])
+def test_a_vector_that_a_third_holds(spark, monkeypatch, tmp_path, name):
+    """The same rows as of SQL, from no more copies of the vector than neighbours are wanted."""
+    con = duckdb.connect()
+    con.sql(f"CREATE TABLE embeddings AS SELECT vec_id, CASE WHEN vec_id % 3 = 0 THEN (SELECT embedding FROM '{DATA}/embeddings.parquet' WHERE vec_id = 3) ELSE embedding END AS embedding, label FROM '{DATA}/embeddings.parquet'")
+    con.sql(f"COPY embeddings TO '{tmp_path}/embeddings.parquet'")
+    searched, indexed = [], neighbours.indexed
+    monkeypatch.setattr(neighbours, "indexed", lambda *a: searched.append(indexed(*a)) or searched[-1])
+    df, found = catalog.QUERIES[name](spark, str(tmp_path)), con.sql(catalog.ORACLES[name])
+    at = [found.columns.index(c) for c in sorted(df.columns)]
+    got = sorted((plain(tuple(r[c] for c in sorted(df.columns))) for r in df.collect()), key=repr)
+    assert got and got == sorted((plain(tuple(r[i] for i in at)) for r in found.fetchall()), key=repr)
+    different = con.sql("SELECT count(DISTINCT embedding) FROM embeddings").fetchall()[0][0]
+    assert [cells.count.sum() for _, cells in searched] == [different + retrieval.TOP_K - 1]
+
+
 def test_cosines_of_all_pairs(spark, monkeypatch):
     """Every query meets every vector, in several blocks of both."""
     monkeypatch.setattr(retrieval, "VECTOR_BLOCK", 50)
