@@ -33,7 +33,7 @@ def test_neighbours_in_small_parts(spark, monkeypatch, name):
     same(spark, name, catalog.ORACLES[name])
 
 
-@pytest.mark.parametrize("name", ["primary_supporting_split", "score_fusion_topk", "issue_rank_15_10"])
+@pytest.mark.parametrize("name", ["primary_supporting_split", "score_fusion_topk", "issue_rank_15_10", "answer_assembly"])
 def test_a_vector_that_a_third_holds(spark, monkeypatch, tmp_path, name):
     """The same rows as of SQL, from no more copies of the vector than neighbours are wanted."""
     con = duckdb.connect()
