@@ -49,7 +49,7 @@ def test_a_vector_that_a_third_holds(spark, monkeypatch, tmp_path, name):
     assert [cells.count.sum() for _, cells in searched] == [different + retrieval.TOP_K - 1]
 
 
-@pytest.mark.parametrize("name", ["score_fusion_topk", "issue_rank_15_10"])
+@pytest.mark.parametrize("name", ["score_fusion_topk", "issue_rank_15_10", "answer_assembly"])
 def test_vectors_pass_by_queries(spark, monkeypatch, name):
     """The same rows as of SQL where a task takes several parts, and no part is handed on whole."""
     for what, n in (("PART", 61), ("BLOCK", 9), ("TASKS", 5)):
